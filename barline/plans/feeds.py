@@ -300,6 +300,6 @@ def _(t):
     return files.read_dated(t.spark, path, "date string, close double")
 
 
-@query("daily_bars", "S8", "SELECT ticker, date, open, high, low, close, volume FROM bars WHERE date BETWEEN DATE '2001-06-30' - (2 * 365 + 30) AND DATE '2001-06-30'", r="high low", digits=6)
+@query("daily_bars", "S8", "SELECT ticker, date, open, high, low, close, volume FROM bars WHERE date BETWEEN DATE '2001-06-30' - (2 * 365 + 30) AND DATE '2001-06-30'")
 def _(t):
     return files.daily_bars(t.bars, "2001-06-30", 2)
