@@ -74,9 +74,9 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand AS ticker, CAST(o
        bround(l_quantity * p_retailprice * (1 + (l_discount - l_tax) * 4) - l_quantity * p_retailprice, 4) AS realized_pnl
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_shipdate > o_orderdate""",
     "regime_log": """
-SELECT event_id AS id, CAST(ts AS DATE) AS date,
-       CASE event_type WHEN 'error' THEN 'crash' WHEN 'view' THEN 'bear' WHEN 'click' THEN 'neutral' WHEN 'purchase' THEN 'bull' ELSE 'euphoria' END AS regime_label,
-       least(value / 100, 1.0) AS confidence FROM events""",
+SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'crash' WHEN '2-HIGH' THEN 'bear' WHEN '3-MEDIUM' THEN 'neutral' ELSE 'bull' END AS regime_label,
+       bround(o_totalprice / 500000, 6) AS confidence FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'""",
     "headlines": """
 SELECT doc_id AS line_no, text AS headline, source AS ticker, CAST(CAST(DATE '2024-01-01' + CAST(doc_id % 90 AS INT) AS DATE) AS STRING) AS date, lang AS source FROM documents""",
     "moves": """

@@ -207,7 +207,7 @@ def _(t):
     return df.select("ticker", "date", S.ma_alignment(F.col("sma20"), F.col("sma50"), F.col("sma200")).alias("alignment"), S.pct_distance(F.col("close"), F.col("sma20")).alias("vs_sma20"))
 
 
-@query("fib_levels", "C7", "SELECT ticker, date, high - (high - low) * 0.382 AS l382, high - (high - low) * 0.5 AS l500, high - (high - low) * 0.618 AS l618 FROM bars", r="l382 l500 l618", digits=10)
+@query("fib_levels", "C7", "SELECT ticker, date, high - (high - low) * 0.382 AS l382, high - (high - low) * 0.5 AS l500, high - (high - low) * 0.618 AS l618 FROM bars", r="l382 l500 l618", digits=12)
 def _(t):
     m = t.bars.select("ticker", "date", S.fib_levels(F.col("high"), F.col("low")).alias("m"))
     return m.select("ticker", "date", F.col("m")["38.2"].alias("l382"), F.col("m")["50.0"].alias("l500"), F.col("m")["61.8"].alias("l618"))
