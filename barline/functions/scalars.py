@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,6 +30,16 @@ def literal_map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    A chain of columns that each mention the one before several times grows
+    exponentially when the optimizer substitutes it into a pushed-down filter; a bound
+    value keeps the expression as long as it is written.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 # ---- identities and text ----
 def row_id(ticker: Column, date: Column, headline: Column) -> Column:
     return F.sha2(F.concat_ws("|", ticker, date, headline), 256)

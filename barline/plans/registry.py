@@ -71,7 +71,7 @@ def query(name: str, ids: str, sql: str | None = None, r: str = "", digits: int
         if sql is not None:
             text = with_adapters(sql, recursive)
             if cols:
-                repl = ", ".join(f"round_even({c}, {digits}) + 0.0 AS {c}" for c in cols)
+                repl = ", ".join(f"round_even(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in cols)
                 text = f"SELECT * REPLACE ({repl}) FROM ({text}) AS checked"
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
