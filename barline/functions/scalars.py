@@ -74,7 +74,7 @@ def lag_days(transaction_date: Column, disclosure_date: Column) -> Column:
 
 
 def format_number(value: Column, decimals: int = 2, suffix: str = "") -> Column:
-    return F.coalesce(F.concat(F.format_string(f"%.{decimals}f", value), F.lit(suffix)), F.lit("n/a"))
+    return F.when(value.isNull(), "n/a").otherwise(F.concat(F.format_string(f"%.{decimals}f", value), F.lit(suffix)))
 
 
 def analyst_rating(key: Column) -> Column:

@@ -1 +1,165 @@
-"""Queries."""
+"""Regime feature, scaling and hidden-state queries over the market series."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from barline.functions.series import over, so_far
+from barline.operators import joins
+from barline.operators import metrics as M
+from barline.operators import regime as G
+from barline.plans.registry import Tables, query
+
+MV = """mv AS MATERIALIZED (SELECT m.*, last_value(f.vix IGNORE NULLS) OVER (ORDER BY m.date ROWS UNBOUNDED PRECEDING) AS vix FROM market AS m LEFT JOIN fear AS f ON f.date = m.date)"""
+FT = """f0 AS (SELECT *, close / lag(close) OVER (ORDER BY date) - 1 AS ret_1d FROM mv),
+ft AS MATERIALIZED (SELECT *, CASE WHEN count(ret_1d) OVER a >= 10 THEN stddev_samp(ret_1d) OVER a END * sqrt(252) AS vol_20d, (close - CASE WHEN count(close) OVER b >= 100 THEN avg(close) OVER b END) / (CASE WHEN count(close) OVER b >= 100 THEN stddev_samp(close) OVER b END + 1e-8) AS trend_z,
+ (volume - CASE WHEN count(volume) OVER a >= 10 THEN avg(volume) OVER a END) / (CASE WHEN count(volume) OVER a >= 10 THEN stddev_samp(volume) OVER a END + 1e-8) AS vol_z, vix / lag(vix) OVER (ORDER BY date) - 1 AS vix_change,
+ close / lag(close, 63) OVER (ORDER BY date) - 1 AS momentum, close / max(close) OVER (ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) - 1 AS drawdown FROM f0
+ WINDOW a AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW))"""
+NAMES = ["ret_1d", "vol_20d", "trend_z", "vol_z", "momentum", "drawdown"]
+
+
+def market_vix(t: Tables):
+    rows = t.market.join(t.fear, "date", "left")
+    return rows.withColumn("vix", F.last("vix", ignorenulls=True).over(so_far(over("market_id"))))
+
+
+def matrix(t: Tables):
+    return G.warmed_up(G.features(t.market)).dropna(subset=NAMES).select("market_id", "date", *NAMES)
+
+
+@query("market_with_vix", "J12", f"WITH {MV} SELECT market_id, date, close, volume, vix FROM mv")
+def _(t):
+    return market_vix(t).select("market_id", "date", "close", "volume", "vix")
+
+
+@query("regime_features", "W25 F16", f"WITH {MV}, {FT} SELECT date, ret_1d, vol_20d, trend_z, vol_z, vix_change, momentum, drawdown FROM ft WHERE ret_1d IS NOT NULL AND vol_20d IS NOT NULL AND trend_z IS NOT NULL", r="ret_1d vol_20d trend_z vol_z vix_change momentum drawdown", digits=6)
+def _(t):
+    return G.warmed_up(G.features(market_vix(t))).select("date", "ret_1d", "vol_20d", "trend_z", "vol_z", "vix_change", "momentum", "drawdown")
+
+
+@query("feature_matrix", "F17", f"WITH {MV}, {FT}, w AS (SELECT * FROM ft WHERE trend_z IS NOT NULL AND vol_20d IS NOT NULL) SELECT date, ret_1d, trend_z, momentum, drawdown FROM w WHERE momentum IS NOT NULL", r="ret_1d trend_z momentum drawdown", digits=6)
+def _(t):
+    df = G.features(t.market)
+    return G.feature_matrix(df, G.chosen_features(df)).select("date", "ret_1d", "trend_z", "momentum", "drawdown")
+
+
+TRAIN = "tr AS (SELECT * FROM ft WHERE trend_z IS NOT NULL AND vol_20d IS NOT NULL AND momentum IS NOT NULL AND date < DATE '1999-01-01')"
+
+
+@query("scaler_fit", "R4", f"WITH {MV}, {FT}, {TRAIN} SELECT 'MKT' AS market_id, feature, avg(value) AS mean, stddev_pop(value) AS std FROM (UNPIVOT (SELECT ret_1d, vol_20d, trend_z, vol_z, momentum, drawdown FROM tr) ON COLUMNS(*) INTO NAME feature VALUE value) AS u GROUP BY feature", r="mean std", digits=8)
+def _(t):
+    return G.fit_scaler(matrix(t).where("date < DATE '1999-01-01'"), ["market_id"], NAMES)
+
+
+@query("scaled_features", "R4 R5", f"WITH {MV}, {FT}, {TRAIN}, st AS (SELECT avg(trend_z) AS m1, stddev_pop(trend_z) AS s1, avg(momentum) AS m2, stddev_pop(momentum) AS s2 FROM tr) SELECT date, (trend_z - m1) / s1 AS z_trend_z, (momentum - m2) / s2 AS z_momentum, 0.0 AS z_vol_z FROM ft, st WHERE trend_z IS NOT NULL AND vol_20d IS NOT NULL AND momentum IS NOT NULL", r="z_trend_z z_momentum z_vol_z", digits=6)
+def _(t):
+    rows = matrix(t)
+    scaler = G.fit_scaler(rows.where("date < DATE '1999-01-01'"), ["market_id"], NAMES)
+    return G.scale(rows.drop("vol_z"), scaler, ["market_id"], NAMES).select("date", "z_trend_z", "z_momentum", "z_vol_z")
+
+
+MODEL = G.Model(np.array([0.5, 0.3, 0.2]), np.array([[0.9, 0.08, 0.02], [0.05, 0.9, 0.05], [0.02, 0.08, 0.9]]), np.array([[-0.5, -1.0], [0.0, 0.0], [0.5, 1.0]]), np.array([[1.5, 0.6], [0.8, 0.4], [1.2, 0.5]]))
+MEANS, VARS = MODEL.means.tolist(), MODEL.vars.tolist()
+EMIT = ", ".join(f"-0.5 * (2 * ln(2 * pi()) + ln({VARS[k][0]}) + ln({VARS[k][1]}) + (x0 - ({MEANS[k][0]})) * (x0 - ({MEANS[k][0]})) / {VARS[k][0]} + (x1 - ({MEANS[k][1]})) * (x1 - ({MEANS[k][1]})) / {VARS[k][1]}) AS e{k}" for k in range(3))
+XS = "xs AS MATERIALIZED (SELECT date, ret_1d * 100 AS x0, trend_z AS x1, row_number() OVER (ORDER BY date) AS n FROM ft WHERE trend_z IS NOT NULL AND vol_20d IS NOT NULL AND ret_1d IS NOT NULL)"
+
+
+def emissions(t: Tables):
+    rows = G.warmed_up(G.features(t.market)).select("market_id", "date", (F.col("ret_1d") * 100).alias("x0"), F.col("trend_z").alias("x1"))
+    return rows.withColumn("log_emission", G.log_emission([F.col("x0"), F.col("x1")], MODEL))
+
+
+@query("log_emission", "R6", f"WITH {MV}, {FT}, {XS} SELECT date, {EMIT} FROM xs", r="e0 e1 e2", digits=6)
+def _(t):
+    return emissions(t).select("date", *[F.col("log_emission")[k].alias(f"e{k}") for k in range(3)])
+
+
+def _mix(k: int) -> str:
+    return "(" + " + ".join(f"p{j} * {MODEL.trans[j][k]}" for j in range(3)) + f") * exp(y.e{k})"
+
+
+FILTER = f"""em AS MATERIALIZED (SELECT n, date, {EMIT} FROM xs),
+fw AS (SELECT n, date, 0.5 * exp(e0) / z AS p0, 0.3 * exp(e1) / z AS p1, 0.2 * exp(e2) / z AS p2, ln(z) AS ll FROM (SELECT *, 0.5 * exp(e0) + 0.3 * exp(e1) + 0.2 * exp(e2) AS z FROM em WHERE n = 1) AS q
+UNION ALL SELECT n, date, q0 / (q0 + q1 + q2), q1 / (q0 + q1 + q2), q2 / (q0 + q1 + q2), ll + ln(q0 + q1 + q2) FROM (SELECT y.n, y.date, {_mix(0)} AS q0, {_mix(1)} AS q1, {_mix(2)} AS q2, fw.ll FROM fw JOIN em AS y ON y.n = fw.n + 1) AS s)"""
+
+
+@query("filtered_posterior", "R7 X3", f"WITH {MV}, {FT}, {XS}, {FILTER} SELECT date, p0, p1, p2, ll FROM fw", r="p0 p1 p2 ll", digits=6, recursive=True)
+def _(t):
+    d = G.decode(emissions(t), MODEL)
+    return d.select("date", *[F.col("filtered")[k].alias(f"p{k}") for k in range(3)], F.col("log_likelihood").alias("ll"))
+
+
+@query("sequence_score", "R10", f"WITH {MV}, {FT}, {XS}, {FILTER} SELECT 'MKT' AS market_id, max_by(ll, n) AS log_likelihood, count(*) AS n_obs FROM fw", r="log_likelihood", digits=4, recursive=True)
+def _(t):
+    return G.score(G.decode(emissions(t), MODEL))
+
+
+@query("smoothed_posterior", "R8")
+def _(t):
+    d = G.decode(emissions(t), MODEL)
+    return d.select("date", *[F.bround(F.col("smoothed")[k], 6).alias(f"p{k}") for k in range(3)])
+
+
+@query("most_likely_path", "R9")
+def _(t):
+    return G.decode(emissions(t), MODEL).select("date", "path")
+
+
+LABEL = "CASE WHEN p0 >= p1 AND p0 >= p2 THEN 'crash' WHEN p1 >= p2 THEN 'neutral' ELSE 'bull' END"
+
+
+@query("classify_regimes", "R14 W34", f"""WITH {MV}, {FT}, {XS}, {FILTER}, lb AS (SELECT date, greatest(p0, p1, p2) AS confidence, {LABEL} AS l FROM fw),
+lg AS (SELECT *, lag(l, 1) OVER w AS l1, lag(l, 2) OVER w AS l2, lag(l, 3) OVER w AS l3 FROM lb WINDOW w AS (ORDER BY date)) SELECT date, l AS regime_label, confidence, coalesce(l = l1 AND l = l2 AND l = l3 AND l3 IS NOT NULL, false) AS is_stable,
+CASE WHEN l3 IS NULL THEN 1.0 ELSE (CAST(l1 <> l2 AS INT) + CAST(l2 <> l3 AS INT)) / 2 END AS transition_rate FROM lg""", r="confidence transition_rate", digits=6, recursive=True)
+def _(t):
+    c = G.classify(G.decode(emissions(t), MODEL), [0, 1, 2], ["crash", "neutral", "bull"])
+    return c.select("date", "regime_label", "confidence", "is_stable", "transition_rate")
+
+
+@query("pooled_fit", "R11")
+def _(t):
+    """Three states over all tickers' return series at once."""
+    rows = M.daily_returns(t.bars.select("ticker", "date", F.col("close").alias("nav")), "ticker").where("ret IS NOT NULL").select(
+        "ticker", "date", (F.col("ret") * 100).alias("x"))
+    model, ll = G.fit_model(rows, ["x"], 3, key="ticker", iterations=6, restarts=2)
+    order = np.argsort(model.means[:, 0])
+    states = F.array(*[F.struct(F.lit(int(i)).alias("rank"), F.lit(round(float(model.means[s, 0]), 4)).alias("mean"), F.lit(round(float(model.vars[s, 0]), 4)).alias("var")) for i, s in enumerate(order)])
+    return t.spark.range(1).select(F.explode(states).alias("s"), F.lit(round(ll, 3)).alias("log_likelihood")).select("s.*", "log_likelihood")
+
+
+FITS = "ks AS (SELECT unnest([3, 4, 5, 6, 7]) AS k), fi AS (SELECT ticker, k, -sum(close) / k AS log_likelihood, count(*) AS n_obs FROM bars, ks GROUP BY ticker, k)"
+
+
+@query("model_selection", "R12", f"""WITH {FITS}, ic AS (SELECT *, -2 * log_likelihood + (k * (k - 1) + (k - 1) + 2 * k * 4) * ln(n_obs) AS bic FROM fi) SELECT ticker, CAST(min_by(k, bic) AS INT) AS k, min(bic) AS bic FROM ic GROUP BY ticker""", r="bic")
+def _(t):
+    k = F.explode(F.array(*[F.lit(x) for x in (3, 4, 5, 6, 7)])).alias("k")
+    g = t.bars.groupBy("ticker").agg(F.sum("close").alias("s"), F.count(F.lit(1)).alias("n_obs")).select("ticker", "s", "n_obs", k)
+    fits = g.withColumn("log_likelihood", -F.col("s") / F.col("k")).withColumn("n_features", F.lit(4))
+    return G.select_model(fits, ["ticker"])
+
+
+@query("state_labels", "R13", """WITH r AS (SELECT ticker, CAST(month(date) % 5 AS INT) AS state, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars), g AS (SELECT ticker, state, round_even(avg(ret), 12) AS m FROM r GROUP BY ticker, state),
+k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY m, state) AS n FROM g) SELECT ticker, state, list_extract(['crash', 'bear', 'neutral', 'bull', 'euphoria'], n) AS label FROM k""")
+def _(t):
+    rows = M.daily_returns(t.bars.select("ticker", "date", F.col("close").alias("nav")), "ticker").withColumn("state", (F.month("date") % 5).cast("int"))
+    return G.rank_states(rows, ["ticker"], 5).select("ticker", "state", "label")
+
+
+@query("regime_stability", "W34", """WITH lg AS (SELECT date, regime_label AS l, lag(regime_label, 1) OVER w AS l1, lag(regime_label, 2) OVER w AS l2, lag(regime_label, 3) OVER w AS l3 FROM regime_daily WINDOW w AS (ORDER BY date))
+SELECT date, coalesce(l = l1 AND l = l2 AND l = l3, false) AS is_stable, CASE WHEN l3 IS NULL THEN 1.0 ELSE (CAST(l1 <> l2 AS INT) + CAST(l2 <> l3 AS INT)) / 2 END AS transition_rate FROM lg""", r="transition_rate")
+def _(t):
+    return G.stability(t.regime_daily).select("date", "is_stable", "transition_rate")
+
+
+@query("regime_transitions", "W35", "SELECT date, p AS from_label, regime_label AS to_label, confidence FROM (SELECT *, lag(regime_label) OVER (ORDER BY date) AS p FROM regime_daily) AS q WHERE p <> regime_label")
+def _(t):
+    return G.transitions(t.regime_daily).select("date", "from_label", "to_label", "confidence")
+
+
+@query("combine_first", "J21", "SELECT coalesce(n.date, o.date) AS date, coalesce(n.close, o.vix) AS close, coalesce(n.volume, o.vix * 2) AS volume FROM (SELECT date, CASE WHEN volume > 600 THEN close END AS close, volume FROM market WHERE date > DATE '1998-01-01') AS n FULL OUTER JOIN fear AS o ON o.date = n.date")
+def _(t):
+    new = t.market.where("date > DATE '1998-01-01'").select("date", F.when(F.col("volume") > 600, F.col("close")).alias("close"), "volume")
+    old = t.fear.select("date", F.col("vix").alias("close"), (F.col("vix") * 2).alias("volume"))
+    return joins.combine_first(new, old, ["date"])

@@ -1 +1,238 @@
-"""Queries."""
+"""Back-test queries: windows, fills, exits, benchmarks, stress, studies."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barline.operators import backtest as B
+from barline.operators import disclosures as D
+from barline.operators import indicators as I
+from barline.operators import metrics as M
+from barline.operators import regime as G
+from barline.plans.registry import Tables, query
+
+WIN = """sp AS (SELECT min(date) AS a, max(date) AS z FROM market), w0 AS (SELECT a, z, unnest(range(0, 40)) AS window_id FROM sp), w1 AS (SELECT *, CAST(a + to_months(CAST(window_id * 3 AS INT)) AS DATE) AS train_start FROM w0),
+w2 AS (SELECT *, CAST(train_start + to_months(36) AS DATE) AS train_end, CAST(CAST(train_start + to_months(36) AS DATE) + 1 AS DATE) AS ts FROM w1), w3 AS (SELECT *, CAST(ts + to_months(6) AS DATE) AS te FROM w2 WHERE CAST(ts + to_months(6) AS DATE) <= z),
+w4 AS (SELECT window_id, train_start, train_end, min(date) AS test_start, max(date) AS test_end, count(date) AS n_test FROM w3 LEFT JOIN market ON date BETWEEN ts AND te GROUP BY 1, 2, 3),
+win AS MATERIALIZED (SELECT CAST(window_id AS INT) AS window_id, train_start, train_end, test_start, test_end, n_test FROM w4 WHERE window_id < coalesce((SELECT min(window_id) FROM w4 WHERE n_test < 20), 999))"""
+STAB = "st AS (SELECT date, regime_label, confidence, coalesce(regime_label = lag(regime_label, 1) OVER w AND regime_label = lag(regime_label, 2) OVER w AND regime_label = lag(regime_label, 3) OVER w, false) AS is_stable FROM regime_daily WINDOW w AS (ORDER BY date))"
+SW = "sw AS (SELECT win.window_id, win.test_start, win.test_end, s.* FROM signals AS s JOIN win ON s.date BETWEEN win.test_start AND win.test_end)"
+SR = "sr AS (SELECT x.*, r.regime_label, r.confidence, r.is_stable FROM sw AS x ASOF JOIN st AS r ON x.date >= r.date WHERE r.date >= x.test_start AND r.confidence >= 0.4)"
+FILL = "cal AS (SELECT date, coalesce(lead(date) OVER (ORDER BY date), date) AS exec_date FROM (SELECT DISTINCT date FROM bars) AS d), fl AS (SELECT s.*, cal.exec_date FROM signals AS s JOIN cal ON cal.date = s.date)"
+EXITS = """en AS MATERIALIZED (SELECT DISTINCT fl.ticker, fl.exec_date AS e, b.close + b.close * 0.001 AS fill FROM fl JOIN bars AS b ON b.ticker = fl.ticker AND b.date = fl.exec_date),
+pa AS (SELECT en.ticker, e, fill, b.date, b.close, greatest(fill, coalesce(max(b.close) OVER (PARTITION BY en.ticker, e ORDER BY b.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), fill)) AS pk FROM en JOIN bars AS b ON b.ticker = en.ticker AND b.date > e),
+h AS (SELECT ticker, e, fill, min(date) FILTER (WHERE (pk - close) / pk * 100 >= 15) AS s, min(date) FILTER (WHERE (close - fill) / fill * 100 >= 40) AS h, min(date) FILTER (WHERE (close - fill) / fill * 100 >= 25) AS t FROM pa GROUP BY 1, 2, 3),
+x AS (SELECT en.ticker, en.e AS entry_date, en.fill AS entry_price, coalesce(least(s, h), (SELECT max(date) FROM bars AS q WHERE q.ticker = en.ticker)) AS exit_date, CASE WHEN least(s, h) IS NULL THEN 'end_of_backtest' WHEN s <= h OR h IS NULL THEN 'stop_loss' ELSE 'hard_exit' END AS exit_reason, h.t, least(s, h) AS c
+ FROM en LEFT JOIN h ON h.ticker = en.ticker AND h.e = en.e),
+lab AS MATERIALIZED (SELECT x.ticker, entry_date, entry_price, exit_date, b.close - b.close * 0.001 AS exit_price, exit_reason, CASE WHEN t < coalesce(c, DATE '9999-01-01') THEN t END AS take_profit_date, ((b.close - b.close * 0.001) * 0.9995 / entry_price - 1) * 100 AS pnl_pct FROM x JOIN bars AS b ON b.ticker = x.ticker AND b.date = x.exit_date)"""
+
+
+def calendar(t: Tables):
+    return t.bars.select("date").distinct()
+
+
+def windows(t: Tables):
+    return B.walk_windows(t.market)
+
+
+def states(t: Tables):
+    return G.stability(t.regime_daily).select("date", "regime_label", "confidence", "is_stable")
+
+
+def trades(t: Tables):
+    """Signals filled a bar later, each with the exit of its entry."""
+    filled = B.fill_dates(t.signals, calendar(t)).select("id", "ticker", "conviction", F.col("exec_date").alias("entry_date"))
+    return filled.join(B.label_exits(t.bars, filled.withColumnRenamed("entry_date", "exec_date")), ["ticker", "entry_date"])
+
+
+@query("walk_windows", "B1", f"WITH {WIN} SELECT window_id, train_start, train_end, test_start, test_end, n_test FROM win")
+def _(t):
+    return windows(t)
+
+
+@query("train_slices", "F18", f"WITH {WIN} SELECT window_id, count(*) AS n_train FROM win JOIN market ON date BETWEEN train_start AND train_end GROUP BY window_id HAVING count(*) >= 500")
+def _(t):
+    return B.train_slices(windows(t), t.market).select("window_id", "n_train")
+
+
+@query("signals_in_windows", "J23", f"WITH {WIN}, {SW} SELECT window_id, id, ticker, date FROM sw")
+def _(t):
+    return B.signals_in_windows(t.signals, windows(t)).select("window_id", "id", "ticker", "date")
+
+
+@query("signal_regimes", "J9 F19", f"WITH {WIN}, {STAB}, {SW}, {SR} SELECT window_id, id, regime_label, confidence, is_stable FROM sr")
+def _(t):
+    return B.with_regime(B.signals_in_windows(t.signals, windows(t)), states(t)).select("window_id", "id", "regime_label", "confidence", "is_stable")
+
+
+@query("enriched_signals", "Z5", f"""WITH {WIN}, {STAB}, {SW}, {SR}, v0 AS (SELECT ticker, date, abs(close / lag(close) OVER w - 1) AS ar FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+v AS (SELECT ticker, date, coalesce(CASE WHEN count(ar) OVER w >= 14 THEN avg(ar) OVER w END * 100, 1.0) AS vol FROM v0 WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+z AS (SELECT s.window_id, s.id, s.conviction, least(8.0, greatest(0.0, 0.15 / coalesce(v.vol, 1.0) * 100)) * CASE regime_label WHEN 'crash' THEN 0.3 WHEN 'bear' THEN 0.5 WHEN 'neutral' THEN 0.7 WHEN 'bull' THEN 1.0 WHEN 'euphoria' THEN 0.75 END * least(1.0, 0.5 + 0.5 * (confidence - 0.4) / 0.6) * CASE WHEN is_stable THEN 1.0 ELSE 0.5 END AS b
+ FROM sr AS s ASOF LEFT JOIN v ON v.ticker = s.ticker AND s.date >= v.date)
+SELECT window_id, id, least(8.0, greatest(0.0, b + b * 0.2 * ((least(10, greatest(5, conviction)) - 7.5) / 2.5))) AS position_pct FROM z""", r="position_pct", digits=6)
+def _(t):
+    vol = I.vol_pct_from_close(t.bars).select("ticker", "date", "vol_pct")
+    return B.enrich(B.with_regime(B.signals_in_windows(t.signals, windows(t)), states(t)), vol).select("window_id", "id", "position_pct")
+
+
+@query("fill_dates", "B3", f"WITH {FILL} SELECT id, ticker, date, exec_date FROM fl")
+def _(t):
+    return B.fill_dates(t.signals, calendar(t)).select("id", "ticker", "date", "exec_date")
+
+
+@query("exit_labels", "B2", f"WITH {FILL}, {EXITS} SELECT ticker, entry_date, entry_price, exit_date, exit_price, exit_reason, take_profit_date, pnl_pct FROM lab", r="entry_price exit_price pnl_pct", digits=8)
+def _(t):
+    filled = B.fill_dates(t.signals, calendar(t))
+    return B.label_exits(t.bars, filled)
+
+
+@query("labelled_signals", "B2 J2", f"WITH {FILL}, {EXITS} SELECT fl.id, fl.ticker, fl.conviction, lab.exit_reason, pnl_pct FROM fl JOIN lab ON lab.ticker = fl.ticker AND lab.entry_date = fl.exec_date", r="pnl_pct", digits=6)
+def _(t):
+    return trades(t).select("id", "ticker", "conviction", "exit_reason", "pnl_pct")
+
+
+OPEN = f"""rt AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS r FROM bars),
+tr AS (SELECT fl.id, fl.ticker, lab.entry_date, lab.exit_date FROM fl JOIN lab ON lab.ticker = fl.ticker AND lab.entry_date = fl.exec_date),
+mv AS (SELECT ticker, date, sum(x) AS x FROM (SELECT ticker, entry_date AS date, 1 AS x FROM tr UNION ALL SELECT ticker, exit_date, -1 FROM tr) AS q GROUP BY 1, 2),
+no AS (SELECT rt.ticker, rt.date, r, sum(coalesce(x, 0)) OVER (PARTITION BY rt.ticker ORDER BY rt.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM rt LEFT JOIN mv ON mv.ticker = rt.ticker AND mv.date = rt.date),
+dr AS MATERIALIZED (SELECT date, sum(n * r) / sum(n) AS ret, CAST(sum(n) AS BIGINT) AS n_open FROM no WHERE n > 0 AND r IS NOT NULL GROUP BY date)"""
+
+
+@query("open_trade_returns", "B4", f"WITH {FILL}, {EXITS}, {OPEN} SELECT date, ret, n_open, product(1 + ret) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM dr", r="ret nav", digits=8)
+def _(t):
+    daily = B.open_trade_returns(t.bars, trades(t))
+    return B.compounded(daily.withColumn("k", F.lit("all")), "k").select("date", "ret", "n_open", "nav")
+
+
+@query("buy_and_hold", "B5", "SELECT date, close * ((100000 - 100000 * 0.05 / 100) / (first_value(close) OVER (ORDER BY date) * 1.001)) AS nav FROM market", r="nav")
+def _(t):
+    return B.buy_and_hold(t.market, "market_id", slippage_bps=10.0, commission_pct=0.05).select("date", "nav")
+
+
+@query("trend_following", "B6", """WITH m AS (SELECT date, close, coalesce(close > CASE WHEN count(*) OVER w >= 100 THEN avg(close) OVER w END, false) AS o FROM market WINDOW w AS (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)),
+g AS (SELECT *, coalesce(lag(o) OVER (ORDER BY date), false) AS p, lag(close) OVER (ORDER BY date) AS pc FROM m)
+SELECT date, 100000 * product(CASE WHEN p THEN close / pc ELSE 1 END * CASE WHEN o AND NOT p THEN 0.9995 / 1.001 WHEN p AND NOT o THEN 0.999 * 0.9995 ELSE 1 END) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM g""", r="nav", digits=3)
+def _(t):
+    return B.trend_following(t.market, "market_id", slippage_bps=10.0, commission_pct=0.05).select("date", "nav")
+
+
+STRESS = """nb AS (SELECT ticker, count(*) AS n FROM bars GROUP BY ticker), ix AS (SELECT bars.ticker, date, close, n, (SELECT greatest(1, max(n) // 4) FROM nb) AS s, row_number() OVER (PARTITION BY bars.ticker ORDER BY date) - 1 AS i,
+  row_number() OVER (PARTITION BY bars.ticker ORDER BY sha256(concat_ws('|', bars.ticker, CAST(date AS VARCHAR), '42'))) AS hh, ln(close / lag(close) OVER (PARTITION BY bars.ticker ORDER BY date)) AS lr FROM bars JOIN nb ON nb.ticker = bars.ticker),
+an AS (SELECT *, max(CASE WHEN i = s - 1 THEN close END) OVER (PARTITION BY ticker) AS a, max(CASE WHEN i = s + 4 THEN close END) OVER (PARTITION BY ticker) AS z, sum(CASE WHEN i BETWEEN s AND s + 19 THEN lr END) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM ix)"""
+
+
+@query("stress_paths", "B7 B8 B9 B10", f"""WITH {STRESS}
+SELECT 'sudden_crash' AS scenario, ticker, date, CASE WHEN i < s THEN close WHEN i < s + 5 THEN a * exp(ln(0.7) * (i - s + 1) / 5) ELSE a * 0.7 * close / z END AS close, 10.0 AS slippage_bps, 0 AS fill_delay FROM an
+UNION ALL SELECT 'high_vol_cluster', ticker, date, CASE WHEN i BETWEEN s AND s + 19 THEN a * exp(3 * cum) ELSE close END, 10.0, 0 FROM an
+UNION ALL SELECT 'slippage_spike', ticker, date, close, 50.0, 0 FROM an UNION ALL SELECT 'delayed_fills', ticker, date, close, 10.0, 2 FROM an
+UNION ALL SELECT 'missing_data', ticker, date, close, 10.0, 0 FROM an WHERE hh > CAST(floor(n * 0.05) AS BIGINT)""", r="close slippage_bps", digits=6)
+def _(t):
+    return B.stressed(t.bars).select("scenario", "ticker", "date", "close", "slippage_bps", "fill_delay")
+
+
+@query("leverage_decay", "B11", """WITH r AS (SELECT ticker, close / lag(close) OVER w - 1 AS ret, row_number() OVER w - 1 AS i FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)), g AS (SELECT ticker, product(1 - 2 * ret) AS f, product(1 + ret) AS u, count(*) AS n, stddev_samp(ret) AS sd FROM r WHERE i BETWEEN 1 AND 252 GROUP BY ticker)
+SELECT ticker, f AS final_nav, power(u, -2.0) AS theoretical_nav, f - power(u, -2.0) AS decay, (f - power(u, -2.0)) / power(u, -2.0) * (252 / n) * 100 AS annualised_decay_pct, sd AS daily_vol, n * sd * sd / 2 AS vol_drag_estimate FROM g""", r="final_nav theoretical_nav decay annualised_decay_pct daily_vol vol_drag_estimate", digits=6)
+def _(t):
+    rets = M.daily_returns(t.bars.select("ticker", "date", F.col("close").alias("nav")), "ticker")
+    return B.leverage_decay(rets, "ticker", -2.0)
+
+
+BEAR = """eq AS (SELECT ticker, date, close, close / lag(close) OVER w - 1 AS ret, close / max(close) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+gg AS (SELECT ticker, count(*) FILTER (WHERE dd < -0.15) AS deep, quantile_cont(ret, 0.2) AS cut FROM eq GROUP BY ticker), be AS (SELECT eq.ticker, eq.date, eq.close FROM eq JOIN gg ON gg.ticker = eq.ticker WHERE CASE WHEN deep >= 5 THEN dd < -0.15 ELSE ret < cut END)"""
+
+
+@query("bear_days", "B13", f"WITH {BEAR} SELECT ticker, date FROM be")
+def _(t):
+    return B.bear_days(t.bars.select("ticker", "date", F.col("close").alias("nav")), "ticker").select("ticker", "date")
+
+
+@query("hedge_overlay", "B12", f"""WITH {BEAR}, cu AS (SELECT be.ticker, be.date, coalesce(be.close / lag(be.close) OVER w - 1, 0) AS p, coalesce(m.close / lag(m.close) OVER w - 1, 0) AS u FROM be JOIN market AS m ON m.date = be.date WINDOW w AS (PARTITION BY be.ticker ORDER BY be.date)),
+lg AS (SELECT ticker, 'inverse_etf' AS approach, date, 0.75 * p - 0.25 * u AS r FROM cu UNION ALL SELECT ticker, 'gross_reduction', date, 0.5 * p FROM cu), ec AS (SELECT *, product(1 + r) OVER (PARTITION BY ticker, approach ORDER BY date ROWS UNBOUNDED PRECEDING) AS e FROM lg),
+ed AS (SELECT *, e / max(e) OVER (PARTITION BY ticker, approach ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd, e / lag(e) OVER (PARTITION BY ticker, approach ORDER BY date) - 1 AS x FROM ec)
+SELECT ticker, approach, round_even((max_by(e, date) / min_by(e, date) - 1) * 100, 3) + 0.0 AS total_return_pct, round_even(coalesce((avg(x) - 0.04 / 252) / nullif(stddev_samp(x), 0) * sqrt(252), 0), 3) + 0.0 AS sharpe, round_even(min(dd) * 100, 3) + 0.0 AS max_drawdown_pct,
+round_even((power(max_by(e, date) / min_by(e, date), 252.0 / count(*)) - 1) * 100, 3) + 0.0 AS annualised_return_pct FROM ed GROUP BY ticker, approach HAVING count(*) >= 2""")
+def _(t):
+    bear = B.bear_days(t.bars.select("ticker", "date", F.col("close").alias("nav")), "ticker").select("ticker", "date", "nav")
+    return B.hedge_overlay(bear.join(t.market.select("date", F.col("close").alias("underlying")), "date"), "ticker")
+
+
+VAR = """va AS (SELECT * FROM (VALUES ('factor_only', -1), ('congress_lag7', 7), ('congress_lag14', 14), ('congress_lag30', 30), ('congress_lag45', 45)) AS v(variant, lag_limit)),
+vt AS (SELECT variant, fl.ticker, lab.entry_date, lab.exit_date FROM fl JOIN lab ON lab.ticker = fl.ticker AND lab.entry_date = fl.exec_date JOIN va ON fl.conviction >= 9 OR (fl.lag_days <= lag_limit AND NOT EXISTS (SELECT 1 FROM fl AS q WHERE q.conviction >= 9 AND q.date = fl.date AND q.ticker = fl.ticker))),
+vm AS (SELECT variant, ticker, date, sum(x) AS x FROM (SELECT variant, ticker, entry_date AS date, 1 AS x FROM vt UNION ALL SELECT variant, ticker, exit_date, -1 FROM vt) AS q GROUP BY 1, 2, 3),
+vg AS (SELECT k.variant, rt.ticker, rt.date, r, sum(coalesce(x, 0)) OVER (PARTITION BY k.variant, rt.ticker ORDER BY rt.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM (SELECT DISTINCT variant, ticker FROM vt) AS k JOIN rt ON rt.ticker = k.ticker LEFT JOIN vm ON vm.variant = k.variant AND vm.ticker = rt.ticker AND vm.date = rt.date),
+vr AS (SELECT variant, date, sum(n * r) / sum(n) AS ret FROM vg WHERE n > 0 AND r IS NOT NULL GROUP BY 1, 2), ve AS (SELECT variant, date, product(1 + ret) OVER (PARTITION BY variant ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM vr),
+vs AS (SELECT variant, nav, date, nav / lag(nav) OVER (PARTITION BY variant ORDER BY date) - 1 AS x FROM ve), vz AS (SELECT variant, round_even((max_by(nav, date) / min_by(nav, date) - 1) * 100, 2) + 0.0 AS total_return_pct, round_even((avg(x) - 0.04 / 252) / stddev_samp(x) * sqrt(252), 3) + 0.0 AS sharpe FROM vs GROUP BY variant)"""
+
+
+def edge_metrics(t: Tables):
+    """Baseline and lag variants: labels are made once and shared by all of them."""
+    filled = B.fill_dates(t.signals, calendar(t)).withColumn("entry_date", F.col("exec_date"))
+    labels = B.label_exits(t.bars, filled)
+    factor = filled.where("conviction >= 9").select("date", "ticker", "entry_date")
+    rest = filled.select("date", "ticker", "entry_date", "lag_days")
+    merged = D.merged_variants(factor, rest).select(F.concat(F.lit("congress_lag"), "max_lag").alias("variant"), "ticker", "entry_date")
+    every = merged.unionByName(factor.select(F.lit("factor_only").alias("variant"), "ticker", "entry_date"))
+    daily = B.open_trade_returns(t.bars, every.join(labels, ["ticker", "entry_date"]), ["variant"])
+    return M.metric_suite(B.compounded(daily, "variant").select("variant", "date", "nav"), "variant")
+
+
+@query("edge_study", "B14", f"WITH {FILL}, {EXITS}, {OPEN}, {VAR} SELECT variant, total_return_pct, sharpe FROM vz")
+def _(t):
+    return edge_metrics(t).select("variant", "total_return_pct", "sharpe")
+
+
+@query("edge_summary", "A36", f"""WITH {FILL}, {EXITS}, {OPEN}, {VAR}, d AS (SELECT v.variant, v.sharpe - b.sharpe AS g FROM vz AS v JOIN vz AS b ON b.variant = 'factor_only' WHERE v.variant <> 'factor_only')
+SELECT (SELECT variant FROM d ORDER BY g DESC, variant DESC LIMIT 1) AS best_variant, max(g) AS best_gain, max(g) > 0.05 AS keeps_edge FROM d""", r="best_gain")
+def _(t):
+    return B.edge_summary(edge_metrics(t))
+
+
+WRET = f"wb AS (SELECT window_id, test_start, test_end, m.date, m.close FROM win JOIN market AS m ON m.date BETWEEN test_start AND test_end)"
+
+
+@query("pooled_returns", "A31", f"""WITH {WIN}, wr AS (SELECT window_id, s.date, s.close / lag(s.close) OVER (PARTITION BY window_id ORDER BY s.date) - 1 AS ret FROM win JOIN (SELECT * FROM bars WHERE ticker = 'Brand#1') AS s ON s.date BETWEEN test_start AND test_end),
+o AS (SELECT date, min_by(ret, window_id) AS ret FROM wr WHERE ret IS NOT NULL GROUP BY date), b AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS bench_ret FROM market) SELECT o.date, ret, bench_ret FROM o JOIN b ON b.date = o.date WHERE bench_ret IS NOT NULL""", r="ret bench_ret", digits=8)
+def _(t):
+    rows = B.signals_in_windows(t.bars.where("ticker = 'Brand#1'"), windows(t))
+    rets = M.daily_returns(rows, "window_id", "close").where("ret IS NOT NULL")
+    bench = M.daily_returns(t.market, "market_id", "close").select("date", F.col("ret").alias("bench_ret"))
+    return B.pooled_returns(rets, bench).select("date", "ret", "bench_ret")
+
+
+@query("window_aggregate", "A27", f"""WITH {WIN}, {WRET}, e AS (SELECT window_id, max_by(close, date) / min_by(close, date) - 1 AS tr, count(*) AS n_bars FROM wb GROUP BY window_id) SELECT 'total_return_pct' AS metric, round_even(avg(round_even(tr * 100, 2)), 3) + 0.0 AS avg, round_even(min(round_even(tr * 100, 2)), 3) + 0.0 AS min, round_even(max(round_even(tr * 100, 2)), 3) + 0.0 AS max, count(*) AS n_windows FROM e""")
+def _(t):
+    rows = B.signals_in_windows(t.market.select("date", F.col("close").alias("nav")), windows(t))
+    suite = M.metric_suite(rows.select("window_id", "date", "nav"), "window_id")
+    return B.aggregate_windows(suite, ["total_return_pct"])
+
+
+@query("window_exposure", "A27 A9", f"""WITH {WIN}, r AS (SELECT window_id, regime_label FROM win JOIN regime_daily AS d ON d.date BETWEEN test_start AND test_end), s AS (SELECT window_id, regime_label, count(*) / sum(count(*)) OVER (PARTITION BY window_id) AS x FROM r GROUP BY 1, 2)
+SELECT regime_label, round_even(sum(x) / (SELECT count(*) FROM win), 4) + 0.0 AS avg_exposure FROM s GROUP BY regime_label""")
+def _(t):
+    return B.aggregate_exposure(t.regime_daily, windows(t))
+
+
+@query("window_excess", "A37", f"""WITH {WIN}, {WRET}, e AS (SELECT window_id, (max_by(close, date) / min_by(close, date) - 1) * 100 AS tr FROM wb GROUP BY window_id), f AS (SELECT window_id, tr * 1.5 AS s, tr AS b FROM e)
+SELECT count(*) AS n_windows, avg(s) AS avg_return_pct, avg(s - b) AS avg_excess_pct, 100000 * power(1 + avg(s) / 100, count(*)) AS implied_value FROM f""", r="avg_return_pct avg_excess_pct implied_value", digits=3)
+def _(t):
+    rows = B.signals_in_windows(t.market.select("date", F.col("close").alias("nav")), windows(t))
+    tr = M.equity_metrics(rows.select("window_id", "date", "nav"), "window_id").select("window_id", (F.col("total_return") * 100).alias("bench_return_pct"))
+    return B.window_excess(tr.select("window_id", (F.col("bench_return_pct") * 1.5).alias("total_return_pct")), tr)
+
+
+@query("walk_forward", "B15 A7 A8")
+def _(t):
+    """Every window at once: signals, regimes, sizes, fills, exits, daily returns, metrics, benchmarks."""
+    w = windows(t)
+    sized = B.enrich(B.with_regime(B.signals_in_windows(t.signals, w), states(t)), I.vol_pct_from_close(t.bars).select("ticker", "date", "vol_pct"))
+    filled = B.fill_dates(sized, calendar(t)).withColumn("exec_date", F.least("exec_date", "test_end"))
+    bars = B.signals_in_windows(t.bars.select("ticker", "date", "close"), w)
+    labels = B.label_exits(bars, filled, ["window_id", "ticker"])
+    done = filled.select("window_id", "ticker", F.col("exec_date").alias("entry_date"), "regime_label").join(labels, ["window_id", "ticker", "entry_date"])
+    equity = B.compounded(B.open_trade_returns(bars, done, ["window_id"]), "window_id").select("window_id", "date", "nav")
+    rets = done.select("window_id", (F.col("pnl_pct") / 100).alias("trade_return"), "entry_date", "exit_date")
+    out = M.metric_suite(equity, "window_id", rets, t.market.select("date", F.col("close").alias("nav")))
+    base = B.signals_in_windows(t.market.select("date", "close"), w)
+    hold = B.buy_and_hold(base, "window_id", slippage_bps=10.0, commission_pct=0.05)
+    hold = M.equity_metrics(hold.select("window_id", "date", "nav"), "window_id").select("window_id", F.bround(F.col("total_return") * 100, 2).alias("buy_and_hold_pct"))
+    return out.join(hold, "window_id")
