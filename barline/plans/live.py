@@ -1 +1,72 @@
-"""Queries."""
+"""Streaming queries, run with availableNow, and their batch twins."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from barline.plans.model import FILTER, FT, MODEL, MV, XS
+from barline.plans.registry import QUERIES, Tables, query
+from barline.plans.risk import TIGHT, nav_ticks
+from barline.streaming import stateful as P
+from barline.streaming import stateless as L
+from barline.streaming.run import available_now, land, landed
+
+
+def events(t: Tables):
+    return landed(t.spark, t.dir, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("stream_dedup", "M1", "SELECT DISTINCT user_id, event_type FROM events")
+def _(t):
+    return available_now(L.dedup(events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts")).select("user_id", "event_type")
+
+
+COUNTS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+
+
+@query("event_counts", "M7", COUNTS)
+def _(t):
+    rows = L.event_counts(t.events.withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("stream_event_counts", "M7", f"SELECT * FROM ({COUNTS}) AS q WHERE CAST(window_start AS TIMESTAMP) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def _(t):
+    return available_now(L.event_counts(events(t)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
+
+
+@query("stream_position_rules", "M3 M4", """WITH o AS (SELECT user_id, event_id, 50 + value AS v, first_value(50 + value) OVER w AS f, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+p AS (SELECT *, max(v) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pk FROM o),
+h AS (SELECT user_id, min(event_id) FILTER (WHERE n > 1 AND (pk - v) / pk * 100 >= 15) AS s, min(event_id) FILTER (WHERE n > 1 AND (v - f) / f * 100 >= 40) AS h, min(event_id) FILTER (WHERE n > 1 AND (v - f) / f * 100 >= 25) AS t FROM p GROUP BY user_id)
+SELECT user_id, least(s, h) AS seq, CASE WHEN s <= h OR h IS NULL THEN 'stop_loss' ELSE 'hard_exit' END AS action FROM h WHERE least(s, h) IS NOT NULL UNION ALL SELECT user_id, t, 'take_profit' FROM h WHERE t < coalesce(least(s, h), 9000000000000000)""")
+def _(t):
+    rows = events(t).select("user_id", F.col("event_id").alias("seq"), (50 + F.col("value")).alias("price"))
+    rules = P.PositionRules("user_id", "bigint")
+    return available_now(P.apply_state(rows, ["user_id"], rules, rules.schema)).select("user_id", "seq", "action")
+
+
+@query("stream_silent_days", "M6", """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), g AS (SELECT user_id, min(day) AS a, max(day) AS z FROM d GROUP BY user_id),
+a AS (SELECT user_id, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS silent_day FROM g) SELECT user_id, silent_day FROM a WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = a.user_id AND d.day = a.silent_day)""")
+def _(t):
+    rules = P.SilentDays("user_id", "bigint")
+    return available_now(P.apply_state(events(t).select("user_id", "ts"), ["user_id"], rules, rules.schema))
+
+
+@query("stream_circuit_breakers", "M5")
+def _(t):
+    folder = land(nav_ticks(t))
+    rules = P.BreakerRules("portfolio_id", TIGHT)
+    out = available_now(P.apply_state(landed(t.spark, folder), ["portfolio_id"], rules, rules.schema))
+    return out.select("portfolio_id", F.to_date("ts").alias("date"), (F.hour("ts") - 8).alias("tick"), "state")
+
+
+@query("stream_regime_filter", "M2", f"WITH {MV}, {FT}, {XS}, {FILTER} SELECT date, p0, p1, p2 FROM fw", r="p0 p1 p2", digits=6, recursive=True)
+def _(t):
+    folder = land(t.market.select("market_id", "date", "close"))
+    rules = P.RegimeFilter("market_id", MODEL)
+    return available_now(P.apply_state(landed(t.spark, folder), ["market_id"], rules, rules.schema)).select("date", "p0", "p1", "p2")
+
+
+# The stream must give what the batch twin gives: same check text.
+_twin = QUERIES["stream_circuit_breakers"]
+QUERIES["stream_circuit_breakers"] = type(_twin)(_twin.name, _twin.ids, _twin.run, QUERIES["circuit_breakers"].sql)
