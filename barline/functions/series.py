@@ -32,35 +32,34 @@ def so_far(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def ewm(df: DataFrame, value: str, out: str, alpha: float, key: str = "ticker", order: str = "date", block: int = 256) -> DataFrame:
-    """Recursive exponential mean seeded with the first value, without a recursion.
-
-    y[t] = (1-a) y[t-1] + a x[t] is linear, so a block of rows needs only its own
-    weighted sum plus the value carried in. Three earlier blocks are enough for the
-    carry: older ones weigh less than (1-a)**(3*block), far below one ulp for any
-    a >= 1/30. Rows with a null value before the first value stay null.
+def ewm(df: DataFrame, series: Sequence[tuple[str, str, float]], key: str = "ticker", order: str = "date", block: int = 256) -> DataFrame:
+    """Recursive exponential means seeded with the first value, without a recursion.
+
+    ``series`` lists (value column, output column, alpha). y[t] = (1-a) y[t-1] + a x[t] is
+    linear, so a block of rows needs only its own weighted sum plus the value carried in.
+    Three earlier blocks are enough for the carry: older ones weigh less than
+    (1-a)**(3*block), far below one ulp for any a >= 1/30. All series share the windows.
+    Leading nulls give null; a null later on counts as a missing zero step and is not expected.
     """
-    keep = 1.0 - alpha
     w = over(key, order)
-    n = F.count(value).over(so_far(w))
-    df = df.withColumn("_n", F.when(F.col(value).isNotNull(), n))
-    df = df.withColumn("_blk", F.floor((F.col("_n") - 1) / block)).withColumn("_pos", (F.col("_n") - 1) % block)
-    weight = F.when(F.col("_n") == 1, F.col(value)).otherwise(F.col(value) * alpha)
-    inner = Window.partitionBy(key, "_blk").orderBy(order)
-    df = df.withColumn(
-        "_loc", F.sum(weight * F.pow(F.lit(keep), -F.col("_pos").cast("double"))).over(so_far(inner))
-        * F.pow(F.lit(keep), F.col("_pos").cast("double"))
-    )
-    ends = Window.partitionBy(key).orderBy("_blk")
-    last = F.when(F.col("_pos") == block - 1, F.col("_loc"))
-
-    def carried(back: int) -> Column:
-        return F.coalesce(F.max(last).over(ends.rangeBetween(-back, -back)), F.lit(0.0))
-
-    step = keep ** block
-    df = df.withColumn(out, F.col("_loc") + F.pow(F.lit(keep), F.col("_pos") + 1.0)
-                       * (carried(1) + step * (carried(2) + step * carried(3))))
-    return df.drop("_n", "_blk", "_pos", "_loc")
+    inner, ends = Window.partitionBy(key, "_blk").orderBy(order), Window.partitionBy(key).orderBy("_blk")
+    df = df.withColumns({"_row": F.row_number().over(w) - 1, **{f"_n{i}": F.count(v).over(so_far(w)) for i, (v, _, _) in enumerate(series)}})
+    df = df.withColumns({"_blk": F.floor(F.col("_row") / block), "_pos": (F.col("_row") % block).cast("double")})
+
+    def local(i: int, value: str, alpha: float) -> Column:
+        share = F.when(F.col(f"_n{i}") == 1, F.col(value)).otherwise(F.col(value) * alpha)
+        grown = F.coalesce(share, F.lit(0.0)) * F.pow(F.lit(1.0 - alpha), -F.col("_pos"))
+        return F.sum(grown).over(so_far(inner)) * F.pow(F.lit(1.0 - alpha), F.col("_pos"))
+
+    def whole(i: int, alpha: float) -> Column:
+        last, step = F.when(F.col("_pos") == block - 1, F.col(f"_loc{i}")), (1.0 - alpha) ** block
+        carried = [F.coalesce(F.max(last).over(ends.rangeBetween(-b, -b)), F.lit(0.0)) for b in (1, 2, 3)]
+        carry = carried[0] + step * (carried[1] + step * carried[2])
+        return F.when(F.col(f"_n{i}") > 0, F.col(f"_loc{i}") + F.pow(F.lit(1.0 - alpha), F.col("_pos") + 1.0) * carry)
+
+    df = df.withColumns({f"_loc{i}": local(i, v, a) for i, (v, _, a) in enumerate(series)})
+    df = df.withColumns({out: whole(i, a) for i, (_, out, a) in enumerate(series)})
+    return df.drop("_row", "_blk", "_pos", *[f"_{c}{i}" for i in range(len(series)) for c in ("n", "loc")])
 
 
 def avg_tie_pct_rank(value: str, within: Sequence[str]) -> Column:

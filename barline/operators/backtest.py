@@ -160,15 +160,14 @@ def open_trade_returns(bars: DataFrame, trades: DataFrame, keys: Sequence[str] =
     summed over earlier bars. No row per trade and day is made.
     """
     keys = list(keys)
-    n = F.count(F.lit(1))
-    moves = trades.groupBy(*keys, "ticker", F.col("entry_date").alias("date")).agg(n.alias("_in")).join(
-        trades.groupBy(*keys, "ticker", F.col("exit_date").alias("date")).agg(n.alias("_out")), [*keys, "ticker", "date"], "full_outer")
+    step = F.explode(F.array(F.struct(F.col("entry_date").alias("date"), F.lit(1).alias("step")), F.struct(F.col("exit_date").alias("date"), F.lit(-1).alias("step"))))
+    moves = trades.select(*keys, "ticker", step.alias("_m")).groupBy(*keys, "ticker", "_m.date").agg(F.sum("_m.step").alias("_step"))
     ret = bars.select(*[k for k in keys if k in bars.columns], "ticker", "date", "close").withColumn("_r", F.try_divide("close", F.lag("close").over(
         Window.partitionBy(*[k for k in keys if k in bars.columns], "ticker").orderBy("date"))) - 1)
     scope = [k for k in keys if k not in bars.columns]
-    grid = ret if not scope else ret.join(trades.select(*scope, "ticker").distinct(), "ticker")
+    grid = ret if not scope else ret.join(moves.select(*scope, "ticker").distinct(), "ticker")
     rows = grid.join(moves, [*keys, "ticker", "date"], "left")
-    step = F.coalesce("_in", F.lit(0)) - F.coalesce("_out", F.lit(0))
+    step = F.coalesce("_step", F.lit(0))
     earlier = Window.partitionBy(*keys, "ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_n", F.coalesce(F.sum(step).over(earlier), F.lit(0))).where("_n > 0 AND _r IS NOT NULL")
     return rows.groupBy(*keys, "date").agg((F.sum(F.col("_n") * F.col("_r")) / F.sum("_n")).alias("ret"), F.sum("_n").alias("n_open"))

@@ -55,25 +55,46 @@ def momentum_12m_1m(df: DataFrame) -> DataFrame:
     return df.withColumn("ret_12m_1m", S.ratio_or(near - far, far, 0.0) * 100)
 
 
-def rsi(df: DataFrame, window: int = 14) -> DataFrame:
-    """Wilder smoothing; no losses gives 100, no movement at all gives 50."""
-    move = F.col("close") - back("close", 1)
-    df = df.withColumns({"_up": F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))),
-                         "_down": F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0)))})
-    df = ewm(ewm(df, "_up", "_gain", 1.0 / window), "_down", "_loss", 1.0 / window)
-    value = (
+def moves(df: DataFrame) -> DataFrame:
+    step = F.col("close") - back("close", 1)
+    return df.withColumns({"_up": F.when(step.isNotNull(), F.greatest(step, F.lit(0.0))), "_down": F.when(step.isNotNull(), F.greatest(-step, F.lit(0.0)))})
+
+
+def rsi_value() -> Column:
+    """No losses gives 100, no movement at all gives 50."""
+    return (
         F.when((F.col("_loss") == 0) & (F.col("_gain") == 0), 50.0)
         .when(F.col("_loss") == 0, 100.0)
         .otherwise(100.0 - 100.0 / (1.0 + F.try_divide(F.col("_gain"), F.col("_loss"))))
     )
-    return df.withColumn("rsi", value).drop("_up", "_down", "_gain", "_loss")
+
+
+def wilder(window: int = 14) -> list[tuple[str, str, float]]:
+    return [("_up", "_gain", 1.0 / window), ("_down", "_loss", 1.0 / window)]
+
+
+def spans(fast: int = 12, slow: int = 26) -> list[tuple[str, str, float]]:
+    return [("close", "_fast", 2.0 / (fast + 1)), ("close", "_slow", 2.0 / (slow + 1))]
+
+
+def rsi(df: DataFrame, window: int = 14) -> DataFrame:
+    """Wilder-smoothed relative strength index."""
+    return ewm(moves(df), wilder(window)).withColumn("rsi", rsi_value()).drop("_up", "_down", "_gain", "_loss")
+
+
+def signal_line(df: DataFrame, signal: int = 9) -> DataFrame:
+    df = ewm(df.withColumn("macd", F.col("_fast") - F.col("_slow")), [("macd", "macd_signal", 2.0 / (signal + 1))])
+    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("_fast", "_slow")
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm(ewm(df, "close", "_fast", 2.0 / (fast + 1)), "close", "_slow", 2.0 / (slow + 1))
-    df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
-    df = ewm(df, "macd", "macd_signal", 2.0 / (signal + 1))
-    return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return signal_line(ewm(df, spans(fast, slow)), signal)
+
+
+def oscillators(df: DataFrame) -> DataFrame:
+    """RSI and MACD together: their four smoothed series share one set of windows."""
+    df = ewm(moves(df), [*wilder(), *spans()]).withColumn("rsi", rsi_value())
+    return signal_line(df).drop("_up", "_down", "_gain", "_loss")
 
 
 def macd_state(df: DataFrame) -> DataFrame:
@@ -316,7 +337,7 @@ def snapshot(bars: DataFrame, market: DataFrame, sectors: DataFrame | None = Non
     df = df.withColumns({f"sma{n}_known": F.coalesce(f"sma{n}", "close") for n in (20, 50, 200)})
     df = sma_slope(df)
     df = momentum_12m_1m(pct_returns(df, ret_1m=22, ret_3m=65, ret_6m=130))
-    df = macd_state(macd(rsi(df)))
+    df = macd_state(oscillators(df))
     df = bollinger(atr_pct(df))
     df = volume_confirms(rel_volume(obv_trend(obv(df))))
     df = extremes_52w(df)

@@ -165,17 +165,29 @@ def score(decoded: DataFrame, key: str = "market_id") -> DataFrame:
     return decoded.groupBy(key).agg(F.max_by("log_likelihood", "date").alias("log_likelihood"), F.count(F.lit(1)).alias("n_obs"))
 
 
-def _statistics(x: np.ndarray, m: Model) -> tuple:
-    """Expected counts of one sequence under the model (the E step)."""
-    e = -0.5 * (x.shape[1] * math.log(2 * math.pi) + np.log(m.vars).sum(1)[None, :] + ((x[:, None, :] - m.means[None]) ** 2 / m.vars[None]).sum(2))
-    a, b, lt = forward(e, m), backward(e, m), np.log(m.trans + TINY)
-    z = float(_lse(a[-1], 0))
-    g = np.exp(np.clip(a + b - z, -500, 0))
-    xi = np.zeros((m.k, m.k))
-    for t in range(len(x) - 1):
-        step = a[t][:, None] + lt + (e[t + 1] + b[t + 1])[None, :]
-        xi += np.exp(step - _lse(step.reshape(-1), 0))
-    return z, g[0], xi, g[:-1].sum(0), g.sum(0), g.T @ x, g.T @ (x * x)
+def expected_counts(x: np.ndarray, models: Sequence[Model]) -> list[np.ndarray]:
+    """Expected counts of one sequence under each model (the E step).
+
+    The recursion runs once along the sequence for all models together.
+    """
+    mean, var = np.stack([m.means for m in models]), np.stack([m.vars for m in models])
+    lt = np.log(np.stack([m.trans for m in models]) + TINY)
+    e = -0.5 * (x.shape[1] * math.log(2 * math.pi) + np.log(var).sum(2)[None] + ((x[:, None, None, :] - mean[None]) ** 2 / var[None]).sum(3))
+    a, b = np.empty_like(e), np.zeros_like(e)
+    a[0] = np.log(np.stack([m.start for m in models]) + TINY) + e[0]
+    for t in range(1, len(x)):
+        a[t] = _lse(a[t - 1][:, :, None] + lt, 1) + e[t]
+    for t in range(len(x) - 2, -1, -1):
+        b[t] = _lse(lt + (e[t + 1] + b[t + 1])[:, None, :], 2)
+    z = _lse(a[-1], 1)
+    g = np.exp(np.clip(a + b - z[None, :, None], -500, 0))
+    step = a[:-1][..., None] + lt[None] + (e[1:] + b[1:])[:, :, None, :]
+    norm = _lse(step.reshape(*step.shape[:2], -1), 2)
+    xi = np.exp(step - norm[..., None, None]).sum(0)
+    return [
+        np.concatenate([[z[r]], g[0, r], xi[r].ravel(), g[:-1, r].sum(0), g[:, r].sum(0), (g[:, r].T @ x).ravel(), (g[:, r].T @ (x * x)).ravel()])
+        for r in range(len(models))
+    ]
 
 
 def fit_model(rows: DataFrame, names: Sequence[str], k: int, key: str = "market_id", iterations: int = 100, restarts: int = 5, seed: int = 42, tol: float = 1e-4) -> tuple[Model, float]:
@@ -185,7 +197,8 @@ def fit_model(rows: DataFrame, names: Sequence[str], k: int, key: str = "market_
     them up; only those sums reach the driver. All restarts share a pass over the data.
     """
     d, names = len(names), list(names)
-    data = cut_lineage(rows.select(key, "date", F.array(*names).alias("x")))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    data = cut_lineage(rows.select(key, "date", F.array(*names).alias("x")).repartition(tasks, key))
     spread = np.array([row["v"] for row in data.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v")).orderBy("i").collect()])
     models, done, likelihood = {}, {}, {}
     for r in range(max(1, restarts)):
@@ -200,8 +213,7 @@ def fit_model(rows: DataFrame, names: Sequence[str], k: int, key: str = "market_
 
         def expect(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.stack(pdf.sort_values("date")["x"].to_numpy())
-            out = [(r, np.concatenate([np.atleast_1d(np.asarray(v, dtype=float)).ravel() for v in _statistics(x, m)])) for r, m in live.items()]
-            return pd.DataFrame({"restart": [r for r, _ in out], "stats": [s for _, s in out]})
+            return pd.DataFrame({"restart": list(live), "stats": expected_counts(x, list(live.values()))})
 
         sums = data.groupBy(key).applyInPandas(expect, "restart int, stats array<double>").groupBy("restart").agg(
             F.array(*[F.sum(F.col("stats")[i]) for i in range(size)]).alias("s"), F.count(F.lit(1)).alias("n")).collect()

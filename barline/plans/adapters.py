@@ -114,32 +114,22 @@ SELECT text AS headline, source AS ticker, CAST(CAST(DATE '2024-01-01' + CAST(do
 FROM labels JOIN documents ON labels.doc_id = documents.doc_id""",
 }
 
-_WORD = {name: re.compile(rf"\b{name}\b") for name in list(ADAPTERS) + BASE}
+def mentions(text: str, name: str) -> bool:
+    return re.search(rf"(FROM|JOIN)\s+{name}\b", text) is not None
 
 
 def needed(text: str, skip: tuple[str, ...] = ()) -> list[str]:
-    """Adapters the text mentions, with what they need, in definition order."""
-    todo, seen = [text], set()
-    while todo:
-        body = todo.pop()
-        for name in ADAPTERS:
-            if name not in seen and name not in skip and re.search(rf"(FROM|JOIN)\s+{name}\b", body):
-                seen.add(name)
-                todo.append(ADAPTERS[name])
-    order, done = [], set()
+    """Adapters the text mentions, each after the ones it builds on."""
+    order: list[str] = []
 
-    def visit(name: str) -> None:
-        if name in done:
-            return
-        done.add(name)
-        for dep in ADAPTERS:
-            if dep != name and re.search(rf"(FROM|JOIN)\s+{dep}\b", ADAPTERS[name]):
-                visit(dep)
-        order.append(name)
+    def visit(body: str) -> None:
+        for name in ADAPTERS:
+            if name not in order and name not in skip and mentions(body, name):
+                visit(ADAPTERS[name])
+                if name not in order:
+                    order.append(name)
 
-    for name in ADAPTERS:
-        if name in seen:
-            visit(name)
+    visit(text)
     return order
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from barline.plans.model import FILTER, FT, MODEL, MV, XS
 from barline.plans.registry import QUERIES, Tables, query
 from barline.plans.risk import TIGHT, nav_ticks
+from barline.session import land
 from barline.streaming import stateful as P
 from barline.streaming import stateless as L
-from barline.streaming.run import available_now, land, landed
+from barline.streaming.run import available_now, landed
 
 
 def events(t: Tables):

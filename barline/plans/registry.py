@@ -10,6 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.plans.adapters import ADAPTERS, BASE, needed, with_adapters
+from barline.session import land
+
+
+# Derived panels that operators expect as landed files: a plan then scans the few columns
+# it needs instead of deriving the panel again at every mention.
+LANDED = {"bars": ["ticker", "date"], "market": ["date"], "regime_daily": ["date"]}
+_landed: dict[tuple[str, str, str], str] = {}
 
 
 class Tables:
@@ -32,12 +39,24 @@ class Tables:
         return self._cache[name]
 
     def _adapter(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if name in LANDED and key in _landed:
+            return self.spark.read.parquet(_landed[key])
+        df = self._derive(name)
+        if name not in LANDED:
+            return df
+        _landed[key] = land(df, LANDED[name])
+        return self.spark.read.parquet(_landed[key])
+
+    def _derive(self, name: str) -> DataFrame:
+        """Spark SQL of the adapter over the driver tables and landed panels."""
         body = ADAPTERS[name]
-        parts = [n for n in needed(f"FROM {name} ") if n != name]
+        stop = tuple(n for n in LANDED if n != name)
+        parts = [n for n in needed(f"FROM {name} ", stop) if n != name]
         text = "".join(
             ("WITH " if i == 0 else ", ") + f"{n} AS ({ADAPTERS[n]})" for i, n in enumerate(parts)
         ) + body
-        used = {b: getattr(self, b) for b in BASE if re.search(rf"(FROM|JOIN)\s+{b}\b", text)}
+        used = {b: getattr(self, b) for b in [*BASE, *stop] if re.search(rf"(FROM|JOIN)\s+{b}\b", text)}
         for b in used:
             text = re.sub(rf"((?:FROM|JOIN)\s+){b}\b", rf"\1{{{b}}} AS {b}", text)
         return self.spark.sql(text, **used)

@@ -10,6 +10,7 @@ from barline.operators import indicators as I
 from barline.operators import metrics as M
 from barline.operators import regime as G
 from barline.plans.registry import Tables, query
+from barline.session import cut_lineage
 
 WIN = """sp AS (SELECT min(date) AS a, max(date) AS z FROM market), w0 AS (SELECT a, z, unnest(range(0, 40)) AS window_id FROM sp), w1 AS (SELECT *, CAST(a + to_months(CAST(window_id * 3 AS INT)) AS DATE) AS train_start FROM w0),
 w2 AS (SELECT *, CAST(train_start + to_months(36) AS DATE) AS train_end, CAST(CAST(train_start + to_months(36) AS DATE) + 1 AS DATE) AS ts FROM w1), w3 AS (SELECT *, CAST(ts + to_months(6) AS DATE) AS te FROM w2 WHERE CAST(ts + to_months(6) AS DATE) <= z),
@@ -223,13 +224,14 @@ def _(t):
 @query("walk_forward", "B15 A7 A8")
 def _(t):
     """Every window at once: signals, regimes, sizes, fills, exits, daily returns, metrics, benchmarks."""
-    w = windows(t)
+    w = cut_lineage(windows(t))
     sized = B.enrich(B.with_regime(B.signals_in_windows(t.signals, w), states(t)), I.vol_pct_from_close(t.bars).select("ticker", "date", "vol_pct"))
-    filled = B.fill_dates(sized, calendar(t)).withColumn("exec_date", F.least("exec_date", "test_end"))
+    filled = cut_lineage(B.fill_dates(sized, calendar(t)).withColumn("exec_date", F.least("exec_date", "test_end")))
     bars = B.signals_in_windows(t.bars.select("ticker", "date", "close"), w)
     labels = B.label_exits(bars, filled, ["window_id", "ticker"])
     done = filled.select("window_id", "ticker", F.col("exec_date").alias("entry_date"), "regime_label").join(labels, ["window_id", "ticker", "entry_date"])
-    equity = B.compounded(B.open_trade_returns(bars, done, ["window_id"]), "window_id").select("window_id", "date", "nav")
+    done = cut_lineage(done)  # three branches below start from the labelled trades
+    equity = cut_lineage(B.compounded(B.open_trade_returns(bars, done, ["window_id"]), "window_id").select("window_id", "date", "nav"))
     rets = done.select("window_id", (F.col("pnl_pct") / 100).alias("trade_return"), "entry_date", "exit_date")
     out = M.metric_suite(equity, "window_id", rets, t.market.select("date", F.col("close").alias("nav")))
     base = B.signals_in_windows(t.market.select("date", "close"), w)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -48,3 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(checkpoint_root(spark))
     return df.checkpoint()
+
+
+def land(df: DataFrame, keys: list[str] | None = None) -> str:
+    """Write a frame to a new folder under the shared checkpoint folder; returns the path.
+
+    ``keys`` sorts rows inside each file, so that row-group statistics can skip.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/landed/{uuid.uuid4().hex}"
+    (df.sortWithinPartitions(*keys) if keys else df).write.parquet(path)
+    return path

@@ -16,13 +16,6 @@ def landed(spark: SparkSession, folder: str, name: str | None = None, schema=Non
     return (reader.option("pathGlobFilter", name) if name else reader).parquet(folder)
 
 
-def land(df: DataFrame) -> str:
-    """Write a frame to a new shared folder, as a landing zone for a stream."""
-    path = f"{checkpoint_root(df.sparkSession)}/landed/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
-
-
 def available_now(stream: DataFrame) -> DataFrame:
     """Process what is there with an append sink, and return what was written."""
     spark = stream.sparkSession

@@ -130,7 +130,7 @@ class SilentDays(StatefulProcessor):
         days = sorted(set(pd.to_datetime(ordered(rows, "ts")["ts"]).dt.normalize()) | set(seen))
         gaps = [d.date() for a, b in zip(days, days[1:]) for d in pd.date_range(a, b, inclusive="neither")]
         self.state.update((str(days[-1].date()),))
-        yield pd.DataFrame({self.key: [key[0]] * len(gaps), "silent_day": gaps})
+        yield pd.DataFrame({self.key: [key[0]] * len(gaps), "silent_day": pd.Series(gaps, dtype=object)})
 
     def close(self) -> None:
         pass
