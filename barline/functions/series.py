@@ -90,3 +90,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
         .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
         .select(*keys, "_row.*")
     )
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Place rows by key for a grouped function, keeping the session's number of tasks.
+
+    Adaptive execution merges small shuffle partitions by bytes; a grouped Python function
+    costs far more per byte than that assumes, and would end up in one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

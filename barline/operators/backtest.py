@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from barline import config as cfg
 from barline.functions import scalars as S
-from barline.functions.series import full, over, so_far
+from barline.functions.series import full, over, so_far, spread
 from barline.operators import metrics as M
 from barline.operators.joins import asof_join, range_join
 
@@ -147,7 +147,7 @@ def label_exits(bars: DataFrame, entries: DataFrame, keys: Sequence[str] = ("tic
             "exit_reason": why, "take_profit_date": np.where(half >= 0, day[half], None)}
         return pd.DataFrame(out, columns=[f.name for f in fields])
 
-    out = rows.groupBy(*keys).applyInPandas(walk, T.StructType(fields))
+    out = spread(rows, keys).groupBy(*keys).applyInPandas(walk, T.StructType(fields))
     pnl = (F.col("exit_price") * (1 - rules.commission_pct / 100) / F.col("entry_price") - 1) * 100
     return out.withColumn("pnl_pct", pnl)
 

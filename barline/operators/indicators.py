@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barline import config as cfg
 from barline.functions import scalars as S
-from barline.functions.series import ewm, full, over, so_far, trailing
+from barline.functions.series import ewm, full, over, so_far, spread, trailing
 
 
 def by_bar() -> WindowSpec:
@@ -333,7 +333,7 @@ def snapshot(bars: DataFrame, market: DataFrame, sectors: DataFrame | None = Non
             sector_bars.select("sector", "date", F.col("close").alias("_sec")), ["sector", "date"], "left")
     else:
         df = df.withColumn("_sec", F.lit(None).cast("double"))
-    df = sma(df, 20, 50, 200)
+    df = sma(spread(df, ["ticker"]), 20, 50, 200)
     df = df.withColumns({f"sma{n}_known": F.coalesce(f"sma{n}", "close") for n in (20, 50, 200)})
     df = sma_slope(df)
     df = momentum_12m_1m(pct_returns(df, ret_1m=22, ret_3m=65, ret_6m=130))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline import config as cfg
-from barline.functions.series import full, over, trailing
+from barline.functions.series import full, over, spread, trailing
 from barline.session import cut_lineage
 
 TINY = 1e-300
@@ -157,7 +157,7 @@ def decode(rows: DataFrame, model: Model, key: str = "market_id", emission: str
             "path": best_path(e, model), "log_likelihood": ll})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "date", emission).groupBy(key).applyInPandas(
+    return spread(rows.select(key, "date", emission), [key]).groupBy(key).applyInPandas(
         run, f"{key} {kind}, date date, filtered array<double>, smoothed array<double>, path int, log_likelihood double")
 
 
@@ -197,8 +197,7 @@ def fit_model(rows: DataFrame, names: Sequence[str], k: int, key: str = "market_
     them up; only those sums reach the driver. All restarts share a pass over the data.
     """
     d, names = len(names), list(names)
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    data = cut_lineage(rows.select(key, "date", F.array(*names).alias("x")).repartition(tasks, key))
+    data = cut_lineage(spread(rows.select(key, "date", F.array(*names).alias("x")), [key]))
     spread = np.array([row["v"] for row in data.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v")).orderBy("i").collect()])
     models, done, likelihood = {}, {}, {}
     for r in range(max(1, restarts)):
