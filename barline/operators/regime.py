@@ -198,11 +198,11 @@ def fit_model(rows: DataFrame, names: Sequence[str], k: int, key: str = "market_
     """
     d, names = len(names), list(names)
     data = cut_lineage(spread(rows.select(key, "date", F.array(*names).alias("x")), [key]))
-    spread = np.array([row["v"] for row in data.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v")).orderBy("i").collect()])
+    variance = np.array([row["v"] for row in data.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v")).orderBy("i").collect()])
     models, done, likelihood = {}, {}, {}
     for r in range(max(1, restarts)):
         picked = data.orderBy(F.xxhash64(F.lit(seed + r), F.col(key).cast("string"), F.col("date").cast("string"))).limit(k).select("x").collect()
-        models[r] = Model(np.full(k, 1 / k), np.full((k, k), 1 / k), np.array([p["x"] for p in picked]), np.tile(spread + 1e-6, (k, 1)))
+        models[r] = Model(np.full(k, 1 / k), np.full((k, k), 1 / k), np.array([p["x"] for p in picked]), np.tile(variance + 1e-6, (k, 1)))
         likelihood[r], done[r] = -np.inf, False
     size = 1 + k + k * k + 2 * k + 2 * k * d
     for _ in range(iterations):
