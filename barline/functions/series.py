@@ -62,6 +62,35 @@ def ewm(df: DataFrame, series: Sequence[tuple[str, str, float]], key: str = "tic
     return df.drop("_row", "_blk", "_pos", *[f"_{c}{i}" for i in range(len(series)) for c in ("n", "loc")])
 
 
+def rolling_means(df: DataFrame, value: str, sizes: dict[str, int], key: str = "ticker", order: str = "date") -> DataFrame:
+    """Means over the last n rows from one running sum; null until n rows are there.
+
+    A sliding frame adds up its n rows again for every row; a difference of running sums
+    costs the same for any n. ``value`` must not be null.
+    """
+    w = over(key, order)
+    df = df.withColumns({"_sum": F.sum(value).over(so_far(w)), "_row": F.row_number().over(w)})
+    part = lambda n: (F.col("_sum") - F.coalesce(F.lag("_sum", n).over(w), F.lit(0.0))) / n
+    return df.withColumns({out: F.when(F.col("_row") >= n, part(n)) for out, n in sizes.items()}).drop("_sum", "_row")
+
+
+def rolling_extremes(df: DataFrame, value: str, rows: int, high: str, low: str, key: str = "ticker", order: str = "date") -> DataFrame:
+    """Greatest and least value of the last ``rows`` rows (fewer at the start).
+
+    Rows are cut into blocks of that length. A frame covers the end of one block and the
+    start of the next, so two running extremes per block, one from each side, give it in
+    constant work per row.
+    """
+    w = over(key, order)
+    df = df.withColumn("_blk", F.floor((F.row_number().over(w) - 1) / rows))
+    ahead, behind = Window.partitionBy(key, "_blk").orderBy(order), Window.partitionBy(key, "_blk").orderBy(F.col(order).desc())
+    df = df.withColumns({"_ah": F.max(value).over(so_far(ahead)), "_al": F.min(value).over(so_far(ahead))})
+    df = df.withColumns({"_bh": F.max(value).over(so_far(behind)), "_bl": F.min(value).over(so_far(behind))})
+    return df.withColumns({
+        high: F.greatest("_ah", F.lag("_bh", rows - 1).over(w)), low: F.least("_al", F.lag("_bl", rows - 1).over(w)),
+    }).drop("_blk", "_ah", "_al", "_bh", "_bl")
+
+
 def avg_tie_pct_rank(value: str, within: Sequence[str]) -> Column:
     """Percentile rank with average ties over the non-null values; null stays null."""
     w = Window.partitionBy(*within).orderBy(F.col(value).asc_nulls_last())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barline import config as cfg
 from barline.functions import scalars as S
-from barline.functions.series import ewm, full, over, so_far, spread, trailing
+from barline.functions.series import ewm, full, over, rolling_extremes, rolling_means, so_far, spread, trailing
 
 
 def by_bar() -> WindowSpec:
@@ -34,7 +34,7 @@ def bar_number() -> Column:
 
 
 def sma(df: DataFrame, *sizes: int) -> DataFrame:
-    return df.withColumns({f"sma{n}": full(F.col("close"), by_bar(), n, F.avg) for n in sizes})
+    return rolling_means(df, "close", {f"sma{n}": n for n in sizes})
 
 
 def sma_slope(df: DataFrame, size: int = 200, lookback: int = 20) -> DataFrame:
@@ -233,9 +233,9 @@ def weekly_trend(df: DataFrame, weeks: int = 30, back_points: int = 4) -> DataFr
 
 
 def extremes_52w(df: DataFrame) -> DataFrame:
-    high, low = F.max("close").over(trailing(by_bar(), 252)), F.min("close").over(trailing(by_bar(), 252))
-    c = F.col("close")
-    return df.withColumns({"dist_high_pct": S.ratio_or(c - high, high, 0.0) * 100, "dist_low_pct": S.ratio_or(c - low, low, 0.0) * 100})
+    df = rolling_extremes(df, "close", 252, "_hi", "_lo")
+    c, high, low = F.col("close"), F.col("_hi"), F.col("_lo")
+    return df.withColumns({"dist_high_pct": S.ratio_or(c - high, high, 0.0) * 100, "dist_low_pct": S.ratio_or(c - low, low, 0.0) * 100}).drop("_hi", "_lo")
 
 
 def relative_strength(df: DataFrame, bench: str, **windows: int) -> DataFrame:
@@ -291,8 +291,7 @@ def vol_pct_from_close(df: DataFrame, window: int = 14, fallback: float = 1.0) -
 
 def ma_conviction_delta(df: DataFrame, price: str) -> DataFrame:
     """-2 at or below the 200-bar mean, -1 at or below the 50-bar mean, +1 in an uptrend."""
-    m50, m200 = full(F.col("close"), by_bar(), 50, F.avg), full(F.col("close"), by_bar(), 200, F.avg)
-    df = df.withColumns({"_m50": m50, "_m200": m200})
+    df = rolling_means(df, "close", {"_m50": 50, "_m200": 200})
     p = F.col(price)
     delta = (
         F.when(F.col("_m200").isNull(), 0).when(p <= F.col("_m200"), -2).when(p <= F.col("_m50"), -1)

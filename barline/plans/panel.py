@@ -224,7 +224,7 @@ def _(t):
 
 
 SECTOR_BARS = "sb AS (SELECT sector, date, round_even(exp(avg(ln(close))), 4) AS sc FROM bars JOIN sectors USING (ticker) WHERE sector <> 'Gardening' GROUP BY sector, date)"
-SNAP_R = ("last_close dist_to_52w_high_pct dist_to_52w_low_pct sma20 sma50 sma200 sma200_slope_pct_20d price_vs_sma20_pct price_vs_sma50_pct ret_1m_pct ret_3m_pct ret_6m_pct "
+SNAP_R = ("last_close dist_to_52w_high_pct dist_to_52w_low_pct sma200_slope_pct_20d price_vs_sma20_pct price_vs_sma50_pct ret_1m_pct ret_3m_pct ret_6m_pct "
           "ret_12m_1m_pct tsmom_composite rsi14 macd_hist atr_pct atr_pct_percentile_1y bb_percent_b bb_bandwidth_percentile_1y rel_volume_20d rs_vs_spy_3m_pct rs_vs_spy_6m_pct "
           "rs_vs_sector_3m_pct nearest_support nearest_resistance dist_to_support_pct dist_to_resistance_pct fib_382 fib_500 fib_618 anchored_vwap_from_low")
 SNAP = f"""WITH {BASIC}, {EWM}, {PIV}, {WEEK}, {VWAP}, {SLOPE}, {BOLL}, {BWP}, {OBV}, {SECTOR_BARS},
@@ -241,7 +241,7 @@ s1 AS (SELECT ticker, date, {ret(65)} - {ret(65, 'bc')} AS x3 FROM sj), s2 AS (S
 os AS (SELECT ticker, date, rsi, macd_hist, {STATE} AS macd_state FROM osc), oz AS (SELECT ticker, date, {TREND} AS obv_trend FROM ob),
 e AS (SELECT *, coalesce(sma20, close) AS k20, coalesce(sma50, close) AS k50, coalesce(sma200, close) AS k200 FROM a WHERE p = 1)
 SELECT e.ticker, e.date AS as_of, e.close AS last_close, htf_trend, e.close > k200 AS htf_above_200d, (e.close - hi) / hi * 100 AS dist_to_52w_high_pct, (e.close - lo) / lo * 100 AS dist_to_52w_low_pct,
- k20 AS sma20, k50 AS sma50, k200 AS sma200, CASE WHEN k20 > k50 AND k50 > k200 THEN 'bullish' WHEN k20 < k50 AND k50 < k200 THEN 'bearish' ELSE 'mixed' END AS ma_alignment,
+ round_even(k20, 8) + 0.0 AS sma20, round_even(k50, 8) + 0.0 AS sma50, round_even(k200, 8) + 0.0 AS sma200, CASE WHEN k20 > k50 AND k50 > k200 THEN 'bullish' WHEN k20 < k50 AND k50 < k200 THEN 'bearish' ELSE 'mixed' END AS ma_alignment,
  sl AS sma200_slope_pct_20d, (e.close - k20) / k20 * 100 AS price_vs_sma20_pct, (e.close - k50) / k50 * 100 AS price_vs_sma50_pct, market_structure, r1 AS ret_1m_pct, r3 AS ret_3m_pct, r6 AS ret_6m_pct,
  r12 AS ret_12m_1m_pct, greatest(-1.0, least(1.0, (r1 + r3 + r12) / 300)) AS tsmom_composite, os.rsi AS rsi14, CASE WHEN os.rsi >= 70 THEN 'overbought' WHEN os.rsi <= 30 THEN 'oversold' ELSE 'neutral' END AS rsi_regime,
  rsi_divergence, os.macd_hist, os.macd_state, asz AS atr_pct, app AS atr_pct_percentile_1y, coalesce((e.close - (bl.mid - 2 * bl.sd)) / nullif(4 * bl.sd, 0), 0.5) AS bb_percent_b, bp.percentile AS bb_bandwidth_percentile_1y,
@@ -257,4 +257,6 @@ def _(t):
     sector = t.bars.join(t.sectors, "ticker").where("sector <> 'Gardening'").groupBy("sector", "date").agg(F.bround(F.exp(F.avg(F.log("close"))), 4).alias("close"))
     snap = I.snapshot(t.bars, t.market, t.sectors, sector)
     fib = {f"fib_{n}": F.col("fib_levels")[k] for n, k in (("382", "38.2"), ("500", "50.0"), ("618", "61.8"))}
-    return snap.withColumns(fib).drop("fib_levels")
+    # Averages of four-digit prices lie on a grid: eight digits recover it without ties.
+    grid = {c: F.bround(c, 8) for c in ("sma20", "sma50", "sma200")}
+    return snap.withColumns(fib | grid).drop("fib_levels")

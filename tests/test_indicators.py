@@ -72,3 +72,14 @@ def test_snapshot_has_one_complete_row(series, walk):
     assert got["A"]["rs_vs_spy_3m_pct"] == pytest.approx(0.0) and got["A"]["rs_vs_sector_3m_pct"] is None
     assert set(got["A"]["fib_levels"]) == {"38.2", "50.0", "61.8"}
     assert got["A"]["rsi14"] == pytest.approx(I.rsi(bars.where("ticker = 'A'")).orderBy(F.desc("date")).first()["rsi"])
+
+
+def test_rolling_means_and_extremes_equal_pandas(series, walk):
+    from barline.functions.series import rolling_extremes, rolling_means
+
+    df = rolling_means(series(A=walk[:700], B=walk[700:720]), "close", {"m": 20})
+    got = rolling_extremes(df, "close", 252, "hi", "lo").orderBy("ticker", "date").toPandas()
+    for name, part in got.groupby("ticker"):
+        c = part["close"]
+        assert np.allclose(part["m"], c.rolling(20).mean(), rtol=1e-12, equal_nan=True), name
+        assert (part["hi"] == c.rolling(252, min_periods=1).max()).all() and (part["lo"] == c.rolling(252, min_periods=1).min()).all()
