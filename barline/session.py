@@ -18,8 +18,6 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "barline
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
-        # Window chains cost far more per byte than AQE assumes: keep small partitions apart.
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
