@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from barline.llm import bpe, counts, packing, tokenfile
+from barline.llm import bpe, counts, packing, tokenfile, urls
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -49,3 +49,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokenfile.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), 49_408)
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
