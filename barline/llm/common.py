@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barline.session import checkpoint_root
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 19
 
 
 def land(df: DataFrame, *partition_by: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import Window
 from barline.llm.common import cuts, land, slim, text_batches
 from barline.llm.vocab import merging
 
-RANK_GROUP = 50_000
+RANK_GROUP = 4_000
 
 
 def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,11 +105,13 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return runs, bins
 
 
-def ranked(df: DataFrame, n: int) -> DataFrame:
+def ranked(df: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """``rank`` from 0 within length. Rows of one length are dealt by a hash into buckets of
-    about ``RANK_GROUP`` rows; the buckets' counts give each bucket its first rank."""
-    buckets = max(1, n // RANK_GROUP)
-    df = df.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(buckets)))
+    about ``RANK_GROUP`` rows, as many as the length needs; the buckets' counts give each
+    bucket its first rank."""
+    parts = df.sparkSession.createDataFrame([(n, -(-c // RANK_GROUP)) for n, c in histogram.items()], "length long, parts long")
+    df = df.join(F.broadcast(parts), "length")
+    df = df.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "crc"), F.col("parts"))).drop("parts")
     counts = df.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -131,7 +133,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = plan(histogram, capacity)
     slots = spark.createDataFrame(runs, "length long, low long, high long, each long, bin long, at long")
-    df, p = ranked(cut, sum(histogram.values())), F.broadcast(slots)
+    df, p = ranked(cut, histogram), F.broadcast(slots)
     df = df.join(p, "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     step = F.col("rank") - F.col("low")
     return df.withColumns({

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from barline.llm import bpe, counts, packing, tokenfile, urls
+from barline.llm import bpe, counts, covertree, packing, tokenfile, topk, urls
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -54,3 +54,16 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = covertree.near_vectors(table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+@query
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    vectors = table(spark, sf_dir, "embeddings").where(fine).select("vec_id", topk.quantised("embedding").alias("v"))
+    return topk.top_k(vectors, F.col("vec_id") % 20 == 0)

@@ -29,7 +29,7 @@ from barline.session import checkpoint_root
 
 SCALE = 20
 LOW = np.uint64(1 << 31)
-LANES = 2048
+LANES = 4096
 STRIDE = 256
 BLOCK = 2_000_000
 SMALL = 1_000_000

@@ -10,6 +10,7 @@ import heapq
 import json
 import re
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import regex
@@ -17,7 +18,7 @@ from tokenizers import Tokenizer
 
 BIG = 1 << 30
 LONG = 400
-CACHE = 1_000_000
+CACHE, KEEP = 600_000, 300_000
 
 
 class PairTable:
@@ -291,9 +292,18 @@ class Encoder:
         self.len = np.concatenate([self.len, per_chunk])
         self.used = need
 
+    def _shrink(self) -> None:
+        """Keep the chunks that were met first: those are the frequent ones."""
+        old, flat, start, lens = self.pieces, self.flat, self.start, self.len
+        self._reset()
+        self.pieces.update(islice(old.items(), KEEP))
+        self.start, self.len = start[:KEEP].copy(), lens[:KEEP].copy()
+        self.used = int(start[KEEP])
+        self.flat = flat[: self.used].copy()
+
     def _slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         if len(self.pieces) > CACHE:
-            self._reset()
+            self._shrink()
         cut = self._chunks_end if self.vocab.end else self._chunks_byte
         lookup, slots, counts, whole = self.pieces.__getitem__, [], np.zeros(len(texts), np.int64), {}
         for i, text in enumerate(texts):
