@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from barline.llm import bpe, counts, covertree, packing, tokenfile, topk, urls
+from barline.llm import bpe, counts, covertree, packing, suffix, tokenfile, topk, urls
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -67,3 +67,10 @@ def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     vectors = table(spark, sf_dir, "embeddings").where(fine).select("vec_id", topk.quantised("embedding").alias("v"))
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents"), keep_first=False)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
