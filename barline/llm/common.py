@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.session import checkpoint_root
 
@@ -56,3 +58,42 @@ def cuts(lens) -> list[int]:
         at += int(n)
         out.append(at)
     return out
+
+
+def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tool = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        blobs = [tool.compress((x or "").encode()) for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], names=["uid", "id", "blob"])
+
+
+def packed_texts(rows: DataFrame) -> DataFrame:
+    """(uid, id, blob): texts compressed, as they are shuffled more than once."""
+    schema = T.StructType([T.StructField("uid", T.LongType()), rows.schema["id"], T.StructField("blob", T.BinaryType())])
+    return rows.select("uid", "text", "id").mapInArrow(_pack_text, schema)
+
+
+def with_uid(df: DataFrame, id_col: str, text_col: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """(id, text, uid, ...): uid is the id where ids are unique integers, else a number that is
+    landed with the rows. Null texts are empty."""
+    columns = [F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")]
+    rows = df.select(*columns, *[c.alias(n) for n, c in (more or {}).items()])
+    if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType)):
+        odd = rows.groupBy("id").count().where("count > 1 or id is null")
+        if odd.isEmpty():
+            return rows.withColumn("uid", F.col("id").cast("long"))
+    ordered = land(rows.repartitionByRange("id").sortWithinPartitions("id"))
+    return land(ordered.withColumn("uid", F.monotonically_increasing_id()))
+
+
+def numbered(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` with a unique integer ``uid``, made as in ``with_uid``."""
+    columns = [c for c in df.columns if c != "uid"]
+    rows = with_uid(df.withColumn("_none", F.lit("")), id_col, "_none", {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(columns)})
+    return rows.select("uid", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def sized(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` (short) rows; beyond, joins with
+    it are shuffled."""
+    return F.broadcast(df) if df.count() <= rows else df

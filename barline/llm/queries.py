@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from barline.llm import bpe, counts, covertree, packing, suffix, tokenfile, topk, urls
+from barline.llm import bpe, counts, covertree, kneser, minhash, packing, suffix, tokenfile, topk, urls
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -74,3 +74,19 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(table(spark, sf_dir, "documents"), keep_first=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
     return out.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_documents(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("first").alias("kept"))
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("id"))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = kneser.quality(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.round("perplexity", 6).alias("perplexity"), F.round("cut", 6).alias("cut"), "kept")

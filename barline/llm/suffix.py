@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.llm.common import drop, land
+from barline.llm.common import drop, land, packed_texts, sized, with_uid
 from barline.llm.vocab import spread
 
 GRAM = 32
@@ -123,19 +123,6 @@ def _anchor_rows(width: int):
     return run
 
 
-def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tool = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        blobs = [tool.compress((x or "").encode()) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary())], names=["uid", "id", "blob"])
-
-
-def packed_texts(rows: DataFrame) -> DataFrame:
-    """(uid, id, blob): texts compressed, as they are shuffled more than once."""
-    schema = T.StructType([T.StructField("uid", T.LongType()), rows.schema["id"], T.StructField("blob", T.BinaryType())])
-    return rows.select("uid", "text", "id").mapInArrow(_pack_text, schema)
-
-
 def _contexts(width: int):
     """Bytes under the windows of every repeated anchor: one row per anchor."""
 
@@ -241,18 +228,6 @@ def _window_rows(width: int):
     return run
 
 
-def with_uid(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, uid): uid is the id where ids are unique integers, else a number that is
-    landed with the rows. Null texts are empty."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType)):
-        odd = rows.groupBy("id").count().where("count > 1 or id is null")
-        if odd.isEmpty():
-            return rows.withColumn("uid", F.col("id").cast("long"))
-    ordered = land(rows.repartitionByRange("id").sortWithinPartitions("id"))
-    return land(ordered.withColumn("uid", F.monotonically_increasing_id()))
-
-
 def repeated_spans(rows: DataFrame, width: int = 200, keep_first: bool = True, hot: int = HOT) -> DataFrame:
     """(uid, start, stop) of all bytes that a repeated string of ``width`` bytes covers.
 
@@ -267,7 +242,10 @@ def repeated_spans(rows: DataFrame, width: int = 200, keep_first: bool = True, h
     whole = meta.where(F.col("size") >= width).groupBy("key", "x", "size").agg(F.min("uid").alias("first"), F.count("*").alias("copies")).where("copies > 1")
     whole = land(meta.join(whole, ["key", "x", "size"]).select("uid", "size", "first"))
     count = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = found.join(count, "h").groupBy("uid").agg(F.collect_list(F.struct("h", "lo", "hi", "n")).alias("runs"))
+    # Anchors that a great part of all rows share are few: they are joined without a shuffle.
+    often = sized(land(count.where(F.col("n") > hot)))
+    seldom = found.join(often, "h", "left_anti").join(count.where(F.col("n") <= hot), "h")
+    repeated = seldom.union(found.join(often, "h").select(*seldom.columns)).groupBy("uid").agg(F.collect_list(F.struct("h", "lo", "hi", "n")).alias("runs"))
     repeated = repeated.join(whole.where("uid != first").select("uid"), "uid", "left_anti")
     texts = packed_texts(rows)
     context = land(texts.join(repeated, "uid").mapInArrow(_contexts(width), "h long, uid long, lo int, n long, bytes binary"))
@@ -294,7 +272,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge the spans of every text to maximal runs and take them out."""
     tool, span = zstandard.ZstdDecompressor(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
-        sizes, runs, kept = [], [], []
+        sizes, runs, kept, texts = [], [], [], []
         for blob, spans in zip(batch.column("blob").to_pylist(), batch.column("spans").to_pylist()):
             raw, out, at, own = tool.decompress(blob), [], 0, []
             for s in sorted((s["start"], s["stop"]) for s in spans or ()):
@@ -305,21 +283,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in own:
                 out.append(raw[at : s["start"]])
                 at = s["stop"]
-            sizes.append(len(raw)), runs.append(own), kept.append(b"".join([*out, raw[at:]]))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+            out.append(raw[at:])
+            sizes.append(len(raw)), runs.append(own), kept.append(b"".join(out)), texts.append("".join(x.decode("utf-8", "ignore") for x in out))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(runs, span), pa.array(kept, pa.binary()), pa.array(texts, pa.string())], names=["id", "n_bytes", "spans", "kept", "text"])
 
 
 def remove_repeats(df: DataFrame, width: int = 200, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id, n_bytes, spans, kept) per row: the removed runs of bytes and what is left.
+    """(id, n_bytes, spans, kept, text) per row: the removed runs of bytes and what is left.
 
-    ``kept`` is binary: a span can end inside a character. Texts are UTF-8 bytes; matches
+    ``kept`` is binary, as a span can end inside a character; ``text`` leaves such characters
+    out. Texts are UTF-8 bytes; matches
     never cross rows and are judged on the input. Null and empty texts stay empty. Repeated
     rows and equal ids are rows of their own (earlier or later in an order that is fixed
     when they are landed); an empty table gives no rows; other columns are left out.
     """
     rows = with_uid(df, id_col, text_col)
     spans = repeated_spans(rows, width, keep_first, hot).groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *spark_fields(f"n_bytes long, spans {SPANS}, kept binary")])
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), *spark_fields(f"n_bytes long, spans {SPANS}, kept binary, text string")])
     return packed_texts(rows).join(spans, "uid", "left").select("id", "blob", "spans").mapInArrow(_cut, schema)
 
 
