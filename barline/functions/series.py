@@ -7,6 +7,7 @@ this are aggregated to (key, date) before they get here.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -32,29 +33,50 @@ def so_far(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
-def ewm(df: DataFrame, series: Sequence[tuple[str, str, float]], key: str = "ticker", order: str = "date", block: int = 256) -> DataFrame:
+def ewm(df: DataFrame, series: Sequence[tuple[str, str, float]], key: str = "ticker", order: str = "date") -> DataFrame:
     """Recursive exponential means seeded with the first value, without a recursion.
 
     ``series`` lists (value column, output column, alpha). y[t] = (1-a) y[t-1] + a x[t] is
     linear, so a block of rows needs only its own weighted sum plus the value carried in.
-    Three earlier blocks are enough for the carry: older ones weigh less than
-    (1-a)**(3*block), far below one ulp for any a >= 1/30. All series share the windows.
-    Leading nulls give null; a null later on counts as a missing zero step and is not expected.
+    Series whose decays are alike share windows. Their blocks are as long as the weights fit
+    a double, and as many earlier blocks are carried as can reach one: the result is that of
+    the recursion over the whole history. Leading nulls give null; a later null fails.
     """
+    decay = {out: -math.log1p(-a) if a < 1 else math.inf for _, out, a in series}
+    groups: list[list[tuple[str, str, float]]] = []
+    for one in sorted(series, key=lambda x: decay[x[1]]):
+        if groups and decay[one[1]] <= 8 * decay[groups[-1][0][1]] and decay[one[1]] < math.inf:
+            groups[-1].append(one)
+        else:
+            groups.append([one])
+    for group in groups:
+        if decay[group[0][1]] == math.inf:
+            df = df.withColumns({out: F.col(value) for value, out, _ in group})
+        else:
+            df = _ewm(df, group, key, order, decay)
+    return df
+
+
+def _ewm(df: DataFrame, series: list[tuple[str, str, float]], key: str, order: str, decay: dict[str, float]) -> DataFrame:
+    low, high = decay[series[0][1]], decay[series[-1][1]]
+    block = max(1, int(500 / high))
+    carried_blocks = 1 + math.ceil(700 / (block * low))
     w = over(key, order)
     inner, ends = Window.partitionBy(key, "_blk").orderBy(order), Window.partitionBy(key).orderBy("_blk")
     df = df.withColumns({"_row": F.row_number().over(w) - 1, **{f"_n{i}": F.count(v).over(so_far(w)) for i, (v, _, _) in enumerate(series)}})
     df = df.withColumns({"_blk": F.floor(F.col("_row") / block), "_pos": (F.col("_row") % block).cast("double")})
 
     def local(i: int, value: str, alpha: float) -> Column:
-        share = F.when(F.col(f"_n{i}") == 1, F.col(value)).otherwise(F.col(value) * alpha)
-        grown = F.coalesce(share, F.lit(0.0)) * F.pow(F.lit(1.0 - alpha), -F.col("_pos"))
+        gap = F.when(F.col(f"_n{i}") > 0, F.raise_error(F.lit(f"{value}: a null inside the series")).cast("double")).otherwise(F.lit(0.0))
+        share = F.when(F.col(value).isNull(), gap).when(F.col(f"_n{i}") == 1, F.col(value)).otherwise(F.col(value) * alpha)
+        grown = share * F.pow(F.lit(1.0 - alpha), -F.col("_pos"))
         return F.sum(grown).over(so_far(inner)) * F.pow(F.lit(1.0 - alpha), F.col("_pos"))
 
     def whole(i: int, alpha: float) -> Column:
         last, step = F.when(F.col("_pos") == block - 1, F.col(f"_loc{i}")), (1.0 - alpha) ** block
-        carried = [F.coalesce(F.max(last).over(ends.rangeBetween(-b, -b)), F.lit(0.0)) for b in (1, 2, 3)]
-        carry = carried[0] + step * (carried[1] + step * carried[2])
+        carry = F.lit(0.0)
+        for b in range(carried_blocks, 0, -1):
+            carry = carry * step + F.coalesce(F.max(last).over(ends.rangeBetween(-b, -b)), F.lit(0.0))
         return F.when(F.col(f"_n{i}") > 0, F.col(f"_loc{i}") + F.pow(F.lit(1.0 - alpha), F.col("_pos") + 1.0) * carry)
 
     df = df.withColumns({f"_loc{i}": local(i, v, a) for i, (v, _, a) in enumerate(series)})
@@ -62,15 +84,19 @@ def ewm(df: DataFrame, series: Sequence[tuple[str, str, float]], key: str = "tic
     return df.drop("_row", "_blk", "_pos", *[f"_{c}{i}" for i in range(len(series)) for c in ("n", "loc")])
 
 
-def rolling_means(df: DataFrame, value: str, sizes: dict[str, int], key: str = "ticker", order: str = "date") -> DataFrame:
+def rolling_means(df: DataFrame, value: str, sizes: dict[str, int], key: str = "ticker", order: str = "date", places: int = 8) -> DataFrame:
     """Means over the last n rows from one running sum; null until n rows are there.
 
     A sliding frame adds up its n rows again for every row; a difference of running sums
-    costs the same for any n. ``value`` must not be null.
+    costs the same for any n. The sums are whole multiples of 10**-places, so they are exact
+    on a history of any length and a flat series has equal means. A null ``value`` fails, and
+    so does a sum beyond 64 bits (about 9e10 at eight places).
     """
-    w = over(key, order)
-    df = df.withColumns({"_sum": F.sum(value).over(so_far(w)), "_row": F.row_number().over(w)})
-    part = lambda n: (F.col("_sum") - F.coalesce(F.lag("_sum", n).over(w), F.lit(0.0))) / n
+    w, unit = over(key, order), 10**places
+    none = F.raise_error(F.lit(f"{value}: a null inside the series")).cast("bigint")
+    whole = F.when(F.col(value).isNull(), none).otherwise(F.round(F.col(value) * unit).cast("bigint"))
+    df = df.withColumns({"_sum": F.sum(whole).over(so_far(w)), "_row": F.row_number().over(w)})
+    part = lambda n: (F.col("_sum") - F.coalesce(F.lag("_sum", n).over(w), F.lit(0))) / n / unit
     return df.withColumns({out: F.when(F.col("_row") >= n, part(n)) for out, n in sizes.items()}).drop("_sum", "_row")
 
 

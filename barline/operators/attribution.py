@@ -18,7 +18,6 @@ from pyspark.sql.types import ArrayType, DoubleType
 from barline.functions.series import over
 
 DOUBLES = ArrayType(DoubleType())
-MAX_LAG = 16  # floor(4 * (n / 100) ** (2 / 9)) stays below it for a century of daily rows
 
 
 def with_excess(returns: DataFrame, factors: DataFrame, names: Sequence[str], risk_free: DataFrame | None = None) -> DataFrame:
@@ -76,12 +75,14 @@ def attribute(rows: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
     k = len(terms)
     scored = scored.withColumns({f"_s{i}": F.col("_e") * t for i, t in enumerate(terms)})
     band = F.greatest(F.lit(1), F.floor(4 * F.pow(F.col("n_obs") / 100.0, F.lit(2.0 / 9.0)))).cast("int")
+    # As many lags as the longest portfolio needs.
+    lags = model.agg(F.max(band)).first()[0] or 1
     w = over(key)
 
     def carried(i: int) -> Column:
         """Bartlett-weighted sum of the earlier scores; the weight is zero beyond the bandwidth."""
         parts = [F.greatest(F.lit(0.0), 1.0 - F.lit(float(n)) / (F.col("_band") + 1)) * F.coalesce(F.lag(f"_s{i}", n).over(w), F.lit(0.0))
-                 for n in range(1, MAX_LAG + 1)]
+                 for n in range(1, lags + 1)]
         return sum(parts[1:], parts[0])
 
     scored = scored.withColumn("_band", band).withColumns({f"_q{i}": carried(i) for i in range(k)})

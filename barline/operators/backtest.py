@@ -29,11 +29,13 @@ def walk_windows(calendar: DataFrame, b: cfg.Backtest = cfg.BACKTEST, least: int
     """Train and test windows over a calendar of bar dates, snapped to bars.
 
     The list ends at the first window that runs past the last date or holds too few bars.
+    The start moves step by step: a day that a short month clips stays clipped.
     """
     span = calendar.agg(F.min("date").alias("_a"), F.max("date").alias("_z"))
     steps = F.sequence(F.lit(0), F.floor(F.months_between("_z", "_a") / b.step_months).cast("int"))
     w = span.select("_a", "_z", F.explode(steps).alias("window_id"))
-    w = w.withColumn("train_start", F.add_months("_a", F.col("window_id") * b.step_months))
+    moved = F.aggregate(F.sequence(F.lit(0), F.col("window_id")), F.date_sub("_a", 0), lambda d, i: F.when(i == 0, d).otherwise(F.add_months(d, b.step_months)))
+    w = w.withColumn("train_start", moved)
     w = w.withColumn("train_end", F.add_months("train_start", 12 * b.train_years))
     w = w.withColumn("_ts", F.date_add("train_end", 1)).withColumn("_te", F.add_months("_ts", b.test_months)).where("_te <= _z")
     days = calendar.select("date").distinct()

@@ -91,19 +91,21 @@ def latest_labels(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return upsert(stored, incoming, ["row_id"], "processed_at")
 
 
-def digest(news: DataFrame, order: str = "line_no", items: int = 28, titles: int = 8) -> DataFrame:
-    """Per ticker: the first ``items`` entries as a block of text, and the first titles.
+def digest(news: DataFrame, order: str = "line_no", items: int | None = None, titles: int | None = None) -> DataFrame:
+    """Per ticker: its entries as a block of text, and its titles; the first ``items`` and
+    ``titles`` of them where given.
 
     ``row_number`` with a bound lets Spark cut each ticker to its first rows before the
     shuffle, so a ticker with very many headlines sends only ``items`` per task.
     """
     w = Window.partitionBy("ticker").orderBy(order)
-    top = news.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= items)
+    top = news.withColumn("_rn", F.row_number().over(w))
+    top = top if items is None else top.where(F.col("_rn") <= items)
     entry = F.concat(F.lit("- "), "title", F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(": "), "summary")).otherwise(""))
     kept = top.where(F.coalesce("title", F.lit("")) != "").withColumn("_e", entry)
     sort = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["v"])
     return kept.groupBy("ticker").agg(
         F.array_join(sort(F.struct("_rn", F.col("_e").alias("v"))), "\n").alias("news_block"),
-        F.array_join(sort(F.when(F.col("_rn") <= titles, F.struct("_rn", F.col("title").alias("v")))), " | ").alias("headlines"),
+        F.array_join(sort(F.when(F.lit(True) if titles is None else F.col("_rn") <= titles, F.struct("_rn", F.col("title").alias("v")))), " | ").alias("headlines"),
         F.count(F.lit(1)).alias("scored"),
     )

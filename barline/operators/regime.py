@@ -165,71 +165,98 @@ def score(decoded: DataFrame, key: str = "market_id") -> DataFrame:
     return decoded.groupBy(key).agg(F.max_by("log_likelihood", "date").alias("log_likelihood"), F.count(F.lit(1)).alias("n_obs"))
 
 
+FLOOR = 1e-6  # fixed value: least variance, and pseudo-count of a start or a step
+
+
+def densities(x: np.ndarray, models: Sequence[Model]) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, models, states) densities divided by the row's largest one, and the log of that."""
+    out = np.empty((len(x), len(models), models[0].k))
+    for r, m in enumerate(models):
+        for s in range(m.k):
+            z = (x - m.means[s]) / np.sqrt(m.vars[s])
+            out[:, r, s] = -0.5 * ((z * z).sum(1) + np.log(2 * np.pi * m.vars[s]).sum())
+    top = out.max(2, keepdims=True)
+    return np.exp(out - top), top[..., 0]
+
+
 def expected_counts(x: np.ndarray, models: Sequence[Model]) -> list[np.ndarray]:
-    """Expected counts of one sequence under each model (the E step).
+    """Expected counts of one sequence under each model: log-likelihood, start, steps, weight
+    and weighted sums of x and x * x per state.
 
-    The recursion runs once along the sequence for all models together.
+    Forward and backward variables are scaled to sum to one at every row; the scales'
+    logarithms add up to the likelihood. One pass serves all models.
     """
-    mean, var = np.stack([m.means for m in models]), np.stack([m.vars for m in models])
-    lt = np.log(np.stack([m.trans for m in models]) + TINY)
-    e = -0.5 * (x.shape[1] * math.log(2 * math.pi) + np.log(var).sum(2)[None] + ((x[:, None, None, :] - mean[None]) ** 2 / var[None]).sum(3))
-    a, b = np.empty_like(e), np.zeros_like(e)
-    a[0] = np.log(np.stack([m.start for m in models]) + TINY) + e[0]
-    for t in range(1, len(x)):
-        a[t] = _lse(a[t - 1][:, :, None] + lt, 1) + e[t]
-    for t in range(len(x) - 2, -1, -1):
-        b[t] = _lse(lt + (e[t + 1] + b[t + 1])[:, None, :], 2)
-    z = _lse(a[-1], 1)
-    g = np.exp(np.clip(a + b - z[None, :, None], -500, 0))
-    step = a[:-1][..., None] + lt[None] + (e[1:] + b[1:])[:, :, None, :]
-    norm = _lse(step.reshape(*step.shape[:2], -1), 2)
-    xi = np.exp(step - norm[..., None, None]).sum(0)
-    return [
-        np.concatenate([[z[r]], g[0, r], xi[r].ravel(), g[:-1, r].sum(0), g[:, r].sum(0), (g[:, r].T @ x).ravel(), (g[:, r].T @ (x * x)).ravel()])
-        for r in range(len(models))
-    ]
+    b, top = densities(x, models)
+    start, step = np.stack([m.start for m in models]), np.stack([m.trans for m in models])
+    ahead, scale = np.empty_like(b), np.empty(b.shape[:2])
+    now = start * b[0]
+    for t in range(len(x)):
+        if t:
+            now = np.einsum("ri,rij->rj", now, step) * b[t]
+        scale[t] = np.maximum(now.sum(1), np.finfo(float).tiny)
+        now = ahead[t] = now / scale[t][:, None]
+    behind = np.ones_like(b)
+    for t in range(len(x) - 1, 0, -1):
+        behind[t - 1] = np.einsum("rij,rj->ri", step, b[t] * behind[t]) / scale[t][:, None]
+    share = ahead * behind
+    out = []
+    for r in range(len(models)):
+        arrive = b[1:, r] * behind[1:, r] / scale[1:, r, None]
+        steps = step[r] * (ahead[:-1, r].T @ arrive)
+        g = share[:, r]
+        total = np.log(scale[:, r]).sum() + top[:, r].sum()
+        out.append(np.concatenate([[total], g[0], steps.ravel(), g.sum(0), (g.T @ x).ravel(), (g.T @ (x * x)).ravel()]))
+    return out
+
+
+def from_counts(counts: np.ndarray, old: Model) -> Model:
+    """The model that the summed expected counts ask for. A state without weight stays as it was."""
+    k, d = old.means.shape
+    first, steps, weight, sx, sxx = np.split(counts[1:], np.cumsum([k, k * k, k, k * d]))
+    steps = steps.reshape(k, k) + FLOOR
+    used = weight > FLOOR
+    w = np.where(used, weight, 1.0)[:, None]
+    means = np.where(used[:, None], sx.reshape(k, d) / w, old.means)
+    spread_ = np.where(used[:, None], sxx.reshape(k, d) / w - means**2, old.vars)
+    return Model((first + FLOOR) / (first + FLOOR).sum(), steps / steps.sum(1, keepdims=True), means, np.maximum(spread_, FLOOR))
 
 
 def fit_model(rows: DataFrame, names: Sequence[str], k: int, key: str = "market_id", iterations: int = 100, restarts: int = 5, seed: int = 42, tol: float = 1e-4) -> tuple[Model, float]:
     """One model over many sequences by expectation-maximisation.
 
     Every sequence sends its expected counts (a handful of numbers per state); Spark adds
-    them up; only those sums reach the driver. All restarts share a pass over the data.
+    them up; only those sums reach the driver. All restarts share a pass over the data. A
+    restart ends when its likelihood gains less than ``tol`` a row.
     """
-    d, names = len(names), list(names)
+    names = list(names)
     data = cut_lineage(spread(rows.select(key, "date", F.array(*names).alias("x")), [key]))
-    variance = np.array([row["v"] for row in data.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v")).orderBy("i").collect()])
-    models, done, likelihood = {}, {}, {}
-    for r in range(max(1, restarts)):
-        picked = data.orderBy(F.xxhash64(F.lit(seed + r), F.col(key).cast("string"), F.col("date").cast("string"))).limit(k).select("x").collect()
-        models[r] = Model(np.full(k, 1 / k), np.full((k, k), 1 / k), np.array([p["x"] for p in picked]), np.tile(variance + 1e-6, (k, 1)))
-        likelihood[r], done[r] = -np.inf, False
-    size = 1 + k + k * k + 2 * k + 2 * k * d
+    whole = data.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v"), F.count("v").alias("n")).orderBy("i").collect()
+    variance, n = np.maximum([w["v"] for w in whole], FLOOR), whole[0]["n"]
+    mark = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("date").cast("string"))
+    points = np.array([p["x"] for p in data.orderBy(mark).limit(k * max(1, restarts)).select("x").collect()])
+    even = np.full((k, k), 1 / k)
+    models = [Model(even[0], even, points[np.arange(k) * max(1, restarts) + r], np.tile(variance, (k, 1))) for r in range(max(1, restarts))]
+    best, live = np.full(len(models), -np.inf), list(range(len(models)))
     for _ in range(iterations):
-        live = {r: m for r, m in models.items() if not done[r]}
-        if not live:
-            break
+        tried = [models[r] for r in live]
 
         def expect(pdf: pd.DataFrame) -> pd.DataFrame:
             x = np.stack(pdf.sort_values("date")["x"].to_numpy())
-            return pd.DataFrame({"restart": list(live), "stats": expected_counts(x, list(live.values()))})
+            return pd.DataFrame({"restart": live, "stats": expected_counts(x, tried)})
 
-        sums = data.groupBy(key).applyInPandas(expect, "restart int, stats array<double>").groupBy("restart").agg(
-            F.array(*[F.sum(F.col("stats")[i]) for i in range(size)]).alias("s"), F.count(F.lit(1)).alias("n")).collect()
+        cols = F.posexplode("stats").alias("i", "v")
+        sums = data.groupBy(key).applyInPandas(expect, "restart int, stats array<double>").select("restart", cols).groupBy("restart", "i").agg(F.sum("v").alias("v")).collect()
+        counts = {r: np.zeros(1 + k + k * k + k + 2 * points.shape[1] * k) for r in live}
         for row in sums:
-            r, s = row["restart"], np.array(row["s"])
-            z, rest = s[0], s[1:]
-            first, rest = rest[:k], rest[k:]
-            xi, rest = rest[: k * k].reshape(k, k), rest[k * k:]
-            leaving, weight, rest = rest[:k], rest[k: 2 * k], rest[2 * k:]
-            sx, sxx = rest[: k * d].reshape(k, d), rest[k * d:].reshape(k, d)
-            means = sx / weight[:, None]
-            trans = np.clip(xi / leaving[:, None], TINY, None)
-            models[r] = Model(np.clip(first / first.sum(), TINY, None), trans / trans.sum(1, keepdims=True), means, np.clip(sxx / weight[:, None] - means**2, 1e-6, None))
-            done[r] = abs(z - likelihood[r]) < tol
-            likelihood[r] = z
-    best = max(likelihood, key=likelihood.get)
-    return models[best], float(likelihood[best])
+            counts[row["restart"]][row["i"]] = row["v"]
+        gain = {r: counts[r][0] - best[r] for r in live}
+        for r in live:
+            best[r], models[r] = counts[r][0], from_counts(counts[r], models[r])
+        live = [r for r in live if not gain[r] < tol * n]
+        if not live:
+            break
+    r = int(np.argmax(best))
+    return models[r], float(best[r])
 
 
 def information_criteria(fits: DataFrame) -> DataFrame:

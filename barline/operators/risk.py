@@ -193,20 +193,25 @@ def hedge_plan(states: DataFrame, open_positions: DataFrame, allocation: DataFra
 
 # ---- positions ----
 def fold_positions(events: DataFrame) -> DataFrame:
-    """Current row per ticker from its change events: peak only rises, last share count,
-    flag once set stays, deleted tickers go. Aggregates only, so a hot ticker is no problem."""
-    return (
-        events.groupBy("ticker").agg(
-            F.max("price").alias("peak_price"), F.max_by("shares", F.when(F.col("shares").isNotNull(), F.col("seq"))).alias("shares"),
-            F.coalesce(F.bool_or("take_profit"), F.lit(False)).alias("take_profit_taken"), F.coalesce(F.bool_or("deleted"), F.lit(False)).alias("_gone"))
-        .where("NOT _gone").drop("_gone")
-    )
-
-
-def insert_positions(incoming: DataFrame, stored: DataFrame, key: str = "ticker") -> DataFrame:
-    """All incoming rows with ``accepted``: refused where the key is already open."""
+    """Current row per ticker from the change events after its last deletion: peak only
+    rises, last share count, flag once set stays. A ticker without later events is gone.
+    Aggregates only, so a hot ticker is no problem."""
+    gone = F.coalesce("deleted", F.lit(False))
+    last = events.groupBy("ticker").agg(F.max(F.when(gone, F.col("seq"))).alias("_end"))
+    open_now = events.where(~gone).join(last, "ticker").where("_end IS NULL OR seq > _end")
+    return open_now.groupBy("ticker").agg(
+        F.max("price").alias("peak_price"), F.max_by("shares", F.when(F.col("shares").isNotNull(), F.col("seq"))).alias("shares"),
+        F.coalesce(F.bool_or("take_profit"), F.lit(False)).alias("take_profit_taken"))
+
+
+def insert_positions(incoming: DataFrame, stored: DataFrame, key: str = "ticker", order: Sequence[str] = ()) -> DataFrame:
+    """All incoming rows with ``accepted``: refused where the key is already open. Of several
+    incoming rows of one key the first by ``order`` (default: all columns) is accepted."""
     have = stored.select(key).distinct().withColumn("_have", F.lit(True))
-    return incoming.join(have, key, "left").withColumn("accepted", F.col("_have").isNull()).drop("_have")
+    by = list(order) or [c for c in incoming.columns if c != key]
+    first = Window.partitionBy(key).orderBy(*by)
+    accepted = F.col("_have").isNull() & (F.row_number().over(first) == 1)
+    return incoming.join(have, key, "left").withColumn("accepted", accepted).drop("_have")
 
 
 def partial_close(positions: DataFrame, fraction: float = 0.5, commission_per_share: float = 0.0) -> DataFrame:

@@ -19,7 +19,7 @@ def events(t: Tables):
 
 @query("stream_dedup", "M1", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
-    return available_now(L.dedup(events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts")).select("user_id", "event_type")
+    return available_now(L.dedup(events(t).select("user_id", "event_type", "ts"), ["user_id", "event_type"])).select("user_id", "event_type")
 
 
 COUNTS = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"

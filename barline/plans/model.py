@@ -123,7 +123,7 @@ def _(t):
     """Three states over all tickers' return series at once."""
     rows = M.daily_returns(t.bars.select("ticker", "date", F.col("close").alias("nav")), "ticker").where("ret IS NOT NULL").select(
         "ticker", "date", (F.col("ret") * 100).alias("x"))
-    model, ll = G.fit_model(rows, ["x"], 3, key="ticker", iterations=6, restarts=2)
+    model, ll = G.fit_model(rows, ["x"], 3, key="ticker")
     order = np.argsort(model.means[:, 0])
     states = F.array(*[F.struct(F.lit(int(i)).alias("rank"), F.lit(round(float(model.means[s, 0]), 4)).alias("mean"), F.lit(round(float(model.vars[s, 0]), 4)).alias("var")) for i, s in enumerate(order)])
     return t.spark.range(1).select(F.explode(states).alias("s"), F.lit(round(ll, 3)).alias("log_likelihood")).select("s.*", "log_likelihood")
@@ -158,8 +158,8 @@ def _(t):
     return G.transitions(t.regime_daily).select("date", "from_label", "to_label", "confidence")
 
 
-@query("combine_first", "J21", "SELECT coalesce(n.date, o.date) AS date, coalesce(n.close, o.vix) AS close, coalesce(n.volume, o.vix * 2) AS volume FROM (SELECT date, CASE WHEN volume > 600 THEN close END AS close, volume FROM market WHERE date > DATE '1998-01-01') AS n FULL OUTER JOIN fear AS o ON o.date = n.date")
+@query("combine_first", "J21", "SELECT coalesce(n.date, o.date) AS date, coalesce(n.close, o.vix) AS close, coalesce(n.volume, o.vix * 2) AS volume FROM (SELECT date, CASE WHEN volume > 600 THEN close END AS close, volume FROM market) AS n FULL OUTER JOIN fear AS o ON o.date = n.date")
 def _(t):
-    new = t.market.where("date > DATE '1998-01-01'").select("date", F.when(F.col("volume") > 600, F.col("close")).alias("close"), "volume")
+    new = t.market.select("date", F.when(F.col("volume") > 600, F.col("close")).alias("close"), "volume")
     old = t.fear.select("date", F.col("vix").alias("close"), (F.col("vix") * 2).alias("volume"))
     return joins.combine_first(new, old, ["date"])

@@ -110,7 +110,7 @@ def _(t):
 SELECT ticker, string_agg(concat('- ', headline, ': ', source), chr(10) ORDER BY rn) AS news_block,
        string_agg(CASE WHEN rn <= 8 THEN headline END, ' | ' ORDER BY rn) AS headlines, count(*) AS scored FROM top WHERE rn <= 28 AND headline <> '' GROUP BY ticker""")
 def _(t):
-    return news.digest(t.headlines.select("ticker", "line_no", F.col("headline").alias("title"), F.col("source").alias("summary")))
+    return news.digest(t.headlines.select("ticker", "line_no", F.col("headline").alias("title"), F.col("source").alias("summary")), items=28, titles=8)
 
 
 @query("label_insert_or_ignore", "S16", f"""WITH stored AS (SELECT DISTINCT {ROW} AS row_id FROM news_labels)

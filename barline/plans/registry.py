@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.plans.adapters import ADAPTERS, BASE, needed, with_adapters
-from barline.session import land
+from barline.session import land, ship
 
 
 # Derived panels that operators expect as landed files: a plan then scans the few columns
@@ -83,6 +83,7 @@ def query(name: str, ids: str, sql: str | None = None, r: str = "", digits: int
 
     def wrap(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
             df = fn(Tables(spark, sf_dir))
             return df.withColumns({c: F.bround(c, digits) for c in cols}) if cols else df
 

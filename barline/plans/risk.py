@@ -50,17 +50,19 @@ def _(t):
     return a.subtract(b).withColumn("side", F.lit("book")).unionByName(b.subtract(a).withColumn("side", F.lit("broker")))
 
 
-@query("ghost_fills", "J20", """WITH od AS (SELECT concat('Brand#', CAST(1 + o_custkey % 25 AS VARCHAR)) AS ticker, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_custkey < 300),
-f AS (SELECT ticker, min(o_orderkey) AS order_id, min_by(o_totalprice, o_orderkey) AS exit_price FROM od GROUP BY ticker), g AS (SELECT * FROM book WHERE qty > 100)
+@query("ghost_fills", "J20", """WITH od AS (SELECT concat('Brand#', CAST(1 + o_custkey % 25 AS VARCHAR)) AS ticker, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'),
+f AS (SELECT ticker, min(o_orderkey) AS order_id, min_by(o_totalprice, o_orderkey) AS exit_price FROM od GROUP BY ticker), g AS (SELECT * FROM book)
 SELECT g.ticker, g.qty, f.order_id, f.exit_price, CASE WHEN order_id IS NULL THEN 'unknown' ELSE 'reconcile_fill' END AS outcome FROM g LEFT JOIN f ON f.ticker = g.ticker""")
 def _(t):
-    o = t.orders.where("o_custkey < 300").select(
+    o = t.orders.select(
         F.concat(F.lit("Brand#"), (1 + F.col("o_custkey") % 25).cast("string")).alias("ticker"), F.col("o_orderkey").alias("order_id"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("price"),
         F.lit(1.0).alias("filled_qty"), F.when(F.col("o_orderpriority") == "1-URGENT", "sell").otherwise("buy").alias("side"), F.when(F.col("o_orderstatus") == "F", "filled").otherwise("open").alias("status"))
-    return R.ghost_fills(t.book.where("qty > 100"), o).select("ticker", "qty", "order_id", "exit_price", "outcome")
+    return R.ghost_fills(t.book, o).select("ticker", "qty", "order_id", "exit_price", "outcome")
 
 
-@query("position_fold", "S19", """SELECT user_id AS ticker, max(value) AS peak_price, max_by(event_id, event_id) FILTER (WHERE event_type = 'click') AS shares, bool_or(event_type = 'purchase') AS take_profit_taken FROM events GROUP BY user_id HAVING NOT bool_or(event_type = 'error' AND value > 120)""")
+@query("position_fold", "S19", """WITH z AS (SELECT user_id, max(event_id) AS e FROM events WHERE event_type = 'error' AND value > 120 GROUP BY user_id)
+SELECT v.user_id AS ticker, max(value) AS peak_price, max(event_id) FILTER (WHERE event_type = 'click') AS shares, bool_or(event_type = 'purchase') AS take_profit_taken FROM events AS v LEFT JOIN z ON z.user_id = v.user_id
+WHERE NOT (event_type = 'error' AND value > 120) AND event_id > coalesce(e, -1) GROUP BY v.user_id""")
 def _(t):
     e = t.events.select(F.col("user_id").alias("ticker"), F.col("value").alias("price"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "click", F.col("event_id")).alias("shares"),
                         (F.col("event_type") == "purchase").alias("take_profit"), ((F.col("event_type") == "error") & (F.col("value") > 120)).alias("deleted"))

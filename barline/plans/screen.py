@@ -79,10 +79,10 @@ def _(t):
     return X.pit_momentum(t.bars, DATES)
 
 
-@query("factor_projection", "F13 F14 F15", f"WITH {DVALUES}, {UNI}, {INFOS}, {MOM} SELECT as_of, ticker, sector, pe_inv, pb_inv, fcf_yield, roe, margin, de_inv FROM {PROJ.format(ev='NULL', gm='NULL', cr='NULL', eg='NULL')} AS z WHERE {GATE} AND fcf_yield > 0.045", r="fcf_yield", digits=8)
+@query("factor_projection", "F13 F14 F15", f"WITH {DVALUES}, {UNI}, {INFOS}, {MOM} SELECT as_of, ticker, sector, pe_inv, pb_inv, fcf_yield, roe, margin + 0.0 AS margin, de_inv FROM {PROJ.format(ev='NULL', gm='NULL', cr='NULL', eg='NULL')} AS z WHERE {GATE}", r="fcf_yield", digits=8)
 def _(t):
     raw = infos(t).withColumn("trailingPE", F.col("trailingPE").cast("string"))
-    return X.complete_enough(X.project(raw)).where("fcf_yield > 0.045").select("as_of", "ticker", "sector", *X.PRIMARY)
+    return X.complete_enough(X.project(raw)).select("as_of", "ticker", "sector", *X.PRIMARY).withColumn("margin", F.col("margin") + 0.0)
 
 
 @query("percentile_rank", "W29", f"SELECT date, ticker, {rank('trailingPE', 'date')} AS pe_rank FROM fundamentals", r="pe_rank", digits=8)

@@ -191,10 +191,10 @@ def _(t):
 WRET = f"wb AS (SELECT window_id, test_start, test_end, m.date, m.close FROM win JOIN market AS m ON m.date BETWEEN test_start AND test_end)"
 
 
-@query("pooled_returns", "A31", f"""WITH {WIN}, wr AS (SELECT window_id, s.date, s.close / lag(s.close) OVER (PARTITION BY window_id ORDER BY s.date) - 1 AS ret FROM win JOIN (SELECT * FROM bars WHERE ticker = 'Brand#1') AS s ON s.date BETWEEN test_start AND test_end),
+@query("pooled_returns", "A31", f"""WITH {WIN}, wr AS (SELECT window_id, s.date, s.close / lag(s.close) OVER (PARTITION BY window_id ORDER BY s.date) - 1 AS ret FROM win JOIN market AS s ON s.date BETWEEN test_start AND test_end),
 o AS (SELECT date, min_by(ret, window_id) AS ret FROM wr WHERE ret IS NOT NULL GROUP BY date), b AS (SELECT date, close / lag(close) OVER (ORDER BY date) - 1 AS bench_ret FROM market) SELECT o.date, ret, bench_ret FROM o JOIN b ON b.date = o.date WHERE bench_ret IS NOT NULL""", r="ret bench_ret", digits=8)
 def _(t):
-    rows = B.signals_in_windows(t.bars.where("ticker = 'Brand#1'"), windows(t))
+    rows = B.signals_in_windows(t.market, windows(t))
     rets = M.daily_returns(rows, "window_id", "close").where("ret IS NOT NULL")
     bench = M.daily_returns(t.market, "market_id", "close").select("date", F.col("ret").alias("bench_ret"))
     return B.pooled_returns(rets, bench).select("date", "ret", "bench_ret")

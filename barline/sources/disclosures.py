@@ -17,7 +17,7 @@ _ITEM = (
     "transaction_date string, disclDate string, disclosureDate string, disclosure_date string, txType string, "
     "transactionType string, transaction_type string, amount string, amount_range string"
 )
-PAYLOAD = f"data array<struct<{_ITEM.replace(' string', ':string')}>>, trades array<struct<{_ITEM.replace(' string', ':string')}>>"
+PAYLOAD = "data array<string>, trades array<string>"
 TRADE = ["id", "politician", "ticker", "transaction_type", "transaction_date", "disclosure_date", "amount_range"]
 
 
@@ -41,11 +41,18 @@ def _nested(field: str, key: str) -> Column:
 
 
 def parse_json(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Trade rows with a ``valid`` flag; split on it to keep the rejects."""
+    """Trade rows with a ``valid`` flag; split on it to keep the rejects.
+
+    Items are parsed one by one, so a malformed one spoils no other. It gives a row that is
+    not valid, and so does a payload that cannot be read; both keep their text in ``raw``.
+    """
     doc = payloads.withColumn("_d", F.from_json(column, PAYLOAD))
     items = F.when(F.size("_d.data") > 0, F.col("_d.data")).otherwise(F.col("_d.trades"))
+    unread = F.col("_d.data").isNull() & F.col("_d.trades").isNull()
+    items = F.when(unread, F.array(F.col(column))).otherwise(items)
     ticker = F.when(F.coalesce(F.col("_i.ticker"), F.lit("")) != "", F.col("_i.ticker")).otherwise(_nested("issuer", "ticker"))
-    rows = doc.select(*[c for c in payloads.columns if c != column], F.explode(items).alias("_i"))
+    rows = doc.select(*[c for c in payloads.columns if c != column], F.explode(items).alias("raw"))
+    rows = rows.withColumn("_i", F.from_json("raw", _ITEM))
     return rows.withColumns({
         "id": F.trim(F.coalesce("_i.id", F.lit(""))),
         "politician": _nested("politician", "name"),

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dedup(stream: DataFrame, ids: Sequence[str], time: str, keep: str = "90 days") -> DataFrame:
-    """First arrival of each id; ids are remembered for ``keep`` of event time."""
-    return stream.withWatermark(time, keep).dropDuplicatesWithinWatermark(list(ids))
+def dedup(stream: DataFrame, ids: Sequence[str], keep: str = "90 days") -> DataFrame:
+    """First arrival of each id; ids are remembered for ``keep`` after they arrived.
+
+    The watermark follows the time of arrival, so a new id is never refused for being old.
+    """
+    seen = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", keep)
+    return seen.dropDuplicatesWithinWatermark(list(ids)).drop("_arrived")
 
 
 def event_counts(stream: DataFrame, kind: str = "event_type", time: str = "ts", width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

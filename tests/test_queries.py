@@ -28,7 +28,10 @@ def canon(table):
     return cols, sorted(zip(*[table.column(c).to_pylist() for c in cols]), key=repr)
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+ALL = [n if n in SAMPLE else pytest.param(n, marks=pytest.mark.slow) for n in sorted(QUERIES) if QUERIES[n].sql is not None]
+
+
+@pytest.mark.parametrize("name", ALL)
 def test_query_matches_check_sql(spark, sf, name):
     con = duckdb.connect()
     for t in BASE:

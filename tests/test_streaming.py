@@ -26,7 +26,7 @@ def test_position_state_survives_micro_batches(spark):
 def test_dedup_over_batches(spark):
     t = dt.datetime(2024, 1, 1)
     rows = feed(spark, "dedup", [[("x", t)], [("x", t + dt.timedelta(days=1)), ("y", t)]], "id string, ts timestamp")
-    assert available_now(L.dedup(rows, ["id"], "ts")).count() == 2
+    assert available_now(L.dedup(rows, ["id"])).count() == 2
 
 
 def test_lockout_never_clears(spark):

@@ -6,6 +6,7 @@ usage: python tools/check.py [--sf 0.01] [name-or-module-prefix ...]
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 import time
 from pathlib import Path
@@ -38,7 +39,7 @@ def main() -> None:
     sf = f"/root/testdata/sf{args.sf}"
     todo = [q for n, q in load().items()
             if not args.names or any(n.startswith(a) or q.run.__qualname__ == a for a in args.names)]
-    spark = local_session()
+    spark = local_session(int(os.environ.get("CHECK_CPUS", "8")))
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
     for t in BASE:
