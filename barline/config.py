@@ -136,7 +136,6 @@ class Allocation:
 @dataclass(frozen=True)
 class Correlation:
     threshold: float = 0.7
-    window_days: int = 60
     min_overlap: int = 20
 
 
@@ -168,7 +167,6 @@ class Risk:
     max_stale_days: int = 3
     hedge_single_pct: float = 15.0
     hedge_conflict_pct: float = 10.0
-    hedge_stop_pct: float = 10.0
 
 
 @dataclass(frozen=True)

@@ -88,10 +88,12 @@ def insert_or_ignore(incoming: DataFrame, stored: DataFrame, key: str, order: Se
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: Sequence[str], order: str) -> DataFrame:
-    """Last write per key wins over the union of both sides."""
-    every = stored.unionByName(incoming)
-    rest = [c for c in every.columns if c not in key]
-    return every.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*key, "_row.*")
+    """Last write per key wins over the union of both sides; on a tie the incoming row, and
+    of several the one with the greatest values."""
+    every = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
+    rest = [c for c in every.columns if c not in [*key, "_new"]]
+    plain = [c for c in rest if not every.schema[c].dataType.typeName() in ("map", "variant")]
+    return every.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(order, "_new", *plain)).alias("_row")).select(*key, "_row.*")
 
 
 def reconcile(book: DataFrame, broker: DataFrame, key: str = "ticker", qty: str = "qty") -> DataFrame:

@@ -293,7 +293,3 @@ def breaker_states(obs: DataFrame, risk: cfg.Risk = cfg.RISK, key: str = "portfo
         .when(F.coalesce(F.col(time) >= F.col("_halted_at"), F.lit(False)), "weekly_halt").otherwise(name)
     )
     return df.withColumn("state", state).drop("_day", "_week", "_locked_at", "_halted_at", "_sev")
-
-
-def trailing_peak(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("peak", F.max("close").over(so_far(over("ticker"))))

@@ -4,7 +4,7 @@ from importlib import import_module
 
 from barline.plans.registry import QUERIES
 
-MODULES = ["news", "feeds", "panel", "perf", "screen", "risk", "study", "model", "live"]
+MODULES = ["news", "feeds", "panel", "perf", "screen", "risk", "study", "model", "live", "stores"]
 
 
 def load() -> dict:

@@ -10,7 +10,7 @@ from barline.plans.risk import TIGHT, nav_ticks
 from barline.session import land
 from barline.streaming import stateful as P
 from barline.streaming import stateless as L
-from barline.streaming.run import available_now, landed
+from barline.streaming.run import available_now, landed, latest_values
 
 
 def events(t: Tables):
@@ -31,9 +31,10 @@ def _(t):
     return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("stream_event_counts", "M7", f"SELECT * FROM ({COUNTS}) AS q WHERE CAST(window_start AS TIMESTAMP) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+@query("stream_event_counts", "M7", COUNTS)
 def _(t):
-    return available_now(L.event_counts(events(t)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")))
+    rows = L.event_counts(events(t)).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    return latest_values(rows, ["window_start", "event_type"])
 
 
 @query("stream_position_rules", "M3 M4", """WITH o AS (SELECT user_id, event_id, 50 + value AS v, first_value(50 + value) OVER w AS f, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),

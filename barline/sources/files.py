@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,7 +34,20 @@ def read_news(spark: SparkSession, path: str, mapping: Mapping[str, str], schema
         .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )
-    return as_news(raw, mapping)
+    return as_news(numbered(raw), mapping)
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Lines of files with a dense ``line_no`` from 1: files by name, lines in file order.
+
+    Rows of a file get rising ids as they are read; the first id and the number of lines of
+    each file, one row a file, turn them into line numbers.
+    """
+    rows = lines.withColumns({"_file": F.col("_metadata.file_path"), "_id": F.monotonically_increasing_id()})
+    starts = rows.groupBy("_file").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(starts.withColumn("_before", before), "_file")
+    return rows.withColumn("line_no", F.col("_before") + F.col("_id") - F.col("_first") + 1).drop("_file", "_id", "_first", "_n", "_before")
 
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:

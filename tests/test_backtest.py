@@ -18,8 +18,8 @@ def label(series, spark, closes, at=0):
 
 
 def test_stop_after_a_peak(series, spark):
-    r = label(series, spark, [100] * 5 + [120] * 5 + [90] * 20)
-    assert (r["exit_reason"], r["exit_date"]) == ("stop_loss", day(10))
+    r = label(series, spark, [80, 84, 92, 96, 90, 86, 83, 81, 79])
+    assert (r["exit_reason"], r["exit_date"]) == ("stop_loss", day(7))
 
 
 def test_take_profit_then_hard_exit(series, spark):

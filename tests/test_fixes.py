@@ -116,3 +116,22 @@ print("ROWS", load()["attribution_one_factor"].run(spark, "/root/testdata/sf0.00
     env = {k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "ROWS 25" in out.stdout
+
+
+def test_line_numbers_follow_the_files(spark, tmp_path):
+    from barline.sources import files
+
+    want = []
+    for name, n in (("a", 40), ("b", 3), ("c", 200)):
+        lines = [f"{name}{i}" + ("\nmore" if i % 7 == 0 else "") for i in range(n)]
+        want += lines
+        (tmp_path / f"{name}.csv").write_text("headline,ticker\n" + "".join(f'"{x}",T\n' for x in lines))
+    got = files.read_news(spark, str(tmp_path), {}).orderBy("line_no").collect()
+    assert [r["headline"] for r in got] == want and [r["line_no"] for r in got] == list(range(1, len(want) + 1))
+
+
+def test_a_tie_goes_to_the_incoming_row(spark):
+    from barline.operators.joins import upsert
+
+    old, new = (spark.createDataFrame([(1, 5, v)], "k long, at long, v string") for v in ("old", "new"))
+    assert upsert(old, new, ["k"], "at").first()["v"] == "new"
