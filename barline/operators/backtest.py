@@ -135,6 +135,7 @@ def label_exits(bars: DataFrame, entries: DataFrame, keys: Sequence[str] = ("tic
     fields = [T.StructField(k, rows.schema[k].dataType) for k in keys] + [
         T.StructField("entry_date", T.DateType()), T.StructField("entry_price", T.DoubleType()), T.StructField("exit_date", T.DateType()),
         T.StructField("exit_price", T.DoubleType()), T.StructField("exit_reason", T.StringType()), T.StructField("take_profit_date", T.DateType()),
+        T.StructField("take_profit_price", T.DoubleType()),
     ]
     slip = rules.slippage_bps / 10_000
 
@@ -146,12 +147,27 @@ def label_exits(bars: DataFrame, entries: DataFrame, keys: Sequence[str] = ("tic
         day = pdf["date"].to_numpy()
         out = {k: pdf[k].iloc[0] for k in keys} | {
             "entry_date": day[entry], "entry_price": fill, "exit_date": day[at], "exit_price": close[at] - close[at] * slip,
-            "exit_reason": why, "take_profit_date": np.where(half >= 0, day[half], None)}
+            "exit_reason": why, "take_profit_date": np.where(half >= 0, day[half], None),
+            "take_profit_price": np.where(half >= 0, close[half] - close[half] * slip, np.nan)}
         return pd.DataFrame(out, columns=[f.name for f in fields])
 
     out = spread(rows, keys).groupBy(*keys).applyInPandas(walk, T.StructType(fields))
-    pnl = (F.col("exit_price") * (1 - rules.commission_pct / 100) / F.col("entry_price") - 1) * 100
-    return out.withColumn("pnl_pct", pnl)
+    out = out.withColumn("take_profit_price", F.nanvl("take_profit_price", F.lit(None).cast("double")))
+    last, half = _leg_pnl("exit_price", rules), _leg_pnl("take_profit_price", rules)
+    return out.withColumn("pnl_pct", F.when(F.col("take_profit_date").isNull(), last).otherwise((half + last) / 2))
+
+
+def _leg_pnl(price: str, rules: ExitRules) -> Column:
+    return (F.col(price) * (1 - rules.commission_pct / 100) / F.col("entry_price") - 1) * 100
+
+
+def exit_legs(labels: DataFrame, rules: ExitRules = ExitRules()) -> DataFrame:
+    """A trade per sale: half the lot at the take-profit, where there was one, and the rest at
+    the exit. ``share`` is the part of the lot."""
+    half = F.struct(F.lit("take_profit").alias("reason"), F.col("take_profit_date").alias("date"), F.lit(0.5).alias("share"), _leg_pnl("take_profit_price", rules).alias("leg_pnl_pct"))
+    rest = F.struct(F.col("exit_reason").alias("reason"), F.col("exit_date").alias("date"), F.when(F.col("take_profit_date").isNull(), 1.0).otherwise(0.5).alias("share"), _leg_pnl("exit_price", rules).alias("leg_pnl_pct"))
+    legs = F.when(F.col("take_profit_date").isNull(), F.array(rest)).otherwise(F.array(half, rest))
+    return labels.withColumn("_leg", F.explode(legs)).select("*", "_leg.*").drop("_leg")
 
 
 def open_trade_returns(bars: DataFrame, trades: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

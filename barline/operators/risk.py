@@ -191,6 +191,11 @@ def hedge_plan(states: DataFrame, open_positions: DataFrame, allocation: DataFra
     return ok.withColumn("position_pct", F.least(F.col("_max") / n, F.lit(risk.hedge_single_pct))).select(*keys, "ticker", "position_pct")
 
 
+def hedge_exits(open_positions: DataFrame) -> DataFrame:
+    """Open rows that a hedge opened: all are to be closed when the regime no longer asks for one."""
+    return open_positions.where("signal_source = 'hedge'")
+
+
 # ---- positions ----
 def fold_positions(events: DataFrame) -> DataFrame:
     """Current row per ticker from the change events after its last deletion: peak only

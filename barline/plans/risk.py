@@ -94,7 +94,7 @@ def _(t):
 
 @query("hedge_exits", "R17", "SELECT ticker FROM open_positions WHERE signal_source = 'hedge'")
 def _(t):
-    return t.open_positions.where("signal_source = 'hedge'").select("ticker")
+    return R.hedge_exits(t.open_positions).select("ticker")
 
 
 @query("exit_rules", "F27", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN p < -12 THEN 'exit' WHEN p > 40 THEN 'exit' WHEN p >= 25 THEN 'reduce' WHEN d > 60 AND p < 5 THEN 'exit' WHEN d > 90 THEN 'exit' ELSE 'hold' END AS action
@@ -270,11 +270,11 @@ def _(t):
 
 
 @query("research_fields", "A34 C15", """SELECT ticker, date, CASE WHEN volume <> 0 AND close <> 0 THEN volume * close END AS adv_usd, CASE WHEN volume % 4 = 0 THEN 'Buy' WHEN volume % 4 = 1 THEN 'Hold' WHEN volume % 4 = 2 THEN 'Sell' END AS rating,
-CASE WHEN volume < 30 THEN 'n/a' ELSE concat(CAST(CAST(volume AS BIGINT) AS VARCHAR), '.0%') END AS shown FROM bars""", r="adv_usd")
+CASE WHEN volume < 30 THEN 'n/a' ELSE concat(CAST(CAST(volume AS BIGINT) AS VARCHAR), '.0%') END AS shown, CASE WHEN volume % 7 <> 0 THEN volume % 7 / 50.0 * 100 END AS short_pct FROM bars""", r="adv_usd short_pct")
 def _(t):
     v = F.col("volume")
     key = F.when(v % 4 == 0, "Strong_Buy").when(v % 4 == 1, "neutral").when(v % 4 == 2, "sell")
-    return t.bars.select("ticker", "date", S.adv_usd(v, F.col("close")).alias("adv_usd"), S.analyst_rating(key).alias("rating"), S.format_number(F.when(v >= 30, v), 1, "%").alias("shown"))
+    return t.bars.select("ticker", "date", S.adv_usd(v, F.col("close")).alias("adv_usd"), S.analyst_rating(key).alias("rating"), S.format_number(F.when(v >= 30, v), 1, "%").alias("shown"), S.short_interest_pct(v % 7 / 50.0).alias("short_pct"))
 
 
 TIGHT = replace(cfg.RISK, daily_reduce_pct=0.3, daily_halt_pct=0.6, daily_deleverage_pct=1.2, weekly_halt_pct=3.0, lockout_pct=25.0)

@@ -25,7 +25,9 @@ pa AS (SELECT en.ticker, e, fill, b.date, b.close, greatest(fill, coalesce(max(b
 h AS (SELECT ticker, e, fill, min(date) FILTER (WHERE (pk - close) / pk * 100 >= 15) AS s, min(date) FILTER (WHERE (close - fill) / fill * 100 >= 40) AS h, min(date) FILTER (WHERE (close - fill) / fill * 100 >= 25) AS t FROM pa GROUP BY 1, 2, 3),
 x AS (SELECT en.ticker, en.e AS entry_date, en.fill AS entry_price, coalesce(least(s, h), (SELECT max(date) FROM bars AS q WHERE q.ticker = en.ticker)) AS exit_date, CASE WHEN least(s, h) IS NULL THEN 'end_of_backtest' WHEN s <= h OR h IS NULL THEN 'stop_loss' ELSE 'hard_exit' END AS exit_reason, h.t, least(s, h) AS c
  FROM en LEFT JOIN h ON h.ticker = en.ticker AND h.e = en.e),
-lab AS MATERIALIZED (SELECT x.ticker, entry_date, entry_price, exit_date, b.close - b.close * 0.001 AS exit_price, exit_reason, CASE WHEN t < coalesce(c, DATE '9999-01-01') THEN t END AS take_profit_date, ((b.close - b.close * 0.001) * 0.9995 / entry_price - 1) * 100 AS pnl_pct FROM x JOIN bars AS b ON b.ticker = x.ticker AND b.date = x.exit_date)"""
+lab AS MATERIALIZED (SELECT x.ticker, entry_date, entry_price, exit_date, b.close - b.close * 0.001 AS exit_price, exit_reason, CASE WHEN t < coalesce(c, DATE '9999-01-01') THEN t END AS take_profit_date, b2.close - b2.close * 0.001 AS take_profit_price,
+ CASE WHEN b2.close IS NULL THEN ((b.close - b.close * 0.001) * 0.9995 / entry_price - 1) * 100 ELSE (((b.close - b.close * 0.001) * 0.9995 / entry_price - 1) * 100 + ((b2.close - b2.close * 0.001) * 0.9995 / entry_price - 1) * 100) / 2 END AS pnl_pct
+ FROM x JOIN bars AS b ON b.ticker = x.ticker AND b.date = x.exit_date LEFT JOIN bars AS b2 ON b2.ticker = x.ticker AND b2.date = CASE WHEN t < coalesce(c, DATE '9999-01-01') THEN t END)"""
 
 
 def calendar(t: Tables):
@@ -81,12 +83,19 @@ def _(t):
     return B.fill_dates(t.signals, calendar(t)).select("id", "ticker", "date", "exec_date")
 
 
-@query("exit_labels", "B2", f"WITH {FILL}, {EXITS} SELECT ticker, entry_date, entry_price, exit_date, exit_price, exit_reason, take_profit_date, pnl_pct FROM lab", r="entry_price exit_price pnl_pct", digits=8)
+@query("exit_labels", "B2", f"WITH {FILL}, {EXITS} SELECT ticker, entry_date, entry_price, exit_date, exit_price, exit_reason, take_profit_date, take_profit_price, pnl_pct FROM lab", r="entry_price exit_price take_profit_price pnl_pct", digits=8)
 def _(t):
     filled = B.fill_dates(t.signals, calendar(t))
     return B.label_exits(t.bars, filled)
 
 
+@query("exit_legs", "B2", f"""WITH {FILL}, {EXITS} SELECT ticker, entry_date, take_profit_date AS date, 'take_profit' AS reason, 0.5 AS share, (take_profit_price * 0.9995 / entry_price - 1) * 100 AS leg_pnl_pct FROM lab WHERE take_profit_date IS NOT NULL
+UNION ALL SELECT ticker, entry_date, exit_date, exit_reason, CASE WHEN take_profit_date IS NULL THEN 1.0 ELSE 0.5 END, (exit_price * 0.9995 / entry_price - 1) * 100 FROM lab""", r="share leg_pnl_pct", digits=8)
+def _(t):
+    filled = B.fill_dates(t.signals, calendar(t)).select("ticker", "exec_date")
+    return B.exit_legs(B.label_exits(t.bars, filled)).select("ticker", "entry_date", "date", "reason", "share", "leg_pnl_pct")
+
+
 @query("labelled_signals", "B2 J2", f"WITH {FILL}, {EXITS} SELECT fl.id, fl.ticker, fl.conviction, lab.exit_reason, pnl_pct FROM fl JOIN lab ON lab.ticker = fl.ticker AND lab.entry_date = fl.exec_date", r="pnl_pct", digits=6)
 def _(t):
     return trades(t).select("id", "ticker", "conviction", "exit_reason", "pnl_pct")
