@@ -198,7 +198,7 @@ def _(t):
 @query("signal_disclosures", "J2", """SELECT s.id, s.ticker, s.conviction, d.politician, d.disclosure_date, d.amount_range FROM signals AS s JOIN disclosures AS d ON d.id = s.id""")
 def _(t):
     d = t.disclosures.select("id", "politician", "disclosure_date", "amount_range")
-    return t.signals.select("id", "ticker", "conviction").join(d, "id").orderBy("disclosure_date")
+    return t.signals.select("id", "ticker", "conviction").join(d, "id")
 
 
 @query("fresh_disclosures", "J3", """SELECT id, disclosure_date FROM disclosures WHERE id NOT IN (SELECT id FROM disclosures WHERE disclosure_date >= DATE '2001-05-03' AND transaction_type = 'buy')""")
@@ -262,7 +262,7 @@ def _(t):
 @query("signal_union", "U2", """SELECT date, ticker, conviction, lag_days FROM signals UNION ALL SELECT entry_date, ticker, conviction, NULL FROM closed_positions WHERE signal_source = 'fundamental'""")
 def _(t):
     f = t.closed_positions.where("signal_source = 'fundamental'").select(F.col("entry_date").alias("date"), "ticker", "conviction")
-    return t.signals.select("date", "ticker", "conviction", "lag_days").unionByName(f, allowMissingColumns=True).orderBy("date")
+    return t.signals.select("date", "ticker", "conviction", "lag_days").unionByName(f, allowMissingColumns=True)
 
 
 @query("constituent_load", "S4", "SELECT date, ticker FROM constituents")

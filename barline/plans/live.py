@@ -54,6 +54,12 @@ def _(t):
     return available_now(P.apply_state(events(t).select("user_id", "ts"), ["user_id"], rules, rules.schema))
 
 
+@query("dead_feeds", "M6", """WITH l AS (SELECT user_id, CAST(max(ts) AS DATE) AS last_day FROM events GROUP BY user_id)
+SELECT user_id, last_day, date_diff('day', last_day, DATE '2024-02-15') AS silent_days FROM l WHERE date_diff('day', last_day, DATE '2024-02-15') > 1""")
+def _(t):
+    return L.silent_feeds(t.events, "user_id", F.lit("2024-02-15").cast("date"))
+
+
 @query("stream_circuit_breakers", "M5")
 def _(t):
     folder = land(nav_ticks(t))

@@ -140,6 +140,14 @@ def _(t):
     return G.select_model(fits, ["ticker"])
 
 
+@query("information_criteria", "R12", f"""WITH {FITS} SELECT ticker, CAST(k AS INT) AS k, -2 * log_likelihood + (k * (k - 1) + (k - 1) + 2 * k * 4) * ln(n_obs) AS bic, -2 * log_likelihood + 2 * (k * (k - 1) + (k - 1) + 2 * k * 4) AS aic FROM fi""", r="bic aic", digits=2)
+def _(t):
+    k = F.explode(F.array(*[F.lit(x) for x in (3, 4, 5, 6, 7)])).alias("k")
+    g = t.bars.groupBy("ticker").agg(F.sum("close").alias("s"), F.count(F.lit(1)).alias("n_obs")).select("ticker", "s", "n_obs", k)
+    fits = g.withColumn("log_likelihood", -F.col("s") / F.col("k")).withColumn("n_features", F.lit(4))
+    return G.information_criteria(fits).select("ticker", "k", "bic", "aic")
+
+
 @query("state_labels", "R13", """WITH r AS (SELECT ticker, CAST(month(date) % 5 AS INT) AS state, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM bars), g AS (SELECT ticker, state, round_even(avg(ret), 12) AS m FROM r GROUP BY ticker, state),
 k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY m, state) AS n FROM g) SELECT ticker, state, list_extract(['crash', 'bear', 'neutral', 'bull', 'euphoria'], n) AS label FROM k""")
 def _(t):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,3 +23,10 @@ def event_counts(stream: DataFrame, kind: str = "event_type", time: str = "ts",
         stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind)
         .agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
     )
+
+
+def silent_feeds(events: DataFrame, feed: str, as_of: Column, days: int = 1, time: str = "ts") -> DataFrame:
+    """Feeds without a row for more than ``days`` days at ``as_of``: each run of the schedule
+    asks this of what has landed, so a feed is reported while it is dead."""
+    last = events.groupBy(feed).agg(F.max(time).cast("date").alias("last_day"))
+    return last.withColumn("silent_days", F.date_diff(as_of, F.col("last_day")).cast("long")).where(F.col("silent_days") > days)
