@@ -127,7 +127,7 @@ def judge(df: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, rejected: t
     scored = each.groupBy("chars", "bad", "good").agg(F.avg(F.coalesce("two", "one")).alias("score"))
 
     def moments(weight: str) -> tuple[Column, Column]:
-        n, x = F.sum(weight), F.col("score")
+        n, x = F.nullif(F.sum(weight), F.lit(0)), F.col("score")
         mean = F.sum(F.col(weight) * x) / n
         return mean, F.sqrt(F.greatest(F.sum(F.col(weight) * x * x) / n - mean * mean, F.lit(0.0)))
 
