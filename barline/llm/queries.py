@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from barline.llm import bpe, counts, covertree, kneser, minhash, packing, suffix, tokenfile, topk, urls
+from barline.llm import bpe, counts, covertree, kneser, minhash, oracles, packing, suffix, tokenfile, topk, urls
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracles.SQL
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
