@@ -177,8 +177,9 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(int(lens.sum())) + np.repeat(starts - before, lens)
 
 
-# The pattern by which byte-level vocabularies split a text.
+# The patterns by which the vocabularies split a text.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PATTERN_END = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 ODD_SPACE = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 LIB_ONLY = re.compile(r"[\x00\x1c-\x1f]")
 CHUNK = re.compile(r"\s?\S+|\s+(?!\S)")
@@ -252,8 +253,13 @@ class Encoder:
         return [bytes(back[c] for c in p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def _words_end(self, chunk: str) -> list[bytes]:
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower().encode()]
+        if chunk.isascii() or max(chunk) < "Ā":  # composed already, and lower-cased one by one
+            low = chunk.lower()
+            if low.isalpha():
+                return [low.encode()]
+            if low[-1] in SIMPLE_END and low[:-1].isalpha():
+                return [low[:-1].encode(), low[-1].encode()]
+            return [p.encode() for p in PATTERN_END.findall(low)]
         back, lib = self._back(), self.library
         return [bytes(back[c] for c in p) for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(chunk))]
 
