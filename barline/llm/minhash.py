@@ -21,11 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import drop, land, packed_texts, text_batches, with_uid
+from barline.llm.common import drop, land, packed_texts, sized, text_batches, with_uid
 from barline.llm.graph import components
 from barline.llm.vocab import spread
 
-TREES, LEVELS, TOKENS = 14, 8, 128
+TREES, LEVELS, TOKENS = 12, 5, 64
+SCOUTS = 3
 NODE = 32
 WORDS = 500_000
 _rng = np.random.default_rng(20)
@@ -111,11 +112,14 @@ def _signs(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint32).reshape(-1, TOKENS)
 
 
-def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sign, rep = _signs(batch), batch.column("rep").to_numpy()
-        for tree in range(TREES):
-            yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.full(len(rep), tree, np.int32)), pa.array(_paths(sign, tree)[0].view(np.int64))], names=["rep", "tree", "p0"])
+def _roots(trees: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sign, rep = _signs(batch), batch.column("rep").to_numpy()
+            for tree in range(trees):
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.full(len(rep), tree, np.int32)), pa.array(_paths(sign, tree)[0].view(np.int64))], names=["rep", "tree", "p0"])
+
+    return run
 
 
 PATHS = ", ".join(f"p{i} long" for i in range(LEVELS))
@@ -123,15 +127,15 @@ PATHS = ", ".join(f"p{i} long" for i in range(LEVELS))
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the trees whose root node has company: all levels' nodes and short tokens."""
-    names = ["rep", "n", "short", *[f"p{i}" for i in range(LEVELS)]]
+    names = ["rep", "comp", "n", "short", *[f"p{i}" for i in range(LEVELS)]]
     for batch in batches:
-        sign, rep, n = _signs(batch), batch.column("rep").to_numpy(), batch.column("n").to_numpy()
+        sign, rep, comp, n = _signs(batch), *(batch.column(c).to_numpy() for c in ("rep", "comp", "n"))
         short = [row.tobytes() for row in (sign >> np.uint32(24)).astype(np.uint8)]
         trees = batch.column("trees").to_pylist()
         for tree in range(TREES):
             at = np.array([i for i, t in enumerate(trees) if tree in t], np.int64)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(n[at]), pa.array([short[i] for i in at.tolist()], pa.binary()), *[pa.array(p[at].view(np.int64)) for p in _paths(sign, tree)]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(comp[at]), pa.array(n[at]), pa.array([short[i] for i in at.tolist()], pa.binary()), *[pa.array(p[at].view(np.int64)) for p in _paths(sign, tree)]], names=names)
 
 
 def _close(percent: int, shared: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -141,38 +145,58 @@ def _close(percent: int, shared: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return (shared >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
-def _compare(percent: int):
-    """Pairs inside small nodes: ``members`` holds at most NODE of them."""
+def _forest(i: np.ndarray, j: np.ndarray, shared: np.ndarray, n: int) -> np.ndarray:
+    """Positions of the closest pairs that connect what all pairs connect."""
+    up, keep = list(range(n)), []
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for k in np.argsort(-shared, kind="stable").tolist():
+        x, y = top(int(i[k])), top(int(j[k]))
+        if x != y:
+            up[x] = y
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def _compare(percent: int, thin: bool):
+    """Pairs inside small nodes, of different components so far: ``members`` holds at most
+    NODE of them. ``thin``: only pairs that connect what all of the node's pairs connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, s = [], [], []
             for members in batch.column("members").to_pylist():
-                rep = np.array([m["rep"] for m in members])
-                n = np.array([m["n"] for m in members])
+                rep, comp, n = (np.array([m[c] for m in members]) for c in ("rep", "comp", "n"))
                 short = np.frombuffer(b"".join(m["short"] for m in members), np.uint8).reshape(len(rep), -1)
                 i, j = np.triu_indices(len(rep), 1)
                 shared = (short[i] == short[j]).sum(1)
-                ok = _close(percent, shared, n[i], n[j])
+                ok = np.flatnonzero(_close(percent, shared, n[i], n[j]) & (comp[i] != comp[j]))
+                if thin and len(ok) > 1:
+                    ok = ok[_forest(i[ok], j[ok], shared[ok], len(rep))]
                 a.append(np.minimum(rep[i], rep[j])[ok]), b.append(np.maximum(rep[i], rep[j])[ok]), s.append(shared[ok])
             yield _pairs(a, b, s)
 
     return run
 
 
-def _against(percent: int):
-    """Members of large nodes against the node's leaders."""
+def _against(percent: int, leaders: tuple[str, ...]):
+    """Members of large nodes against the node's leaders, of different components so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, n = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
+            rep, comp, n = (batch.column(c).to_numpy() for c in ("rep", "comp", "n"))
             short = np.frombuffer(b"".join(batch.column("short").to_pylist()), np.uint8).reshape(-1, TOKENS)
             a, b, s = [], [], []
-            for lead in ("lead", "other"):
+            for lead in leaders:
                 rows = batch.column(lead).to_pylist()
-                r, m = np.array([x["rep"] for x in rows], np.int64), np.array([x["n"] for x in rows], np.int64)
+                r, c, m = (np.array([x[k] for x in rows], np.int64) for k in ("rep", "comp", "n"))
                 shared = (short == np.frombuffer(b"".join(x["short"] for x in rows), np.uint8).reshape(-1, TOKENS)).sum(1)
-                ok = _close(percent, shared, n, m) & (rep != r)
+                ok = _close(percent, shared, n, m) & (comp != c)
                 a.append(np.minimum(rep, r)[ok]), b.append(np.maximum(rep, r)[ok]), s.append(shared[ok])
             yield _pairs(a, b, s)
 
@@ -184,33 +208,37 @@ def _pairs(a: list, b: list, s: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "shared"])
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared) from all trees; ``classes``: landed (rep, n, sign)."""
-    roots = land(classes.select("rep", "sign").mapInArrow(_roots, "rep long, tree int, p0 long"))
+def _nodes(rows: DataFrame, percent: int, thin: bool, leaders: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, shared) from the nodes ``p`` of ``rows`` (rep, comp, n, short, p, ...), and
+    the rows of nodes that are too large to compare all members."""
+    member, mark = F.struct("rep", "comp", "n", "short"), F.xxhash64("rep", "p")
+    nodes = rows.groupBy("p").agg(F.count("*").alias("c"), F.min_by(member, mark).alias("lead"), F.max_by(member, mark).alias("other")).where("c > 1")
+    here = rows.join(nodes, "p")
+    small = here.where(F.col("c") <= NODE).groupBy("p").agg(F.collect_list(member).alias("members"))
+    large = here.where(F.col("c") > NODE)
+    pair = "a long, b long, shared long"
+    inside = small.select("members").mapInArrow(_compare(percent, thin), pair)
+    across = large.select("rep", "comp", "n", "short", "lead", "other").mapInArrow(_against(percent, leaders), pair)
+    return land(inside.union(across)), large.drop("c", "lead", "other", "p")
+
+
+def candidates(classes: DataFrame, percent: int, trees: int, thin: bool) -> DataFrame:
+    """(a, b, shared) of the first ``trees`` trees; ``classes``: landed (rep, comp, n, sign).
+
+    The trees' roots come first. Only rows of roots that are too large go further down, to
+    all of their lower nodes at once; a node repeats pairs of the node above it, never others.
+    Pairs of one component ``comp`` are left out.
+    """
+    roots = land(classes.select("rep", "sign").mapInArrow(_roots(trees), "rep long, tree int, p0 long"))
     company = roots.groupBy("p0").agg(F.count("*").alias("c")).where("c > 1").select("p0")
     kept = roots.join(company, "p0", "left_semi").groupBy("rep").agg(F.collect_list("tree").alias("trees"))
-    level = land(classes.join(kept, "rep").mapInArrow(_branches, f"rep long, n long, short binary, {PATHS}"))
-    found, old = [], [roots]
-    pair = "a long, b long, shared long"
-    for k in range(LEVELS):
-        p = f"p{k}"
-        member = F.struct("rep", "n", "short")
-        mark = F.xxhash64("rep", p)
-        nodes = level.groupBy(p).agg(F.count("*").alias("c"), F.min_by(member, mark).alias("lead"), F.max_by(member, mark).alias("other")).where("c > 1")
-        here = level.join(nodes, p)
-        small = here.where(F.col("c") <= NODE).groupBy(p).agg(F.collect_list(member).alias("members"))
-        found.append(small.select("members").mapInArrow(_compare(percent), pair))
-        large = here.where(F.col("c") > NODE)
-        found[-1] = land(found[-1].union(large.select("rep", "n", "short", "lead", "other").mapInArrow(_against(percent), pair)).distinct())
-        old.append(level)
-        level = land(large.drop("c", "lead", "other", p))
-        if level.isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    out = land(out.distinct())
-    for df in [*old, level, *found]:
+    rows = land(classes.join(kept, "rep").mapInArrow(_branches, f"rep long, comp long, n long, short binary, {PATHS}"))
+    first, large = _nodes(rows.withColumnRenamed("p0", "p"), percent, thin, ("lead",) if thin else ("lead", "other"))
+    below = F.explode(F.array(*[f"p{k}" for k in range(1, LEVELS)]))
+    lower = land(large.select("rep", "comp", "n", "short", below.alias("p")))
+    second, _ = _nodes(lower, percent, thin, ("lead",) if thin else ("lead", "other"))
+    out = land(first.union(second).distinct())
+    for df in (roots, rows, lower, first, second):
         drop(df)
     return out
 
@@ -240,41 +268,45 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold, landed."""
+    ends = land(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct())
+    texts = land(packed_texts(rows.join(sized(ends), "uid", "left_semi")).select("uid", "blob"))
     one, two = texts.select(F.col("uid").alias("a"), F.col("blob").alias("x")), texts.select(F.col("uid").alias("b"), F.col("blob").alias("y"))
-    return land(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm(size, percent), "a long, b long"))
+    out = land(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_confirm(size, percent), "a long, b long"))
+    drop(texts)
+    return out
 
 
 def near_documents(df: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) per row: components of sets with Jaccard >= percent / 100.
+    """(id, uid, n_shingles, component_id, first) per row: components of sets with Jaccard
+    >= percent / 100; ``first`` marks the row of smallest uid in each.
 
     Equal sets are one class; links are found between classes and confirmed on full sets of
-    64-bit shingle hashes. Confirming comes in two rounds: each class with its closest
-    candidate, then every candidate pair that the first round has not connected; so the
-    result is that of confirming all candidates. ``component_id`` is the smallest id that
-    links reach. Null and empty texts, and texts without words, have no shingles and are
-    alone. Repeated rows and equal or null ids are rows of their own; an empty table gives
-    no rows; other columns are left out, whatever their names.
+    64-bit shingle hashes. ``SCOUTS`` trees come first: each class is confirmed with its
+    closest candidate there. All trees follow; every candidate pair that is not yet connected
+    is confirmed, so the result is that of confirming all candidates. ``component_id`` is the
+    smallest id that links reach. Null and empty texts, and texts without words, have no
+    shingles and are alone. Repeated rows and equal or null ids are rows of their own; an
+    empty table gives no rows; other columns are left out, whatever their names.
     """
     rows = with_uid(df, id_col, text_col)
     signs = land(rows.select("uid", "text").mapInArrow(_sign(size), "uid long, n long, key binary, sign binary"))
     classes = land(signs.where("n > 0").groupBy("key", "n").agg(F.min("uid").alias("rep"), F.first("sign").alias("sign")))
-    pairs = candidates(classes.select("rep", "n", "sign"), percent)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    texts = land(packed_texts(rows).join(ends, "uid", "left_semi").select("uid", "blob"))
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
+    plain = classes.select("rep", F.col("rep").alias("comp"), "n", "sign")
+    scouted = candidates(plain, percent, SCOUTS, True)
+    both = scouted.union(scouted.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sure = confirmed(best, texts, size, percent)
-    comp = components(sure)
-    left = pairs.join(best, ["a", "b"], "left_anti")
-    left = left.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    left = left.where(F.coalesce(F.col("ca") != F.col("cb"), F.lit(True)))
-    comp = components(sure.union(confirmed(left, texts, size, percent)))
+    best = land(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sure = confirmed(best, rows, size, percent)
+    comp = land(components(sure))
+    known = classes.join(comp, F.col("rep") == comp["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"), "n", "sign")
+    pairs = candidates(known, percent, TREES, False).join(best, ["a", "b"], "left_anti")
+    comp = components(sure.union(confirmed(pairs, rows, size, percent)))
     named = classes.select("key", "n", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("first"))
-    out = land(signs.join(named, ["key", "n"], "left").select("uid", "n", F.coalesce("first", "uid").alias("first")))
-    for df in (signs, classes, texts, pairs):
-        drop(df)
+    out = land(signs.select("uid", "n", "key").join(named, ["key", "n"], "left").select("uid", "n", F.coalesce("first", "uid").alias("first")))
+    for old in (signs, classes, scouted, best):
+        drop(old)
     ids = rows.select("uid", "id")
     out = out.join(ids, "uid").join(ids.select(F.col("uid").alias("first"), F.col("id").alias("component_id")), "first")
     return out.select("id", "uid", F.col("n").alias("n_shingles"), "component_id", (F.col("uid") == F.col("first")).alias("first"))
