@@ -139,9 +139,9 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(percent: int, shared: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Signatures agree enough for the threshold, by four deviations, and sizes allow it."""
+    """Signatures agree enough for the threshold, by 3.5 deviations, and sizes allow it."""
     p = percent / 100
-    least = TOKENS * (p - 4 * np.sqrt(p * (1 - p) / TOKENS))
+    least = TOKENS * (p - 3.5 * np.sqrt(p * (1 - p) / TOKENS))
     return (shared >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
@@ -233,7 +233,7 @@ def candidates(classes: DataFrame, percent: int, trees: int, thin: bool) -> Data
     company = roots.groupBy("p0").agg(F.count("*").alias("c")).where("c > 1").select("p0")
     kept = roots.join(company, "p0", "left_semi").groupBy("rep").agg(F.collect_list("tree").alias("trees"))
     rows = land(classes.join(kept, "rep").mapInArrow(_branches, f"rep long, comp long, n long, short binary, {PATHS}"))
-    first, large = _nodes(rows.withColumnRenamed("p0", "p"), percent, thin, ("lead",) if thin else ("lead", "other"))
+    first, large = _nodes(rows.withColumnRenamed("p0", "p"), percent, thin, ("lead",))
     below = F.explode(F.array(*[f"p{k}" for k in range(1, LEVELS)]))
     lower = land(large.select("rep", "comp", "n", "short", below.alias("p")))
     second, _ = _nodes(lower, percent, thin, ("lead",) if thin else ("lead", "other"))
