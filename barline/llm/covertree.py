@@ -24,8 +24,8 @@ from barline.llm.vocab import spread
 
 BLOCK = 4096
 CENTRES = 1024
-TOP = 1.0
-LEVELS = 5
+TOP = 0.5
+LEVELS = 4
 SLACK = 1e-7
 
 
@@ -179,14 +179,24 @@ def dual(a: Tree, b: Tree, least: float, same: bool) -> tuple[np.ndarray, np.nda
             i, j = i2, j2
 
     top_a, top_b = a.unit[a.centre[0]].astype(np.float32), b.unit[b.centre[0]].astype(np.float32)
-    for lo in range(0, len(top_a), 1024):
-        cos = top_a[lo : lo + 1024] @ top_b.T
-        bound = reach + a.radius[0][lo : lo + 1024, None] + b.radius[0][None] + 1e-3
-        i, j = np.nonzero(cos >= np.where(bound < 2, 1 - bound * bound / 2, -2.0))
-        i = i + lo
-        if same:
-            i, j = i[i <= j], j[i <= j]
-        visit(0, i, j)
+    wide_a, wide_b = (np.flatnonzero(t.radius[0] > 0) for t in (a, b))
+    thin_a, thin_b = (np.flatnonzero(t.radius[0] == 0) for t in (a, b))
+    # Nodes of one vector have one bound; only nodes with a radius need their own.
+    for rows, cols in ((thin_a, thin_b), (thin_a, wide_b), (wide_a, thin_b), (wide_a, wide_b)):
+        right, r_right = np.ascontiguousarray(top_b[cols].T), b.radius[0][cols]
+        for lo in range(0, len(rows) if len(cols) else 0, 1024):
+            part = rows[lo : lo + 1024]
+            cos = top_a[part] @ right
+            if r_right.any() or a.radius[0][part].any():
+                bound = reach + a.radius[0][part, None] + r_right[None] + 1e-3
+                hit = cos >= np.where(bound < 2, 1 - bound * bound / 2, -2.0)
+            else:
+                hit = cos >= np.float32(least - 1e-3)
+            at = np.flatnonzero(hit)
+            i, j = part[at // len(cols)], cols[at % len(cols)]
+            if same:
+                i, j = i[i <= j], j[i <= j]
+            visit(0, i, j)
     na += np.cumsum(da[:-1])
     nb += np.cumsum(db[:-1])
     x, y = (np.concatenate(v).astype(np.int64) if v else np.empty(0, np.int64) for v in (ex, ey))
