@@ -28,7 +28,7 @@ from barline.llm.vocab import spread
 TREES, LEVELS, TOKENS = 12, 5, 64
 SCOUTS = 3
 NODE = 32
-WORDS = 500_000
+WORDS = 200_000
 _rng = np.random.default_rng(20)
 FLIP = _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
 SCALE = _rng.integers(0, 1 << 31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
