@@ -23,9 +23,9 @@ from barline.llm.common import drop, land, packed_texts, sized, with_uid
 from barline.llm.vocab import spread
 
 GRAM = 32
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 HOT = 20_000
-CHUNK = 6 << 20
+CHUNK = 2 << 20
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
 
