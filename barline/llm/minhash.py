@@ -3,8 +3,9 @@
 Every document's set of word shingles has a signature of minwise tokens. A tree branches
 documents by one minwise token a level, so two sets of Jaccard similarity J stay together
 with probability J a level. Nodes of at most ``NODE`` members compare all their members;
-larger ones compare every member with the node's leaders and branch on. Independent trees
-repeat this: pairs at the threshold that part at level l are missed with probability
+larger ones compare every member with the node's leaders and branch on. Nodes that are still
+large at the last level are solved exactly, in pairs of bounded blocks of members. Independent
+trees repeat this: pairs at the threshold that part at level l are missed with probability
 (1 - J**l)**TREES. Candidates whose signatures agree enough are confirmed on the full sets.
 """
 
@@ -28,6 +29,7 @@ from barline.llm.vocab import spread
 TREES, LEVELS, TOKENS = 12, 5, 64
 SCOUTS = 3
 NODE = 32
+MEMBERS, SHINGLES = 1024, 1 << 19  # about the most documents, and shingles, of a block of a large node
 WORDS = 200_000
 _rng = np.random.default_rng(20)
 FLIP = _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
@@ -210,36 +212,102 @@ def _pairs(a: list, b: list, s: list) -> pa.RecordBatch:
 
 def _nodes(rows: DataFrame, percent: int, thin: bool, leaders: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, shared) from the nodes ``p`` of ``rows`` (rep, comp, n, short, p, ...), and
-    the rows of nodes that are too large to compare all members."""
+    the rows of nodes that are too large to compare all members, with ``lo`` and ``hi``, the
+    smallest and largest component of the node."""
     member, mark = F.struct("rep", "comp", "n", "short"), F.xxhash64("rep", "p")
-    nodes = rows.groupBy("p").agg(F.count("*").alias("c"), F.min_by(member, mark).alias("lead"), F.max_by(member, mark).alias("other")).where("c > 1")
+    nodes = rows.groupBy("p").agg(F.count("*").alias("c"), F.min_by(member, mark).alias("lead"), F.max_by(member, mark).alias("other"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1")
     here = rows.join(nodes, "p")
     small = here.where(F.col("c") <= NODE).groupBy("p").agg(F.collect_list(member).alias("members"))
     large = here.where(F.col("c") > NODE)
     pair = "a long, b long, shared long"
     inside = small.select("members").mapInArrow(_compare(percent, thin), pair)
     across = large.select("rep", "comp", "n", "short", "lead", "other").mapInArrow(_against(percent, leaders), pair)
-    return land(inside.union(across)), large.drop("c", "lead", "other", "p")
+    return land(inside.union(across)), large.drop("c", "lead", "other")
 
 
-def candidates(classes: DataFrame, percent: int, trees: int, thin: bool) -> DataFrame:
-    """(a, b, shared) of the first ``trees`` trees; ``classes``: landed (rep, comp, n, sign).
+def candidates(classes: DataFrame, percent: int, trees: int, thin: bool) -> tuple[DataFrame, DataFrame]:
+    """(a, b, shared) of the first ``trees`` trees, and the members (p, rep, comp, n) of nodes
+    ``p`` that stay large at the last level; ``classes``: landed (rep, comp, n, sign).
 
     The trees' roots come first. Only rows of roots that are too large go further down, to
     all of their lower nodes at once; a node repeats pairs of the node above it, never others.
-    Pairs of one component ``comp`` are left out.
+    Pairs of one component ``comp`` are left out, and so are large nodes of one component.
     """
     roots = land(classes.select("rep", "sign").mapInArrow(_roots(trees), "rep long, tree int, p0 long"))
     company = roots.groupBy("p0").agg(F.count("*").alias("c")).where("c > 1").select("p0")
     kept = roots.join(company, "p0", "left_semi").groupBy("rep").agg(F.collect_list("tree").alias("trees"))
     rows = land(classes.join(kept, "rep").mapInArrow(_branches, f"rep long, comp long, n long, short binary, {PATHS}"))
     first, large = _nodes(rows.withColumnRenamed("p0", "p"), percent, thin, ("lead",))
-    below = F.explode(F.array(*[f"p{k}" for k in range(1, LEVELS)]))
-    lower = land(large.select("rep", "comp", "n", "short", below.alias("p")))
-    second, _ = _nodes(lower, percent, thin, ("lead",) if thin else ("lead", "other"))
+    below = F.explode(F.array(*[F.struct(F.col(f"p{k}").alias("p"), F.lit(k == LEVELS - 1).alias("last")) for k in range(1, LEVELS)]))
+    lower = land(large.select("rep", "comp", "n", "short", below.alias("at")).select("rep", "comp", "n", "short", "at.p", "at.last"))
+    second, large = _nodes(lower, percent, thin, ("lead",) if thin else ("lead", "other"))
+    last = large.where("last and lo < hi").select("p", "rep", "comp", "n")
+    last = land(last.where("false") if thin else last)
     out = land(first.union(second).distinct())
     for df in (roots, rows, lower, first, second):
         drop(df)
+    return out, last
+
+
+def _shares(one: list[np.ndarray], two: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set of ``one``: its number of common members with every set of ``two``."""
+    each = np.fromiter(map(len, two), np.int64, len(two))
+    flat = np.concatenate(two)
+    values, at = np.unique(flat, return_inverse=True)
+    starts = np.cumsum(each) - each
+    has = np.zeros(len(values), np.int32)
+    for i, s in enumerate(one):
+        place = np.minimum(np.searchsorted(values, s), len(values) - 1)
+        place = place[values[place] == s]
+        has[place] = 1
+        yield i, np.add.reduceat(has[at], starts)
+        has[place] = 0
+
+
+def _solve(size: int, percent: int):
+    """Links between two blocks of a node's members (or inside one), of different components
+    so far, on full sets: only those that connect what all links connect."""
+
+    def run(table: pa.Table) -> pa.Table:
+        tool = zstandard.ZstdDecompressor()
+        rep, comp, block = (table.column(c).to_numpy() for c in ("rep", "comp", "block"))
+        sets = shingle_sets([tool.decompress(b).decode() for b in table.column("blob").to_pylist()], size)
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+        if len(np.unique(comp[left])) > len(np.unique(comp[right])):
+            left, right = right, left
+        a, b, s = [], [], []
+        for c in np.unique(comp[left]).tolist():
+            x, y = left[comp[left] == c], right[comp[right] != c]
+            if not len(x) or not len(y):
+                continue
+            if len(x) > len(y):
+                x, y = y, x
+            for i, both in _shares([sets[k] for k in x.tolist()], [sets[k] for k in y.tolist()]):
+                union = n[x[i]] + n[y] - both
+                ok = np.flatnonzero(100 * both >= percent * union)
+                a.append(np.full(len(ok), x[i])), b.append(y[ok]), s.append(both[ok] / union[ok])
+        a, b = (np.concatenate(z).astype(np.int64) if z else np.empty(0, np.int64) for z in (a, b))
+        if len(a):
+            keep = _forest(a, b, np.concatenate(s), len(rep))
+            a, b = a[keep], b[keep]
+        return pa.table({"a": pa.array(np.minimum(rep[a], rep[b]), pa.int64()), "b": pa.array(np.maximum(rep[a], rep[b]), pa.int64())})
+
+    return run
+
+
+def solved(members: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) inside large nodes, landed; ``members``: landed (p, rep, comp, n). Every
+    pair of blocks of a node is a group of its own, so no task holds a node."""
+    blocks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES))
+    nodes = members.groupBy("p").agg(blocks.alias("blocks"))
+    texts = land(packed_texts(rows.join(members.select(F.col("rep").alias("uid")).distinct(), "uid", "left_semi")).select(F.col("uid").alias("rep"), "blob"))
+    here = members.join(nodes, "p").withColumn("block", F.expr("pmod(xxhash64(rep, p), blocks)"))
+    here = here.join(texts, "rep").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    here = here.select("p", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "comp", "blob")
+    out = land(here.groupBy("p", "i", "j").applyInArrow(_solve(size, percent), "a long, b long").distinct())
+    drop(texts)
     return out
 
 
@@ -285,7 +353,8 @@ def near_documents(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     Equal sets are one class; links are found between classes and confirmed on full sets of
     64-bit shingle hashes. ``SCOUTS`` trees come first: each class is confirmed with its
     closest candidate there. All trees follow; every candidate pair that is not yet connected
-    is confirmed, so the result is that of confirming all candidates. ``component_id`` is the
+    is confirmed, and all pairs of the nodes that stay large are, so the result is that of
+    confirming all candidates. ``component_id`` is the
     smallest id that links reach. Null and empty texts, and texts without words, have no
     shingles and are alone. Repeated rows and equal or null ids are rows of their own; an
     empty table gives no rows; other columns are left out, whatever their names.
@@ -294,15 +363,16 @@ def near_documents(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     signs = land(rows.select("uid", "text").mapInArrow(_sign(size), "uid long, n long, key binary, sign binary"))
     classes = land(signs.where("n > 0").groupBy("key", "n").agg(F.min("uid").alias("rep"), F.first("sign").alias("sign")))
     plain = classes.select("rep", F.col("rep").alias("comp"), "n", "sign")
-    scouted = candidates(plain, percent, SCOUTS, True)
+    scouted, _ = candidates(plain, percent, SCOUTS, True)
     both = scouted.union(scouted.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     best = land(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sure = confirmed(best, rows, size, percent)
     comp = land(components(sure))
     known = classes.join(comp, F.col("rep") == comp["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"), "n", "sign")
-    pairs = candidates(known, percent, TREES, False).join(best, ["a", "b"], "left_anti")
-    comp = components(sure.union(confirmed(pairs, rows, size, percent)))
+    pairs, last = candidates(known, percent, TREES, False)
+    pairs = pairs.join(best, ["a", "b"], "left_anti")
+    comp = components(sure.union(confirmed(pairs, rows, size, percent)).union(solved(last, rows, size, percent)))
     named = classes.select("key", "n", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "n", F.coalesce("component", "rep").alias("first"))
     out = land(signs.select("uid", "n", "key").join(named, ["key", "n"], "left").select("uid", "n", F.coalesce("first", "uid").alias("first")))
     for old in (signs, classes, scouted, best):

@@ -92,6 +92,20 @@ def test_near_documents_with_small_nodes(spark, documents, copies, monkeypatch):
     assert {r.id: (r.n_shingles, r.component_id) for r in out} == near(copies, 3, 85)
 
 
+def test_near_documents_of_one_template(spark, documents, prose, monkeypatch):
+    """Documents of one template lie below the threshold, planted pairs of them just above it."""
+    monkeypatch.setattr(minhash, "MEMBERS", 60)
+    rng = random.Random(12)
+    template = prose(77, 300)
+    docs = [edited(template, rng, 6) for _ in range(240)]
+    docs += [edited(d, rng, 7) for d in docs[:40]]
+    rows = list(enumerate(docs))
+    want = near(rows, 3, 85)
+    assert 40 <= len(docs) - len({c for _, c in want.values()}) <= 80
+    got = {r.id: (r.n_shingles, r.component_id) for r in minhash.near_documents(documents(rows), 3, 85).collect()}
+    assert got == want
+
+
 def test_near_documents_edge_cases(spark, documents):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, ""), (4, "z " * 50_000)]
     out = minhash.near_documents(documents(rows), 5, 80).collect()
