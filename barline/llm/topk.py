@@ -132,15 +132,16 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id",
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = full(named).withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
-    share = kth.select("query_id", F.ceil(F.col("score") / SLICES).alias("share"))
+    slices = F.least(F.lit(SLICES), F.size("v"))
+    own = df.select(F.col("id").alias("query_id"), slices.alias("all"))
+    share = kth.join(own, "query_id").select("query_id", F.ceil(F.col("score") / F.col("all")).alias("share"))
     dims = q.select("block", "dim", "ids").dropDuplicates(["block", "dim"])
     who = dims.mapInArrow(_ids, "qb long, dim int, query_id long")
     cut = who.join(share, "query_id").groupBy("qb", "dim").agg(F.sort_array(F.collect_list(F.struct("query_id", "share"))).alias("c"))
     cut = cut.select("qb", "dim", F.col("c.query_id").alias("who"), F.col("c.share").alias("share"))
     entries = land(_grid(q, c, land(cut)).applyInArrow(_enough, found))
     known = entries.groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"), F.count("*").alias("slices"))
-    slices = F.least(F.lit(SLICES), F.size("v"))
-    part = known.join(df.select(F.col("id").alias("query_id"), slices.alias("all")), "query_id")
+    part = known.join(own, "query_id")
     part = land(part)
     exact = part.where("slices = all").select("query_id", "vec_id", "score")
     rest = part.where("slices < all").select("query_id", "vec_id")

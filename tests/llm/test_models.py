@@ -43,6 +43,12 @@ def test_top_k_equals_brute_force(spark, monkeypatch, high):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 4 == 0).count() == 0
 
 
+def test_top_k_of_one_dimension(spark):
+    rows = [(i, [x]) for i, x in enumerate(range(-7, 23))]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 4 == 0, 20).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == best(rows, 20, 4)
+
+
 def test_top_k_query(spark, sf):
     raw = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     rows = [(r.vec_id, [math.floor(64 * x) for x in r.embedding]) for r in raw]
