@@ -235,6 +235,15 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(clean) >= 0.98 and np.mean(junk) <= 0.1
 
 
+def test_cut_is_the_quantile_of_held_out_trusted_documents(spark, documents, prose):
+    """Short junk has no allowance, and no document above the quantile is kept."""
+    rows = [(i, prose(i, 40)) for i in range(60)] + [(100 + i, "7 !! ZZ") for i in range(3)]
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "id long")
+    got = {r.id: r for r in kneser.quality(documents(rows), trusted).collect()}
+    assert kneser.MARGIN == 1 and not any(got[i].kept for i in (100, 101, 102))
+    assert sum(got[i].kept for i in range(60)) >= 58
+
+
 def test_pipeline_equals_brute_force(spark, sf, tmp_path):
     """Stage by stage on the smallest tables; the classifier's verdicts are tested above."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
