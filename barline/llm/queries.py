@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from barline.llm import bpe, counts, covertree, kneser, minhash, oracles, packing, suffix, tokenfile, topk, urls
+from barline.llm import bpe, counts, covertree, kneser, merkle, minhash, oracles, packing, secretscan, suffix, tokenfile, topk, urls, whitening
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -90,3 +90,27 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kneser.quality(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_words", F.round("perplexity", 6).alias("perplexity"), F.round("cut", 6).alias("cut"), "kept")
+
+
+@query
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secretscan.scan(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secretscan.BASE]
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return out.select(F.col("id").alias("doc_id"), *map(of, base), F.sha2(joined(F.filter("spans", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"), most=8)
+    return out.withColumnRenamed("id", "vec_id").withColumn("deviation", F.col("deviation").cast("long"))
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    claims = {"text": F.when(picked, F.translate("text", "\n", "")).otherwise(F.col("text"))}
+    out = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], claims)
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
