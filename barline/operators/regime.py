@@ -1,7 +1,7 @@
 """Regime features, scaling, hidden-state inference, labels and stability.
 
-A sequence is one market (or one market and window): one row per date. Sequences run in
-parallel; only the recursions along a sequence use grouped functions.
+A sequence is one market (or one market and window): one row per date. Recursions along a
+sequence are scans over its blocks (``chain``), so blocks of all sequences run in parallel.
 """
 
 from __future__ import annotations
@@ -11,15 +11,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline import config as cfg
-from barline.functions.series import full, over, spread, trailing
-from barline.session import cut_lineage
+from barline.functions.series import full, over, trailing
+from barline.operators import chain
 
-TINY = 1e-300
+TINY = chain.TINY
 CORE = ["ret_1d", "vol_20d", "trend_z"]
 
 
@@ -104,159 +103,40 @@ def log_emission(x: Sequence[Column], model: Model) -> Column:
     return F.array(*[one(k) for k in range(model.k)])
 
 
-def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.log(np.exp(a - top).sum(axis=axis)) + np.squeeze(top, axis=axis)
-
-
 def forward_step(prev: np.ndarray, log_trans: np.ndarray, emission: np.ndarray) -> np.ndarray:
-    return _lse(prev[:, None] + log_trans, 0) + emission
-
-
-def forward(e: np.ndarray, m: Model) -> np.ndarray:
-    lt, out = np.log(m.trans + TINY), np.empty_like(e)
-    out[0] = np.log(m.start + TINY) + e[0]
-    for t in range(1, len(e)):
-        out[t] = forward_step(out[t - 1], lt, e[t])
-    return out
-
+    return chain.lse((prev[:, None] + log_trans).T) + emission
 
-def backward(e: np.ndarray, m: Model) -> np.ndarray:
-    lt, out = np.log(m.trans + TINY), np.zeros_like(e)
-    for t in range(len(e) - 2, -1, -1):
-        out[t] = _lse(lt + (e[t + 1] + out[t + 1])[None, :], 1)
-    return out
 
+def decode(rows: DataFrame, model: Model, key: str = "market_id", emission: str = "log_emission", whole: bool = True) -> DataFrame:
+    """Filtered and smoothed posteriors, most likely path, and running log-likelihood, by
+    scans over blocks of each series (see ``chain``).
 
-def best_path(e: np.ndarray, m: Model) -> np.ndarray:
-    lt, best = np.log(m.trans + TINY), np.log(m.start + TINY) + e[0]
-    back = np.zeros(e.shape, dtype=int)
-    for t in range(1, len(e)):
-        step = best[:, None] + lt
-        back[t], best = step.argmax(0), step.max(0) + e[t]
-    path = np.empty(len(e), dtype=int)
-    path[-1] = best.argmax()
-    for t in range(len(e) - 2, -1, -1):
-        path[t] = back[t + 1, path[t + 1]]
-    return path
-
-
-def decode(rows: DataFrame, model: Model, key: str = "market_id", emission: str = "log_emission") -> DataFrame:
-    """Filtered and smoothed posteriors, most likely path, and running log-likelihood.
-
-    ``filtered`` is causal; ``smoothed`` and ``path`` look ahead and are for research.
+    ``filtered`` is causal; ``smoothed`` and ``path`` look ahead, are for research, and are
+    left out where ``whole`` is false. The blocks are landed when this is called.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date", ignore_index=True)
-        e = np.stack(pdf[emission].to_numpy())
-        a = forward(e, model)
-        ll = _lse(a, 1)
-        g = a + backward(e, model)
-        return pd.DataFrame({
-            key: pdf[key], "date": pdf["date"], "filtered": list(np.exp(a - ll[:, None])), "smoothed": list(np.exp(g - _lse(g, 1)[:, None])),
-            "path": best_path(e, model), "log_likelihood": ll})
-
-    kind = rows.schema[key].dataType.simpleString()
-    return spread(rows.select(key, "date", emission), [key]).groupBy(key).applyInPandas(
-        run, f"{key} {kind}, date date, filtered array<double>, smoothed array<double>, path int, log_likelihood double")
+    numbers = lambda a: F.array(*[F.lit(float(v)) for v in np.ravel(a)])
+    blocks = chain.packed(rows, [key], emission).withColumns({"start": numbers(model.start), "trans": numbers(model.trans)})
+    return chain.decoded(blocks, [key], whole)
 
 
 def score(decoded: DataFrame, key: str = "market_id") -> DataFrame:
     return decoded.groupBy(key).agg(F.max_by("log_likelihood", "date").alias("log_likelihood"), F.count(F.lit(1)).alias("n_obs"))
 
 
-FLOOR = 1e-6  # fixed value: least variance, and pseudo-count of a start or a step
-
-
-def densities(x: np.ndarray, models: Sequence[Model]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, models, states) densities divided by the row's largest one, and the log of that."""
-    out = np.empty((len(x), len(models), models[0].k))
-    for r, m in enumerate(models):
-        for s in range(m.k):
-            z = (x - m.means[s]) / np.sqrt(m.vars[s])
-            out[:, r, s] = -0.5 * ((z * z).sum(1) + np.log(2 * np.pi * m.vars[s]).sum())
-    top = out.max(2, keepdims=True)
-    return np.exp(out - top), top[..., 0]
-
-
-def expected_counts(x: np.ndarray, models: Sequence[Model]) -> list[np.ndarray]:
-    """Expected counts of one sequence under each model: log-likelihood, start, steps, weight
-    and weighted sums of x and x * x per state.
-
-    Forward and backward variables are scaled to sum to one at every row; the scales'
-    logarithms add up to the likelihood. One pass serves all models.
-    """
-    b, top = densities(x, models)
-    start, step = np.stack([m.start for m in models]), np.stack([m.trans for m in models])
-    ahead, scale = np.empty_like(b), np.empty(b.shape[:2])
-    now = start * b[0]
-    for t in range(len(x)):
-        if t:
-            now = np.einsum("ri,rij->rj", now, step) * b[t]
-        scale[t] = np.maximum(now.sum(1), np.finfo(float).tiny)
-        now = ahead[t] = now / scale[t][:, None]
-    behind = np.ones_like(b)
-    for t in range(len(x) - 1, 0, -1):
-        behind[t - 1] = np.einsum("rij,rj->ri", step, b[t] * behind[t]) / scale[t][:, None]
-    share = ahead * behind
-    out = []
-    for r in range(len(models)):
-        arrive = b[1:, r] * behind[1:, r] / scale[1:, r, None]
-        steps = step[r] * (ahead[:-1, r].T @ arrive)
-        g = share[:, r]
-        total = np.log(scale[:, r]).sum() + top[:, r].sum()
-        out.append(np.concatenate([[total], g[0], steps.ravel(), g.sum(0), (g.T @ x).ravel(), (g.T @ (x * x)).ravel()]))
-    return out
-
-
-def from_counts(counts: np.ndarray, old: Model) -> Model:
-    """The model that the summed expected counts ask for. A state without weight stays as it was."""
-    k, d = old.means.shape
-    first, steps, weight, sx, sxx = np.split(counts[1:], np.cumsum([k, k * k, k, k * d]))
-    steps = steps.reshape(k, k) + FLOOR
-    used = weight > FLOOR
-    w = np.where(used, weight, 1.0)[:, None]
-    means = np.where(used[:, None], sx.reshape(k, d) / w, old.means)
-    spread_ = np.where(used[:, None], sxx.reshape(k, d) / w - means**2, old.vars)
-    return Model((first + FLOOR) / (first + FLOOR).sum(), steps / steps.sum(1, keepdims=True), means, np.maximum(spread_, FLOOR))
-
-
 def fit_model(rows: DataFrame, names: Sequence[str], k: int, key: str = "market_id", iterations: int = 100, restarts: int = 5, seed: int = 42, tol: float = 1e-4) -> tuple[Model, float]:
-    """One model over many sequences by expectation-maximisation.
-
-    Every sequence sends its expected counts (a handful of numbers per state); Spark adds
-    them up; only those sums reach the driver. All restarts share a pass over the data. A
-    restart ends when its likelihood gains less than ``tol`` a row.
-    """
-    names = list(names)
-    data = cut_lineage(spread(rows.select(key, "date", F.array(*names).alias("x")), [key]))
-    whole = data.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v"), F.count("v").alias("n")).orderBy("i").collect()
-    variance, n = np.maximum([w["v"] for w in whole], FLOOR), whole[0]["n"]
-    mark = F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.col("date").cast("string"))
-    points = np.array([p["x"] for p in data.orderBy(mark).limit(k * max(1, restarts)).select("x").collect()])
-    even = np.full((k, k), 1 / k)
-    models = [Model(even[0], even, points[np.arange(k) * max(1, restarts) + r], np.tile(variance, (k, 1))) for r in range(max(1, restarts))]
-    best, live = np.full(len(models), -np.inf), list(range(len(models)))
-    for _ in range(iterations):
-        tried = [models[r] for r in live]
-
-        def expect(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(pdf.sort_values("date")["x"].to_numpy())
-            return pd.DataFrame({"restart": live, "stats": expected_counts(x, tried)})
-
-        cols = F.posexplode("stats").alias("i", "v")
-        sums = data.groupBy(key).applyInPandas(expect, "restart int, stats array<double>").select("restart", cols).groupBy("restart", "i").agg(F.sum("v").alias("v")).collect()
-        counts = {r: np.zeros(1 + k + k * k + k + 2 * points.shape[1] * k) for r in live}
-        for row in sums:
-            counts[row["restart"]][row["i"]] = row["v"]
-        gain = {r: counts[r][0] - best[r] for r in live}
-        for r in live:
-            best[r], models[r] = counts[r][0], from_counts(counts[r], models[r])
-        live = [r for r in live if not gain[r] < tol * n]
-        if not live:
-            break
-    r = int(np.argmax(best))
-    return models[r], float(best[r])
+    """One model over many sequences: the best restart of ``chain.fitted`` with a single group."""
+    data = rows.select(F.lit(0).alias("_all"), key, "date", F.array(*names).alias("x"))
+    m = chain.best_restart(chain.fitted(data, ["_all"], [key], "x", [k], iterations, max(1, restarts), seed, tol), ["_all"]).first()
+    shaped = lambda c: np.array(m[c]).reshape(k, -1)
+    return Model(np.array(m["start"]), shaped("trans"), shaped("means"), shaped("vars")), float(m["log_likelihood"])
+
+
+def fit_models(rows: DataFrame, names: Sequence[str], ks: Sequence[int], group: Sequence[str], key: str = "market_id", **how) -> DataFrame:
+    """The best restart for every group and number of states, with ``n_obs`` and ``n_features``,
+    as ``select_model`` takes them."""
+    data = rows.select(*dict.fromkeys([*group, key]), "date", F.array(*names).alias("x"))
+    best = chain.best_restart(chain.fitted(data, group, [key], "x", ks, **how), group)
+    return best.withColumnRenamed("n", "n_obs").withColumn("n_features", F.lit(len(names)))
 
 
 def information_criteria(fits: DataFrame) -> DataFrame:

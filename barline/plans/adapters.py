@@ -3,7 +3,9 @@
 The text is plain SQL that Spark and DuckDB both accept, so a registered query and
 its check SQL start from the same rows. ``bround`` (half-even rounding) is spelled
 ``round_even`` in DuckDB. Prices are rounded so that comparisons of two closes do not
-depend on the order in which an engine adds doubles.
+depend on the order in which an engine adds doubles. No adapter leaves rows out of its
+tables, but for joins and windows that have no value. Book and broker hold the same suppliers
+under tickers that are shifted by three, so each side has positions that the other lacks.
 
 Size bounds that the operators rely on: ``bars`` has one row per (ticker, date), so a
 ticker never holds more rows than there are calendar days; ``market`` and
@@ -36,7 +38,7 @@ SELECT ticker, date, open, greatest(open, close) * (1 + d / 10) AS high,
 SELECT 'MKT' AS market_id, date, bround(exp(avg(ln(close))), 4) AS close, sum(volume) AS volume FROM bars GROUP BY date""",
     "fear": """
 SELECT CAST(o_orderdate AS DATE) AS date, bround(10 + avg(o_totalprice) / 20000, 4) AS vix FROM orders
-WHERE o_orderpriority <> '5-LOW' GROUP BY CAST(o_orderdate AS DATE)""",
+GROUP BY CAST(o_orderdate AS DATE)""",
     "sectors": """
 SELECT ticker, CASE WHEN CAST(replace(ticker, 'Brand#', '') AS INT) % 7 = 6 THEN 'Gardening'
        WHEN CAST(replace(ticker, 'Brand#', '') AS INT) % 3 = 0 THEN 'Technology'
@@ -75,31 +77,31 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand AS ticker, CAST(o
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_shipdate > o_orderdate""",
     "regime_log": """
 SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date,
-       CASE o_orderpriority WHEN '1-URGENT' THEN 'crash' WHEN '2-HIGH' THEN 'bear' WHEN '3-MEDIUM' THEN 'neutral' ELSE 'bull' END AS regime_label,
-       bround(o_totalprice / 500000, 6) AS confidence FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW'""",
+       CASE o_orderpriority WHEN '1-URGENT' THEN 'crash' WHEN '2-HIGH' THEN 'bear' WHEN '3-MEDIUM' THEN 'neutral' WHEN '5-LOW' THEN 'euphoria' ELSE 'bull' END AS regime_label,
+       bround(o_totalprice / 500000, 6) AS confidence FROM orders""",
     "headlines": """
 SELECT doc_id AS line_no, text AS headline, source AS ticker, CAST(CAST(DATE '2024-01-01' + CAST(doc_id % 90 AS INT) AS DATE) AS STRING) AS date, lang AS source FROM documents""",
     "moves": """
 SELECT date, close, close / lag(close, 20) OVER (ORDER BY date) - 1 AS m FROM market""",
     "regime_daily": """
 SELECT date, CASE WHEN m < -0.02 THEN 'crash' WHEN m < -0.005 THEN 'bear' WHEN m < 0.005 THEN 'neutral' WHEN m < 0.02 THEN 'bull' ELSE 'euphoria' END AS regime_label,
-       bround(least(0.3 + abs(m) * 20, 1.0), 6) AS confidence FROM moves WHERE m IS NOT NULL AND abs(m) > 0.002""",
+       bround(least(0.3 + abs(m) * 20, 1.0), 6) AS confidence FROM moves WHERE m IS NOT NULL""",
     "signals": """
 SELECT id, disclosure_date AS date, ticker, CAST(5 + CAST(id AS BIGINT) % 6 AS INT) AS conviction, CAST(5.0 AS DOUBLE) AS position_pct,
        CAST(CAST(id AS BIGINT) % 61 AS INT) AS lag_days FROM disclosures WHERE transaction_type = 'buy'""",
     "committee_members": """
 SELECT c_name AS politician, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Senate Commerce Science Panel' WHEN 'BUILDING' THEN 'House Agriculture'
-       WHEN 'FURNITURE' THEN 'Senate Banking Committee' WHEN 'HOUSEHOLD' THEN 'House Appropriations' END AS committee
-FROM customer WHERE c_mktsegment <> 'MACHINERY'""",
+       WHEN 'FURNITURE' THEN 'Senate Banking Committee' WHEN 'HOUSEHOLD' THEN 'House Appropriations' ELSE 'Joint Printing' END AS committee
+FROM customer""",
     "constituents": """
 SELECT CAST(date_trunc('quarter', date) AS DATE) AS date, ticker FROM bars GROUP BY CAST(date_trunc('quarter', date) AS DATE), ticker
 HAVING max_by(close, date) > 0.97 * min_by(close, date)""",
     "book": """
 SELECT concat('Brand#', CAST(s_suppkey % 20 + 1 AS STRING)) AS ticker, bround(sum(abs(s_acctbal)) / 100, 4) AS qty FROM supplier
-WHERE s_acctbal > 4000 GROUP BY s_suppkey % 20""",
+GROUP BY s_suppkey % 20""",
     "broker": """
-SELECT concat('Brand#', CAST(s_suppkey % 23 + 1 AS STRING)) AS ticker, bround(sum(abs(s_acctbal)) / 100, 4) AS qty FROM supplier
-WHERE s_acctbal < 5000 GROUP BY s_suppkey % 23""",
+SELECT concat('Brand#', CAST(s_suppkey % 20 + 4 AS STRING)) AS ticker, bround(sum(abs(s_acctbal + s_suppkey % 2)) / 100, 4) AS qty FROM supplier
+GROUP BY s_suppkey % 20""",
     "open_positions": """
 SELECT ticker, qty AS shares, CAST(90 + CAST(replace(ticker, 'Brand#', '') AS INT) AS DOUBLE) AS entry_price,
        CASE CAST(replace(ticker, 'Brand#', '') AS INT) % 4 WHEN 0 THEN 'hedge' WHEN 1 THEN 'fundamental' WHEN 2 THEN 'congressional' END AS signal_source,

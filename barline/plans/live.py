@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barline.plans.model import FILTER, FT, MODEL, MV, XS
+from barline.plans.model import CHAIN, FT, MODEL, MV, XS
 from barline.plans.registry import QUERIES, Tables, query
 from barline.plans.risk import TIGHT, nav_ticks
 from barline.session import land
@@ -68,7 +68,7 @@ def _(t):
     return out.select("portfolio_id", F.to_date("ts").alias("date"), (F.hour("ts") - 8).alias("tick"), "state")
 
 
-@query("stream_regime_filter", "M2", f"WITH {MV}, {FT}, {XS}, {FILTER} SELECT date, p0, p1, p2 FROM fw", r="p0 p1 p2", digits=6, recursive=True)
+@query("stream_regime_filter", "M2", f"WITH {MV}, {FT}, {XS}, {CHAIN.filtered()} SELECT date, p0, p1, p2 FROM f", r="p0 p1 p2", digits=6, recursive=True)
 def _(t):
     folder = land(t.market.select("market_id", "date", "close"))
     rules = P.RegimeFilter("market_id", MODEL)
