@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -15,6 +15,21 @@ from barline.session import checkpoint_root
 
 BATCH_BYTES = 3 << 19
 
+_caches: dict[str, Callable[[], object]] = {}
+
+
+def cached(owner: str, clear: Callable[[], object]) -> None:
+    """Tell how the caches that a worker keeps between tasks for ``owner`` are emptied."""
+    _caches[owner] = clear
+
+
+def claim(*owners: str) -> None:
+    """Empty the caches of all others: a worker that goes on to another operator doesn't keep
+    what the one before remembered."""
+    for owner, clear in _caches.items():
+        if owner not in owners:
+            clear()
+
 
 def land(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` to a new folder under ``spark.checkpoint.dir`` and read it back: cuts the
@@ -86,11 +101,21 @@ def with_uid(df: DataFrame, id_col: str, text_col: str, more: dict[str, Column]
     return land(ordered.withColumn("uid", F.monotonically_increasing_id()))
 
 
-def numbered(df: DataFrame, id_col: str) -> DataFrame:
-    """``df`` with a unique integer ``uid``, made as in ``with_uid``."""
-    columns = [c for c in df.columns if c != "uid"]
-    rows = with_uid(df.withColumn("_none", F.lit("")), id_col, "_none", {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(columns)})
-    return rows.select("uid", *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+def free(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it; letters' case doesn't count."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame, id_col: str, name: str = "uid") -> DataFrame:
+    """``df`` with a unique integer ``name``, made as in ``with_uid``; ``name`` is not among the
+    columns of ``df``, all of which are kept."""
+    none = free(df, "_none")
+    more = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(df.columns)}
+    rows = with_uid(df.withColumn(none, F.lit("")), id_col, none, more)
+    return rows.select(F.col("uid").alias(name), *[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 
 def sized(df: DataFrame, rows: int = 2_000_000) -> DataFrame:

@@ -6,7 +6,8 @@ with probability J a level. Nodes of at most ``NODE`` members compare all their
 larger ones compare every member with the node's leaders and branch on. Nodes that are still
 large at the last level are solved exactly, in pairs of bounded blocks of members. Independent
 trees repeat this: pairs at the threshold that part at level l are missed with probability
-(1 - J**l)**TREES. Candidates whose signatures agree enough are confirmed on the full sets.
+(1 - J**l)**TREES. Members are compared by sketches, one bit of each of ``BITS`` further
+minwise tokens; candidates whose sketches agree enough are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -22,18 +23,20 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import drop, land, packed_texts, sized, text_batches, with_uid
+from barline.llm.common import cached, claim, cuts, drop, land, packed_texts, sized, text_batches, with_uid
 from barline.llm.graph import components
 from barline.llm.vocab import spread
 
-TREES, LEVELS, TOKENS = 12, 5, 64
+TREES, LEVELS, TOKENS, BITS = 12, 5, 64, 512
+DEVIATIONS = 4
 SCOUTS = 3
 NODE = 32
-MEMBERS, SHINGLES = 1024, 1 << 19  # about the most documents, and shingles, of a block of a large node
+LARGE = 100_000  # most large nodes (300 bytes each) that are broadcast
+MEMBERS, SHINGLES, BYTES = 1024, 1 << 19, 4 << 20  # about the most documents, shingles and bytes of a block of a large node
 WORDS = 200_000
 _rng = np.random.default_rng(20)
-FLIP = _rng.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
-SCALE = _rng.integers(0, 1 << 31, TOKENS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+FLIP = _rng.integers(0, 1 << 32, TOKENS + BITS, dtype=np.uint32)
+SCALE = _rng.integers(0, 1 << 31, TOKENS + BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -53,6 +56,7 @@ class Words(dict):
 
 
 _words = Words()
+cached("minhash", _words.clear)
 
 
 def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
@@ -82,21 +86,23 @@ def shingle_sets(texts: list[str], size: int) -> list[np.ndarray]:
     return out
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens, and one bit of each of the others, packed."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    low = np.full(TOKENS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), 4096):
-        low = np.minimum(low, ((x[i : i + 4096, None] ^ FLIP) * SCALE).min(0))
-    return low
+    low = np.full(TOKENS + BITS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(x), 256):
+        low = np.minimum(low, ((x[i : i + 256, None] ^ FLIP) * SCALE).min(0))
+    return low[:TOKENS], np.packbits(low[TOKENS:] >> np.uint32(12) & np.uint32(1))
 
 
 def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         for batch, texts in text_batches(batches, "text"):
             sets = shingle_sets(texts, size)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            signs = [signature(s).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())], names=["uid", "n", "key", "sign"])
+            signs = [tuple(x.tobytes() for x in signature(s)) if len(s) else (None, None) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), *[pa.array([s[i] for s in signs], pa.binary()) for i in (0, 1)]], names=["uid", "n", "key", "sign", "short"])
 
     return run
 
@@ -132,19 +138,38 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["rep", "comp", "n", "short", *[f"p{i}" for i in range(LEVELS)]]
     for batch in batches:
         sign, rep, comp, n = _signs(batch), *(batch.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        short = [row.tobytes() for row in (sign >> np.uint32(24)).astype(np.uint8)]
+        short = batch.column("short")
         trees = batch.column("trees").to_pylist()
         for tree in range(TREES):
             at = np.array([i for i, t in enumerate(trees) if tree in t], np.int64)
             if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(comp[at]), pa.array(n[at]), pa.array([short[i] for i in at.tolist()], pa.binary()), *[pa.array(p[at].view(np.int64)) for p in _paths(sign, tree)]], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(comp[at]), pa.array(n[at]), short.take(pa.array(at)), *[pa.array(p[at].view(np.int64)) for p in _paths(sign, tree)]], names=names)
+
+
+def _least(percent: int) -> float:
+    """Bits that agree in sketches of sets at the threshold, less ``DEVIATIONS`` deviations: a
+    token in common gives an equal bit, another one does so half the time."""
+    p = (1 + percent / 100) / 2
+    return BITS * (p - DEVIATIONS * np.sqrt(p * (1 - p) / BITS))
+
+
+def _agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits that agree in rows of packed sketches."""
+    return BITS - np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
 
 
 def _close(percent: int, shared: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Signatures agree enough for the threshold, by 3.5 deviations, and sizes allow it."""
-    p = percent / 100
-    least = TOKENS * (p - 3.5 * np.sqrt(p * (1 - p) / TOKENS))
-    return (shared >= least) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    """Sketches agree enough for the threshold, and sizes allow it."""
+    return (shared >= _least(percent)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+
+
+def _words_of(column: pa.Array) -> np.ndarray:
+    """Packed sketches as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _members(column: pa.Array) -> tuple[np.ndarray, ...]:
+    return *(column.field(c).to_numpy() for c in ("rep", "comp", "n")), _words_of(column.field("short"))
 
 
 def _forest(i: np.ndarray, j: np.ndarray, shared: np.ndarray, n: int) -> np.ndarray:
@@ -172,32 +197,32 @@ def _compare(percent: int, thin: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, s = [], [], []
-            for members in batch.column("members").to_pylist():
-                rep, comp, n = (np.array([m[c] for m in members]) for c in ("rep", "comp", "n"))
-                short = np.frombuffer(b"".join(m["short"] for m in members), np.uint8).reshape(len(rep), -1)
-                i, j = np.triu_indices(len(rep), 1)
-                shared = (short[i] == short[j]).sum(1)
+            members = batch.column("members")
+            every = _members(members.flatten())
+            ends = cuts(members.value_lengths().to_pylist())
+            for x, y in zip(ends, ends[1:]):
+                rep, comp, n, short = (c[x:y] for c in every)
+                i, j = np.triu_indices(y - x, 1)
+                shared = _agree(short[i], short[j])
                 ok = np.flatnonzero(_close(percent, shared, n[i], n[j]) & (comp[i] != comp[j]))
                 if thin and len(ok) > 1:
-                    ok = ok[_forest(i[ok], j[ok], shared[ok], len(rep))]
+                    ok = ok[_forest(i[ok], j[ok], shared[ok], y - x)]
                 a.append(np.minimum(rep[i], rep[j])[ok]), b.append(np.maximum(rep[i], rep[j])[ok]), s.append(shared[ok])
             yield _pairs(a, b, s)
 
     return run
 
 
-def _against(percent: int, leaders: tuple[str, ...]):
+def _against(percent: int):
     """Members of large nodes against the node's leaders, of different components so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rep, comp, n = (batch.column(c).to_numpy() for c in ("rep", "comp", "n"))
-            short = np.frombuffer(b"".join(batch.column("short").to_pylist()), np.uint8).reshape(-1, TOKENS)
-            a, b, s = [], [], []
-            for lead in leaders:
-                rows = batch.column(lead).to_pylist()
-                r, c, m = (np.array([x[k] for x in rows], np.int64) for k in ("rep", "comp", "n"))
-                shared = (short == np.frombuffer(b"".join(x["short"] for x in rows), np.uint8).reshape(-1, TOKENS)).sum(1)
+            short, a, b, s = _words_of(batch.column("short")), [], [], []
+            for lead in ("lead", "other"):
+                r, c, m, other = _members(batch.column(lead))
+                shared = _agree(short, other)
                 ok = _close(percent, shared, n, m) & (comp != c)
                 a.append(np.minimum(rep, r)[ok]), b.append(np.maximum(rep, r)[ok]), s.append(shared[ok])
             yield _pairs(a, b, s)
@@ -210,24 +235,27 @@ def _pairs(a: list, b: list, s: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "shared"])
 
 
-def _nodes(rows: DataFrame, percent: int, thin: bool, leaders: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, shared) from the nodes ``p`` of ``rows`` (rep, comp, n, short, p, ...), and
-    the rows of nodes that are too large to compare all members, with ``lo`` and ``hi``, the
-    smallest and largest component of the node."""
+def _nodes(rows: DataFrame, percent: int, thin: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs (a, b, shared) from the nodes ``p`` of ``rows`` (rep, comp, n, short, p, ...), the
+    rows of nodes that are too large to compare all members, with ``lo`` and ``hi``, the
+    smallest and largest component of the node, and the table of these nodes.
+
+    Few nodes are large: they are found by an aggregate, and their rows meet them by broadcast
+    while they are few enough, so that no task gets all rows of a node."""
     member, mark = F.struct("rep", "comp", "n", "short"), F.xxhash64("rep", "p")
-    nodes = rows.groupBy("p").agg(F.count("*").alias("c"), F.min_by(member, mark).alias("lead"), F.max_by(member, mark).alias("other"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1")
-    here = rows.join(nodes, "p")
-    small = here.where(F.col("c") <= NODE).groupBy("p").agg(F.collect_list(member).alias("members"))
-    large = here.where(F.col("c") > NODE)
+    nodes = rows.groupBy("p").agg(F.count("*").alias("c"), F.min_by(member, mark).alias("lead"), F.max_by(member, mark).alias("other"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    nodes = land(nodes.where(F.col("c") > NODE))
+    small = rows.join(sized(nodes.select("p"), LARGE), "p", "left_anti").groupBy("p").agg(F.collect_list(member).alias("members"))
+    large = rows.join(sized(nodes, LARGE), "p")
     pair = "a long, b long, shared long"
-    inside = small.select("members").mapInArrow(_compare(percent, thin), pair)
-    across = large.select("rep", "comp", "n", "short", "lead", "other").mapInArrow(_against(percent, leaders), pair)
-    return land(inside.union(across)), large.drop("c", "lead", "other")
+    inside = small.where(F.size("members") > 1).select("members").mapInArrow(_compare(percent, thin), pair)
+    across = large.select("rep", "comp", "n", "short", "lead", "other").mapInArrow(_against(percent), pair)
+    return land(inside.union(across)), large.drop("c", "lead", "other"), nodes
 
 
 def candidates(classes: DataFrame, percent: int, trees: int, thin: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b, shared) of the first ``trees`` trees, and the members (p, rep, comp, n) of nodes
-    ``p`` that stay large at the last level; ``classes``: landed (rep, comp, n, sign).
+    ``p`` that stay large at the last level; ``classes``: landed (rep, comp, n, sign, short).
 
     The trees' roots come first. Only rows of roots that are too large go further down, to
     all of their lower nodes at once; a node repeats pairs of the node above it, never others.
@@ -237,14 +265,14 @@ def candidates(classes: DataFrame, percent: int, trees: int, thin: bool) -> tupl
     company = roots.groupBy("p0").agg(F.count("*").alias("c")).where("c > 1").select("p0")
     kept = roots.join(company, "p0", "left_semi").groupBy("rep").agg(F.collect_list("tree").alias("trees"))
     rows = land(classes.join(kept, "rep").mapInArrow(_branches, f"rep long, comp long, n long, short binary, {PATHS}"))
-    first, large = _nodes(rows.withColumnRenamed("p0", "p"), percent, thin, ("lead",))
+    first, large, roots_ = _nodes(rows.withColumnRenamed("p0", "p"), percent, thin)
     below = F.explode(F.array(*[F.struct(F.col(f"p{k}").alias("p"), F.lit(k == LEVELS - 1).alias("last")) for k in range(1, LEVELS)]))
     lower = land(large.select("rep", "comp", "n", "short", below.alias("at")).select("rep", "comp", "n", "short", "at.p", "at.last"))
-    second, large = _nodes(lower, percent, thin, ("lead",) if thin else ("lead", "other"))
+    second, large, nodes = _nodes(lower, percent, thin)
     last = large.where("last and lo < hi").select("p", "rep", "comp", "n")
     last = land(last.where("false") if thin else last)
     out = land(first.union(second).distinct())
-    for df in (roots, rows, lower, first, second):
+    for df in (roots, rows, lower, first, second, roots_, nodes):
         drop(df)
     return out, last
 
@@ -269,6 +297,7 @@ def _solve(size: int, percent: int):
     so far, on full sets: only those that connect what all links connect."""
 
     def run(table: pa.Table) -> pa.Table:
+        claim("minhash")
         tool = zstandard.ZstdDecompressor()
         rep, comp, block = (table.column(c).to_numpy() for c in ("rep", "comp", "block"))
         sets = shingle_sets([tool.decompress(b).decode() for b in table.column("blob").to_pylist()], size)
@@ -300,9 +329,11 @@ def _solve(size: int, percent: int):
 def solved(members: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) inside large nodes, landed; ``members``: landed (p, rep, comp, n). Every
     pair of blocks of a node is a group of its own, so no task holds a node."""
-    blocks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES))
-    nodes = members.groupBy("p").agg(blocks.alias("blocks"))
-    texts = land(packed_texts(rows.join(members.select(F.col("rep").alias("uid")).distinct(), "uid", "left_semi")).select(F.col("uid").alias("rep"), "blob"))
+    own = rows.join(members.select(F.col("rep").alias("uid")).distinct(), "uid", "left_semi")
+    texts = land(packed_texts(own).select(F.col("uid").alias("rep"), "blob"))
+    lengths = own.select(F.col("uid").alias("rep"), F.octet_length("text").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / SHINGLES), F.ceil(F.sum("bytes") / BYTES))
+    nodes = members.join(lengths, "rep").groupBy("p").agg(blocks.alias("blocks"))
     here = members.join(nodes, "p").withColumn("block", F.expr("pmod(xxhash64(rep, p), blocks)"))
     here = here.join(texts, "rep").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     here = here.select("p", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "rep", "comp", "blob")
@@ -315,6 +346,7 @@ def _confirm(size: int, percent: int):
     """Pairs whose full sets reach the threshold; sets met lately are kept for the next pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
         tool, lately = zstandard.ZstdDecompressor(), OrderedDict()
 
         def of(uid: int, blob: bytes) -> np.ndarray:
@@ -360,16 +392,16 @@ def near_documents(df: DataFrame, size: int = 5, percent: int = 80, id_col: str
     empty table gives no rows; other columns are left out, whatever their names.
     """
     rows = with_uid(df, id_col, text_col)
-    signs = land(rows.select("uid", "text").mapInArrow(_sign(size), "uid long, n long, key binary, sign binary"))
-    classes = land(signs.where("n > 0").groupBy("key", "n").agg(F.min("uid").alias("rep"), F.first("sign").alias("sign")))
-    plain = classes.select("rep", F.col("rep").alias("comp"), "n", "sign")
+    signs = land(rows.select("uid", "text").mapInArrow(_sign(size), "uid long, n long, key binary, sign binary, short binary"))
+    classes = land(signs.where("n > 0").groupBy("key", "n").agg(F.min("uid").alias("rep"), F.first("sign").alias("sign"), F.first("short").alias("short")))
+    plain = classes.select("rep", F.col("rep").alias("comp"), "n", "sign", "short")
     scouted, _ = candidates(plain, percent, SCOUTS, True)
     both = scouted.union(scouted.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     best = land(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     sure = confirmed(best, rows, size, percent)
     comp = land(components(sure))
-    known = classes.join(comp, F.col("rep") == comp["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"), "n", "sign")
+    known = classes.join(comp, F.col("rep") == comp["node"], "left").select("rep", F.coalesce("component", "rep").alias("comp"), "n", "sign", "short")
     pairs, last = candidates(known, percent, TREES, False)
     pairs = pairs.join(best, ["a", "b"], "left_anti")
     comp = components(sure.union(confirmed(pairs, rows, size, percent)).union(solved(last, rows, size, percent)))

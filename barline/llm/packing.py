@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from barline.llm.common import cuts, land, slim, text_batches
+from barline.llm.common import claim, cuts, land, slim, text_batches
 from barline.llm.vocab import merging
 
 RANK_GROUP = 4_000
@@ -37,6 +37,7 @@ def pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_c
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("vocab")
         encoder = merging(path)
         for batch, texts in text_batches(batches, "text"):
             flat, lens = encoder.batch(texts)

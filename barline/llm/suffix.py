@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.llm.common import drop, land, packed_texts, sized, with_uid
+from barline.llm.common import claim, drop, land, packed_texts, sized, with_uid
 from barline.llm.vocab import spread
 
 GRAM = 32
@@ -111,6 +111,7 @@ def _text_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[
 
 def _anchor_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for uids, parts, offsets in _text_rows(batches, width):
             lens = np.fromiter(map(len, parts), np.int64, len(parts))
             text, lo, hi, h = anchors(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(lens) - lens, lens, width)
@@ -127,6 +128,7 @@ def _contexts(width: int):
     """Bytes under the windows of every repeated anchor: one row per anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             cols: tuple[list, ...] = ([], [], [], [], [])
@@ -198,6 +200,7 @@ def _groups(width: int, keep_first: bool):
         return _spans(uid, lo, n[owner], out, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         rows: list[tuple] = []
         held, key = 0, None
         for batch in batches:
@@ -217,6 +220,7 @@ def _groups(width: int, keep_first: bool):
 
 def _window_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             pieces = batch.column("bytes").to_pylist()
             for i in range(0, len(pieces), 5000):

@@ -16,6 +16,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from barline.llm.common import cached
+
 BIG = 1 << 30
 LONG = 400
 CACHE, KEEP = 600_000, 300_000
@@ -357,3 +359,11 @@ def merging(path: str) -> Encoder:
     """Encoder whose new words are all merged exactly."""
     vocab = load(path)
     return Encoder(vocab, vocab.merge)
+
+
+def _forget() -> None:
+    merging.cache_clear()
+    load.cache_clear()
+
+
+cached("vocab", _forget)
