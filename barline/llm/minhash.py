@@ -237,8 +237,9 @@ def _pairs(a: list, b: list, s: list) -> pa.RecordBatch:
 
 def _nodes(rows: DataFrame, percent: int, thin: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b, shared) from the nodes ``p`` of ``rows`` (rep, comp, n, short, p, ...), the
-    rows of nodes that are too large to compare all members, with ``lo`` and ``hi``, the
-    smallest and largest component of the node, and the table of these nodes.
+    rows of nodes that are too large to compare all members, and the table of these nodes.
+    Large nodes of a single component have no pair that is still looked for, nor have the
+    nodes below; their rows are left.
 
     Few nodes are large: they are found by an aggregate, and their rows meet them by broadcast
     while they are few enough, so that no task gets all rows of a node."""
@@ -246,7 +247,7 @@ def _nodes(rows: DataFrame, percent: int, thin: bool) -> tuple[DataFrame, DataFr
     nodes = rows.groupBy("p").agg(F.count("*").alias("c"), F.min_by(member, mark).alias("lead"), F.max_by(member, mark).alias("other"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     nodes = land(nodes.where(F.col("c") > NODE))
     small = rows.join(sized(nodes.select("p"), LARGE), "p", "left_anti").groupBy("p").agg(F.collect_list(member).alias("members"))
-    large = rows.join(sized(nodes, LARGE), "p")
+    large = rows.join(sized(nodes.where("lo < hi"), LARGE), "p")
     pair = "a long, b long, shared long"
     inside = small.where(F.size("members") > 1).select("members").mapInArrow(_compare(percent, thin), pair)
     across = large.select("rep", "comp", "n", "short", "lead", "other").mapInArrow(_against(percent), pair)
@@ -269,7 +270,7 @@ def candidates(classes: DataFrame, percent: int, trees: int, thin: bool) -> tupl
     below = F.explode(F.array(*[F.struct(F.col(f"p{k}").alias("p"), F.lit(k == LEVELS - 1).alias("last")) for k in range(1, LEVELS)]))
     lower = land(large.select("rep", "comp", "n", "short", below.alias("at")).select("rep", "comp", "n", "short", "at.p", "at.last"))
     second, large, nodes = _nodes(lower, percent, thin)
-    last = large.where("last and lo < hi").select("p", "rep", "comp", "n")
+    last = large.where(F.col("last")).select("p", "rep", "comp", "n")
     last = land(last.where("false") if thin else last)
     out = land(first.union(second).distinct())
     for df in (roots, rows, lower, first, second, roots_, nodes):

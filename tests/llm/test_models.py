@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from barline.llm import kneser, topk, urls
+from barline.llm.common import land
 from barline.llm.queries import BYTE_BPE, QUERIES
 
 from test_dedup import brute_spans, near
@@ -274,3 +275,17 @@ def test_pipeline_equals_brute_force(spark, sf, tmp_path):
 def _write(df, path):
     df.write.parquet(str(path))
     return str(path)
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60")
+    docs = docs.withColumns({c: F.lit("x") for c in ("new", "UID", "_none", "id", "c0", "n", "kept", "first", "uid_")})
+    none = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        columns = docs.columns
+        docs, none = land(stage(spark, docs, sf)), land(stage(spark, none, sf))
+        assert docs.columns == none.columns == columns and none.count() == 0
+        assert docs.count() and docs.where("new = 'x' and UID = 'x' and _none = 'x'").count() == docs.count()
+    assert corpus_pipeline.pack(spark, none, sf).count() == 0
