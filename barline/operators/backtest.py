@@ -127,20 +127,21 @@ def label_exits(bars: DataFrame, entries: DataFrame, keys: Sequence[str] = ("tic
 
     Equal entries have equal exits, so they are made distinct first; a series then has at
     most one entry per bar. The path walk depends on its own past and is the one place
-    where a grouped function is used; a group is one series of one row per date.
+    where a grouped function is used; a group is one series of one row per date. Bars may
+    carry ``slippage_bps``, one value per series, in place of that of the rules.
     """
-    keys = list(keys)
+    keys, own = list(keys), [c for c in ("slippage_bps",) if c in bars.columns]
     marks = entries.select(*keys, F.col("exec_date").alias("date"), F.lit(True).alias("_e")).distinct()
-    rows = bars.select(*keys, "date", "close").join(marks, [*keys, "date"], "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
+    rows = bars.select(*keys, "date", "close", *own).join(marks, [*keys, "date"], "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
     fields = [T.StructField(k, rows.schema[k].dataType) for k in keys] + [
         T.StructField("entry_date", T.DateType()), T.StructField("entry_price", T.DoubleType()), T.StructField("exit_date", T.DateType()),
         T.StructField("exit_price", T.DoubleType()), T.StructField("exit_reason", T.StringType()), T.StructField("take_profit_date", T.DateType()),
         T.StructField("take_profit_price", T.DoubleType()),
     ]
-    slip = rules.slippage_bps / 10_000
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", ignore_index=True)
+        slip = (pdf["slippage_bps"].iloc[0] if own else rules.slippage_bps) / 10_000
         close, entry = pdf["close"].to_numpy(), np.flatnonzero(pdf["_e"].to_numpy())
         fill = close[entry] + close[entry] * slip
         at, why, half = _walk_exits(close, entry, fill, rules)
@@ -241,18 +242,19 @@ SCENARIOS = [
 ]
 
 
-def stress_start(bars: DataFrame) -> DataFrame:
-    """Adds the bar index, the series length and the common start at a quarter of the
-    longest series. The longest is taken over one row per ticker, not over the bars."""
-    sizes = bars.groupBy("ticker").agg(F.count(F.lit(1)).alias("_n"))
-    longest = F.max("_n").over(Window.partitionBy(F.lit(0)))
-    sizes = sizes.withColumn("_start", F.greatest(F.lit(1), F.floor(longest / 4))).select("ticker", "_n", "_start")
-    return bars.join(sizes, "ticker").withColumn("_i", F.row_number().over(over("ticker")) - 1)
+def stress_start(bars: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """Adds the bar index, the series length and the common start at a quarter of the longest
+    series of the scope. The longest is taken over one row per series, not over the bars."""
+    keys, every = [*scope, "ticker"], [*(scope or ["_k"])]
+    sizes = bars.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn("_k", F.lit(0))
+    longest = sizes.groupBy(*every).agg(F.greatest(F.lit(1), F.floor(F.max("_n") / 4)).alias("_start"))
+    sizes = sizes.join(longest, every).drop("_k")
+    return bars.join(sizes, keys).withColumn("_i", F.row_number().over(over(keys)) - 1)
 
 
-def crash_path(start: Column, bars_long: int, drop: float) -> Column:
+def crash_path(start: Column, bars_long: int, drop: float, keys: Sequence[str] = ("ticker",)) -> Column:
     """Log-linear fall to 1 - drop, then the original returns from the new level."""
-    whole = over("ticker").rowsBetween(*WHOLE)
+    whole = over(keys).rowsBetween(*WHOLE)
     end = F.least(start + bars_long, F.col("_n"))
     at = lambda i: F.max(F.when(F.col("_i") == i, F.col("close"))).over(whole)
     fall = float(np.log(max(1.0 - drop, 1e-9)))
@@ -262,9 +264,9 @@ def crash_path(start: Column, bars_long: int, drop: float) -> Column:
     return F.when(F.col("_i") < start, F.col("close")).when(F.col("_i") < end, inside).otherwise(after)
 
 
-def vol_path(df: DataFrame, out: str, bars_long: int, multiplier: float) -> DataFrame:
+def vol_path(df: DataFrame, out: str, bars_long: int, multiplier: float, keys: Sequence[str] = ("ticker",)) -> DataFrame:
     """Log returns inside the window times the multiplier; later bars stay original."""
-    w = over("ticker")
+    w = over(keys)
     inside = (F.col("_i") >= F.col("_start")) & (F.col("_i") < F.col("_start") + bars_long)
     df = df.withColumn("_move", F.when(inside, F.log(F.try_divide(F.col("close"), F.lag("close").over(w)))))
     anchor = F.max(F.when(F.col("_i") == F.col("_start") - 1, F.col("close"))).over(w.rowsBetween(*WHOLE))
@@ -272,26 +274,28 @@ def vol_path(df: DataFrame, out: str, bars_long: int, multiplier: float) -> Data
     return df.withColumn(out, F.when(inside, path).otherwise(F.col("close"))).drop("_move")
 
 
-def stressed(bars: DataFrame, scenarios: Sequence[Scenario] = tuple(SCENARIOS), slippage_bps: float = cfg.BACKTEST.slippage_bps, seed: int = 42) -> DataFrame:
-    """One path per scenario and ticker, with its slippage and fill delay.
+def stressed(bars: DataFrame, scenarios: Sequence[Scenario] = tuple(SCENARIOS), slippage_bps: float = cfg.BACKTEST.slippage_bps, seed: int = 42, scope: Sequence[str] = ()) -> DataFrame:
+    """One path per scenario and series, with its slippage and fill delay. A series is a
+    ticker within ``scope`` (the window of a study, say).
 
     Dropped bars are chosen by a hash of ticker, date and seed: the same on every run
     and on every number of partitions.
     """
-    df = stress_start(bars.select("ticker", "date", "close"))
+    keys = [*scope, "ticker"]
+    df = stress_start(bars.select(*keys, "date", "close"), scope)
     order = F.sha2(F.concat_ws("|", "ticker", F.col("date").cast("string"), F.lit(str(seed))), 256)
-    df = df.withColumn("_h", F.row_number().over(Window.partitionBy("ticker").orderBy(order)))
+    df = df.withColumn("_h", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
     keeps = []
     for i, s in enumerate(scenarios):
         if s.vol_multiplier is not None:
-            df = vol_path(df, f"_p{i}", s.vol_bars, s.vol_multiplier)
+            df = vol_path(df, f"_p{i}", s.vol_bars, s.vol_multiplier, keys)
         else:
-            df = df.withColumn(f"_p{i}", F.col("close") if s.crash_pct is None else crash_path(F.col("_start"), s.crash_bars, s.crash_pct))
+            df = df.withColumn(f"_p{i}", F.col("close") if s.crash_pct is None else crash_path(F.col("_start"), s.crash_bars, s.crash_pct, keys))
         keeps.append(F.lit(True) if s.drop_fraction is None else F.col("_h") > F.floor(F.col("_n") * s.drop_fraction))
     cells = F.array(*[
         F.struct(F.lit(s.name).alias("scenario"), F.col(f"_p{i}").alias("close"), keep.alias("_keep"), F.lit(slippage_bps * s.slippage_multiplier).alias("slippage_bps"), F.lit(s.fill_delay).alias("fill_delay"))
         for i, (s, keep) in enumerate(zip(scenarios, keeps))])
-    return df.select("ticker", "date", F.explode(cells).alias("_c")).select("ticker", "date", "_c.*").where("_keep").drop("_keep")
+    return df.select(*keys, "date", F.explode(cells).alias("_c")).select(*keys, "date", "_c.*").where("_keep").drop("_keep")
 
 
 # ---- hedge analysis ----

@@ -9,6 +9,8 @@ from barline.operators import disclosures as D
 from barline.operators import indicators as I
 from barline.operators import metrics as M
 from barline.operators import regime as G
+from barline.operators import walkforward as W
+from barline.plans.model import NAMES, matrix
 from barline.plans.registry import Tables, query
 from barline.session import cut_lineage
 
@@ -230,20 +232,88 @@ def _(t):
     return B.window_excess(tr.select("window_id", (F.col("bench_return_pct") * 1.5).alias("total_return_pct")), tr)
 
 
-@query("walk_forward", "B15 A7 A8")
-def _(t):
-    """Every window at once: signals, regimes, sizes, fills, exits, daily returns, metrics, benchmarks."""
-    w = cut_lineage(windows(t))
-    sized = B.enrich(B.with_regime(B.signals_in_windows(t.signals, w), states(t)), I.vol_pct_from_close(t.bars).select("ticker", "date", "vol_pct"))
-    filled = cut_lineage(B.fill_dates(sized, calendar(t)).withColumn("exec_date", F.least("exec_date", "test_end")))
-    bars = B.signals_in_windows(t.bars.select("ticker", "date", "close"), w)
-    labels = B.label_exits(bars, filled, ["window_id", "ticker"])
-    done = filled.select("window_id", "ticker", F.col("exec_date").alias("entry_date"), "regime_label").join(labels, ["window_id", "ticker", "entry_date"])
-    done = cut_lineage(done)  # three branches below start from the labelled trades
-    equity = cut_lineage(B.compounded(B.open_trade_returns(bars, done, ["window_id"]), "window_id").select("window_id", "date", "nav"))
-    rets = done.select("window_id", (F.col("pnl_pct") / 100).alias("trade_return"), "entry_date", "exit_date")
-    out = M.metric_suite(equity, "window_id", rets, t.market.select("date", F.col("close").alias("nav")))
-    base = B.signals_in_windows(t.market.select("date", "close"), w)
-    hold = B.buy_and_hold(base, "window_id", slippage_bps=10.0, commission_pct=0.05)
-    hold = M.equity_metrics(hold.select("window_id", "date", "nav"), "window_id").select("window_id", F.bround(F.col("total_return") * 100, 2).alias("buy_and_hold_pct"))
-    return out.join(hold, "window_id")
+# ---- the whole study: windows with enough training bars x scenarios ----
+WF = f"""{WIN}, {STAB}, {SW}, {SR}, gt AS MATERIALIZED (SELECT window_id, test_start, test_end, count(*) AS n_train FROM win JOIN market AS m ON m.date BETWEEN train_start AND train_end GROUP BY 1, 2, 3 HAVING count(*) >= 500),
+v0 AS (SELECT ticker, date, abs(close / lag(close) OVER w - 1) AS ar FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+v AS (SELECT ticker, date, coalesce(CASE WHEN count(ar) OVER w >= 14 THEN avg(ar) OVER w END * 100, 1.0) AS vol FROM v0 WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
+zz AS (SELECT s.window_id, s.id, s.ticker, s.date, s.conviction, s.regime_label, least(8.0, greatest(0.0, 0.15 / coalesce(v.vol, 1.0) * 100)) * CASE regime_label WHEN 'crash' THEN 0.3 WHEN 'bear' THEN 0.5 WHEN 'neutral' THEN 0.7 WHEN 'bull' THEN 1.0 WHEN 'euphoria' THEN 0.75 END * least(1.0, 0.5 + 0.5 * (confidence - 0.4) / 0.6) * CASE WHEN is_stable THEN 1.0 ELSE 0.5 END AS b
+ FROM sr AS s ASOF LEFT JOIN v ON v.ticker = s.ticker AND s.date >= v.date),
+sz AS (SELECT zz.window_id, id, ticker, date, conviction, regime_label, least(8.0, greatest(0.0, b + b * 0.2 * ((least(10, greatest(5, conviction)) - 7.5) / 2.5))) AS pct FROM zz JOIN gt ON gt.window_id = zz.window_id),
+wc AS MATERIALIZED (SELECT window_id, m.date, max(m.date) OVER (PARTITION BY window_id) AS dz, lead(m.date, 1) OVER (PARTITION BY window_id ORDER BY m.date) AS d1, lead(m.date, 2) OVER (PARTITION BY window_id ORDER BY m.date) AS d2 FROM gt JOIN market AS m ON m.date BETWEEN test_start AND test_end),
+tb AS (SELECT window_id, b.ticker, b.date, b.close FROM gt JOIN bars AS b ON b.date BETWEEN test_start AND test_end), nb AS (SELECT window_id, ticker, count(*) AS n FROM tb GROUP BY 1, 2), ns AS (SELECT window_id, greatest(1, max(n) // 4) AS s FROM nb GROUP BY 1),
+ix AS (SELECT tb.window_id, tb.ticker, tb.date, tb.close, n, s, least(s + 5, n) AS f, row_number() OVER w - 1 AS i, row_number() OVER (PARTITION BY tb.window_id, tb.ticker ORDER BY sha256(concat_ws('|', tb.ticker, CAST(tb.date AS VARCHAR), '42'))) AS hh, ln(tb.close / lag(tb.close) OVER w) AS lr
+ FROM tb JOIN nb ON nb.window_id = tb.window_id AND nb.ticker = tb.ticker JOIN ns ON ns.window_id = tb.window_id WINDOW w AS (PARTITION BY tb.window_id, tb.ticker ORDER BY tb.date)),
+an AS (SELECT *, max(CASE WHEN i = s - 1 THEN close END) OVER p AS a, max(CASE WHEN i = f - 1 THEN close END) OVER p AS z, sum(CASE WHEN i BETWEEN s AND s + 19 THEN lr END) OVER (PARTITION BY window_id, ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS cum FROM ix WINDOW p AS (PARTITION BY window_id, ticker)),
+sc AS (SELECT * FROM (VALUES ('base', 0.001, 1), ('sudden_crash', 0.001, 0), ('high_vol_cluster', 0.001, 0), ('slippage_spike', 0.005, 0), ('delayed_fills', 0.001, 2), ('missing_data', 0.001, 0)) AS q(scenario, slip, delay)),
+sb AS MATERIALIZED (SELECT scenario, CAST(slip AS DOUBLE) AS slip, window_id, ticker, date, CASE scenario WHEN 'sudden_crash' THEN CASE WHEN i < s THEN close WHEN i < f THEN a * exp(ln(0.7) * (i - s + 1) / (f - s)) ELSE a * 0.7 * close / z END WHEN 'high_vol_cluster' THEN CASE WHEN i BETWEEN s AND s + 19 THEN a * exp(3 * cum) ELSE close END ELSE close END AS close
+ FROM an CROSS JOIN sc WHERE scenario <> 'missing_data' OR hh > CAST(floor(n * 0.05) AS BIGINT)),
+fe AS (SELECT sc.scenario, sz.*, CASE delay WHEN 0 THEN wc.date WHEN 1 THEN coalesce(d1, dz) ELSE coalesce(d2, dz) END AS e FROM sz JOIN wc ON wc.window_id = sz.window_id AND wc.date = sz.date CROSS JOIN sc),
+en AS MATERIALIZED (SELECT DISTINCT fe.scenario, fe.window_id, fe.ticker, fe.e, b.close + b.close * slip AS fill FROM fe JOIN sb AS b ON b.scenario = fe.scenario AND b.window_id = fe.window_id AND b.ticker = fe.ticker AND b.date = fe.e),
+pa AS (SELECT en.scenario, en.window_id, en.ticker, e, fill, b.date, b.close, greatest(fill, coalesce(max(b.close) OVER (PARTITION BY en.scenario, en.window_id, en.ticker, e ORDER BY b.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), fill)) AS pk
+ FROM en JOIN sb AS b ON b.scenario = en.scenario AND b.window_id = en.window_id AND b.ticker = en.ticker AND b.date > e),
+h AS (SELECT scenario, window_id, ticker, e, min(date) FILTER (WHERE (pk - close) / pk * 100 >= 15) AS st, min(date) FILTER (WHERE (close - fill) / fill * 100 >= 40) AS hd, min(date) FILTER (WHERE (close - fill) / fill * 100 >= 25) AS tp FROM pa GROUP BY 1, 2, 3, 4),
+lz AS (SELECT scenario, window_id, ticker, max(date) AS z FROM sb GROUP BY 1, 2, 3),
+x AS (SELECT en.*, coalesce(least(st, hd), lz.z) AS exit_date, CASE WHEN tp < coalesce(least(st, hd), DATE '9999-01-01') THEN tp END AS tp FROM en JOIN lz ON lz.scenario = en.scenario AND lz.window_id = en.window_id AND lz.ticker = en.ticker LEFT JOIN h ON h.scenario = en.scenario AND h.window_id = en.window_id AND h.ticker = en.ticker AND h.e = en.e),
+lab AS (SELECT x.*, ((b.close - b.close * b.slip) * 0.9995 / fill - 1) * 100 AS p1, ((c.close - c.close * c.slip) * 0.9995 / fill - 1) * 100 AS p2 FROM x JOIN sb AS b ON b.scenario = x.scenario AND b.window_id = x.window_id AND b.ticker = x.ticker AND b.date = x.exit_date
+ LEFT JOIN sb AS c ON c.scenario = x.scenario AND c.window_id = x.window_id AND c.ticker = x.ticker AND c.date = x.tp),
+tk AS MATERIALIZED (SELECT fe.*, exit_date, tp, coalesce((p1 + p2) / 2, p1) AS pnl, CAST(round_even(pct * 1000000, 0) AS BIGINT) * 2 AS w FROM fe JOIN lab ON lab.scenario = fe.scenario AND lab.window_id = fe.window_id AND lab.ticker = fe.ticker AND lab.e = fe.e)"""
+CURVE = """mo AS (SELECT scenario, window_id, ticker, e AS date, w AS up, 0 AS dn FROM tk UNION ALL SELECT scenario, window_id, ticker, tp, 0, w // 2 FROM tk WHERE tp IS NOT NULL UNION ALL SELECT scenario, window_id, ticker, exit_date, 0, w - CASE WHEN tp IS NULL THEN 0 ELSE w // 2 END FROM tk),
+mv AS (SELECT scenario, window_id, ticker, date, sum(up) AS up, sum(dn) AS dn FROM mo GROUP BY 1, 2, 3, 4),
+dl AS (SELECT b.scenario, b.window_id, b.date, slip, b.close / lag(b.close) OVER w - 1 AS r, coalesce(up, 0) AS up, coalesce(dn, 0) AS dn, coalesce(sum(coalesce(up, 0) - coalesce(dn, 0)) OVER (PARTITION BY b.scenario, b.window_id, b.ticker ORDER BY b.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS op
+ FROM sb AS b LEFT JOIN mv ON mv.scenario = b.scenario AND mv.window_id = b.window_id AND mv.ticker = b.ticker AND mv.date = b.date WINDOW w AS (PARTITION BY b.scenario, b.window_id, b.ticker ORDER BY b.date)),
+gg AS (SELECT scenario, window_id, date, sum(op * coalesce(r, 0) - up * slip - dn * (slip + 0.0005)) AS g, sum(greatest(op, op + up - dn)) AS o FROM dl GROUP BY 1, 2, 3),
+cv AS (SELECT k.scenario, k.window_id, wc.date, coalesce(g / greatest(o, 200000000), 0) AS ret, least(100.0, coalesce(o / 2000000, 0.0)) AS inv FROM (SELECT DISTINCT scenario, window_id FROM tk) AS k JOIN wc ON wc.window_id = k.window_id LEFT JOIN gg ON gg.scenario = k.scenario AND gg.window_id = k.window_id AND gg.date = wc.date),
+nv AS (SELECT *, product(1 + ret) OVER (PARTITION BY scenario, window_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM cv), dd AS (SELECT *, nav / max(nav) OVER (PARTITION BY scenario, window_id ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM nv)"""
+TREND = """mw AS (SELECT window_id, m.date, m.close, count(*) OVER (PARTITION BY window_id) AS nw, coalesce(m.close > CASE WHEN count(*) OVER w >= 50 THEN avg(m.close) OVER w END, false) AS o FROM gt JOIN market AS m ON m.date BETWEEN test_start AND test_end WINDOW w AS (PARTITION BY window_id ORDER BY m.date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+mg AS (SELECT *, coalesce(lag(o) OVER w, false) AS p, lag(close) OVER w AS pc FROM mw WINDOW w AS (PARTITION BY window_id ORDER BY date)), mn AS (SELECT *, product(CASE WHEN p THEN close / pc ELSE 1 END * CASE WHEN o AND NOT p THEN 0.9995 / 1.001 WHEN p AND NOT o THEN 0.999 * 0.9995 ELSE 1 END) OVER (PARTITION BY window_id ORDER BY date ROWS UNBOUNDED PRECEDING) AS nav FROM mg),
+bm AS (SELECT window_id, (max_by(close, date) / min_by(close, date) - 1) * 100 AS hold, CASE WHEN max(nw) >= 100 THEN (max_by(nav, date) / min_by(nav, date) - 1) * 100 END AS trend FROM mn GROUP BY window_id)"""
+
+
+def gated(t: Tables):
+    return cut_lineage(B.train_slices(windows(t), t.market))
+
+
+def window_days(t: Tables, w):
+    return B.signals_in_windows(t.market.select("date"), w).select("window_id", "date")
+
+
+def studied(t: Tables, w, known):
+    """Paths, trades and daily returns of every window and scenario, under the given states."""
+    days = window_days(t, w)
+    sized = W.sized_signals(t.signals, w, known, I.vol_pct_from_close(t.bars).select("ticker", "date", "vol_pct"))
+    paths = cut_lineage(W.scenario_bars(t.bars, w))
+    trades = cut_lineage(W.scenario_trades(paths, W.scenario_entries(sized, days)))
+    return trades, W.book_returns(paths, trades, days)
+
+
+@query("walk_forward_report", "B15", f"""WITH {WF}, {CURVE}, {TREND}, q AS (SELECT scenario, window_id, count(*) AS n_trades, avg(CAST(pnl > 0 AS INT)) AS win_rate, avg(pnl) AS pnl FROM tk GROUP BY 1, 2),
+c AS (SELECT scenario, window_id, (max_by(nav, date) / min_by(nav, date) - 1) * 100 AS tr, -min(dd) * 100 AS dd, avg(inv) AS inv FROM dd GROUP BY 1, 2)
+SELECT c.window_id, c.scenario, test_start, test_end, n_train, n_trades, round_even(win_rate, 3) AS win_rate, round_even(pnl, 3) AS avg_trade_return_pct, round_even(tr, 2) AS total_return_pct, round_even(dd, 2) AS max_drawdown_pct, round_even(inv, 2) AS avg_invested_pct, round_even(hold, 2) AS buy_and_hold_pct, round_even(trend, 2) AS trend_following_pct
+FROM c JOIN q ON q.scenario = c.scenario AND q.window_id = c.window_id JOIN gt ON gt.window_id = c.window_id JOIN bm ON bm.window_id = c.window_id""", r="win_rate avg_trade_return_pct total_return_pct max_drawdown_pct avg_invested_pct buy_and_hold_pct trend_following_pct", digits=3)
+def _(t):
+    """A row per window and scenario, under the logged regimes; the trend's mean takes 100 bars."""
+    w = gated(t)
+    trades, returns = studied(t, w, states(t))
+    out = W.report(trades, returns, t.market, w, trend_window=100)
+    return out.select("window_id", "scenario", "test_start", "test_end", "n_train", "n_trades", "win_rate", "avg_trade_return_pct", "total_return_pct", "max_drawdown_pct", "avg_invested_pct", "buy_and_hold_pct", "trend_following_pct")
+
+
+@query("walk_breakdowns", "B15 A7 A8", f"""WITH {WF}, u AS (SELECT window_id, 'regime' AS kind, regime_label AS name, pnl FROM tk WHERE scenario = 'base' UNION ALL SELECT window_id, 'conviction', CASE WHEN conviction <= 5 THEN 'low' WHEN conviction <= 7 THEN 'mid' ELSE 'high' END, pnl FROM tk WHERE scenario = 'base'),
+e AS (SELECT window_id, regime_label AS name, count(*) AS n FROM gt JOIN regime_daily AS d ON d.date BETWEEN test_start AND test_end GROUP BY 1, 2)
+SELECT window_id, kind, name, count(*) AS n, avg(CAST(pnl > 0 AS INT)) AS win_rate, avg(pnl) AS avg_pnl_pct, count(*) / sum(count(*)) OVER (PARTITION BY window_id, kind) AS share FROM u GROUP BY 1, 2, 3
+UNION ALL SELECT window_id, 'exposure', name, n, NULL, NULL, n / sum(n) OVER (PARTITION BY window_id) FROM e""", r="win_rate avg_pnl_pct share")
+def _(t):
+    w, known = gated(t), states(t)
+    trades, _ = studied(t, w, known)
+    return W.breakdowns(trades, B.signals_in_windows(known, w).select("window_id", "date", "regime_label"))
+
+
+@query("walk_forward", "B15")
+def _(t):
+    """The same report with a regime model fitted on each window's training bars (two or three
+    states, ten steps, one start)."""
+    w = gated(t)
+    rows = matrix(t).withColumn("ret", F.col("ret_1d"))
+    scaled, models = W.window_models(rows, w, NAMES, ks=(2, 3), iterations=10, restarts=1)
+    trades, returns = studied(t, w, cut_lineage(W.window_states(scaled, models, NAMES)))
+    return W.report(trades, returns, t.market, w).join(models.select("window_id", F.col("k").alias("n_regimes")), "window_id")
