@@ -47,6 +47,30 @@ def _(t):
     return available_now(P.apply_state(rows, ["user_id"], rules, rules.schema)).select("user_id", "seq", "action")
 
 
+TIMED = """WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events), e AS (SELECT user_id, event_id, 50 + value AS v, ts FROM events, wm WHERE ts <= wm.wm), o AS (SELECT *, first_value(v) OVER w AS f, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+p AS (SELECT *, max(v) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pk FROM o),
+h AS (SELECT user_id, min(n) FILTER (WHERE n > 1 AND (pk - v) / pk * 100 >= 15) AS s, min(n) FILTER (WHERE n > 1 AND (v - f) / f * 100 >= 40) AS h, min(n) FILTER (WHERE n > 1 AND (v - f) / f * 100 >= 25) AS t FROM p GROUP BY user_id),
+a AS (SELECT user_id, least(s, h) AS n, CASE WHEN s <= h OR h IS NULL THEN 'stop_loss' ELSE 'hard_exit' END AS action FROM h WHERE least(s, h) IS NOT NULL UNION ALL SELECT user_id, t, 'take_profit' FROM h WHERE t < coalesce(least(s, h), 9000000000000000))
+SELECT a.user_id, o.event_id AS seq, action FROM a JOIN o ON o.user_id = a.user_id AND o.n = a.n"""
+
+
+@query("stream_timed_rules", "M3 M4", TIMED)
+def _(t):
+    """Position rules in event-time order, whatever the order of arrival: what the watermark
+    (an hour behind the newest event) has passed."""
+    rows = events(t).select("user_id", "ts", F.col("event_id").alias("seq"), (50 + F.col("value")).alias("price"))
+    rules = P.Reordered(P.PositionRules("user_id", "bigint", by=("at_ms", "seq")), "at_ms bigint, seq bigint, price double")
+    return available_now(P.apply_timed(rows, ["user_id"], rules, rules.schema, "ts", "1 hour")).select("user_id", "seq", "action")
+
+
+@query("stream_dead_feeds", "M6", """WITH wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events), d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events),
+n AS (SELECT *, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS nxt FROM d) SELECT user_id, day AS last_day FROM n, wm WHERE coalesce(nxt > day + 1, true) AND CAST(day + 2 AS TIMESTAMP) <= wm.wm""")
+def _(t):
+    """Feeds silent for a day, reported while they are silent."""
+    rules = P.SilentFeeds("user_id", "bigint")
+    return available_now(P.apply_timed(events(t).select("user_id", "ts"), ["user_id"], rules, rules.schema, "ts", "1 hour"))
+
+
 @query("stream_silent_days", "M6", """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events), g AS (SELECT user_id, min(day) AS a, max(day) AS z FROM d GROUP BY user_id),
 a AS (SELECT user_id, CAST(unnest(generate_series(a, z, INTERVAL 1 DAY)) AS DATE) AS silent_day FROM g) SELECT user_id, silent_day FROM a WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = a.user_id AND d.day = a.silent_day)""")
 def _(t):

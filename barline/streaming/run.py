@@ -11,10 +11,14 @@ from pyspark.sql import types as T
 from barline.session import checkpoint_root
 
 
-def landed(spark: SparkSession, folder: str, name: str | None = None, schema=None) -> DataFrame:
-    """Stream over parquet files of a folder, or over one named file in it."""
+FILES = 64
+
+
+def landed(spark: SparkSession, folder: str, name: str | None = None, schema=None, files: int = FILES) -> DataFrame:
+    """Stream over parquet files of a folder, or over one named file in it, at most ``files``
+    in a micro-batch, so that a backlog is worked off piece by piece."""
     one = f"{folder}/{name}" if name else folder
-    reader = spark.readStream.schema(schema or spark.read.parquet(one).schema)
+    reader = spark.readStream.schema(schema or spark.read.parquet(one).schema).option("maxFilesPerTrigger", files)
     return (reader.option("pathGlobFilter", name) if name else reader).parquet(folder)
 
 

@@ -1,16 +1,18 @@
 """Keyed state processors. Each keeps a few numbers per key, in RocksDB.
 
 Rows of a key inside one micro-batch are put in order first; a micro-batch bounds them
-(``maxFilesPerTrigger`` or the source's own limit), not the length of the history.
+(``maxFilesPerTrigger``, see ``run.landed``, or the source's own limit), not the length of the
+history. ``Reordered`` puts rows in event-time order across micro-batches as well.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from barline import config as cfg
@@ -18,7 +20,11 @@ from barline.operators import regime as G
 from barline.session import ROCKSDB
 
 
-def ordered(rows: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
+DAY_MS = 86_400_000
+
+
+def ordered(rows: Iterator[pd.DataFrame], by: str | Sequence[str]) -> pd.DataFrame:
+    by = by if isinstance(by, str) else list(by)
     return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
 
 
@@ -27,6 +33,102 @@ def apply_state(stream: DataFrame, keys: list[str], processor: StatefulProcessor
     return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
 
 
+def apply_timed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time: str, late: str) -> DataFrame:
+    """Like ``apply_state``, with event-time timers. ``time`` is the event time and ``late`` how
+    far rows may come out of order; later ones are dropped. Adds ``at_ms``, milliseconds."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = stream.withWatermark(time, late).withColumn("at_ms", F.unix_millis(time))
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+class Reordered(StatefulProcessor):
+    """Event-time order for another processor, across micro-batches, for ``apply_timed``.
+
+    Rows wait in a list until the watermark has passed them and are then handed on, oldest
+    first; ``fields`` is the schema of what is handed on, ``at_ms`` included. The list holds what
+    is newer than the watermark, not the history. A key has one timer, at its oldest row.
+    """
+
+    def __init__(self, inner: StatefulProcessor, fields: str):
+        self.inner, self.fields = inner, fields
+        self.names = [f.split()[0] for f in fields.split(",")]
+        self.schema = inner.schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.inner.init(handle)
+        self.waiting = handle.getListState("waiting", self.fields)
+        self.timer = handle.getValueState("timer", "at bigint")
+
+    def _wake(self, at: int) -> None:
+        """One timer, at the oldest waiting row."""
+        if self.timer.exists():
+            set_for = self.timer.get()[0]
+            if set_for <= at:
+                return
+            self.handle.deleteTimer(set_for)
+        self.handle.registerTimer(at)
+        self.timer.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            if len(frame):
+                self.waiting.appendList(list(zip(*[frame[n].tolist() for n in self.names])))
+                self._wake(int(frame["at_ms"].min()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        frame = pd.DataFrame(list(self.waiting.get()), columns=self.names)
+        passed = frame["at_ms"] <= timerValues.getCurrentWatermarkInMs()
+        rest = frame[~passed]
+        self.timer.clear()
+        if len(rest):
+            self.waiting.put(list(zip(*[rest[n].tolist() for n in self.names])))
+            self._wake(int(rest["at_ms"].min()))
+        else:
+            self.waiting.clear()
+        if passed.any():
+            yield from self.inner.handleInputRows(key, iter([frame[passed]]), timerValues)
+
+    def close(self) -> None:
+        self.inner.close()
+
+
+class SilentFeeds(StatefulProcessor):
+    """Dead-feed alert while the feed is dead, for ``apply_timed`` on (key, at_ms).
+
+    A day with rows sets a timer for ``days`` days after its end. If the watermark gets there
+    and no later day has rows, the feed is reported with its last day. Alerts do not depend on
+    the order of rows or on micro-batches. State: the days of the last ``days`` + 1.
+    """
+
+    def __init__(self, key: str, kind: str, days: int = 1):
+        self.key, self.days = key, days
+        self.schema = f"{key} {kind}, last_day date"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "day bigint", "there boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for day in np.unique(frame["at_ms"].to_numpy() // DAY_MS).tolist():
+                if not self.seen.containsKey((day,)):
+                    self.seen.updateValue((day,), (True,))
+                    self.handle.registerTimer((day + self.days + 1) * DAY_MS)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - self.days - 1
+        spoke = any(self.seen.containsKey((day + i,)) for i in range(1, self.days + 1))
+        self.seen.removeKey((day,))
+        if not spoke:
+            yield pd.DataFrame({self.key: [key[0]], "last_day": [pd.Timestamp(day * DAY_MS, unit="ms").date()]})
+
+    def close(self) -> None:
+        pass
+
+
 class PositionRules(StatefulProcessor):
     """Trailing stop, hard exit and one half take-profit per position.
 
@@ -37,8 +139,8 @@ class PositionRules(StatefulProcessor):
 
     SCHEMA = "action string, seq bigint, price double, entry_price double, peak_price double"
 
-    def __init__(self, key: str, kind: str, risk: cfg.Risk = cfg.RISK):
-        self.key, self.kind, self.risk = key, kind, risk
+    def __init__(self, key: str, kind: str, risk: cfg.Risk = cfg.RISK, by: Sequence[str] = ("seq",)):
+        self.key, self.kind, self.risk, self.by = key, kind, risk, by
 
     @property
     def schema(self) -> str:
@@ -50,7 +152,7 @@ class PositionRules(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         entry, peak, halved, closed = self.state.get() if self.state.exists() else (None, 0.0, False, False)
         out, r = [], self.risk
-        batch = ordered(rows, "seq")
+        batch = ordered(rows, self.by)
         stops = batch["stop_pct"] if "stop_pct" in batch else [r.trailing_stop_pct] * len(batch)
         for seq, price, stop in zip(batch["seq"], batch["price"], stops):
             if entry is None:

@@ -1,4 +1,6 @@
 import datetime as dt
+import random
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from barline.streaming.run import available_now, landed
 
 
 def feed(spark, name, batches, schema):
-    path = f"{checkpoint_root(spark)}/{name}"
+    path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
@@ -42,3 +44,41 @@ def test_counts_have_a_batch_twin(spark, sf):
     batch = L.event_counts(spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
     stream = available_now(L.event_counts(landed(spark, sf, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))))
     assert stream.count() > 0 and stream.exceptAll(batch).count() == 0
+
+
+def shuffled(spark, name, seed=5, users=("a", "b", "c"), steps=40):
+    """Five files of a price history in shuffled order, and a last row far in the future."""
+    rng = random.Random(seed)
+    t = dt.datetime(2024, 1, 1)
+    rows = [(u, t + dt.timedelta(hours=7 * i, minutes=j), i, 100 + rng.uniform(-30, 50)) for j, u in enumerate(users) for i in range(steps)]
+    mixed = rng.sample(rows, len(rows))
+    cut = [mixed[i::5] for i in range(5)]
+    return rows, feed(spark, name, [*cut, [("end", t + dt.timedelta(days=900), 0, 1.0)]], "k string, ts timestamp, seq bigint, price double")
+
+
+def test_shuffled_files_give_what_one_batch_gives(spark):
+    rows, stream = shuffled(spark, "shuffled")
+    rules = P.Reordered(P.PositionRules("k", "string", by=("at_ms", "seq")), "at_ms bigint, seq bigint, price double")
+    got = available_now(P.apply_timed(stream, ["k"], rules, rules.schema, "ts", "700 days")).select("k", "action", "seq").collect()
+    one = feed(spark, "shuffled_one", [[(k, seq, price) for k, _, seq, price in rows]], "k string, seq bigint, price double")
+    plain = P.PositionRules("k", "string")
+    want = available_now(P.apply_state(one, ["k"], plain, plain.schema)).select("k", "action", "seq").collect()
+    assert len(want) >= 3 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_a_dead_feed_is_reported_while_it_is_dead(spark):
+    t = dt.datetime(2024, 1, 1, 12)
+    at = lambda *days: [t + dt.timedelta(days=d) for d in days]
+    files = [[("x", d) for d in at(0, 1)] + [("y", d) for d in at(0)], [("x", d) for d in at(2, 3)], [("x", d) for d in at(4, 5)], [("y", d) for d in at(5)] + [("x", d) for d in at(8)]]
+    stream = feed(spark, "dead", files, "k string, ts timestamp")
+    rules = P.SilentFeeds("k", "string", days=1)
+    got = available_now(P.apply_timed(stream, ["k"], rules, rules.schema, "ts", "1 hour")).collect()
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    assert sorted(map(tuple, got)) == [("x", day(5)), ("y", day(0)), ("y", day(5))]
+
+
+def test_alerts_do_not_depend_on_the_order_of_files(spark):
+    rows, stream = shuffled(spark, "dead_shuffled", users=("a",), steps=12)
+    rules = P.SilentFeeds("k", "string", days=0)
+    got = available_now(P.apply_timed(stream.select("k", "ts"), ["k"], rules, rules.schema, "ts", "700 days")).where("k = 'a'").collect()
+    assert sorted(r["last_day"] for r in got) == sorted({ts.date() for _, ts, _, _ in rows})
