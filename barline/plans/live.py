@@ -88,7 +88,7 @@ def _(t):
 def _(t):
     folder = land(nav_ticks(t))
     rules = P.BreakerRules("portfolio_id", TIGHT)
-    out = available_now(P.apply_state(landed(t.spark, folder), ["portfolio_id"], rules, rules.schema))
+    out = available_now(P.apply_state(landed(t.spark, folder, files=None), ["portfolio_id"], rules, rules.schema))
     return out.select("portfolio_id", F.to_date("ts").alias("date"), (F.hour("ts") - 8).alias("tick"), "state")
 
 
@@ -96,7 +96,7 @@ def _(t):
 def _(t):
     folder = land(t.market.select("market_id", "date", "close"))
     rules = P.RegimeFilter("market_id", MODEL)
-    return available_now(P.apply_state(landed(t.spark, folder), ["market_id"], rules, rules.schema)).select("date", "p0", "p1", "p2")
+    return available_now(P.apply_state(landed(t.spark, folder, files=None), ["market_id"], rules, rules.schema)).select("date", "p0", "p1", "p2")
 
 
 # The stream must give what the batch twin gives: same check text.

@@ -14,11 +14,13 @@ from barline.session import checkpoint_root
 FILES = 64
 
 
-def landed(spark: SparkSession, folder: str, name: str | None = None, schema=None, files: int = FILES) -> DataFrame:
+def landed(spark: SparkSession, folder: str, name: str | None = None, schema=None, files: int | None = FILES) -> DataFrame:
     """Stream over parquet files of a folder, or over one named file in it, at most ``files``
-    in a micro-batch, so that a backlog is worked off piece by piece."""
+    in a micro-batch, so that a backlog is worked off piece by piece. Rules that need the order
+    of rows take files that arrive in order, ``Reordered``, or no limit (None)."""
     one = f"{folder}/{name}" if name else folder
-    reader = spark.readStream.schema(schema or spark.read.parquet(one).schema).option("maxFilesPerTrigger", files)
+    reader = spark.readStream.schema(schema or spark.read.parquet(one).schema)
+    reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
     return (reader.option("pathGlobFilter", name) if name else reader).parquet(folder)
 
 
