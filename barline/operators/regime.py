@@ -151,6 +151,16 @@ def select_model(fits: DataFrame, keys: Sequence[str], criterion: str = "bic") -
     return information_criteria(fits).groupBy(*keys).agg(F.min_by("k", F.struct(criterion, "k")).alias("k"), F.min(criterion).alias(criterion))
 
 
+def stored_models(scaler: DataFrame, keys: Sequence[str], names: Sequence[str], model: Model, ranks: Sequence[int], labels: Sequence[str]) -> DataFrame:
+    """A row per sequence: its scaler by feature name, in the order of ``names``, and a model's
+    parameters, ranks and labels, as the streaming update takes them."""
+    numbers = lambda a: F.array(*[F.lit(float(v)) for v in np.ravel(a)])
+    named = lambda c: F.array(*[F.max(F.when(F.col("feature") == n, F.col(c))) for n in names])
+    rows = scaler.groupBy(*keys).agg(named("mean").alias("mean"), named("std").alias("std"))
+    return rows.select(*keys, F.array(*map(F.lit, names)).alias("names"), "mean", "std", *[numbers(getattr(model, n)).alias(n) for n in ("start", "trans", "means", "vars")],
+                       F.array(*[F.lit(int(r)) for r in ranks]).alias("ranks"), F.array(*map(F.lit, labels)).alias("labels"))
+
+
 # ---- labels ----
 def rank_states(rows: DataFrame, keys: Sequence[str], k: int, ret: str = "ret", state: str = "state") -> DataFrame:
     """Label of each state by ascending mean return; a state without rows counts as 0."""

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.plans.model import CHAIN, FT, MODEL, MV, XS
+from barline.operators import regime as G
+from barline.plans.model import CHAIN, FT, LABEL, MODEL, MV, NAMES, XS, Chain, market_vix
 from barline.plans.registry import QUERIES, Tables, query
 from barline.plans.risk import TIGHT, nav_ticks
 from barline.session import land
@@ -13,6 +16,10 @@ from barline.streaming import stateless as L
 from barline.streaming.run import available_now, landed, latest_values
 
 
+def land_rows(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    return spark.read.schema(rows.schema).parquet(land(rows))
+
+
 def events(t: Tables):
     return landed(t.spark, t.dir, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -99,6 +106,41 @@ def _(t):
     return available_now(P.apply_state(landed(t.spark, folder, files=None), ["market_id"], rules, rules.schema)).select("date", "p0", "p1", "p2")
 
 
+@query("stream_timed_breakers", "M5", f"WITH s AS ({QUERIES['circuit_breakers'].sql}) SELECT s.* FROM s WHERE date + to_hours(tick + 8) <= (SELECT max(date + to_hours(tick + 8)) - INTERVAL 1 HOUR FROM s)")
+def _(t):
+    """Breakers in event-time order, whatever the order of arrival: what the watermark (an hour
+    behind the newest observation) has passed."""
+    folder = land(nav_ticks(t).withColumn("seen", F.col("ts").cast("timestamp")))
+    rules = P.Reordered(P.BreakerRules("portfolio_id", TIGHT, by=("at_ms",)), "at_ms bigint, ts timestamp_ntz, nav double")
+    out = available_now(P.apply_timed(landed(t.spark, folder), ["portfolio_id"], rules, rules.schema, "seen", "1 hour"))
+    return out.select("portfolio_id", F.to_date("ts").alias("date"), (F.hour("ts") - 8).alias("tick"), "state")
+
+
+EIGHT = [*NAMES[:4], "vix_level", "vix_change", *NAMES[4:]]
+WIDE = G.Model(MODEL.start, MODEL.trans, np.array([[-0.5, 1.0, -1.0, 0.3, 0.8, 0.1, -0.8, -1.0], [0.0, 0.0, 0.0, 0.0, 0.1, 0.0, 0.0, 0.1], [0.4, -0.5, 0.9, -0.1, -0.6, -0.1, 0.7, 0.6]]),
+               np.array([[6.0, 5.0, 4.0, 5.0, 6.0, 5.0, 4.0, 5.0], [4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0, 4.0], [5.0, 4.0, 4.5, 5.0, 4.0, 6.0, 4.0, 4.0]]))
+WIDE_CHAIN = Chain(WIDE)
+TRAIN_END = "1999-01-01"
+WIDE_SQL = f"""WITH {MV}, {FT}, w AS (SELECT *, vix AS vix_level FROM ft WHERE trend_z IS NOT NULL AND vol_20d IS NOT NULL AND ret_1d IS NOT NULL),
+st AS (SELECT {', '.join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in EIGHT)} FROM w WHERE date < DATE '{TRAIN_END}'),
+xs AS MATERIALIZED (SELECT 'MKT' AS ticker, date, {', '.join(f"coalesce(({n} - m_{n}) / CASE WHEN s_{n} = 0 THEN 1 ELSE s_{n} END, 0) AS x{i}" for i, n in enumerate(EIGHT))}, row_number() OVER (ORDER BY date) AS n FROM w, st), {WIDE_CHAIN.filtered()},
+lb AS (SELECT date, p0, p1, p2, greatest(p0, p1, p2) AS confidence, {LABEL} AS l FROM f), lg AS (SELECT *, lag(l, 1) OVER w AS l1, lag(l, 2) OVER w AS l2, lag(l, 3) OVER w AS l3 FROM lb WINDOW w AS (ORDER BY date))
+SELECT date, l AS regime_label, confidence, p0, p1, p2, coalesce(l = l1 AND l = l2 AND l = l3, false) AS is_stable, CASE WHEN l3 IS NULL THEN 1.0 ELSE (CAST(l1 <> l2 AS INT) + CAST(l2 <> l3 AS INT)) / 2 END AS transition_rate FROM lg"""
+
+
+@query("stream_regime_update", "M2", WIDE_SQL, r="confidence p0 p1 p2 transition_rate", digits=6, recursive=True)
+def _(t):
+    """All features under the stored scaler and model, which are the initial state of a series."""
+    market = market_vix(t)
+    train = G.warmed_up(G.features(market)).where(F.col("date") < TRAIN_END)
+    scaler = G.fit_scaler(train, ["market_id"], EIGHT)
+    models = G.stored_models(scaler, ["market_id"], EIGHT, WIDE, [0, 1, 2], ["crash", "neutral", "bull"])
+    rules = P.RegimeUpdate("market_id")
+    folder = land(market.select("market_id", "date", "close", "volume", "vix"))
+    out = available_now(P.apply_state(landed(t.spark, folder, files=None), ["market_id"], rules, rules.schema, land_rows(t.spark, models)))
+    return out.select("date", "regime_label", "confidence", *[F.col("posteriors")[i].alias(f"p{i}") for i in range(3)], "is_stable", "transition_rate")
+
+
 # The stream must give what the batch twin gives: same check text.
 _twin = QUERIES["stream_circuit_breakers"]
 QUERIES["stream_circuit_breakers"] = type(_twin)(_twin.name, _twin.ids, _twin.run, QUERIES["circuit_breakers"].sql)

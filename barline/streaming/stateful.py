@@ -28,17 +28,20 @@ def ordered(rows: Iterator[pd.DataFrame], by: str | Sequence[str]) -> pd.DataFra
     return pd.concat(list(rows), ignore_index=True).sort_values(by, ignore_index=True)
 
 
-def apply_state(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+def apply_state(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, initial: DataFrame | None = None) -> DataFrame:
+    """``initial`` holds what is known of keys before the stream starts, for processors that take it."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
+    known = None if initial is None else initial.groupBy(*keys)
+    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None", known)
 
 
-def apply_timed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time: str, late: str) -> DataFrame:
+def apply_timed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, time: str, late: str, initial: DataFrame | None = None) -> DataFrame:
     """Like ``apply_state``, with event-time timers. ``time`` is the event time and ``late`` how
     far rows may come out of order; later ones are dropped. Adds ``at_ms``, milliseconds."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     rows = stream.withWatermark(time, late).withColumn("at_ms", F.unix_millis(time))
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+    known = None if initial is None else initial.groupBy(*keys)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime", known)
 
 
 class Reordered(StatefulProcessor):
@@ -60,6 +63,9 @@ class Reordered(StatefulProcessor):
         self.waiting = handle.getListState("waiting", self.fields)
         self.timer = handle.getValueState("timer", "at bigint")
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.inner.handleInitialState(key, initialState, timerValues)
+
     def _wake(self, at: int) -> None:
         """One timer, at the oldest waiting row."""
         if self.timer.exists():
@@ -183,8 +189,8 @@ class BreakerRules(StatefulProcessor):
 
     NAMES = ("normal", "sizes_reduced", "entries_halted", "deleverage")
 
-    def __init__(self, key: str, risk: cfg.Risk = cfg.RISK):
-        self.key, self.risk = key, risk
+    def __init__(self, key: str, risk: cfg.Risk = cfg.RISK, by: Sequence[str] = ("ts",)):
+        self.key, self.risk, self.by = key, risk, by
         self.schema = f"{key} string, ts timestamp_ntz, nav double, state string"
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -194,7 +200,7 @@ class BreakerRules(StatefulProcessor):
         s = self.state.get() if self.state.exists() else ("", "", 0.0, 0.0, 0.0, 0, False, False)
         day, week, day_nav, week_nav, peak, severity, halted, locked = s
         r, states = self.risk, []
-        batch = ordered(rows, "ts")
+        batch = ordered(rows, self.by)
         stamps = pd.to_datetime(batch["ts"])
         days = stamps.dt.strftime("%Y-%m-%d")
         weeks = (stamps - pd.to_timedelta(stamps.dt.dayofweek, unit="D")).dt.strftime("%Y-%m-%d")
@@ -280,3 +286,125 @@ class RegimeFilter(StatefulProcessor):
 
     def close(self) -> None:
         pass
+
+
+def windows(values: np.ndarray, n: int) -> np.ndarray:
+    """A row per value: itself and the ``n`` - 1 before it, NaN where there are none."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), values]), n)
+
+
+def mean_std(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Trailing mean and sample deviation where at least half a window of values is there."""
+    w = windows(values, n)
+    there = ~np.isnan(w)
+    count = there.sum(1)
+    ok = count >= max(n // 2, 2)
+    size = np.where(ok, count, 2)
+    mean = np.where(there, w, 0.0).sum(1) / size
+    square = np.where(there, w - mean[:, None], 0.0) ** 2
+    return np.where(ok, mean, np.nan), np.where(ok, np.sqrt(square.sum(1) / (size - 1)), np.nan)
+
+
+def back(values: np.ndarray, n: int) -> np.ndarray:
+    """The change in parts against ``n`` values before; NaN where there is none, or zero."""
+    base = np.concatenate([np.full(min(n, len(values)), np.nan), values[:-n]])
+    return values / np.where(base == 0, np.nan, base) - 1
+
+
+def bar_features(close: np.ndarray, volume: np.ndarray, vix: np.ndarray, c: cfg.Features = cfg.FEATURES) -> dict[str, np.ndarray]:
+    """What ``regime.features`` computes, from the bars of one series in order; missing is NaN.
+    A bar's features follow from itself and the ``reach`` - 1 bars before it."""
+    ret = back(close, 1)
+    mean, std = mean_std(close, c.trend_window)
+    usual, spread = mean_std(volume, c.vol_window)
+    return {
+        "ret_1d": ret, "vol_20d": mean_std(ret, c.vol_window)[1] * np.sqrt(252), "trend_z": (close - mean) / (std + 1e-8),
+        "vol_z": (volume - usual) / (spread + 1e-8), "vix_level": vix, "vix_change": back(vix, 1), "momentum": back(close, c.momentum_window),
+        "drawdown": close / np.fmax.reduce(windows(close, 252), axis=1) - 1,
+    }
+
+
+def reach(c: cfg.Features = cfg.FEATURES) -> int:
+    """How many bars the longest feature looks at, the bar itself among them."""
+    return max(c.trend_window, c.vol_window + 1, c.momentum_window + 1, 252)
+
+
+class RegimeUpdate(StatefulProcessor):
+    """Regime of each new bar (key, date, close, volume, vix) of a series: one forward step.
+
+    A series' model is its initial state, a row (key, ``MODEL_FIELDS``): features by name with the
+    mean and deviation they were scaled with, the parameters, and the states' ranks and labels. A
+    feature that a bar lacks, or that has another name than all known ones, is the training
+    mean; a constant feature is divided by one. VIX is carried forward.
+
+    State: the model, a list of the last bars (as many as the longest feature looks at), and the
+    filter vector with the last labels. Bars without a core feature warm up and give no row.
+    Bars of a date that is not after the last one, and of series without a model, are left out;
+    bars without a close too.
+    """
+
+    MODEL_FIELDS = "names array<string>, mean array<double>, std array<double>, start array<double>, trans array<double>, means array<double>, vars array<double>, ranks array<int>, labels array<string>"
+    BAR = ["date", "close", "volume", "vix"]
+
+    def __init__(self, key: str, c: cfg.Features = cfg.FEATURES, stable_bars: int = 3):
+        self.key, self.c, self.stable_bars = key, c, stable_bars
+        self.schema = f"{key} string, date date, regime_index int, regime_label string, confidence double, is_stable boolean, transition_rate double, posteriors array<double>"
+        self.names = [f.split()[0] for f in self.MODEL_FIELDS.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.model = handle.getValueState("model", self.MODEL_FIELDS)
+        self.tail = handle.getListState("tail", "date date, close double, volume double, vix double")
+        self.filter = handle.getValueState("filter", "log_alpha array<double>, recent array<int>")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.model.update(tuple(np.asarray(row[n]).tolist() for n in self.names))
+
+    def _scaled(self, features: dict[str, np.ndarray], m: dict) -> np.ndarray:
+        cols = []
+        for name, mean, std in zip(m["names"], m["mean"], m["std"]):
+            values = features.get(name, np.full(len(features["ret_1d"]), np.nan))
+            cols.append((np.where(np.isnan(values), mean, values) - mean) / (std or 1.0))
+        return np.column_stack(cols)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = ordered(rows, "date").dropna(subset=["close"]).drop_duplicates("date", keep="last")
+        old = pd.DataFrame(list(self.tail.get()), columns=self.BAR)
+        if len(old):
+            new = new[pd.to_datetime(new["date"]) > pd.Timestamp(old["date"].iloc[-1])]
+        if not len(new) or not self.model.exists():
+            return
+        bars = pd.concat([old, new[self.BAR]], ignore_index=True) if len(old) else new[self.BAR].reset_index(drop=True)
+        numbers = bars[self.BAR[1:]].astype(float)
+        numbers["vix"] = numbers["vix"].ffill()
+        features = bar_features(*(numbers[c].to_numpy() for c in self.BAR[1:]), self.c)
+        m = dict(zip(self.names, self.model.get()))
+        k, log_trans = len(m["start"]), np.log(np.reshape(m["trans"], (-1, len(m["start"]))) + G.TINY)
+        means, var = np.reshape(m["means"], (k, -1)), np.reshape(m["vars"], (k, -1))
+        x = self._scaled(features, m)
+        gap = x[:, None, :] - means
+        emission = -0.5 * (x.shape[1] * np.log(2 * np.pi) + np.log(var).sum(1) + (gap * gap / var).sum(2))
+        ready = ~np.isnan([features[n] for n in G.CORE]).any(0)
+        alpha, recent = self.filter.get() if self.filter.exists() else ([], [])
+        alpha, recent, order, out, n = np.array(alpha, dtype=float), list(recent), np.argsort(m["ranks"]), [], self.stable_bars
+        for i in range(len(old), len(bars)):
+            if not ready[i]:
+                continue
+            alpha = G.forward_step(alpha, log_trans, emission[i]) if len(alpha) else np.log(np.array(m["start"]) + G.TINY) + emission[i]
+            alpha = alpha - alpha.max()
+            p = (np.exp(alpha) / np.exp(alpha).sum())[order]
+            rank = int(p.argmax())
+            known = len(recent) == n
+            changes = sum(a != b for a, b in zip(recent, recent[1:])) / (n - 1) if known else 1.0
+            out.append((key[0], bars["date"].iloc[i], rank, m["labels"][rank], float(p[rank]), known and set(recent) == {rank}, changes, p.tolist()))
+            recent = [*recent, rank][-n:]
+        if len(alpha):
+            self.filter.update((alpha.tolist(), recent))
+        last = slice(-reach(self.c) + 1, None)
+        # plain None and floats: the state's schema takes no NaT and no numpy values
+        values = zip(pd.to_datetime(bars["date"]).dt.date[last], *(numbers[c][last].tolist() for c in self.BAR[1:]))
+        self.tail.put([tuple(None if v != v else v for v in row) for row in values])
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in self.schema.split(", ")])
+
+    def close(self) -> None:
+        pass

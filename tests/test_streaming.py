@@ -2,8 +2,11 @@ import datetime as dt
 import random
 import uuid
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from barline.operators import regime as G
 from barline.session import checkpoint_root
 from barline.streaming import stateful as P
 from barline.streaming import stateless as L
@@ -82,3 +85,91 @@ def test_alerts_do_not_depend_on_the_order_of_files(spark):
     rules = P.SilentFeeds("k", "string", days=0)
     got = available_now(P.apply_timed(stream.select("k", "ts"), ["k"], rules, rules.schema, "ts", "700 days")).where("k = 'a'").collect()
     assert sorted(r["last_day"] for r in got) == sorted({ts.date() for _, ts, _, _ in rows})
+
+
+def test_breakers_of_shuffled_files(spark):
+    rows, stream = shuffled(spark, "breakers_shuffled")
+    rules = P.Reordered(P.BreakerRules("k", by=("at_ms",)), "at_ms bigint, ts timestamp, nav double")
+    calm = stream.withColumn("nav", 100 + (F.col("price") - 100) / 8)
+    got = available_now(P.apply_timed(calm, ["k"], rules, rules.schema, "ts", "700 days")).where("k <> 'end'").collect()
+    one = feed(spark, "breakers_one", [[(k, ts, 100 + (price - 100) / 8) for k, ts, _, price in rows]], "k string, ts timestamp, nav double")
+    plain = P.BreakerRules("k")
+    want = available_now(P.apply_state(one, ["k"], plain, plain.schema)).collect()
+    assert len({r["state"] for r in want}) > 2 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+NAMES = ["ret_1d", "vol_20d", "trend_z", "vol_z", "vix_level", "vix_change", "momentum", "drawdown"]
+BARS = "k string, date date, close double, volume double, vix double"
+
+
+def market(n=330, keys=("a", "b")):
+    rng, t = np.random.default_rng(3), dt.date(2022, 1, 1)
+    rows = []
+    for k in keys:
+        close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, n)))
+        vix = [float(v) if rng.random() < 0.8 else None for v in rng.uniform(10, 40, n)]
+        rows += [(k, t + dt.timedelta(days=i), float(c), float(v), x) for i, (c, v, x) in enumerate(zip(close, rng.uniform(1e5, 2e5, n), vix))]
+    return rows
+
+
+def known_models(spark, rows, keys=("k",)):
+    """The rows with VIX carried forward and their features, the models, and what the batch finds."""
+    from barline.functions.series import over, so_far
+
+    rng = np.random.default_rng(8)
+    model = G.Model(np.full(3, 1 / 3), np.full((3, 3), 0.1) + 0.7 * np.eye(3), rng.normal(0, 1, (3, 8)), rng.uniform(1, 3, (3, 8)))
+    bars = spark.createDataFrame(rows, BARS).withColumn("vix", F.last("vix", ignorenulls=True).over(so_far(over("k"))))
+    feats = G.warmed_up(G.features(bars, "k"))
+    scaler = G.fit_scaler(feats, ["k"], NAMES)
+    labels = ["down", "flat", "up"]
+    stored = G.stored_models(scaler, ["k"], NAMES, model, [2, 0, 1], labels)
+    scaled = G.scale(feats, scaler, ["k"], NAMES)
+    scored = scaled.withColumn("log_emission", G.log_emission([F.col(f"z_{n}") for n in NAMES], model))
+    batch = G.classify(G.decode(scored, model, "k", whole=False), [2, 0, 1], labels, "k")
+    return stored, {(r["k"], r["date"]): r for r in batch.collect()}
+
+
+def same_regimes(got, want):
+    assert len(got) == len(want) > 200
+    for r in got:
+        w = want[r["k"], r["date"]]
+        assert (r["regime_index"], r["regime_label"], r["is_stable"]) == (w["regime_index"], w["regime_label"], w["is_stable"])
+        assert (r["confidence"], r["transition_rate"]) == pytest.approx((w["confidence"], w["transition_rate"]), abs=1e-9)
+        assert r["posteriors"] == pytest.approx(w["posteriors"], abs=1e-9)
+
+
+def test_regimes_bar_by_bar_are_those_of_the_batch(spark):
+    rows = market()
+    stored, want = known_models(spark, rows)
+    rows.sort(key=lambda r: r[1])
+    files = [rows[:40], rows[40:300], rows[300:301], rows[301:640], rows[630:]]  # the last one repeats bars
+    rules = P.RegimeUpdate("k")
+    got = available_now(P.apply_state(feed(spark, "regimes", files, BARS), ["k"], rules, rules.schema, stored)).collect()
+    same_regimes(got, want)
+
+
+def test_regimes_of_shuffled_files(spark):
+    rows = market(260)
+    stored, want = known_models(spark, rows)
+    mixed = random.Random(2).sample(rows, len(rows))
+    files = [mixed[i::4] for i in range(4)] + [[("end", dt.date(2030, 1, 1), 1.0, 1.0, 1.0)]]
+    rules = P.Reordered(P.RegimeUpdate("k"), "at_ms bigint, date date, close double, volume double, vix double")
+    stream = feed(spark, "regimes_mixed", files, BARS).withColumn("ts", F.col("date").cast("timestamp"))
+    got = available_now(P.apply_timed(stream, ["k"], rules, rules.schema, "ts", "700 days", stored)).collect()
+    same_regimes(got, want)
+
+
+def test_regime_update_without_a_model_or_a_feature(spark):
+    rows = market(130, ("a", "none"))
+    stored, _ = known_models(spark, [r for r in rows if r[0] == "a"])
+    odd = F.transform("names", lambda n: F.when(n == "vol_z", "other").otherwise(n))
+    renamed = stored.withColumn("names", odd)
+    empty = [("a", dt.date(2023, 1, 1), None, None, None)]
+    got = {}
+    for name, models in (("plain", stored), ("odd", renamed)):
+        rules = P.RegimeUpdate("k")
+        files = [[r[:3] + (None, r[4]) if name == "plain" else r for r in rows], empty]
+        got[name] = available_now(P.apply_state(feed(spark, f"regime_{name}", files, BARS), ["k"], rules, rules.schema, models)).orderBy("date").collect()
+    assert {r["k"] for r in got["plain"]} == {"a"} and len(got["plain"]) == 31
+    # a volume that is missing and a feature that nobody knows both count as the training mean
+    assert np.allclose([r["posteriors"] for r in got["plain"]], [r["posteriors"] for r in got["odd"]], atol=1e-12)
