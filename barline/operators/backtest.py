@@ -101,38 +101,84 @@ class ExitRules:
     commission_pct: float = cfg.BACKTEST.commission_pct
 
 
-def _walk_exits(close: np.ndarray, entry: np.ndarray, fill: np.ndarray, r: ExitRules):
-    """All entries of one series step forward bar by bar together; closed ones leave."""
-    n, m = len(close), len(entry)
-    exit_at, reason, half = np.full(m, n - 1), np.full(m, "end_of_backtest", dtype=object), np.full(m, -1)
-    peak, live = fill.copy(), np.ones(m, dtype=bool)
-    for t in range(n):
-        on = np.flatnonzero(live & (entry < t))
-        if not len(on):
-            continue
-        price, before = close[t], peak[on].copy()
-        peak[on] = np.maximum(before, price)
-        stopped = (before - price) / before * 100 >= r.stop
-        gain = (price - fill[on]) / fill[on] * 100
-        hard = ~stopped & (gain >= r.hard_exit)
-        tp = ~stopped & ~hard & (gain >= r.take_profit) & (half[on] < 0)
-        half[on[tp]] = t
-        for mask, why in ((stopped, "stop_loss"), (hard, "hard_exit")):
-            exit_at[on[mask]], reason[on[mask]], live[on[mask]] = t, why, False
-    return exit_at, reason, half
+class Extremes:
+    """Largest and smallest values over blocks of 1, 2, 4, ... bars, for first-passage searches."""
+
+    def __init__(self, values: np.ndarray):
+        self.n, self.high, self.low = len(values), [values], [values]
+        while len(self.high[-1]) > 1:
+            for levels, best, pad in ((self.high, np.maximum, -np.inf), (self.low, np.minimum, np.inf)):
+                v = levels[-1] if len(levels[-1]) % 2 == 0 else np.append(levels[-1], pad)
+                levels.append(best(v[::2], v[1::2]))
+
+    def first(self, start: np.ndarray, levels: list[np.ndarray], passes) -> np.ndarray:
+        """For each search the first bar from ``start`` on whose value passes, else n. ``passes``
+        takes values and the numbers of the searches; a block has such a bar if its extreme passes.
+
+        All searches climb together while their block has none, then go down to the bar.
+        """
+        at, level, down = start.copy(), np.zeros(len(start), np.int64), np.zeros(len(start), bool)
+        found, on = np.full(len(start), self.n), np.arange(len(start))
+        top = len(levels) - 1
+        while len(on):
+            on = on[(at[on] << level[on]) < self.n]
+            value = np.empty(len(on))
+            for depth in np.unique(level[on]):
+                here = level[on] == depth
+                value[here] = levels[depth][at[on[here]]]
+            hit = passes(value, on)
+            leaf = hit & (level[on] == 0)
+            found[on[leaf]] = at[on[leaf]]
+            into = on[hit & ~leaf]
+            down[into], level[into], at[into] = True, level[into] - 1, at[into] * 2
+            past = on[~hit]
+            at[past] += 1
+            up = past[~down[past] & (at[past] % 2 == 0) & (level[past] < top)]
+            at[up], level[up] = at[up] // 2, level[up] + 1
+            on = on[~leaf]
+        return found
+
+
+def _first_passages(close: np.ndarray, entry: np.ndarray, fill: np.ndarray, r: ExitRules):
+    """Exit bar, reason and bar of the half sale (-1: none) of every entry, by searches over
+    block extremes instead of a walk: about log(bars) steps an entry.
+
+    Until a close exceeds the fill, the stop hangs from the fill; from then on from the last
+    new high. The stop after a high does not depend on the entry, so it is found once for
+    every bar: at the drop from it, or what the next higher bar finds, from the last bar on.
+    """
+    n, blocks = len(close), Extremes(close)
+    drop = lambda peak: lambda v, i: (peak[i] - v) / peak[i] * 100 >= r.stop
+    gain = lambda share: lambda v, i: (v - fill[i]) / fill[i] * 100 >= share
+    later = np.arange(1, n + 1)
+    higher = blocks.first(later, blocks.high, lambda v, i: v > close[i])
+    fallen = blocks.first(later, blocks.low, drop(close))
+    stop_of, ahead, fell = [n] * (n + 1), higher.tolist(), fallen.tolist()
+    for t in range(n - 1, -1, -1):
+        stop_of[t] = fell[t] if fell[t] < ahead[t] else stop_of[ahead[t]]
+    after = entry + 1
+    high = blocks.first(after, blocks.high, lambda v, i: v > fill[i])
+    low = blocks.first(after, blocks.low, drop(fill))
+    stop = np.where(low < high, low, np.array(stop_of)[high])
+    hard = blocks.first(after, blocks.high, gain(r.hard_exit))
+    half = blocks.first(after, blocks.high, gain(r.take_profit))
+    end = np.minimum(stop, hard)
+    reason = np.where(end == n, "end_of_backtest", np.where(stop <= hard, "stop_loss", "hard_exit")).astype(object)
+    return np.minimum(end, n - 1), reason, np.where(half < end, half, -1)
 
 
 def label_exits(bars: DataFrame, entries: DataFrame, keys: Sequence[str] = ("ticker",), rules: ExitRules = ExitRules()) -> DataFrame:
     """Exit of every distinct (keys, exec_date) entry on its own price path.
 
     Equal entries have equal exits, so they are made distinct first; a series then has at
-    most one entry per bar. The path walk depends on its own past and is the one place
-    where a grouped function is used; a group is one series of one row per date. Bars may
-    carry ``slippage_bps``, one value per series, in place of that of the rules.
+    most one entry per bar. Exits are first passages, found in a grouped function; a group is
+    one series of one row per date. Bars may carry ``slippage_bps``, one value per series, in
+    place of that of the rules. Bars without a price above zero are left out, entries on them
+    with them.
     """
     keys, own = list(keys), [c for c in ("slippage_bps",) if c in bars.columns]
     marks = entries.select(*keys, F.col("exec_date").alias("date"), F.lit(True).alias("_e")).distinct()
-    rows = bars.select(*keys, "date", "close", *own).join(marks, [*keys, "date"], "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
+    rows = bars.select(*keys, "date", "close", *own).where("close > 0 AND NOT isnan(close)").join(marks, [*keys, "date"], "left").withColumn("_e", F.coalesce("_e", F.lit(False)))
     fields = [T.StructField(k, rows.schema[k].dataType) for k in keys] + [
         T.StructField("entry_date", T.DateType()), T.StructField("entry_price", T.DoubleType()), T.StructField("exit_date", T.DateType()),
         T.StructField("exit_price", T.DoubleType()), T.StructField("exit_reason", T.StringType()), T.StructField("take_profit_date", T.DateType()),
@@ -144,7 +190,7 @@ def label_exits(bars: DataFrame, entries: DataFrame, keys: Sequence[str] = ("tic
         slip = (pdf["slippage_bps"].iloc[0] if own else rules.slippage_bps) / 10_000
         close, entry = pdf["close"].to_numpy(), np.flatnonzero(pdf["_e"].to_numpy())
         fill = close[entry] + close[entry] * slip
-        at, why, half = _walk_exits(close, entry, fill, rules)
+        at, why, half = _first_passages(close, entry, fill, rules)
         day = pdf["date"].to_numpy()
         out = {k: pdf[k].iloc[0] for k in keys} | {
             "entry_date": day[entry], "entry_price": fill, "exit_date": day[at], "exit_price": close[at] - close[at] * slip,

@@ -1,7 +1,10 @@
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from barline.operators import backtest as B
@@ -85,3 +88,56 @@ def test_fill_delay_is_held_at_the_last_bar(spark):
     sig = spark.createDataFrame([(day(0),), (day(2),), (day(9),)], "date date")
     got = {r["date"]: r["exec_date"] for r in B.fill_dates(sig, cal, 2).collect()}
     assert got == {day(0): day(2), day(2): day(2)}
+
+
+def walked(close, entry, fill, r):
+    """Exits bar by bar, an entry at a time."""
+    out = []
+    for e, f in zip(entry, fill):
+        peak, half, end = f, -1, (len(close) - 1, "end_of_backtest")
+        for t in range(e + 1, len(close)):
+            before, peak = peak, max(peak, close[t])
+            gain = (close[t] - f) / f * 100
+            if (before - close[t]) / before * 100 >= r.stop:
+                end = (t, "stop_loss")
+                break
+            if gain >= r.hard_exit:
+                end = (t, "hard_exit")
+                break
+            if gain >= r.take_profit and half < 0:
+                half = t
+        out.append((*end, half))
+    return out
+
+
+RULES = [B.ExitRules(), B.ExitRules(stop=0.0, take_profit=5, hard_exit=9), B.ExitRules(stop=30, take_profit=40, hard_exit=25)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(80, 150).map(float), st.floats(1, 200)), min_size=1, max_size=70), st.sampled_from(RULES), st.sampled_from([0.0, 0.001, 0.08, -0.01]))
+def test_first_passages_equal_the_walk(closes, rules, slip):
+    close = np.array(closes)
+    entry = np.arange(len(close))
+    fill = close * (1 + slip)
+    assert list(zip(*B._first_passages(close, entry, fill, rules))) == walked(close, entry, fill, rules)
+
+
+def test_first_passages_grow_with_entries_not_with_bars_times_entries():
+    rng = np.random.default_rng(1)
+    rules = B.ExitRules(stop=99, take_profit=1e6, hard_exit=1e7)  # nothing ever leaves: the worst case of a walk
+
+    def seconds(n):
+        close = 100 + rng.random(n)
+        began = time.perf_counter()
+        B._first_passages(close, np.arange(n), close, rules)
+        return time.perf_counter() - began
+
+    small = min(seconds(20_000) for _ in range(3))
+    assert min(seconds(160_000) for _ in range(3)) < 24 * small  # 8 times the entries; a walk takes 64 times as long
+
+
+def test_bars_without_a_price_are_left_out(series, spark):
+    got = B.label_exits(series(A=[100.0, np.nan, 90.0, 80.0], B=[np.nan, 0.0]), spark.createDataFrame([("A", day(0)), ("A", day(1)), ("B", day(0)), ("C", day(0))], "ticker string, exec_date date"))
+    assert [(r["ticker"], r["entry_date"], r["exit_date"], r["exit_reason"]) for r in got.collect()] == [("A", day(0), day(3), "stop_loss")]
+    none = spark.createDataFrame([], "ticker string, exec_date date")
+    assert B.label_exits(series(A=[1.0, 2.0]), none).count() == 0
