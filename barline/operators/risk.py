@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,19 +162,76 @@ def admit(sized: DataFrame, open_count: int, keys: Sequence[str], order: Sequenc
 
 
 # ---- correlation ----
-def max_correlation(candidates: DataFrame, holdings: DataFrame, c: cfg.Correlation = cfg.CORRELATION) -> DataFrame:
+GRAM_DAYS, GRAM_SIDE = 64, 128
+MOMENTS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+
+def _day_blocks(rows: DataFrame, name: str) -> DataFrame:
+    """(name, block, days, rets): a row per name and block of days with the returns there are."""
+    day = F.unix_date("date")
+    rows = rows.where("ret IS NOT NULL AND NOT isnan(ret)").select(F.col("ticker").alias(name), F.floor(day / GRAM_DAYS).cast("int").alias("block"), F.pmod(day, F.lit(GRAM_DAYS)).alias("day"), "ret")
+    rows = rows.groupBy(name, "block").agg(F.collect_list(F.struct("day", "ret")).alias("_r"))
+    return rows.select(name, "block", F.col("_r.day").alias("days"), F.col("_r.ret").alias("rets"))
+
+
+def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Names x days: the returns, 0 where there is none, and 1 where there is one."""
+    x, there = np.zeros((2, len(rows), GRAM_DAYS))
+    for i, (days, rets) in enumerate(zip(rows["days"], rows["rets"])):
+        x[i, days], there[i, days] = rets, 1.0
+    return x, there
+
+
+def pair_moments(candidates: DataFrame, holdings: DataFrame) -> DataFrame:
+    """(ticker, holding, n, sx, sy, sxx, syy, sxy): sums over the days that both have.
+
+    Both sides are (ticker, date, ret), unique on (ticker, date). Days are cut into blocks and
+    names into groups; a task multiplies the matrices of a group of candidates and a group of
+    holdings over a block of days, so there is a row per pair and block of days, not per pair
+    and day. Both sides are counted first, which gives the number of groups: a row is sent
+    once per group of the other side, and no task holds more than 64 days of a group.
+    """
+    sides = []
+    for rows, name in ((candidates, "ticker"), (holdings, "holding")):
+        groups = -(-rows.select("ticker").distinct().count() // GRAM_SIDE) or 1
+        sides.append((_day_blocks(rows, name).withColumn(f"_{name}", F.pmod(F.xxhash64(name), F.lit(groups)).cast("int")), groups))
+    (c, nc), (h, nh) = sides
+    every = lambda df, col, n: df.withColumn(col, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    keys = ["block", "_ticker", "_holding"]
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    schema = f"ticker {kind(c, 'ticker')}, holding {kind(h, 'holding')}, " + ", ".join(f"{m} double" for m in MOMENTS)
+
+    def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        (x, mx), (y, my) = _matrix(left), _matrix(right)
+        sums = [mx @ my.T, x @ my.T, mx @ y.T, (x * x) @ my.T, mx @ (y * y).T, x @ y.T]
+        i, j = np.nonzero(sums[0])
+        named = {"ticker": left["ticker"].to_numpy()[i], "holding": right["holding"].to_numpy()[j]}
+        return pd.DataFrame(named | {m: s[i, j] for m, s in zip(MOMENTS, sums)})
+
+    blocks = every(c, "_holding", nh).groupBy(*keys).cogroup(every(h, "_ticker", nc).groupBy(*keys)).applyInPandas(multiply, schema)
+    return blocks.groupBy("ticker", "holding").agg(*[F.sum(m).alias(m) for m in MOMENTS])
+
+
+def max_correlation(candidates: DataFrame, holdings: DataFrame, c: cfg.Correlation = cfg.CORRELATION, as_of: Column | str | None = None, days: int | None = None) -> DataFrame:
     """Highest return correlation of each candidate with a holding, floored at 0, and its multiplier.
 
-    Both sides are (ticker, date, ret). A book holds at most ``max_positions`` names, so
-    a candidate row meets at most that many rows on its date.
+    Both sides are (ticker, date, ret); with ``as_of`` and ``days``, of the days from ``days``
+    before that date to it. Pairs with fewer than ``min_overlap`` common days, or with a side
+    whose returns there are constant (deviation below a millionth of their size), do not
+    count; a candidate without any has no correlation and the multiplier 1. A missing return is
+    no day; tables may be empty.
     """
-    h = holdings.select(F.col("ticker").alias("holding"), "date", F.col("ret").alias("h")).dropna()
-    rho = F.corr("ret", "h")
-    pairs = candidates.dropna(subset=["ret"]).join(h, "date").groupBy("ticker", "holding").agg(F.count(F.lit(1)).alias("_n"), rho.alias("rho"))
-    valid = pairs.where((F.col("_n") >= c.min_overlap) & F.col("rho").isNotNull() & ~F.isnan("rho"))
+    if as_of is not None:
+        end = F.lit(as_of).cast("date") if isinstance(as_of, str) else as_of
+        candidates, holdings = (df.where(F.col("date").between(F.date_sub(end, days), end)) for df in (candidates, holdings))
+    n, col = F.col("n"), F.col
+    spread = lambda s, ss: S.let(n * col(ss) - col(s) * col(s), lambda v: F.when(v > 1e-12 * n * col(ss), v))
+    pairs = pair_moments(candidates, holdings).where(n >= c.min_overlap)
+    rho = (n * col("sxy") - col("sx") * col("sy")) / F.sqrt(spread("sx", "sxx")) / F.sqrt(spread("sy", "syy"))
+    valid = pairs.select("ticker", rho.alias("rho")).where("rho IS NOT NULL")
     top = valid.groupBy("ticker").agg(F.greatest(F.max("rho"), F.lit(0.0)).alias("max_rho"), F.count(F.lit(1)).alias("n_pairs"))
     every = candidates.select("ticker").distinct().join(top, "ticker", "left")
-    return every.withColumn("corr_mult", F.coalesce(S.correlation_multiplier(F.col("max_rho"), c.threshold), F.lit(1.0)))
+    return every.withColumn("corr_mult", F.when(F.col("max_rho").isNull(), 1.0).otherwise(S.correlation_multiplier(F.col("max_rho"), c.threshold)))
 
 
 # ---- hedges ----

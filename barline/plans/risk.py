@@ -187,8 +187,9 @@ mx AS (SELECT ticker, greatest(0.0, max(rho)) AS max_rho, count(*) AS n_pairs FR
 
 
 def correlation(t: Tables):
+    """The panel is cut to the days asked for before returns are taken: the first of them has none."""
     rets = M.daily_returns(t.bars.where("date BETWEEN DATE '2001-10-01' - 60 AND DATE '2001-10-01'").select("ticker", "date", F.col("close").alias("nav")), "ticker")
-    return R.max_correlation(rets.join(t.book, "ticker", "left_anti"), rets.join(t.book, "ticker", "left_semi"), replace(cfg.CORRELATION, threshold=0.2))
+    return R.max_correlation(rets.join(t.book, "ticker", "left_anti"), rets.join(t.book, "ticker", "left_semi"), replace(cfg.CORRELATION, threshold=0.2), "2001-10-01", 60)
 
 
 @query("correlation_filter", "J17 A28 Z4", f"WITH {CORR} SELECT c.ticker, max_rho, n_pairs, CASE WHEN max_rho > 0.2 THEN greatest(0.0, 1 - (max_rho - 0.2) / 0.8) ELSE 1.0 END AS corr_mult FROM (SELECT DISTINCT ticker FROM rt WHERE ticker NOT IN (SELECT ticker FROM book)) AS c LEFT JOIN mx ON mx.ticker = c.ticker", r="max_rho corr_mult", digits=6)
