@@ -19,7 +19,7 @@ from barline import config as cfg
 from barline.functions import scalars as S
 from barline.functions.series import full, over, so_far, spread
 from barline.operators import metrics as M
-from barline.operators.joins import asof_join, range_join
+from barline.operators.joins import asof_join, balanced_range_join, range_join
 
 WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
@@ -56,7 +56,7 @@ def train_slices(windows: DataFrame, bars: DataFrame, least: int = cfg.BACKTEST.
 
 def signals_in_windows(signals: DataFrame, windows: DataFrame) -> DataFrame:
     """A signal belongs to every window whose test range holds its date."""
-    return range_join(windows.select("window_id", "test_start", "test_end"), signals, [], "test_start", "test_end", "date")
+    return balanced_range_join(windows.select("window_id", "test_start", "test_end"), signals, [], "test_start", "test_end", "date")
 
 
 def with_regime(rows: DataFrame, states: DataFrame, min_confidence: float = cfg.ALLOCATION.min_confidence, since: str | None = "test_start") -> DataFrame:

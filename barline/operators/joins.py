@@ -67,6 +67,41 @@ def range_join(
     )
 
 
+def balanced_range_join(
+    spans: DataFrame, points: DataFrame, by: Sequence[str], start: str, end: str, time: str, rows: int = 100_000
+) -> DataFrame:
+    """Points inside [start, end] per key, as an equi-join on (key, bucket), where a bucket holds
+    about ``rows`` points: the data choose the cuts, not the calendar.
+
+    Points are counted per (key, time) and numbered in time order; every ``rows`` numbers are a
+    bucket. A time whose points run over several buckets deals them out by a hash of the
+    row, so neither a hot key nor a hot day ends in one task; only rows that are equal in all
+    columns stay together. A span is sent once per bucket that it overlaps, found from the
+    counts at its two ends: as many as its result needs, and two more at most.
+
+    Times are dates: a key has at most one count per calendar day, which is what the
+    running sum orders. Null keys and times match nothing, nor does a span that ends before it
+    starts; repeated rows on both sides pair up.
+    """
+    by = list(by)
+    counts = points.where(F.col(time).isNotNull()).groupBy(*by, F.col(time).alias("_time")).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_time").rowsBetween(Window.unboundedPreceding, 0)
+    marks = counts.withColumn("_upto", F.sum("_n").over(order))
+    bucket = lambda number: F.floor(number / rows)
+    first, last = bucket(F.col("_upto") - F.col("_n")), bucket(F.col("_upto") - 1)
+    plain = [F.col(f"`{f.name}`") for f in points.schema if f.dataType.typeName() not in ("map", "variant")]
+    dealt = points.join(marks.withColumnRenamed("_time", time), [*by, time])
+    dealt = dealt.withColumn("_bucket", first + F.pmod(F.xxhash64(*plain), last - first + 1)).drop("_n", "_upto")
+
+    asked = spans.select(*by, F.explode(F.array(start, end)).alias("_t"))
+    looked = asof_lookup(asked, marks, by, "_t", "_time", ["_n", "_upto"])
+    before = F.col("_upto") - F.when(F.col("_found") == F.col("_t"), F.col("_n")).otherwise(0)
+    cut = spans.where(F.col(start) <= F.col(end)).join(looked.select(*by, F.col("_t").alias(start), before.alias("_before")), [*by, start], "left")
+    cut = cut.join(looked.select(*by, F.col("_t").alias(end), "_upto"), [*by, end]).withColumn("_before", F.coalesce("_before", F.lit(0))).where("_upto > _before")
+    cut = cut.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_before")), bucket(F.col("_upto") - 1)))).drop("_before", "_upto")
+    return cut.join(dealt, [*by, "_bucket"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_bucket")
+
+
 def combine_first(new: DataFrame, old: DataFrame, key: Sequence[str]) -> DataFrame:
     """Union of keys; the new cell wins where it is not null."""
     cols = [c for c in old.columns if c not in key]

@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from barline.operators import joins as J
@@ -58,3 +60,29 @@ def test_insert_or_ignore_keeps_first_of_a_hot_key(spark):
 def test_fallback_by_page(spark):
     df = spark.createDataFrame([(1, 2, "html"), (1, 1, "json"), (2, 2, "html")], "page int, priority int, src string")
     assert rows(J.by_priority(df, ["page"], "priority").select("page", "src"), "page") == [(1, "json"), (2, "html")]
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_balanced_range_join_equals_brute_force(spark, by, size):
+    rng = random.Random(size)
+    at = lambda: D(2021, 1, 1) + dt.timedelta(days=rng.randrange(60))
+    points = [(i, rng.choice("ab"), D(2021, 2, 1) if rng.random() < 0.4 else at()) for i in range(200)] + [(900, None, at()), (901, "a", None), (902, "a", D(2021, 1, 5)), (902, "a", D(2021, 1, 5))]
+    spans = [(i, rng.choice("abc"), *sorted([at(), at()])) for i in range(25)] + [(50, "a", D(2021, 2, 1), D(2021, 2, 1)), (51, "a", D(2021, 3, 1), D(2021, 2, 1)), (52, "b", D(2019, 1, 1), D(2030, 1, 1)), (53, None, D(2019, 1, 1), D(2030, 1, 1)), (54, "a", D(2022, 1, 1), D(2023, 1, 1)), (50, "a", D(2021, 2, 1), D(2021, 2, 1))]
+    p = spark.createDataFrame(points, "id int, k string, date date")
+    s = spark.createDataFrame(spans, "span int, k string, a date, z date")
+    if not by:
+        p, s = p.drop("k"), s.drop("k")
+    got = rows(J.balanced_range_join(s, p, by, "a", "z", "date", size).select("span", "id"), "span", "id")
+    same = lambda x, y: not by or (x is not None and x == y)
+    want = sorted((n, i) for n, k, a, z in spans for i, l, d in points if same(k, l) and d is not None and a <= d <= z)
+    assert got == want
+
+
+def test_a_hot_day_is_dealt_over_buckets(spark):
+    p = spark.range(1000).select(F.col("id"), F.lit("2021-02-01").cast("date").alias("date"))
+    s = spark.createDataFrame([(1, D(2021, 1, 1), D(2021, 12, 31))], "span int, a date, z date")
+    plan = J.balanced_range_join(s, p, [], "a", "z", "date", 100)
+    assert plan.count() == 1000
+    none = spark.createDataFrame([], "id long, date date")
+    assert J.balanced_range_join(s, none, [], "a", "z", "date").count() == 0 and J.balanced_range_join(s.limit(0), p, [], "a", "z", "date").count() == 0
