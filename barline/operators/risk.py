@@ -191,9 +191,11 @@ def pair_moments(candidates: DataFrame, holdings: DataFrame) -> DataFrame:
     and day. Both sides are counted first, which gives the number of groups: a row is sent
     once per group of the other side, and no task holds more than 64 days of a group.
     """
+    named = [df.select("ticker").distinct().select(F.lit(side).alias("side")) for side, df in enumerate((candidates, holdings))]
+    counted = {r["side"]: r["count"] for r in named[0].union(named[1]).groupBy("side").count().collect()}
     sides = []
-    for rows, name in ((candidates, "ticker"), (holdings, "holding")):
-        groups = -(-rows.select("ticker").distinct().count() // GRAM_SIDE) or 1
+    for side, (rows, name) in enumerate(((candidates, "ticker"), (holdings, "holding"))):
+        groups = -(-counted.get(side, 0) // GRAM_SIDE) or 1
         sides.append((_day_blocks(rows, name).withColumn(f"_{name}", F.pmod(F.xxhash64(name), F.lit(groups)).cast("int")), groups))
     (c, nc), (h, nh) = sides
     every = lambda df, col, n: df.withColumn(col, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
