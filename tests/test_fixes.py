@@ -135,3 +135,23 @@ def test_a_tie_goes_to_the_incoming_row(spark):
 
     old, new = (spark.createDataFrame([(1, 5, v)], "k long, at long, v string") for v in ("old", "new"))
     assert upsert(old, new, ["k"], "at").first()["v"] == "new"
+
+
+def star(spark, folder, lines, parts):
+    """A folder with lineitem and part as the driver's tables hold them, and the tables over it."""
+    from barline.plans.registry import Tables
+
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(lines, schema).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame(parts, "p_partkey long, p_brand string").write.parquet(f"{folder}/part.parquet")
+    return Tables(spark, str(folder))
+
+
+def test_the_first_of_equal_ids_is_the_least_number(spark, tmp_path):
+    from barline.plans import load
+
+    day = dt.datetime(2000, 1, 3)
+    rows = [(1, 7, 5900, 1, 1.0, 1.0, 0.0, 0.0, day), (1, 9, 12, 1, 1.0, 1.0, 0.0, 0.0, day), (1, 9, 12, 2, 1.0, 1.0, 0.0, 0.0, day)]
+    star(spark, tmp_path, rows, [(7, "Brand#1")])
+    got = {r["id"]: r["pos"] for r in load()["dedup_by_id"].run(spark, str(tmp_path)).collect()}
+    assert got == {"1-1": 9012, "1-2": 9012}
