@@ -155,3 +155,15 @@ def test_the_first_of_equal_ids_is_the_least_number(spark, tmp_path):
     star(spark, tmp_path, rows, [(7, "Brand#1")])
     got = {r["id"]: r["pos"] for r in load()["dedup_by_id"].run(spark, str(tmp_path)).collect()}
     assert got == {"1-1": 9012, "1-2": 9012}
+
+
+def test_averages_of_the_panel_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    days = [dt.datetime(2000, 1, 1) + dt.timedelta(days=i) for i in range(40)]
+    rows = [(i, 1, 1, 1, 1.0, 1.0, int(rng.integers(11)) / 100, int(rng.integers(9)) / 100, day) for day in days for i in range(96)]
+    seen = []
+    for k in range(3):
+        got = star(spark, tmp_path / str(k), [rows[i] for i in rng.permutation(len(rows))], [(1, "Brand#1")])
+        seen.append(sorted((r["date"], r["d"], r["t"]) for r in got.daily.collect()))
+    of = lambda day, c: sum(round(100 * r[c]) for r in rows if r[8] == day) / 100 / 96
+    assert seen[0] == seen[1] == seen[2] == [(day.date(), of(day, 6), of(day, 7)) for day in days]
