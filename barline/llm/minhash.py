@@ -235,6 +235,14 @@ def _pairs(a: list, b: list, s: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["a", "b", "shared"])
 
 
+def _meet(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of large nodes beside the node's leaders, but for rows that are of both leaders'
+    component: they have no pair there."""
+    leaders = sized(nodes.where("lo < hi").select(F.col("p").alias("node"), "lead", "other"), LARGE)
+    apart = (F.col("comp") != F.col("lead.comp")) | (F.col("comp") != F.col("other.comp"))
+    return rows.join(leaders, (F.col("p") == F.col("node")) & apart).select("rep", "comp", "n", "short", "lead", "other")
+
+
 def _nodes(rows: DataFrame, percent: int, thin: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs (a, b, shared) from the nodes ``p`` of ``rows`` (rep, comp, n, short, p, ...), the
     rows of nodes that are too large to compare all members, and the table of these nodes.
@@ -242,16 +250,17 @@ def _nodes(rows: DataFrame, percent: int, thin: bool) -> tuple[DataFrame, DataFr
     nodes below; their rows are left.
 
     Few nodes are large: they are found by an aggregate, and their rows meet them by broadcast
-    while they are few enough, so that no task gets all rows of a node."""
+    while they are few enough, so that no task gets all rows of a node. Rows go down by a semi
+    join, and only those that have a leader of another component meet their leaders."""
     member, mark = F.struct("rep", "comp", "n", "short"), F.xxhash64("rep", "p")
     nodes = rows.groupBy("p").agg(F.count("*").alias("c"), F.min_by(member, mark).alias("lead"), F.max_by(member, mark).alias("other"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     nodes = land(nodes.where(F.col("c") > NODE))
     small = rows.join(sized(nodes.select("p"), LARGE), "p", "left_anti").groupBy("p").agg(F.collect_list(member).alias("members"))
-    large = rows.join(sized(nodes.where("lo < hi"), LARGE), "p")
+    large = rows.join(sized(nodes.where("lo < hi").select("p"), LARGE), "p", "left_semi")
     pair = "a long, b long, shared long"
     inside = small.where(F.size("members") > 1).select("members").mapInArrow(_compare(percent, thin), pair)
-    across = large.select("rep", "comp", "n", "short", "lead", "other").mapInArrow(_against(percent), pair)
-    return land(inside.union(across)), large.drop("c", "lead", "other"), nodes
+    across = _meet(rows, nodes).mapInArrow(_against(percent), pair)
+    return land(inside.union(across)), large, nodes
 
 
 def candidates(classes: DataFrame, percent: int, trees: int, thin: bool) -> tuple[DataFrame, DataFrame]:

@@ -106,6 +106,17 @@ def test_near_documents_of_one_template(spark, documents, prose, monkeypatch):
     assert got == want
 
 
+def test_rows_of_the_leaders_component_do_not_meet_them(spark):
+    members = [(i, 7 if i < 60 else 8, 10, b"", 1) for i in range(61)] + [(i, 9, 10, b"", 2) for i in range(100, 140)]
+    rows = spark.createDataFrame(members, "rep long, comp long, n long, short binary, p long")
+    lead = (0, 7, 10, b"")
+    kind = "struct<rep long, comp long, n long, short binary>"
+    nodes = spark.createDataFrame([(1, lead, (1, 7, 10, b""), 7, 8), (2, (100, 9, 10, b""), (101, 9, 10, b""), 9, 9)], f"p long, lead {kind}, other {kind}, lo long, hi long")
+    assert [r["rep"] for r in minhash._meet(rows, nodes).collect()] == [60]
+    mixed = spark.createDataFrame([(1, lead, (60, 8, 10, b""), 7, 8)], nodes.schema)
+    assert minhash._meet(rows, mixed).count() == 61
+
+
 def test_near_documents_edge_cases(spark, documents):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, ""), (4, "z " * 50_000)]
     out = minhash.near_documents(documents(rows), 5, 80).collect()
