@@ -103,9 +103,10 @@ class Reordered(StatefulProcessor):
 class SilentFeeds(StatefulProcessor):
     """Dead-feed alert while the feed is dead, for ``apply_timed`` on (key, at_ms).
 
-    A day with rows sets a timer for ``days`` days after its end. If the watermark gets there
-    and no later day has rows, the feed is reported with its last day. Alerts do not depend on
-    the order of rows or on micro-batches. State: the days of the last ``days`` + 1.
+    A day with rows is looked at ``days`` days after its end. If the watermark gets there and no
+    later day has rows, the feed is reported with its last day. Alerts do not depend on the order
+    of rows or on micro-batches. State: the days that the watermark has not passed yet, and the
+    one timer of a key, at the oldest of them; when it fires, all days that are due are judged.
     """
 
     def __init__(self, key: str, kind: str, days: int = 1):
@@ -114,22 +115,37 @@ class SilentFeeds(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "day bigint", "there boolean")
+        self.state = handle.getValueState("seen", "days array<bigint>, timer bigint")
+
+    def _due(self, day: int) -> int:
+        return (day + self.days + 1) * DAY_MS
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for day in np.unique(frame["at_ms"].to_numpy() // DAY_MS).tolist():
-                if not self.seen.containsKey((day,)):
-                    self.seen.updateValue((day,), (True,))
-                    self.handle.registerTimer((day + self.days + 1) * DAY_MS)
+        state = self.state.get()
+        known, timer = (set(state[0]), state[1]) if state else (set(), None)
+        days = known.union(*[np.unique(frame["at_ms"].to_numpy() // DAY_MS).tolist() for frame in rows])
+        if days != known:
+            at = self._due(min(days))
+            if timer is None or at < timer:
+                if timer is not None:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(at)
+                timer = at
+            self.state.update((sorted(days), timer))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        day = expiredTimerInfo.getExpiryTimeInMs() // DAY_MS - self.days - 1
-        spoke = any(self.seen.containsKey((day + i,)) for i in range(1, self.days + 1))
-        self.seen.removeKey((day,))
-        if not spoke:
-            yield pd.DataFrame({self.key: [key[0]], "last_day": [pd.Timestamp(day * DAY_MS, unit="ms").date()]})
+        days = list(self.state.get()[0])
+        now, seen = timerValues.getCurrentWatermarkInMs(), set(days)
+        rest = [day for day in days if self._due(day) > now]
+        silent = [day for day in days if self._due(day) <= now and not any(day + i in seen for i in range(1, self.days + 1))]
+        if rest:
+            self.handle.registerTimer(self._due(rest[0]))
+            self.state.update((rest, self._due(rest[0])))
+        else:
+            self.state.clear()
+        if silent:
+            yield pd.DataFrame({self.key: [key[0]] * len(silent), "last_day": [pd.Timestamp(day * DAY_MS, unit="ms").date() for day in silent]})
 
     def close(self) -> None:
         pass

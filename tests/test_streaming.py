@@ -173,3 +173,16 @@ def test_regime_update_without_a_model_or_a_feature(spark):
     assert {r["k"] for r in got["plain"]} == {"a"} and len(got["plain"]) == 31
     # a volume that is missing and a feature that nobody knows both count as the training mean
     assert np.allclose([r["posteriors"] for r in got["plain"]], [r["posteriors"] for r in got["odd"]], atol=1e-12)
+
+
+def test_a_feed_has_one_timer_whatever_its_days():
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    handle, rules = MagicMock(), P.SilentFeeds("k", "string")
+    handle.getValueState.return_value.get.return_value = None
+    handle.getMapState.return_value.containsKey.return_value = False
+    rules.init(handle)
+    list(rules.handleInputRows(("a",), iter([pd.DataFrame({"at_ms": [P.DAY_MS * d for d in range(30)]})]), None))
+    handle.registerTimer.assert_called_once_with(2 * P.DAY_MS)
