@@ -68,11 +68,11 @@ class Reordered(StatefulProcessor):
 
     def _wake(self, at: int) -> None:
         """One timer, at the oldest waiting row."""
-        if self.timer.exists():
-            set_for = self.timer.get()[0]
-            if set_for <= at:
+        set_for = self.timer.get()
+        if set_for:
+            if set_for[0] <= at:
                 return
-            self.handle.deleteTimer(set_for)
+            self.handle.deleteTimer(set_for[0])
         self.handle.registerTimer(at)
         self.timer.update((at,))
 
@@ -87,12 +87,14 @@ class Reordered(StatefulProcessor):
         frame = pd.DataFrame(list(self.waiting.get()), columns=self.names)
         passed = frame["at_ms"] <= timerValues.getCurrentWatermarkInMs()
         rest = frame[~passed]
-        self.timer.clear()
         if len(rest):
+            at = int(rest["at_ms"].min())
             self.waiting.put(list(zip(*[rest[n].tolist() for n in self.names])))
-            self._wake(int(rest["at_ms"].min()))
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
         else:
             self.waiting.clear()
+            self.timer.clear()
         if passed.any():
             yield from self.inner.handleInputRows(key, iter([frame[passed]]), timerValues)
 
@@ -172,7 +174,9 @@ class PositionRules(StatefulProcessor):
         self.state = handle.getValueState("position", "entry double, peak double, halved boolean, closed boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        entry, peak, halved, closed = self.state.get() if self.state.exists() else (None, 0.0, False, False)
+        entry, peak, halved, closed = self.state.get() or (None, 0.0, False, False)
+        if closed:
+            return
         out, r = [], self.risk
         batch = ordered(rows, self.by)
         stops = batch["stop_pct"] if "stop_pct" in batch else [r.trailing_stop_pct] * len(batch)
@@ -194,7 +198,8 @@ class PositionRules(StatefulProcessor):
             if action:
                 out.append((key[0], action, seq, price, entry, peak))
         self.state.update((entry, peak, halved, closed))
-        yield pd.DataFrame(out, columns=[self.key, "action", "seq", "price", "entry_price", "peak_price"])
+        if out:
+            yield pd.DataFrame(out, columns=[self.key, "action", "seq", "price", "entry_price", "peak_price"])
 
     def close(self) -> None:
         pass

@@ -186,3 +186,16 @@ def test_a_feed_has_one_timer_whatever_its_days():
     rules.init(handle)
     list(rules.handleInputRows(("a",), iter([pd.DataFrame({"at_ms": [P.DAY_MS * d for d in range(30)]})]), None))
     handle.registerTimer.assert_called_once_with(2 * P.DAY_MS)
+
+
+def test_positions_without_an_action_send_nothing():
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+
+    for known in (None, (100.0, 100.0, False, True)):
+        handle, rules = MagicMock(), P.PositionRules("k", "string")
+        state = handle.getValueState.return_value
+        state.get.return_value, state.exists.return_value = known, known is not None
+        rules.init(handle)
+        assert list(rules.handleInputRows(("a",), iter([pd.DataFrame({"seq": [1, 2], "price": [100.0, 101.0]})]), None)) == []
