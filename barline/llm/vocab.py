@@ -20,7 +20,8 @@ from barline.llm.common import cached
 
 BIG = 1 << 30
 LONG = 400
-CACHE, KEEP = 600_000, 300_000
+CACHE, KEEP = 120_000, 100_000
+CHARS = 8 << 20  # most characters of cached chunks, for long ones
 
 
 class PairTable:
@@ -217,7 +218,7 @@ class Encoder:
     def _reset(self) -> None:
         self.pieces = Pieces()
         self.flat, self.start, self.len = np.empty(1 << 16, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -274,6 +275,7 @@ class Encoder:
         fresh, self.pieces.fresh = self.pieces.fresh, []
         if not fresh:
             return
+        self.held += sum(map(len, fresh))
         words: dict[bytes, int] = {}
         owner, taken, whole = [], np.zeros(len(fresh), np.int64), {}
         for i, chunk in enumerate(fresh):
@@ -303,14 +305,16 @@ class Encoder:
     def _shrink(self) -> None:
         """Keep the chunks that were met first: those are the frequent ones."""
         old, flat, start, lens = self.pieces, self.flat, self.start, self.len
+        chars = np.cumsum(np.fromiter(map(len, old), np.int64, len(old)))
+        keep = min(KEEP, int(np.searchsorted(chars, CHARS // 2, side="right")))
         self._reset()
-        self.pieces.update(islice(old.items(), KEEP))
-        self.start, self.len = start[:KEEP].copy(), lens[:KEEP].copy()
-        self.used = int(start[KEEP])
+        self.pieces.update(islice(old.items(), keep))
+        self.start, self.len = start[:keep].copy(), lens[:keep].copy()
+        self.used, self.held = int(start[keep]), int(chars[keep - 1]) if keep else 0
         self.flat = flat[: self.used].copy()
 
     def _slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > CACHE or self.held > CHARS:
             self._shrink()
         cut = self._chunks_end if self.vocab.end else self._chunks_byte
         lookup, slots, counts, whole = self.pieces.__getitem__, [], np.zeros(len(texts), np.int64), {}

@@ -65,6 +65,22 @@ def test_cache_keeps_working_beyond_its_bound(monkeypatch):
         assert flat.tolist() == [i for ids in want(BYTE, texts) for i in ids]
 
 
+def test_cache_is_bounded_by_its_chunks_and_their_characters(monkeypatch):
+    """A worker's memory: 160,000 short chunks, then long ones."""
+    encoder = vocab.Encoder(vocab.load(BYTE), vocab.load(BYTE).merge)
+    for k in range(8):
+        encoder.batch([" ".join(f"{k}x{i}" for i in range(20_000))])
+        assert len(encoder.pieces) <= 140_000
+    monkeypatch.setattr(vocab, "CHARS", 20_000)
+    rng = random.Random(6)
+    for _ in range(8):
+        texts = ["".join(rng.choices("abcdefgh", k=300)) for _ in range(50)]
+        flat, lens = encoder.batch(texts)
+        assert sum(map(len, encoder.pieces)) <= 35_000
+    assert flat.tolist() == [i for ids in want(BYTE, texts) for i in ids]
+    assert len(encoder.start) == len(encoder.len) == len(encoder.pieces)
+
+
 def test_speculation_is_refuted_and_repaired():
     spec = bpe.Speculator(vocab.load(BYTE))
     words = [w.encode() for w in (" thandering", " onatlyre", " xyzzyqu", "aaaaaaa", " eanreoust")]
