@@ -1,237 +1,372 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney trigram model.
 
-The model is counted on all trusted documents. Words become tokens of a closed set: short
-words stand for themselves (hashed), longer ones for their shape, a word that repeats the
-one before for that. Documents are turned into postings, one row per block of documents and
-trigram, which are joined with the trigrams' probabilities: a document's perplexity is the
-sum over its postings. A document is kept if it does not exceed its language's quantile of
-the trusted documents' perplexities, each under a model counted on the folds it is not in.
+Tokens are the lower-cased words, by 62 bits of their hash, and for a word that repeats the one
+before its place in the run. The model is counted on all trusted documents, together with one
+model per fold that leaves the fold out, in Spark tables that grow with the trusted text.
+
+An interpolated model is a sum in logarithms: log p(w|uv) is that of w, the weight left over by
+context v, what a known bigram vw adds, the weight left over by context uv, and what a known
+trigram adds. Each is looked up by its own key. Documents become postings (key, document), packed
+by ranges of keys, and meet the values of their range; what is unknown adds nothing. A document is kept
+if it does not exceed its language's quantile of the trusted documents' perplexities, each
+under the model without its fold.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.common import cached, claim, drop, land, sized, text_batches, with_uid
 from barline.llm.vocab import spread
 
-BITS = 9
-SIZE = 1 << BITS
-SHAPES, SHORT = 28, 80  # kinds of words: 28 shapes and 80 hashed short ones, four marks each
-SENTENCE = frozenset(".,;:!?")
+SIZE = 1 << 20  # words over which what the lowest order leaves over is spread
 START, REPEAT, RUN = 0, 1, 8  # tokens 1 to 8: a word that repeats the one before, by its place in the run
-BLOCK_DOCS, BLOCK_CHARS = 8192, 12_000_000
-WORDS = 200_000
+BLOCK_DOCS, BLOCK_CHARS = 8192, 6_000_000  # a posting has 13 bits for its document
+WORDS, WORD_CHARS = 100_000, 4 << 20
+GROUP, PER_CHAR = 48 << 20, 12  # about the most bytes of postings in a range of keys, and their bytes per character
 QUANTILE, MARGIN, PRIOR, FOLDS = 0.99, 1.0, 0, 3
-EDGE = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
+MODELS = range(FOLDS + 1)  # the model of all trusted documents, then those without a fold
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def token(word: str) -> int:
-    """A word's token: its case and length, or for words of up to three letters one of
-    ``SHORT`` hashed kinds, and the marks around it: none, a sentence mark, or others."""
-    before, core, after = EDGE.match(word).groups()
-    marks = before + after
-    mark = 0 if not marks else 1 if not before and after in SENTENCE else 2 if len(marks) == 1 else 3
-    if not core:
-        body = 0
-    elif core.isalpha():
-        case = 0 if core.islower() else 1 if core[:1].isupper() and (len(core) == 1 or core[1:].islower()) else 2 if core.isupper() else 3
-        if len(core) <= 3 and case < 2:
-            body = SHAPES + zlib.crc32(core.lower().encode()) % SHORT
-        else:
-            body = 4 + 6 * case + min(len(core) // 4, 5)
-    else:
-        body = 1 if core.isdigit() else 2 if core.isalnum() else 3
-    return 1 + RUN + 4 * body + mark
-
-
-class Slots(dict):
-    """Word -> slot; ``tokens[slot]`` is its token."""
-
-    def __init__(self):
-        self.tokens: list[int] = []
+    """A word's token, whatever its case: 62 bits of its hash, above START and the repeats."""
+    return RUN + 1 + (xxhash.xxh64_intdigest(word.lower().encode()) >> 2)
+
+
+class Words(dict):
+    held = 0
 
     def __missing__(self, word: str) -> int:
-        slot = self[word] = len(self)
-        self.tokens.append(token(word))
-        return slot
+        got = self[word] = token(word)
+        self.held += len(word)
+        return got
 
 
-_slots = Slots()
+_words = Words()
 
 
 def _forget() -> None:
-    _slots.clear()
-    _slots.tokens.clear()
+    _words.clear()
+    _words.held = 0
 
 
 cached("kneser", _forget)
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed trigrams of all texts end to end, one per word, and the number per text."""
-    if len(_slots) > WORDS:
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts end to end, and their number per text."""
+    if len(_words) > WORDS or _words.held > WORD_CHARS:
         _forget()
     split = [t.split() for t in texts]
     n = np.fromiter(map(len, split), np.int64, len(split))
-    slots = np.fromiter((s for words in split for s in map(_slots.__getitem__, words)), np.int64, int(n.sum()))
-    tokens = np.array(_slots.tokens, np.int64)[slots] if len(slots) else slots
-    first = (np.cumsum(n) - n)[n > 0]
-    again = np.zeros(len(slots), bool)
-    again[1:] = slots[1:] == slots[:-1]
-    again[first] = False
-    place = np.arange(len(slots))
+    flat = np.fromiter((s for words in split for s in map(_words.__getitem__, words)), np.int64, int(n.sum()))
+    again = np.zeros(len(flat), bool)
+    again[1:] = flat[1:] == flat[:-1]
+    again[(np.cumsum(n) - n)[n > 0]] = False
+    place = np.arange(len(flat))
     run = place - np.maximum.accumulate(np.where(again, 0, place))
-    tokens = np.where(again, REPEAT + np.minimum(run, RUN) - 1, tokens)
-    padded = np.full(len(tokens) + 2 * len(n), START, np.int64)
-    starts = np.cumsum(n + 2) - n
-    padded[spread(starts, n)] = tokens
-    at = spread(starts, n)
-    return (padded[at - 2] << 2 * BITS) | (padded[at - 1] << BITS) | padded[at], n
+    return np.where(again, REPEAT + np.minimum(run, RUN) - 1, flat), n
 
 
-POSTINGS = "block long, gram long, docs binary, counts binary, trusted long"
+def trigrams(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two tokens before and the token, one triple per word."""
+    padded = np.full(len(flat) + 2 * len(n), START, np.int64)
+    at = spread(np.cumsum(n + 2) - n, n)
+    padded[at] = flat
+    return padded[at - 2], padded[at - 1], flat
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+def keys(*parts: np.ndarray) -> np.ndarray:
+    """64-bit keys of n-grams; their length takes part."""
+    x = np.full(len(parts[0]), len(parts), np.uint64)
+    for p in parts:
+        x = x * M1 + p.view(np.uint64)
+        x ^= x >> np.uint64(29)
+        x *= M2
+        x ^= x >> np.uint64(32)
+    return x
 
-    claim("kneser")
-    part, made = TaskContext.get().partitionId(), 0
-    uids, trusts, grams, lens, held = [], [], [], [], 0
-
-    def block() -> Iterator[pa.RecordBatch]:
-        number = part << 32 | made
-        gram, n = np.concatenate(grams), np.concatenate(lens)
-        pairs, count = np.unique((gram << 13) | np.repeat(np.arange(len(n)), n), return_counts=True)
-        doc, gram = (pairs & 8191).astype("<u2"), pairs >> 13
-        cut = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.empty(0, np.int64)
-        ends = np.append(cut[1:], len(gram)).tolist()
-        trusted = np.add.reduceat(count * np.array(trusts, np.int64)[doc], cut) if len(cut) else np.empty(0, np.int64)
-        raw_doc, raw_count = doc.tobytes(), count.astype("<u4").tobytes()
-        head = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1]), pa.array([np.array(uids, "<i8").tobytes()], pa.binary()), pa.array([n.astype("<u4").tobytes()], pa.binary()), pa.array([0])], names=names)
-        yield head
-        for lo in range(0, len(cut), 50_000):
-            a, b = cut[lo : lo + 50_000].tolist(), ends[lo : lo + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(a), number)), pa.array(gram[cut[lo : lo + 50_000]]), pa.array([raw_doc[2 * x : 2 * y] for x, y in zip(a, b)], pa.binary()), pa.array([raw_count[4 * x : 4 * y] for x, y in zip(a, b)], pa.binary()), pa.array(trusted[lo : lo + 50_000])],
-                names=names,
-            )
 
-    names = ["block", "gram", "docs", "counts", "trusted"]
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """(uids, codes, tokens, their number per text) of blocks of bounded size, from (uid, text, code)."""
+    uids, codes, flats, lens, held = [], [], [], [], 0
     for batch, texts in text_batches(batches, "text"):
         for lo in range(0, len(texts), BLOCK_DOCS):
             some = texts[lo : lo + BLOCK_DOCS]
             if uids and (len(uids) + len(some) > BLOCK_DOCS or held > BLOCK_CHARS):
-                yield from block()
-                made += 1
-                uids, trusts, grams, lens, held = [], [], [], [], 0
-            g, n = trigrams(some)
+                yield uids, np.array(codes, np.int64), np.concatenate(flats), np.concatenate(lens)
+                uids, codes, flats, lens, held = [], [], [], [], 0
+            flat, n = tokens(some)
             uids += batch.column(0).to_pylist()[lo : lo + BLOCK_DOCS]
-            trusts += batch.column(2).to_pylist()[lo : lo + BLOCK_DOCS]
-            grams.append(g), lens.append(n)
+            codes += batch.column(2).to_pylist()[lo : lo + BLOCK_DOCS]
+            flats.append(flat), lens.append(n)
             held += sum(map(len, some))
     if uids:
-        yield from block()
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float, float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and more, and the sum of all counts."""
-    row = counts.agg(*[F.count(F.when(F.col("n") == k, 1)) for k in (1, 2, 3, 4)], F.coalesce(F.sum("n"), F.lit(0))).first()
-    n1, n2, n3, n4, total = map(float, row)
-    y = n1 / (n1 + 2 * n2) if n1 else 0.0
-    one = 1 - 2 * y * n2 / n1 if n1 else 0.5
-    two = 2 - 3 * y * n3 / n2 if n2 else one
-    more = 3 - 4 * y * n4 / n3 if n3 else two
-    return min(max(one, 0.1), 0.95), min(max(two, 0.1), 1.9), min(max(more, 0.1), 2.9), total
-
-
-def _less(d: tuple[float, ...]) -> Column:
-    n = F.col("n")
-    return n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-
-
-def _order(counts: DataFrame, d: tuple[float, ...], name: str) -> tuple[DataFrame, DataFrame]:
-    """(gram, mass) and per context (ctx, total, weight of the lower order)."""
-    ctx = F.shiftrightunsigned("gram", BITS)
-    kept = F.sum(F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2]))
-    contexts = counts.groupBy(ctx.alias("ctx")).agg(F.sum("n").alias("t" + name), (kept / F.sum("n")).alias("g" + name))
-    return counts.select("gram", _less(d).alias("m" + name)), contexts
-
-
-def probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
-    """(gram, logp) of the asked trigrams, from trigram counts (gram, n) of trusted text."""
-    c3 = land(counts)
-    c2 = land(c3.groupBy(F.col("gram").bitwiseAND((1 << 2 * BITS) - 1).alias("gram")).agg(F.count("*").alias("n")))
-    c1 = c2.groupBy(F.col("gram").bitwiseAND(SIZE - 1).alias("gram")).agg(F.count("*").alias("n"))
-    d3, d2, d1 = (_discounts(c) for c in (c3, c2, c1))
-    m3, x3 = _order(c3, d3, "3")
-    m2, x2 = _order(c2, d2, "2")
-    total1 = max(d1[3], 1.0)
-    m1 = c1.select("gram", (_less(d1) / total1).alias("p1"), (F.lit(1.0) - _less(d1) / F.col("n")).alias("cut"))
-    held = c1.agg(F.coalesce(F.sum(F.col("n") - _less(d1)), F.lit(0.0))).first()[0] / total1 if d1[3] else 1.0
-    low, ctx = F.col("gram").bitwiseAND((1 << 2 * BITS) - 1), F.shiftrightunsigned("gram", BITS)
-    q = asked.withColumns({"vw": low, "uv": ctx, "w": F.col("gram").bitwiseAND(SIZE - 1), "v": ctx.bitwiseAND(SIZE - 1)})
-    q = q.join(m3, "gram", "left").join(x3.withColumnRenamed("ctx", "uv"), "uv", "left")
-    q = q.join(m2.withColumnRenamed("gram", "vw"), "vw", "left").join(x2.withColumnRenamed("ctx", "v"), "v", "left")
-    q = q.join(m1.select(F.col("gram").alias("w"), "p1"), "w", "left")
-    p = F.coalesce("p1", F.lit(0.0)) + held / SIZE
-    for name in ("2", "3"):
-        p = F.when(F.col("t" + name).isNull(), p).otherwise(F.coalesce(F.col("m" + name) / F.col("t" + name), F.lit(0.0)) + F.col("g" + name) * p)
-    return q.select("gram", F.log(p).alias("logp"))
-
-
-def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of log-probabilities per document of a block, as far as this task has its rows."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        blocks, logs = batch.column("block").to_numpy(), batch.column("logp").to_numpy()
-        docs, counts = batch.column("docs").to_pylist(), batch.column("counts").to_pylist()
-        for block in np.unique(blocks).tolist():
-            at = np.flatnonzero(blocks == block).tolist()
-            doc = np.frombuffer(b"".join([docs[i] for i in at]), "<u2")
-            n = np.frombuffer(b"".join([counts[i] for i in at]), "<u4")
-            each = np.repeat(logs[at], [len(docs[i]) // 2 for i in at])
-            if block not in sums:
-                sums[block] = np.zeros(BLOCK_DOCS)
-            sums[block] += np.bincount(doc, weights=n * each, minlength=BLOCK_DOCS)
-        if len(sums) > 64:
-            yield _sums(sums)
-            sums = {}
-    yield _sums(sums)
-
-
-def _sums(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "sums"])
-
-
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            uid, n = np.frombuffer(row["docs"], "<i8"), np.frombuffer(row["counts"], "<u4").astype(np.int64)
-            total = sum((np.frombuffer(s, np.float64) for s in row["sums"] or ()), np.zeros(BLOCK_DOCS))[: len(uid)]
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(n), pa.array(total)], names=["uid", "n_words", "logp"])
-
-
-def _scores(marked: DataFrame) -> DataFrame:
-    """(uid, n_words, logp), landed, of (uid, text, good) under the model counted on the good ones."""
-    postings = land(marked.mapInArrow(_postings, POSTINGS))
-    body = postings.where("gram >= 0")
-    counts = body.where("trusted > 0").groupBy("gram").agg(F.sum("trusted").alias("n"))
-    asked = land(probabilities(counts, body.select("gram").distinct()))
-    parts = body.select("block", "gram", "docs", "counts").join(sized(asked), "gram").select("block", "docs", "counts", "logp").mapInArrow(_partial, "block long, sums binary")
-    sums = parts.groupBy("block").agg(F.collect_list("sums").alias("sums"))
-    docs = land(postings.where("gram < 0").select("block", "docs", "counts").join(sums, "block", "left").mapInArrow(_documents, "uid long, n_words long, logp double"))
-    drop(postings), drop(asked)
-    return docs
+        yield uids, np.array(codes, np.int64), np.concatenate(flats), np.concatenate(lens)
+
+
+def _runs(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries start."""
+    if not len(sorted_by[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, (x[1:] != x[:-1] for x in sorted_by))]))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct trigrams of a block of trusted documents, with their number per fold."""
+    claim("kneser")
+    names = ["u", "v", "w", *[f"n{k}" for k in range(FOLDS)]]
+    for _, codes, flat, n in _blocks(batches):
+        gram, fold = trigrams(flat, n), np.repeat(codes - 1, n)
+        key = keys(*gram)
+        order = np.argsort(key, kind="stable")
+        cut, fold = _runs(key[order]), fold[order]
+        if not len(cut):
+            continue
+        first = order[cut]
+        columns = [g[first] for g in gram] + [np.add.reduceat((fold == k).astype(np.int64), cut) for k in range(FOLDS)]
+        for lo in range(0, len(cut), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in columns], names=names)
+
+
+def _named(name: str) -> list[Column]:
+    return [F.col(f"{name}{m}") for m in MODELS]
+
+
+def _discounts(counts: DataFrame, name: str) -> list[tuple[float, float, float, float]]:
+    """Per model the modified Kneser-Ney discounts for counts 1, 2 and more, and the sum of all counts."""
+    row = counts.agg(*[x for c in _named(name) for x in (*[F.count(F.when(c == k, 1)) for k in (1, 2, 3, 4)], F.coalesce(F.sum(c), F.lit(0)))]).first()
+    out = []
+    for m in MODELS:
+        n1, n2, n3, n4, total = map(float, row[5 * m : 5 * m + 5])
+        y = n1 / (n1 + 2 * n2) if n1 else 0.0
+        one = 1 - 2 * y * n2 / n1 if n1 else 0.5
+        two = 2 - 3 * y * n3 / n2 if n2 else one
+        more = 3 - 4 * y * n4 / n3 if n3 else two
+        out.append((min(max(one, 0.1), 0.95), min(max(two, 0.1), 1.9), min(max(more, 0.1), 2.9), total))
+    return out
+
+
+def _kept(n: Column, d: tuple[float, ...]) -> Column:
+    """What the discount takes from a count and leaves to the lower order."""
+    return F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+def _contexts(counts: DataFrame, by: list[str], name: str, d: list[tuple[float, ...]]) -> DataFrame:
+    """Per context and model the total t and the weight g of the lower order."""
+    sums = [x for m, c in zip(MODELS, _named(name)) for x in (F.sum(c).alias(f"t{m}"), F.sum(_kept(c, d[m])).alias(f"k{m}"))]
+    weights = [F.when(t > 0, k / t).otherwise(1.0).alias(f"g{m}") for m, t, k in zip(MODELS, _named("t"), _named("k"))]
+    return counts.groupBy(*by).agg(*sums).select(*by, *_named("t"), *weights)
+
+
+def _interpolated(name: str, d: list[tuple[float, ...]], lower: str) -> list[Column]:
+    """Per model the probability from counts, context and the lower order's probability."""
+    return [F.when(t > 0, (n - _kept(n, d[m])) / t).otherwise(0.0) + g * p for m, n, t, g, p in zip(MODELS, _named(name), _named("t"), _named("g"), _named(lower))]
+
+
+def values(counts: DataFrame) -> tuple[DataFrame, list[float], list[DataFrame]]:
+    """What each known n-gram adds to log p, from trigram counts (u, v, w, n0, ...) of trusted
+    text by fold: (role, size, x, y, z, v0, ...), one v per model. Role 0 is an n-gram's own
+    part, role 1 its part as a context. Then log p of an unknown word, per model, and the landed
+    tables."""
+    every = reduce(Column.__add__, [F.sum(f"n{k}") for k in range(FOLDS)])
+    c3 = land(counts.groupBy("u", "v", "w").agg(every.alias("a0"), *[(every - F.sum(f"n{k}")).alias(f"a{k + 1}") for k in range(FOLDS)]))
+    c2 = land(c3.groupBy("v", "w").agg(*[F.count(F.when(c > 0, 1)).alias(f"b{m}") for m, c in zip(MODELS, _named("a"))]))
+    c1 = land(c2.groupBy("w").agg(*[F.count(F.when(c > 0, 1)).alias(f"e{m}") for m, c in zip(MODELS, _named("b"))]))
+    d3, d2, d1 = _discounts(c3, "a"), _discounts(c2, "b"), _discounts(c1, "e")
+    left = c1.agg(*[F.coalesce(F.sum(_kept(c, d1[m])), F.lit(0.0)) for m, c in zip(MODELS, _named("e"))]).first()
+    base = [(left[m] / d1[m][3] if d1[m][3] else 1.0) / SIZE for m in MODELS]
+    p1 = c1.select("w", *[((c - _kept(c, d1[m])) / max(d1[m][3], 1.0) + base[m]).alias(f"p{m}") for m, c in zip(MODELS, _named("e"))])
+    x2, x3 = _contexts(c2, ["v"], "b", d2), _contexts(c3, ["u", "v"], "a", d3)
+    p2 = c2.join(x2, "v").join(p1, "w").select("v", "w", *[q.alias(f"q{m}") for m, q in zip(MODELS, _interpolated("b", d2, "p"))], *[(g * p).alias(f"l{m}") for m, g, p in zip(MODELS, _named("g"), _named("p"))])
+    p2 = land(p2)
+    p3 = c3.join(x3, ["u", "v"]).join(p2.select("v", "w", *_named("q")), ["v", "w"])
+
+    def rows(df: DataFrame, role: int, by: list[str], logs: list[Column]) -> DataFrame:
+        at = [F.col(c) for c in by] + [F.lit(0).cast("long")] * (3 - len(by))
+        return df.select(F.lit(role).alias("role"), F.lit(len(by)).alias("size"), *[c.alias(n) for c, n in zip(at, "xyz")], *[x.alias(f"v{m}") for m, x in zip(MODELS, logs)])
+
+    known = [
+        rows(p1, 0, ["w"], [F.log(p) - math.log(base[m]) for m, p in zip(MODELS, _named("p"))]),
+        rows(x2, 1, ["v"], [F.log(g) for g in _named("g")]),
+        rows(p2, 0, ["v", "w"], [F.log(q / low) for q, low in zip(_named("q"), _named("l"))]),
+        rows(x3, 1, ["u", "v"], [F.log(g) for g in _named("g")]),
+        rows(p3, 0, ["u", "v", "w"], [F.log(p / (g * q)) for p, g, q in zip(_interpolated("a", d3, "q"), _named("g"), _named("q"))]),
+    ]
+    return reduce(DataFrame.unionAll, known), [math.log(b) for b in base], [c3, c2, c1, p2]
+
+
+MESSAGE = "part long, block long, keys binary, docs binary, n binary, m binary"
+HEAD, VALUE = -1, -1
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of the entries, plane by plane, as those of small numbers compress well."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _entries(raw: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def _steps(key: np.ndarray) -> bytes:
+    return _planes(np.diff(key, prepend=np.uint64(0)))
+
+
+def _message(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "block", "keys", "docs", "n", "m"])
+
+
+def _slices(key: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Ranges of sorted keys."""
+    part = (key >> np.uint64(64 - bits)).astype(np.int64)
+    cut = _runs(part)
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
+        yield int(part[a]), slice(a, b)
+
+
+def _postings(bits: int):
+    """Per range of keys and block: (key, document with its code in the upper bits, how often
+    as an n-gram, how often as a context); and a row of the block's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        claim("kneser")
+        task = TaskContext.get().partitionId()
+        for made, (uids, codes, flat, n) in enumerate(_blocks(batches)):
+            block = task << 32 | made
+            yield _message([(HEAD - block % (1 << bits), block, np.array(uids, "<i8").tobytes(), codes.astype("<u2").tobytes(), n.astype("<u4").tobytes(), b"")])
+            gram, some = trigrams(flat, n), np.flatnonzero(n)
+            doc = np.concatenate([np.repeat(np.arange(len(n)), n), some])
+            doc = (codes[doc] << 13 | doc).astype("<u2")
+            inner = np.ones(len(flat) + len(some), bool)  # followed by a word
+            inner[np.cumsum(n)[some] - 1] = False
+            own, start = np.arange(len(inner)) < len(flat), np.zeros(len(some), np.int64)
+            for size in (1, 2, 3):
+                count = len(inner) if size < 3 else len(flat)
+                key = keys(*[np.concatenate([g, start])[:count] for g in gram[3 - size :]])
+                order = np.argsort(key, kind="stable")
+                key, docs = key[order], doc[order]
+                cut = _runs(key, docs)
+                if not len(cut):
+                    continue
+                as_own, as_context = (np.add.reduceat(x[order].astype("<u4"), cut).astype("<u4") for x in (own, inner))
+                key, docs = key[cut], docs[cut]
+                for part, s in _slices(key, bits):
+                    yield _message([(part, block, _steps(key[s]), _planes(docs[s]), _planes(as_own[s]), _planes(as_context[s]) if size < 3 else b"")])
+
+    return run
+
+
+def _valued(bits: int):
+    """The values of n-grams as messages to their ranges of keys: keys, roles, values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > 200_000:
+                yield from send(held)
+                held, rows = [], 0
+        if held:
+            yield from send(held)
+
+    def send(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        col = {c: table.column(c).to_numpy() for c in table.column_names}
+        key = np.zeros(table.num_rows, np.uint64)
+        for size in (1, 2, 3):
+            at = col["size"] == size
+            key[at] = keys(*[col[c][at] for c in "xyz"[:size]])
+        order = np.argsort(key)
+        key, role = key[order], col["role"][order].astype(np.uint8)
+        logs = np.stack([col[f"v{m}"][order] for m in MODELS], 1)
+        for part, s in _slices(key, bits):
+            yield _message([(part, VALUE, _steps(key[s]), role[s].tobytes(), np.ascontiguousarray(logs[s]).tobytes(), b"")])
+
+    return run
+
+
+SUMS = "block long, doc long, uid long, code long, n long, s double, f double"
+
+
+def _sums(blocks: list[int], docs: list[np.ndarray], **more: list[np.ndarray]) -> pa.Table:
+    """Rows of ``SUMS``; columns that are not given are null."""
+    count = [len(d) for d in docs]
+    out = {"block": pa.array(np.repeat(np.array(blocks, np.int64), count)), "doc": pa.array(np.concatenate(docs).astype(np.int64)) if docs else pa.array([], pa.int64())}
+    for name, kind in (("uid", pa.int64()), ("code", pa.int64()), ("n", pa.int64()), ("s", pa.float64()), ("f", pa.float64())):
+        out[name] = pa.array(np.concatenate(more[name])).cast(kind) if more.get(name) else pa.nulls(sum(count), kind)
+    return pa.table(out)
+
+
+def _looked_up(table: pa.Table) -> pa.Table:
+    """Sums of log-probabilities per document, of one range of keys: under the model of all
+    trusted documents, and for trusted documents under the one without their fold."""
+    claim("kneser")
+    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+    if rows[0]["part"] < 0:
+        uids = [np.frombuffer(r["keys"], "<i8") for r in rows]
+        return _sums([r["block"] for r in rows], [np.arange(len(u)) for u in uids], uid=uids, code=[np.frombuffer(r["docs"], "<u2").astype(np.int64) for r in rows], n=[np.frombuffer(r["n"], "<u4").astype(np.int64) for r in rows])
+    known = [r for r in rows if r["block"] == VALUE]
+    if not known:
+        return _sums([], [])
+    key = np.concatenate([np.cumsum(_entries(r["keys"], "<u8"), dtype=np.uint64) for r in known])
+    role = np.concatenate([np.frombuffer(r["docs"], np.uint8) for r in known])
+    logs = np.concatenate([np.frombuffer(r["n"], np.float64).reshape(-1, len(MODELS)) for r in known])
+    sides = []
+    for side in (0, 1):
+        at = np.flatnonzero(role == side)
+        at = at[np.argsort(key[at])]
+        sides.append((key[at], logs[at]))
+    blocks, docs, every, held_out = [], [], [], []
+    total = np.zeros((2, BLOCK_DOCS))
+    for i, row in enumerate(rows):
+        if row["block"] == VALUE:
+            continue
+        asked, code = np.cumsum(_entries(row["keys"], "<u8"), dtype=np.uint64), _entries(row["docs"], "<u2").astype(np.int64)
+        for (k, v), raw in zip(sides, (row["n"], row["m"])):
+            if not raw or not len(k):
+                continue
+            times, at = _entries(raw, "<u4"), np.minimum(np.searchsorted(k, asked), len(k) - 1)
+            hit = np.flatnonzero((k[at] == asked) & (times > 0))
+            at, times, doc, model = at[hit], times[hit], code[hit] & 8191, code[hit] >> 13
+            total[0] += np.bincount(doc, times * v[at, 0], BLOCK_DOCS)
+            total[1] += np.bincount(doc, np.where(model > 0, times * v[at, model], 0.0), BLOCK_DOCS)
+        if i + 1 == len(rows) or rows[i + 1]["block"] != row["block"]:
+            doc = np.flatnonzero(total.any(0))
+            blocks.append(row["block"]), docs.append(doc), every.append(total[0, doc]), held_out.append(total[1, doc])
+            total[:] = 0
+    return _sums(blocks, docs, s=every, f=held_out)
+
+
+def scores(marked: DataFrame) -> DataFrame:
+    """(uid, code, n_words, logp, held_out), landed, of (uid, text, code): code 0 for documents
+    that are not trusted, 1 + fold for those that are. ``held_out`` is under the model without
+    the document's fold, null for those that are not trusted."""
+    known, base, landed = values(marked.where("code > 0").mapInArrow(_counts, "u long, v long, w long, " + ", ".join(f"n{k} long" for k in range(FOLDS))))
+    chars = marked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    bits = max(1, math.ceil(math.log2(max(1, chars * PER_CHAR / GROUP))))
+    sent = marked.mapInArrow(_postings(bits), MESSAGE).unionAll(known.mapInArrow(_valued(bits), MESSAGE))
+    sums = sent.groupBy("part").applyInArrow(_looked_up, SUMS)
+    docs = sums.groupBy("block", "doc").agg(F.max("uid").alias("uid"), F.max("code").alias("code"), F.max("n").alias("n_words"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("s", "f")])
+    unknown = F.element_at(F.array(*map(F.lit, base)), (F.col("code") + 1).cast("int"))
+    out = land(docs.select("uid", "code", "n_words", (F.col("s") + F.col("n_words") * base[0]).alias("logp"), F.when(F.col("code") > 0, F.col("f") + F.col("n_words") * unknown).alias("held_out")))
+    for df in landed:
+        drop(df)
+    return out
 
 
 def quality(df: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -249,18 +384,17 @@ def quality(df: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margi
     """
     rows = with_uid(df, id_col, text_col, {"lang": F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit(""))})
     good = sized(land(trusted.select(F.col("id").alias("id")).where("id is not null").distinct().withColumn("good", F.lit(1).cast("long"))))
-    marked = rows.join(good, "id", "left").select("uid", "text", F.coalesce("good", F.lit(0)).alias("good"))
-    docs = _scores(marked)
-    out = land(rows.select("id", "uid", "lang").join(docs, "uid").join(good, "id", "left"))
-    mean = out.where("good = 1").agg(F.sum("logp") / F.nullif(F.sum("n_words"), F.lit(0))).first()[0]
-    smooth = F.exp(-(F.col("logp") + PRIOR * (mean or 0.0)) / (F.col("n_words") + PRIOR))
-    out = out.withColumn("perplexity", F.when(F.col("n_words") > 0, smooth))
-    high = F.percentile_approx("perplexity", F.lit(quantile), F.lit(100_000))
-    known, fold = land(marked.where("good = 1")), F.pmod(F.xxhash64("uid"), F.lit(FOLDS))
-    parts = [_scores(known.withColumn("good", F.when(fold == k, 0).otherwise(1).cast("long"))).where(fold == k) for k in range(FOLDS)]
-    known = land(reduce(DataFrame.union, parts).join(rows.select("uid", "lang"), "uid").withColumn("perplexity", F.when(F.col("n_words") > 0, smooth)))
-    every = known.agg(high).first()[0]
-    cuts = known.groupBy("lang").agg((high * margin).alias("cut"))
-    out = out.join(sized(cuts), "lang", "left").withColumn("cut", F.coalesce("cut", F.lit(None if every is None else every * margin).cast("double")))
+    code = F.when(F.col("good") == 1, 1 + F.pmod(F.xxhash64("uid"), F.lit(FOLDS))).otherwise(0).cast("long")
+    docs = scores(rows.join(good, "id", "left").select("uid", "text", code.alias("code")))
+    out = land(rows.select("id", "uid", "lang").join(docs, "uid"))
+    mean = out.where("code > 0").agg(F.sum("logp") / F.nullif(F.sum("n_words"), F.lit(0))).first()[0]
+
+    def perplexity(logp: str) -> Column:
+        return F.when(F.col("n_words") > 0, F.exp(-(F.col(logp) + PRIOR * (mean or 0.0)) / (F.col("n_words") + PRIOR)))
+
+    high = F.percentile_approx(perplexity("held_out"), F.lit(quantile), F.lit(100_000))
+    every = out.where("code > 0").agg(high).first()[0]
+    cuts = out.where("code > 0").groupBy("lang").agg((high * margin).alias("cut"))
+    out = out.withColumn("perplexity", perplexity("logp")).join(sized(cuts), "lang", "left").withColumn("cut", F.coalesce("cut", F.lit(None if every is None else every * margin).cast("double")))
     kept = F.coalesce(F.col("perplexity") <= F.coalesce("cut", F.lit(float("inf"))), F.lit(False))
     return out.select("id", "uid", "n_words", "perplexity", "cut", kept.alias("kept"))

@@ -245,6 +245,18 @@ def test_cut_is_the_quantile_of_held_out_trusted_documents(spark, documents, pro
     assert sum(got[i].kept for i in range(60)) >= 58
 
 
+def test_the_model_is_over_words(spark, documents, prose):
+    """Words of equal shape are different tokens: a known text with its long words' letters turned round is less likely."""
+    assert len({kneser.token(w) for w in ("thand", "thone", "other", "thand.")}) == 4
+    text = prose(7, 200)
+    turned = " ".join(w[::-1] if len(w) > 3 and w.isalpha() else w for w in text.split())
+    rows = [(i, prose(i, 200)) for i in range(40)] + [(100, text), (101, turned)]
+    trusted = spark.createDataFrame([(i,) for i in range(40)], "id long")
+    got = {r.id: r for r in kneser.quality(documents(rows), trusted).collect()}
+    assert got[100].perplexity == got[7].perplexity and got[100].kept
+    assert got[101].perplexity > 10 * got[100].perplexity and not got[101].kept
+
+
 def test_pipeline_equals_brute_force(spark, sf, tmp_path):
     """Stage by stage on the smallest tables; the classifier's verdicts are tested above."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
