@@ -2,21 +2,26 @@
 
 Tokens are the lower-cased words, by 62 bits of their hash, and for a word that repeats the one
 before its place in the run. The model is counted on all trusted documents, together with one
-model per fold that leaves the fold out, in Spark tables that grow with the trusted text.
-
-An interpolated model is a sum in logarithms: log p(w|uv) is that of w, the weight left over by
-context v, what a known bigram vw adds, the weight left over by context uv, and what a known
-trigram adds. Each is looked up by its own key. Documents become postings (key, document), packed
-by ranges of keys, and meet the values of their range; what is unknown adds nothing. A document is kept
-if it does not exceed its language's quantile of the trusted documents' perplexities, each
-under the model without its fold.
+model per fold that leaves the fold out.
+
+Trigrams uvw are dealt by their middle word into parts, where their counts, those of vw and of
+the contexts uv and v are at hand. A first sweep, over trusted texts, counts them and sends out
+what words need: in how many bigrams they end. A second one deals the trigrams of all documents,
+counts those of trusted ones again and adds up log p. That is a sum: log p(w) and what the
+contexts v and uv and the known vw and uvw add; log p(w) is looked up in parts dealt by words.
+Frequent middle words are split by u, so their bigrams are counted across parts, and what those
+add is looked up like log p(w). Sweeps go in rounds of some parts, as the trigrams of all would
+take several times the input's disk. A document is kept if it does not exceed its language's
+quantile of the trusted documents' perplexities, each under the model without its fold.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +29,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import cached, claim, drop, land, sized, text_batches, with_uid
+from barline.llm.common import claim, drop, land, sized, text_batches, tidied, with_uid
 from barline.llm.vocab import spread
 
 SIZE = 1 << 20  # words over which what the lowest order leaves over is spread
+LONG = 64  # bytes of a word that are hashed along with others'
 START, REPEAT, RUN = 0, 1, 8  # tokens 1 to 8: a word that repeats the one before, by its place in the run
 BLOCK_DOCS, BLOCK_CHARS = 8192, 6_000_000  # a posting has 13 bits for its document
-WORDS, WORD_CHARS = 100_000, 4 << 20
-GROUP, PER_CHAR = 48 << 20, 12  # about the most bytes of postings in a range of keys, and their bytes per character
+ROUNDS, ROUND_CHARS = 6, 4_000_000  # rounds of a sweep over all documents, fewer if a round would have less text
+PART_CHARS, PARTS = 8_000_000, 16  # about the text in a part, and the fewest parts in a round
+SHOWN = 16  # one of so many documents tells which words are frequent; only the balance of parts depends on it
 QUANTILE, MARGIN, PRIOR, FOLDS = 0.99, 1.0, 0, 3
 MODELS = range(FOLDS + 1)  # the model of all trusted documents, then those without a fold
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -39,36 +46,36 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def token(word: str) -> int:
     """A word's token, whatever its case: 62 bits of its hash, above START and the repeats."""
-    return RUN + 1 + (xxhash.xxh64_intdigest(word.lower().encode()) >> 2)
+    return int(_hashed([word.lower()])[0])
 
 
-class Words(dict):
-    held = 0
-
-    def __missing__(self, word: str) -> int:
-        got = self[word] = token(word)
-        self.held += len(word)
-        return got
-
-
-_words = Words()
-
-
-def _forget() -> None:
-    _words.clear()
-    _words.held = 0
-
-
-cached("kneser", _forget)
+def _hashed(words: list[str]) -> np.ndarray:
+    """Tokens of words without white space, hashed eight bytes at a time."""
+    if not words:
+        return np.empty(0, np.int64)
+    joined = " ".join(words).encode()
+    data = np.frombuffer(joined, np.uint8)
+    space = np.flatnonzero(data == 32)
+    start = np.concatenate([[0], space + 1])
+    size = np.append(space, len(data)) - start
+    eight = np.ndarray(len(data), "<u8", joined + bytes(8), strides=(1,))
+    out, some = size.astype(np.uint64), np.flatnonzero(size <= LONG)
+    for k in range(0, LONG, 8):
+        some = some[size[some] > k]
+        if not len(some):
+            break
+        unused = np.maximum(k + 8 - size[some], 0).astype(np.uint64) * np.uint64(8)
+        out[some] = _mixed(out[some], eight[start[some] + k] << unused)
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(joined[start[i] : start[i] + size[i]])
+    return RUN + 1 + (out >> np.uint64(2)).astype(np.int64)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts end to end, and their number per text."""
-    if len(_words) > WORDS or _words.held > WORD_CHARS:
-        _forget()
-    split = [t.split() for t in texts]
+    split = [t.lower().split() for t in texts]
     n = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter((s for words in split for s in map(_words.__getitem__, words)), np.int64, int(n.sum()))
+    flat = _hashed(list(chain.from_iterable(split)))
     again = np.zeros(len(flat), bool)
     again[1:] = flat[1:] == flat[:-1]
     again[(np.cumsum(n) - n)[n > 0]] = False
@@ -89,10 +96,15 @@ def keys(*parts: np.ndarray) -> np.ndarray:
     """64-bit keys of n-grams; their length takes part."""
     x = np.full(len(parts[0]), len(parts), np.uint64)
     for p in parts:
-        x = x * M1 + p.view(np.uint64)
-        x ^= x >> np.uint64(29)
-        x *= M2
-        x ^= x >> np.uint64(32)
+        x = _mixed(x, p.view(np.uint64))
+    return x
+
+
+def _mixed(x: np.ndarray, more: np.ndarray) -> np.ndarray:
+    x = x * M1 + more
+    x ^= x >> np.uint64(29)
+    x *= M2
+    x ^= x >> np.uint64(32)
     return x
 
 
@@ -121,33 +133,219 @@ def _runs(*sorted_by: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, (x[1:] != x[:-1] for x in sorted_by))]))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct trigrams of a block of trusted documents, with their number per fold."""
+def _runs(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries start."""
+    if not len(sorted_by[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, (x[1:] != x[:-1] for x in sorted_by))]))
+
+
+def _lengths(cut: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(cut, append=n)
+
+
+@dataclass
+class Plan:
+    """What all tasks know: the number of parts, the frequent words with their splits, and once
+    they are counted the discounts and the frequent words' sums as contexts."""
+
+    parts: int
+    words: np.ndarray
+    splits: np.ndarray
+    d1: list = field(default_factory=list)
+    d2: list = field(default_factory=list)
+    d3: list = field(default_factory=list)
+    base: list = field(default_factory=list)
+    t2: np.ndarray | None = None
+    k2: np.ndarray | None = None
+
+    def frequent(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the frequent words, and whether the word is one."""
+        return _find(self.words, v)
+
+    def keys(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Sorted by these, trigrams are sorted by part and have equal middle words together."""
+        at, hit = self.frequent(v)
+        sub = np.zeros(len(v), np.uint64)
+        if hit.any():
+            sub[hit] = keys(u[hit]) % self.splits[at[hit]].astype(np.uint64)
+        return keys(v, sub)
+
+    def part(self, key: np.ndarray) -> np.ndarray:
+        return _scaled(key, self.parts)
+
+    def flat(self, key: np.ndarray) -> np.ndarray:
+        """Parts of words and of frequent words' bigrams come after those of trigrams."""
+        return self.parts + _scaled(key, self.parts // 2)
+
+
+def _scaled(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted ``known``, and whether they hold what was asked."""
+    if not len(known):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    return at, known[at] == asked
+
+
+def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words with a noticeable share of a block, and under -1 the number of all."""
     claim("kneser")
-    names = ["u", "v", "w", *[f"n{k}" for k in range(FOLDS)]]
-    for _, codes, flat, n in _blocks(batches):
-        gram, fold = trigrams(flat, n), np.repeat(codes - 1, n)
-        key = keys(*gram)
-        order = np.argsort(key, kind="stable")
-        cut, fold = _runs(key[order]), fold[order]
-        if not len(cut):
-            continue
-        first = order[cut]
-        columns = [g[first] for g in gram] + [np.add.reduceat((fold == k).astype(np.int64), cut) for k in range(FOLDS)]
-        for lo in range(0, len(cut), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + 50_000]) for c in columns], names=names)
+    for _, _, flat, _ in _blocks(batches):
+        word, n = np.unique(flat, return_counts=True)
+        some = n * 8192 >= len(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(word[some], -1)), pa.array(np.append(n[some], len(flat)))], names=["w", "n"])
+
+
+def planned(marked: DataFrame, parts: int) -> Plan:
+    """Words that take more than a part's share are split."""
+    shown = marked.where(F.pmod(F.xxhash64("uid"), F.lit(SHOWN)) == 0).mapInArrow(_shown, "w long, n long")
+    sums = shown.groupBy("w").agg(F.sum("n").alias("n"))
+    total = sums.where("w = -1").first()
+    limit = max(1.0, (total.n if total else 0) / parts)
+    rows = sorted((r.w, math.ceil(r.n / limit)) for r in sums.where((F.col("w") >= 0) & (F.col("n") > limit)).collect())
+    return Plan(parts, np.array([w for w, _ in rows], np.int64), np.array([s for _, s in rows], np.int64))
+
+
+MESSAGE = "part long, block long, u binary, v binary, w binary, docs binary, n binary"
+KINDS = pa.schema([("part", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("u", "v", "w", "docs", "n")]])
+HEAD = -1
+NEAR = 6  # bytes by which the neighbours of a part's middle words are known
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """Bytes of the entries, plane by plane, as those of small numbers compress well."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _near(a: np.ndarray) -> bytes:
+    return a.view(np.uint8).reshape(len(a), 8)[:, :NEAR].T.tobytes()
+
+
+def _neighbours(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // NEAR, 8), np.uint8)
+    out[:, :NEAR] = np.frombuffer(raw, np.uint8).reshape(NEAR, -1).T
+    return out.view("<i8").reshape(-1)
+
+
+def _entries(raw: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def _message(*row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, KINDS)], schema=KINDS)
+
+
+def _slices(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal parts."""
+    cut = _runs(part)
+    for a, n in zip(cut.tolist(), _lengths(cut, len(part)).tolist()):
+        yield int(part[a]), slice(a, a + n)
+
+
+def _grouped(v: np.ndarray) -> tuple[bytes, bytes]:
+    """Runs of equal entries: entries and lengths."""
+    cut = _runs(v)
+    return _planes(v[cut]), _planes(_lengths(cut, len(v)).astype("<u4"))
+
+
+def _counts(plan: Plan, rounds: int, now: int) -> Callable:
+    """Distinct trigrams of blocks of trusted documents, with their number per fold, by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("kneser")
+        for _, codes, flat, n in _blocks(batches):
+            gram, fold = trigrams(flat, n), np.repeat(codes - 1, n)
+            place = plan.keys(*gram[:2])
+            mine = np.flatnonzero(plan.part(place) % rounds == now)
+            gram, fold, place = [g[mine] for g in gram], fold[mine], place[mine]
+            order = np.lexsort((keys(*gram), place))
+            gram, fold, place = [g[order] for g in gram], fold[order], place[order]
+            cut = _runs(place, *gram)
+            if not len(cut):
+                continue
+            count = np.stack([np.add.reduceat((fold == k).astype("<u4"), cut).astype("<u4") for k in range(FOLDS)], 1)
+            (u, v, w), place = [g[cut] for g in gram], place[cut]
+            for part, s in _slices(plan.part(place)):
+                value, run = _grouped(v[s])
+                yield _message(part, 0, _planes(u[s]), value, _planes(w[s]), run, _planes(np.ascontiguousarray(count[s]).reshape(-1)))
+
+    return run
+
+
+def _models(u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct trigrams by their keys, and their counts per model, from numbers per fold."""
+    key = keys(u, v, w)
+    order = np.argsort(key)
+    cut = _runs(key[order])
+    first = order[cut]
+    folds = np.stack([np.add.reduceat(n[order, k], cut) for k in range(FOLDS)]) if len(cut) else np.zeros((FOLDS, 0), np.int64)
+    every = folds.sum(0)
+    return key[first], u[first], v[first], w[first], np.concatenate([[every], every - folds])
+
+
+def _ends(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, where each first is, and how many entries have a count, per model."""
+    known, first, place = np.unique(key, return_index=True, return_inverse=True)
+    return known, first, np.stack([np.bincount(place[c > 0], minlength=len(known)) for c in counts])
+
+
+COUNTED = "kind int, part long, v long, w long, " + ", ".join(f"c{m} long" for m in MODELS)
+WORD, BIGRAM, TOTALS = 1, 2, 10  # kinds of rows; TOTALS + 2 and + 3 are counts of counts
+
+
+def _rows(kind: int, part: int, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> pa.Table:
+    names = ["kind", "part", "v", "w", *[f"c{m}" for m in MODELS]]
+    return pa.table([pa.array(np.full(len(w), kind, np.int32)), pa.array(np.full(len(w), part, np.int64)), pa.array(v), pa.array(w), *[pa.array(c.astype(np.int64)) for c in counts]], names=names)
+
+
+def _totals(order: int, counts: np.ndarray) -> pa.Table:
+    """How many counts are 1 to 4, and under 0 their sum."""
+    rows = np.stack([counts.sum(1), *[(counts == k).sum(1) for k in (1, 2, 3, 4)]], 1)
+    return _rows(TOTALS + order, 0, np.zeros(5, np.int64), np.arange(5), rows)
+
+
+def _counted(plan: Plan) -> Callable:
+    """Of one part of the trusted trigrams: counts of counts, the bigrams that end in a word, and
+    the bigrams of frequent words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        claim("kneser")
+        rows = table.to_pylist()
+        u, w = (np.concatenate([_entries(r[c], "<i8") for r in rows]) for c in "uw")
+        v = np.concatenate([np.repeat(_entries(r["v"], "<i8"), _entries(r["docs"], "<u4")) for r in rows])
+        n = np.concatenate([_entries(r["n"], "<u4").reshape(-1, FOLDS).astype(np.int64) for r in rows])
+        _, u, v, w, a = _models(u, v, w, n)
+        _, first, b = _ends(keys(v, w), a)
+        v, w = v[first], w[first]
+        _, split = plan.frequent(v)
+        word, first, e = _ends(w, np.where(split, 0, b))
+        out = [_totals(3, a), _totals(2, b[:, ~split]), _rows(WORD, rows[0]["part"], np.zeros(len(word), np.int64), word, e), _rows(BIGRAM, rows[0]["part"], v[split], w[split], b[:, split])]
+        return pa.concat_tables(out)
+
+    return run
 
 
 def _named(name: str) -> list[Column]:
     return [F.col(f"{name}{m}") for m in MODELS]
 
 
-def _discounts(counts: DataFrame, name: str) -> list[tuple[float, float, float, float]]:
+def _spread(df: DataFrame, kind: int, name: str) -> DataFrame:
+    """The rows of ``_totals`` for a table of counts."""
+    sums = [x for m, c in zip(MODELS, _named(name)) for x in (F.sum(c).alias(f"s{m}_0"), *[F.count(F.when(c == k, 1)).alias(f"s{m}_{k}") for k in (1, 2, 3, 4)])]
+    each = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("w"), *[F.coalesce(f"s{m}_{k}", F.lit(0)).alias(f"c{m}") for m in MODELS]) for k in range(5)]))
+    return df.agg(*sums).select(each.alias("x")).select(F.lit(kind).alias("kind"), "x.*")
+
+
+def _discounts(totals: dict[int, list[int]]) -> list[tuple[float, float, float, float]]:
     """Per model the modified Kneser-Ney discounts for counts 1, 2 and more, and the sum of all counts."""
-    row = counts.agg(*[x for c in _named(name) for x in (*[F.count(F.when(c == k, 1)) for k in (1, 2, 3, 4)], F.coalesce(F.sum(c), F.lit(0)))]).first()
     out = []
     for m in MODELS:
-        n1, n2, n3, n4, total = map(float, row[5 * m : 5 * m + 5])
+        total, n1, n2, n3, n4 = (float(totals[k][m]) if k in totals else 0.0 for k in range(5))
         y = n1 / (n1 + 2 * n2) if n1 else 0.0
         one = 1 - 2 * y * n2 / n1 if n1 else 0.5
         two = 2 - 3 * y * n3 / n2 if n2 else one
@@ -161,84 +359,68 @@ def _kept(n: Column, d: tuple[float, ...]) -> Column:
     return F.when(n == 0, 0.0).when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def _contexts(counts: DataFrame, by: list[str], name: str, d: list[tuple[float, ...]]) -> DataFrame:
-    """Per context and model the total t and the weight g of the lower order."""
-    sums = [x for m, c in zip(MODELS, _named(name)) for x in (F.sum(c).alias(f"t{m}"), F.sum(_kept(c, d[m])).alias(f"k{m}"))]
-    weights = [F.when(t > 0, k / t).otherwise(1.0).alias(f"g{m}") for m, t, k in zip(MODELS, _named("t"), _named("k"))]
-    return counts.groupBy(*by).agg(*sums).select(*by, *_named("t"), *weights)
-
-
-def _interpolated(name: str, d: list[tuple[float, ...]], lower: str) -> list[Column]:
-    """Per model the probability from counts, context and the lower order's probability."""
-    return [F.when(t > 0, (n - _kept(n, d[m])) / t).otherwise(0.0) + g * p for m, n, t, g, p in zip(MODELS, _named(name), _named("t"), _named("g"), _named(lower))]
-
-
-def values(counts: DataFrame) -> tuple[DataFrame, list[float], list[DataFrame]]:
-    """What each known n-gram adds to log p, from trigram counts (u, v, w, n0, ...) of trusted
-    text by fold: (role, size, x, y, z, v0, ...), one v per model. Role 0 is an n-gram's own
-    part, role 1 its part as a context. Then log p of an unknown word, per model, and the landed
-    tables."""
-    every = reduce(Column.__add__, [F.sum(f"n{k}") for k in range(FOLDS)])
-    c3 = land(counts.groupBy("u", "v", "w").agg(every.alias("a0"), *[(every - F.sum(f"n{k}")).alias(f"a{k + 1}") for k in range(FOLDS)]))
-    c2 = land(c3.groupBy("v", "w").agg(*[F.count(F.when(c > 0, 1)).alias(f"b{m}") for m, c in zip(MODELS, _named("a"))]))
-    c1 = land(c2.groupBy("w").agg(*[F.count(F.when(c > 0, 1)).alias(f"e{m}") for m, c in zip(MODELS, _named("b"))]))
-    d3, d2, d1 = _discounts(c3, "a"), _discounts(c2, "b"), _discounts(c1, "e")
-    left = c1.agg(*[F.coalesce(F.sum(_kept(c, d1[m])), F.lit(0.0)) for m, c in zip(MODELS, _named("e"))]).first()
-    base = [(left[m] / d1[m][3] if d1[m][3] else 1.0) / SIZE for m in MODELS]
-    p1 = c1.select("w", *[((c - _kept(c, d1[m])) / max(d1[m][3], 1.0) + base[m]).alias(f"p{m}") for m, c in zip(MODELS, _named("e"))])
-    x2, x3 = _contexts(c2, ["v"], "b", d2), _contexts(c3, ["u", "v"], "a", d3)
-    p2 = c2.join(x2, "v").join(p1, "w").select("v", "w", *[q.alias(f"q{m}") for m, q in zip(MODELS, _interpolated("b", d2, "p"))], *[(g * p).alias(f"l{m}") for m, g, p in zip(MODELS, _named("g"), _named("p"))])
-    p2 = land(p2)
-    p3 = c3.join(x3, ["u", "v"]).join(p2.select("v", "w", *_named("q")), ["v", "w"])
-
-    def rows(df: DataFrame, role: int, by: list[str], logs: list[Column]) -> DataFrame:
-        at = [F.col(c) for c in by] + [F.lit(0).cast("long")] * (3 - len(by))
-        return df.select(F.lit(role).alias("role"), F.lit(len(by)).alias("size"), *[c.alias(n) for c, n in zip(at, "xyz")], *[x.alias(f"v{m}") for m, x in zip(MODELS, logs)])
-
-    known = [
-        rows(p1, 0, ["w"], [F.log(p) - math.log(base[m]) for m, p in zip(MODELS, _named("p"))]),
-        rows(x2, 1, ["v"], [F.log(g) for g in _named("g")]),
-        rows(p2, 0, ["v", "w"], [F.log(q / low) for q, low in zip(_named("q"), _named("l"))]),
-        rows(x3, 1, ["u", "v"], [F.log(g) for g in _named("g")]),
-        rows(p3, 0, ["u", "v", "w"], [F.log(p / (g * q)) for p, g, q in zip(_interpolated("a", d3, "q"), _named("g"), _named("q"))]),
-    ]
-    return reduce(DataFrame.unionAll, known), [math.log(b) for b in base], [c3, c2, c1, p2]
-
-
-MESSAGE = "part long, block long, keys binary, docs binary, n binary, m binary"
-HEAD, VALUE = -1, -1
-
-
-def _planes(a: np.ndarray) -> bytes:
-    """Bytes of the entries, plane by plane, as those of small numbers compress well."""
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-
-
-def _entries(raw: bytes, dtype: str) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
+def _left(n: np.ndarray, d: list[tuple[float, ...]]) -> np.ndarray:
+    """``_kept`` for all models."""
+    return np.stack([np.array([0.0, *x[:3]])[np.minimum(c, 3).astype(np.int64)] for c, x in zip(n, d)])
 
 
-def _steps(key: np.ndarray) -> bytes:
-    return _planes(np.diff(key, prepend=np.uint64(0)))
+def _placed(plan: Plan, rounds: int, kind: int) -> Callable:
+    """Counts of words or of frequent words' bigrams, with the part that looks them up."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in "vw")
+            part = plan.flat(keys(w) if kind == WORD else keys(v, w))
+            new = {"round": pa.array(part % rounds), "part": pa.array(part), "kind": pa.array(np.full(len(w), kind, np.int32))}
+            yield pa.RecordBatch.from_arrays([*new.values(), *batch.columns], names=[*new, *batch.schema.names])
 
-def _message(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["part", "block", "keys", "docs", "n", "m"])
+    return run
 
 
-def _slices(key: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Ranges of sorted keys."""
-    part = (key >> np.uint64(64 - bits)).astype(np.int64)
-    cut = _runs(part)
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)]):
-        yield int(part[a]), slice(a, b)
+SIDE = ["round", "part", "kind", "v", "w", *[f"c{m}" for m in MODELS], *[f"e{m}" for m in MODELS]]
+
+
+def counted(trusted: DataFrame, plan: Plan, rounds: int, sweeps: int) -> DataFrame:
+    """(round, part, kind, v, w, c0, ..., e0, ...), landed by round: the counts c of frequent
+    words' bigrams vw and e of bigrams that end in w, for the parts that need them. Fills in what
+    the plan lacks."""
+    landed = [land(trusted.mapInArrow(_counts(plan, sweeps, now), MESSAGE).groupBy("part").applyInArrow(_counted(plan), COUNTED)) for now in range(sweeps)]
+    rows = reduce(DataFrame.unionAll, landed)
+    c2 = land(rows.where(F.col("kind") == BIGRAM).groupBy("v", "w").agg(*[F.sum(c).alias(f"c{m}") for m, c in zip(MODELS, _named("c"))]))
+    words = rows.where(F.col("kind") == WORD).select("w", *[c.alias(f"e{m}") for m, c in zip(MODELS, _named("c"))])
+    words = words.unionAll(c2.select("w", *[(c > 0).cast("long").alias(f"e{m}") for m, c in zip(MODELS, _named("c"))]))
+    c1 = land(words.groupBy("w").agg(*[F.sum(c).alias(f"e{m}") for m, c in zip(MODELS, _named("e"))]))
+
+    totals = rows.where(F.col("kind") >= TOTALS).select("kind", "w", *_named("c")).unionAll(_spread(c2, TOTALS + 2, "c")).unionAll(_spread(c1, TOTALS + 1, "e"))
+    sums = {(r[0], r[1]): r[2:] for r in totals.groupBy("kind", "w").agg(*map(F.sum, _named("c"))).collect()}
+    plan.d1, plan.d2, plan.d3 = (_discounts({k: sums[i, k] for i, k in sums if i == TOTALS + order}) for order in (1, 2, 3))
+    left = c1.agg(*[F.coalesce(F.sum(_kept(c, d)), F.lit(0.0)) for c, d in zip(_named("e"), plan.d1)]).first()
+    plan.base = [(x / d[3] if d[3] else 1.0) / SIZE for x, d in zip(left, plan.d1)]
+    plan.t2, plan.k2 = np.zeros((len(MODELS), len(plan.words))), np.zeros((len(MODELS), len(plan.words)))
+    for row in c2.groupBy("v").agg(*map(F.sum, _named("c")), *[F.sum(_kept(c, d)) for c, d in zip(_named("c"), plan.d2)]).collect():
+        at = np.searchsorted(plan.words, row[0])
+        plan.t2[:, at], plan.k2[:, at] = row[1 : 1 + len(MODELS)], row[1 + len(MODELS) :]
+
+    def placed(df: DataFrame, kind: int) -> DataFrame:
+        return df.mapInArrow(_placed(plan, rounds, kind), "round long, part long, kind int, " + ", ".join(f"{c} long" for c in df.columns)).select(*SIDE)
+
+    asked = rows.where(F.col("kind").isin(WORD, BIGRAM)).select((F.col("part") % rounds).alias("round"), "part", "kind", "v", "w")
+    none = [F.lit(0).cast("long").alias(f"c{m}") for m in MODELS]
+    side = [
+        asked.where(F.col("kind") == WORD).join(c1, "w").select(*SIDE[:5], *none, *_named("e")),
+        asked.where(F.col("kind") == BIGRAM).join(c2, ["v", "w"]).select(*SIDE[:5], *_named("c"), *[F.lit(0).cast("long").alias(f"e{m}") for m in MODELS]),
+        placed(c1.select(F.lit(0).cast("long").alias("v"), "w", *none, *_named("e")), WORD),
+        placed(c2.join(c1, "w").select("v", "w", *_named("c"), *_named("e")), BIGRAM),
+    ]
+    out = land(reduce(DataFrame.unionAll, side), "round")
+    for df in (*landed, c1, c2):
+        drop(df)
+    return out
 
 
-def _postings(bits: int):
-    """Per range of keys and block: (key, document with its code in the upper bits, how often
-    as an n-gram, how often as a context); and a row of the block's documents."""
+def _postings(plan: Plan, rounds: int, now: int) -> Callable:
+    """Per part and block: trigrams with their document and its code in the upper bits; words and
+    frequent words' bigrams by their keys; and a row of the block's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -247,125 +429,216 @@ def _postings(bits: int):
         task = TaskContext.get().partitionId()
         for made, (uids, codes, flat, n) in enumerate(_blocks(batches)):
             block = task << 32 | made
-            yield _message([(HEAD - block % (1 << bits), block, np.array(uids, "<i8").tobytes(), codes.astype("<u2").tobytes(), n.astype("<u4").tobytes(), b"")])
-            gram, some = trigrams(flat, n), np.flatnonzero(n)
-            doc = np.concatenate([np.repeat(np.arange(len(n)), n), some])
-            doc = (codes[doc] << 13 | doc).astype("<u2")
-            inner = np.ones(len(flat) + len(some), bool)  # followed by a word
-            inner[np.cumsum(n)[some] - 1] = False
-            own, start = np.arange(len(inner)) < len(flat), np.zeros(len(some), np.int64)
-            for size in (1, 2, 3):
-                count = len(inner) if size < 3 else len(flat)
-                key = keys(*[np.concatenate([g, start])[:count] for g in gram[3 - size :]])
-                order = np.argsort(key, kind="stable")
-                key, docs = key[order], doc[order]
-                cut = _runs(key, docs)
-                if not len(cut):
-                    continue
-                as_own, as_context = (np.add.reduceat(x[order].astype("<u4"), cut).astype("<u4") for x in (own, inner))
-                key, docs = key[cut], docs[cut]
-                for part, s in _slices(key, bits):
-                    yield _message([(part, block, _steps(key[s]), _planes(docs[s]), _planes(as_own[s]), _planes(as_context[s]) if size < 3 else b"")])
+            yield _message(HEAD - block % plan.parts, block, np.array(uids, "<i8").tobytes(), codes.astype("<u2").tobytes(), n.astype("<u4").tobytes(), b"", b"")
+            gram, doc = trigrams(flat, n), np.repeat((codes << 13 | np.arange(len(n))).astype("<u2"), n)
+            key = plan.keys(*gram[:2])
+            mine = np.flatnonzero(plan.part(key) % rounds == now)
+            order = mine[np.argsort(key[mine], kind="stable")]
+            u, v, w, docs = (x[order] for x in (*gram, doc))
+            for part, s in _slices(plan.part(key[order])):
+                value, run = _grouped(v[s])
+                yield _message(part, block, _near(u[s]), value, _near(w[s]), _planes(docs[s]), run)
+            key = keys(flat)
+            split = np.flatnonzero(plan.frequent(gram[1])[1])
+            key, doc = np.concatenate([key, keys(gram[1][split], flat[split])]), np.concatenate([doc, doc[split]])
+            mine = np.flatnonzero(plan.flat(key) % rounds == now)
+            order = mine[np.argsort(key[mine], kind="stable")]
+            key, docs = key[order], doc[order]
+            for part, s in _slices(plan.flat(key)):
+                value, run = _grouped(key[s])
+                yield _message(part, block, b"", value, b"", _planes(docs[s]), run)
 
     return run
 
 
-def _valued(bits: int):
-    """The values of n-grams as messages to their ranges of keys: keys, roles, values."""
+def _lower(plan: Plan, e: np.ndarray) -> np.ndarray:
+    """p(w) per model."""
+    return (e - _left(e, plan.d1)) / np.array([[max(d[3], 1.0)] for d in plan.d1]) + np.array(plan.base)[:, None]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows > 200_000:
-                yield from send(held)
-                held, rows = [], 0
-        if held:
-            yield from send(held)
-
-    def send(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held)
-        col = {c: table.column(c).to_numpy() for c in table.column_names}
-        key = np.zeros(table.num_rows, np.uint64)
-        for size in (1, 2, 3):
-            at = col["size"] == size
-            key[at] = keys(*[col[c][at] for c in "xyz"[:size]])
-        order = np.argsort(key)
-        key, role = key[order], col["role"][order].astype(np.uint8)
-        logs = np.stack([col[f"v{m}"][order] for m in MODELS], 1)
-        for part, s in _slices(key, bits):
-            yield _message([(part, VALUE, _steps(key[s]), role[s].tobytes(), np.ascontiguousarray(logs[s]).tobytes(), b"")])
 
-    return run
+def _weights(counts: np.ndarray, left: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per context and model the total and what the discounts leave to the lower order."""
+    return tuple(np.stack([np.bincount(place, x, n) for x in y]) for y in (counts, left))
 
 
-SUMS = "block long, doc long, uid long, code long, n long, s double, f double"
+def _shared(t: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return np.where(t > 0, k / np.maximum(t, 1.0), 1.0)
 
 
-def _sums(blocks: list[int], docs: list[np.ndarray], **more: list[np.ndarray]) -> pa.Table:
-    """Rows of ``SUMS``; columns that are not given are null."""
-    count = [len(d) for d in docs]
-    out = {"block": pa.array(np.repeat(np.array(blocks, np.int64), count)), "doc": pa.array(np.concatenate(docs).astype(np.int64)) if docs else pa.array([], pa.int64())}
-    for name, kind in (("uid", pa.int64()), ("code", pa.int64()), ("n", pa.int64()), ("s", pa.float64()), ("f", pa.float64())):
-        out[name] = pa.array(np.concatenate(more[name])).cast(kind) if more.get(name) else pa.nulls(sum(count), kind)
-    return pa.table(out)
+def _above(n: np.ndarray, left: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """What a known n-gram's own count gives."""
+    return np.where(t > 0, (n - left) / np.maximum(t, 1.0), 0.0)
 
 
-def _looked_up(table: pa.Table) -> pa.Table:
-    """Sums of log-probabilities per document, of one range of keys: under the model of all
-    trusted documents, and for trusted documents under the one without their fold."""
-    claim("kneser")
-    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    if rows[0]["part"] < 0:
-        uids = [np.frombuffer(r["keys"], "<i8") for r in rows]
-        return _sums([r["block"] for r in rows], [np.arange(len(u)) for u in uids], uid=uids, code=[np.frombuffer(r["docs"], "<u2").astype(np.int64) for r in rows], n=[np.frombuffer(r["n"], "<u4").astype(np.int64) for r in rows])
-    known = [r for r in rows if r["block"] == VALUE]
-    if not known:
-        return _sums([], [])
-    key = np.concatenate([np.cumsum(_entries(r["keys"], "<u8"), dtype=np.uint64) for r in known])
-    role = np.concatenate([np.frombuffer(r["docs"], np.uint8) for r in known])
-    logs = np.concatenate([np.frombuffer(r["n"], np.float64).reshape(-1, len(MODELS)) for r in known])
-    sides = []
-    for side in (0, 1):
-        at = np.flatnonzero(role == side)
-        at = at[np.argsort(key[at])]
-        sides.append((key[at], logs[at]))
-    blocks, docs, every, held_out = [], [], [], []
-    total = np.zeros((2, BLOCK_DOCS))
-    for i, row in enumerate(rows):
-        if row["block"] == VALUE:
-            continue
-        asked, code = np.cumsum(_entries(row["keys"], "<u8"), dtype=np.uint64), _entries(row["docs"], "<u2").astype(np.int64)
-        for (k, v), raw in zip(sides, (row["n"], row["m"])):
-            if not raw or not len(k):
-                continue
-            times, at = _entries(raw, "<u4"), np.minimum(np.searchsorted(k, asked), len(k) - 1)
-            hit = np.flatnonzero((k[at] == asked) & (times > 0))
-            at, times, doc, model = at[hit], times[hit], code[hit] & 8191, code[hit] >> 13
-            total[0] += np.bincount(doc, times * v[at, 0], BLOCK_DOCS)
-            total[1] += np.bincount(doc, np.where(model > 0, times * v[at, model], 0.0), BLOCK_DOCS)
-        if i + 1 == len(rows) or rows[i + 1]["block"] != row["block"]:
-            doc = np.flatnonzero(total.any(0))
-            blocks.append(row["block"]), docs.append(doc), every.append(total[0, doc]), held_out.append(total[1, doc])
-            total[:] = 0
-    return _sums(blocks, docs, s=every, f=held_out)
+Side = dict[str, np.ndarray]
+
+
+def _side(table: pa.Table) -> Side:
+    got = {c: table.column(c).to_numpy() for c in ("kind", "v", "w")}
+    return got | {x: np.stack([table.column(f"{x}{m}").to_numpy() for m in MODELS]) for x in "ce"}
+
+
+def _known_words(plan: Plan, side: Side) -> tuple[np.ndarray, np.ndarray]:
+    """What known words, and known bigrams of frequent words, add to log p, by sorted keys."""
+    word = side["kind"] == WORD
+    base = np.log(plan.base)[:, None]
+    p = _lower(plan, side["e"])
+    at, split = plan.frequent(side["v"])
+    logs = np.log(p) - base
+    some = np.flatnonzero(~word & split)
+    if len(some):
+        t, k, b = plan.t2[:, at[some]], plan.k2[:, at[some]], side["c"][:, some]
+        low = _shared(t, k) * p[:, some]
+        logs[:, some] = np.log((_above(b, _left(b, plan.d2), t) + low) / low)
+    key = np.where(word, keys(side["w"]), keys(side["v"], side["w"]))
+    order = np.argsort(key)
+    return key[order], logs[:, order]
+
+
+def _known(plan: Plan, side: Side, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """What each known context v, bigram vw, context uv and trigram uvw of a part adds to log p,
+    by sorted keys. The bigrams of frequent words add nothing here, and the words themselves always do."""
+    key3, u, v, w, a = _models(u, v, w, n)
+    key2, first, b = _ends(keys(v, w), a)
+    place2 = np.searchsorted(key2, keys(v, w))
+    v2, w2 = v[first], w[first]
+    at, split = plan.frequent(v2)
+    ours = side["kind"] == BIGRAM
+    told = keys(side["v"][ours], side["w"][ours])
+    order = np.argsort(told)
+    if split.any():
+        b[:, split] = side["c"][:, ours][:, order[np.searchsorted(told[order], key2[split])]]
+    ours = np.flatnonzero(side["kind"] == WORD)
+    ours = ours[np.argsort(side["w"][ours])]
+    p = _lower(plan, side["e"][:, ours[np.searchsorted(side["w"][ours], w2)]] if len(w2) else np.zeros((len(MODELS), 0), np.int64))
+    left = _left(b, plan.d2)
+    known_v, place = np.unique(v2, return_inverse=True)
+    t, k = _weights(b, left, place, len(known_v))
+    t, k = t[:, place], k[:, place]
+    t[:, split], k[:, split] = plan.t2[:, at[split]], plan.k2[:, at[split]]
+    g = _shared(t, k)
+    q = _above(b, left, t) + g * p
+    bigrams = np.where(split, 0.0, np.log(q / (g * p)))
+    contexts = np.zeros((len(MODELS), len(known_v)))
+    contexts[:, place] = np.log(g)
+    words, logs = np.concatenate([plan.words, known_v]), np.concatenate([np.log(_shared(plan.t2, plan.k2)), contexts], 1)
+    known_v, first = np.unique(words, return_index=True)
+
+    left = _left(a, plan.d3)
+    known_x, place = np.unique(keys(u, v), return_inverse=True)
+    t, k = _weights(a, left, place, len(known_x))
+    g = _shared(t, k)
+    low = g[:, place] * q[:, place2]
+    return [(known_v, logs[:, first]), (key2, bigrams), (known_x, np.log(g)), (key3, np.log((_above(a, left, t[:, place]) + low) / low))]
+
+
+SUMS = "block long, part long, docs binary, s binary, f binary"
+
+
+def _sums(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "part", "docs", "s", "f"])
+
+
+def _summed(row: dict, docs: np.ndarray, s: np.ndarray, f: np.ndarray) -> tuple:
+    doc = docs & 8191
+    n = int(doc.max()) + 1
+    seen = np.flatnonzero(np.bincount(doc, minlength=n))
+    return row["block"], row["part"], seen.astype("<u2").tobytes(), np.bincount(doc, s, n)[seen].tobytes(), np.bincount(doc, f, n)[seen].tobytes()
+
+
+def _scored(plan: Plan) -> Callable:
+    """Sums of log-probabilities per document, of one part: under the model of all trusted
+    documents, and for trusted documents under the one without their fold."""
+
+    def run(table: pa.Table, told: pa.Table) -> pa.Table:
+        claim("kneser")
+        rows = table.to_pylist()
+        if not rows:
+            return _sums([])
+        part = rows[0]["part"]
+        if part < 0:
+            return _sums([(r["block"], HEAD, r["u"], r["v"], r["w"]) for r in rows])
+        side = _side(told)
+        out = []
+        if part >= plan.parts:
+            known, logs = _known_words(plan, side)
+            for row in rows:
+                docs, times = _entries(row["docs"], "<u2").astype(np.int64), _entries(row["n"], "<u4")
+                at, hit = _find(known, _entries(row["v"], "<u8"))
+                at, hit, code = np.repeat(at, times), np.repeat(hit, times), docs >> 13
+                some = np.flatnonzero(hit)
+                if len(some):
+                    at, docs, code = at[some], docs[some], code[some]
+                    out.append(_summed(row, docs, logs[0, at], np.where(code > 0, logs[code, at], 0.0)))
+            return _sums(out)
+        side["w"] = side["w"] & ((1 << 8 * NEAR) - 1)
+        u, w = (np.concatenate([_neighbours(r[c]) for r in rows]) for c in "uw")
+        runs = [_entries(r["n"], "<u4") for r in rows]
+        v = np.concatenate([np.repeat(_entries(r["v"], "<i8"), n) for r, n in zip(rows, runs)])
+        docs = np.concatenate([_entries(r["docs"], "<u2") for r in rows]).astype(np.int64)
+        code = docs >> 13
+        good = np.flatnonzero(code > 0)
+        words, bigrams, contexts, grams = _known(plan, side, u[good], v[good], w[good], (code[good, None] == 1 + np.arange(FOLDS)).astype(np.int64))
+        s, f = np.zeros(len(u)), np.zeros(len(u))
+
+        def add(known: tuple[np.ndarray, np.ndarray], asked: np.ndarray, where: np.ndarray) -> np.ndarray:
+            at, hit = _find(known[0], asked)
+            where, at = where[hit], at[hit]
+            s[where] += known[1][0, at]
+            some = np.flatnonzero(code[where] > 0)
+            f[where[some]] += known[1][code[where[some]], at[some]]
+            return where
+
+        seen = add(words, v, np.arange(len(u)))
+        both = np.zeros(len(u), np.int8)
+        both[add(bigrams, keys(v[seen], w[seen]), seen)] += 1
+        both[add(contexts, keys(u[seen], v[seen]), seen)] += 1
+        some = np.flatnonzero(both == 2)
+        add(grams, keys(u[some], v[some], w[some]), some)
+        ends = np.cumsum([int(n.sum()) for n in runs])
+        return _sums([_summed(row, docs[lo:hi], s[lo:hi], f[lo:hi]) for row, lo, hi in zip(rows, [0, *ends], ends)])
+
+    return run
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Sums of a block's documents over the parts."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["part"])
+    uid, code, n = (np.frombuffer(rows[0][c], t) for c, t in (("docs", "<i8"), ("s", "<u2"), ("f", "<u4")))
+    sums = np.zeros((2, len(uid)))
+    for row in rows[1:]:
+        docs = np.frombuffer(row["docs"], "<u2")
+        sums[0, docs] += np.frombuffer(row["s"])
+        sums[1, docs] += np.frombuffer(row["f"])
+    return pa.table({"uid": uid, "code": code.astype(np.int64), "n_words": n.astype(np.int64), "s": sums[0], "f": sums[1]})
 
 
 def scores(marked: DataFrame) -> DataFrame:
     """(uid, code, n_words, logp, held_out), landed, of (uid, text, code): code 0 for documents
     that are not trusted, 1 + fold for those that are. ``held_out`` is under the model without
     the document's fold, null for those that are not trusted."""
-    known, base, landed = values(marked.where("code > 0").mapInArrow(_counts, "u long, v long, w long, " + ", ".join(f"n{k} long" for k in range(FOLDS))))
-    chars = marked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    bits = max(1, math.ceil(math.log2(max(1, chars * PER_CHAR / GROUP))))
-    sent = marked.mapInArrow(_postings(bits), MESSAGE).unionAll(known.mapInArrow(_valued(bits), MESSAGE))
-    sums = sent.groupBy("part").applyInArrow(_looked_up, SUMS)
-    docs = sums.groupBy("block", "doc").agg(F.max("uid").alias("uid"), F.max("code").alias("code"), F.max("n").alias("n_words"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("s", "f")])
-    unknown = F.element_at(F.array(*map(F.lit, base)), (F.col("code") + 1).cast("int"))
-    out = land(docs.select("uid", "code", "n_words", (F.col("s") + F.col("n_words") * base[0]).alias("logp"), F.when(F.col("code") > 0, F.col("f") + F.col("n_words") * unknown).alias("held_out")))
-    for df in landed:
-        drop(df)
+    with tidied(marked.sparkSession):
+        chars = F.length("text")
+        every, trusted = marked.agg(F.coalesce(F.sum(chars), F.lit(0)), F.coalesce(F.sum(F.when(F.col("code") > 0, chars)), F.lit(0))).first()
+        rounds = min(ROUNDS, max(1, every // ROUND_CHARS))
+        plan = planned(marked, rounds * max(PARTS, 2 * math.ceil(every / PART_CHARS / rounds / 2)))
+        side = counted(marked.where("code > 0"), plan, rounds, max(1, math.ceil(rounds * trusted / max(1, every))))
+        done = []
+        for now in range(rounds):
+            sent = marked.mapInArrow(_postings(plan, rounds, now), MESSAGE)
+            told = side.where(F.col("round") == now).drop("round")
+            sums = sent.groupBy("part").cogroup(told.groupBy("part")).applyInArrow(_scored(plan), SUMS)
+            done.append(land(sums.groupBy("block").applyInArrow(_added, "uid long, code long, n_words long, s double, f double")))
+        drop(side)
+        every = reduce(DataFrame.unionAll, [df.withColumn("round", F.lit(now)) for now, df in enumerate(done)])
+        in_order = {c: reduce(Column.__add__, [F.max(F.when(F.col("round") == now, F.col(c))) for now in range(rounds)]).alias(c) for c in "sf"}
+        docs = every.groupBy("uid").agg(F.max("code").alias("code"), F.max("n_words").alias("n_words"), *in_order.values())
+        base = [math.log(b) for b in plan.base]
+        unknown = F.element_at(F.array(*map(F.lit, base)), (F.col("code") + 1).cast("int"))
+        out = land(docs.select("uid", "code", "n_words", (F.col("s") + F.col("n_words") * base[0]).alias("logp"), F.when(F.col("code") > 0, F.col("f") + F.col("n_words") * unknown).alias("held_out")))
+        for df in done:
+            drop(df)
     return out
 
 

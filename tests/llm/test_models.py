@@ -257,6 +257,28 @@ def test_the_model_is_over_words(spark, documents, prose):
     assert got[101].perplexity > 10 * got[100].perplexity and not got[101].kept
 
 
+def test_rounds_and_split_words_change_no_score(spark, documents, prose, monkeypatch):
+    """Every word is sent in one round, a round sends about its share of the bytes, and the scores are those of one round."""
+    rows = [(i, prose(i % 50, 150) + " the of the " * (i % 7)) for i in range(60)]
+    df, trusted = documents(rows), spark.createDataFrame([(i,) for i in range(0, 60, 2)], "id long")
+    one = {r.id: r for r in kneser.quality(df, trusted).collect()}
+    monkeypatch.setattr(kneser, "ROUND_CHARS", sum(len(t) for _, t in rows) // 4)
+    monkeypatch.setattr(kneser, "SHOWN", 1)
+    plans, planned = [], kneser.planned
+    monkeypatch.setattr(kneser, "planned", lambda *a: plans.append(planned(*a)) or plans[-1])
+    many = {r.id: r for r in kneser.quality(df, trusted).collect()}
+    assert len(plans[0].words) and plans[0].splits.max() > 1
+    for i, r in one.items():
+        assert (many[i].n_words, many[i].kept) == (r.n_words, r.kept)
+        assert many[i].perplexity == pytest.approx(r.perplexity, rel=1e-9) and many[i].cut == pytest.approx(r.cut, rel=1e-9)
+    marked = df.selectExpr("doc_id uid", "text", "0L code")
+    sent = [marked.mapInArrow(kneser._postings(plans[0], 4, now), kneser.MESSAGE).where("part >= 0").collect() for now in range(4)]
+    words = sum(len(t.split()) for _, t in rows)
+    assert sum(len(r.u) // kneser.NEAR for some in sent for r in some) == words
+    size = [sum(len(r.u) + len(r.v) + len(r.w) + len(r.docs) + len(r.n) for r in some) for some in sent]
+    assert max(size) < 0.45 * sum(size)
+
+
 def test_pipeline_equals_brute_force(spark, sf, tmp_path):
     """Stage by stage on the smallest tables; the classifier's verdicts are tested above."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
