@@ -35,7 +35,7 @@ from barline.llm.vocab import spread
 SIZE = 1 << 20  # words over which what the lowest order leaves over is spread
 LONG = 64  # bytes of a word that are hashed along with others'
 START, REPEAT, RUN = 0, 1, 8  # tokens 1 to 8: a word that repeats the one before, by its place in the run
-BLOCK_DOCS, BLOCK_CHARS = 8192, 6_000_000  # a posting has 13 bits for its document
+BLOCK_DOCS, BLOCK_CHARS = 8192, 4_000_000  # a posting has 13 bits for its document
 ROUNDS, ROUND_CHARS = 6, 4_000_000  # rounds of a sweep over all documents, fewer if a round would have less text
 PART_CHARS, PARTS = 8_000_000, 16  # about the text in a part, and the fewest parts in a round
 SHOWN = 16  # one of so many documents tells which words are frequent; only the balance of parts depends on it
@@ -576,8 +576,8 @@ def _scored(plan: Plan) -> Callable:
         u, w = (np.concatenate([_neighbours(r[c]) for r in rows]) for c in "uw")
         runs = [_entries(r["n"], "<u4") for r in rows]
         v = np.concatenate([np.repeat(_entries(r["v"], "<i8"), n) for r, n in zip(rows, runs)])
-        docs = np.concatenate([_entries(r["docs"], "<u2") for r in rows]).astype(np.int64)
-        code = docs >> 13
+        docs = np.concatenate([_entries(r["docs"], "<u2") for r in rows])
+        code = (docs >> 13).astype(np.int8)
         good = np.flatnonzero(code > 0)
         words, bigrams, contexts, grams = _known(plan, side, u[good], v[good], w[good], (code[good, None] == 1 + np.arange(FOLDS)).astype(np.int64))
         s, f = np.zeros(len(u)), np.zeros(len(u))
