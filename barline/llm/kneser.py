@@ -21,7 +21,6 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import claim, drop, land, sized, text_batches, tidied, with_uid
+from barline.llm.common import claim, drop, give_back, land, sized, text_batches, tidied, with_uid
 from barline.llm.vocab import spread
 
 SIZE = 1 << 20  # words over which what the lowest order leaves over is spread
@@ -46,42 +45,73 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def token(word: str) -> int:
     """A word's token, whatever its case: 62 bits of its hash, above START and the repeats."""
-    return int(_hashed([word.lower()])[0])
-
-
-def _hashed(words: list[str]) -> np.ndarray:
-    """Tokens of words without white space, hashed eight bytes at a time."""
-    if not words:
-        return np.empty(0, np.int64)
-    joined = " ".join(words).encode()
-    data = np.frombuffer(joined, np.uint8)
-    space = np.flatnonzero(data == 32)
-    start = np.concatenate([[0], space + 1])
-    size = np.append(space, len(data)) - start
-    eight = np.ndarray(len(data), "<u8", joined + bytes(8), strides=(1,))
-    out, some = size.astype(np.uint64), np.flatnonzero(size <= LONG)
-    for k in range(0, LONG, 8):
-        some = some[size[some] > k]
+    return int(tokens([word])[0][0])
+
+
+# The white space of str.split; in UTF-8 some takes two or three bytes, by these first ones.
+SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
+KIND = np.zeros(256, np.uint8)
+KIND[[ord(c) for c in SPACES if c.isascii()]] = 1
+KIND[[c.encode()[0] for c in SPACES if not c.isascii()]] = 2
+WIDE = {n: np.array([int.from_bytes(c.encode(), "little") for c in SPACES if len(c.encode()) == n], np.uint64) for n in (2, 3)}
+
+
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros after the last; of ``data`` less its last eight."""
+    return np.ndarray(len(data) - 8, "<u8", data, strides=(1,))
+
+
+def _cut(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased texts as bytes with eight zeros after them, where words start in them, the
+    words' bytes, and their number per text."""
+    raw = [t.lower().encode() for t in texts]
+    ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)) + 1)
+    data = np.frombuffer(b"\n".join([*raw, bytes(8)]), np.uint8)
+    kind = KIND[data]
+    marks = np.flatnonzero(kind > 0)
+    wide = marks[kind[marks] == 2]
+    if len(wide):
+        marks = marks[kind[marks] == 1]
+        for n, known in WIDE.items():
+            hit = wide[np.isin(_eight(data)[wide] & np.uint64((1 << 8 * n) - 1), known)]
+            if len(hit):
+                marks = np.concatenate([marks, *[hit + k for k in range(n)]])
+        marks.sort()
+    start = np.append(0, marks[:-1] + 1)[: len(marks)]
+    size = marks - start
+    some = np.flatnonzero(size)
+    start, size = start[some], size[some]
+    return data, start, size, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Tokens of words, hashed eight bytes at a time."""
+    eight, out = _eight(data), size.astype(np.uint64)
+    short = np.minimum(size, 8)
+    out = _mixed(out, eight[start] << ((8 - short) << 3).view(np.uint64))
+    some = np.flatnonzero((size > 8) & (size <= LONG))
+    for k in range(8, LONG, 8):
         if not len(some):
             break
-        unused = np.maximum(k + 8 - size[some], 0).astype(np.uint64) * np.uint64(8)
-        out[some] = _mixed(out[some], eight[start[some] + k] << unused)
+        unused = np.maximum(k + 8 - size[some], 0) << 3
+        out[some] = _mixed(out[some], eight[start[some] + k] << unused.view(np.uint64))
+        some = some[size[some] > k + 8]
     for i in np.flatnonzero(size > LONG).tolist():
-        out[i] = xxhash.xxh64_intdigest(joined[start[i] : start[i] + size[i]])
-    return RUN + 1 + (out >> np.uint64(2)).astype(np.int64)
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : start[i] + size[i]].tobytes())
+    return RUN + 1 + (out >> np.uint64(2)).view(np.int64)
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of all texts end to end, and their number per text."""
-    split = [t.lower().split() for t in texts]
-    n = np.fromiter(map(len, split), np.int64, len(split))
-    flat = _hashed(list(chain.from_iterable(split)))
-    again = np.zeros(len(flat), bool)
-    again[1:] = flat[1:] == flat[:-1]
-    again[(np.cumsum(n) - n)[n > 0]] = False
-    place = np.arange(len(flat))
-    run = place - np.maximum.accumulate(np.where(again, 0, place))
-    return np.where(again, REPEAT + np.minimum(run, RUN) - 1, flat), n
+    data, start, size, n = _cut(texts)
+    flat = _hashed(data, start, size)
+    again = np.flatnonzero(flat[1:] == flat[:-1]) + 1
+    again = again[~np.isin(again, (np.cumsum(n) - n)[n > 0])]
+    if len(again):
+        cut = _runs(again - np.arange(len(again)))
+        run = np.arange(len(again)) - np.repeat(cut, _lengths(cut, len(again))) + 1
+        flat[again] = REPEAT + np.minimum(run, RUN) - 1
+    return flat, n
 
 
 def trigrams(flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +131,8 @@ def keys(*parts: np.ndarray) -> np.ndarray:
 
 
 def _mixed(x: np.ndarray, more: np.ndarray) -> np.ndarray:
-    x = x * M1 + more
+    x = x * M1
+    x += more
     x ^= x >> np.uint64(29)
     x *= M2
     x ^= x >> np.uint64(32)
@@ -133,13 +164,6 @@ def _runs(*sorted_by: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, (x[1:] != x[:-1] for x in sorted_by))]))
 
 
-def _runs(*sorted_by: np.ndarray) -> np.ndarray:
-    """Where runs of equal entries start."""
-    if not len(sorted_by[0]):
-        return np.empty(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], reduce(np.logical_or, (x[1:] != x[:-1] for x in sorted_by))]))
-
-
 def _lengths(cut: np.ndarray, n: int) -> np.ndarray:
     return np.diff(cut, append=n)
 
@@ -183,11 +207,25 @@ def _scaled(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _place(known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """``np.searchsorted`` in distinct hashes: from the first with the same upper bits on."""
+    known, asked, bits = known.view(np.uint64), asked.view(np.uint64), len(known).bit_length() + 1
+    shift = np.uint64(max(0, int(known[-1]).bit_length() - bits) if len(known) else 0)
+    first = np.append(0, np.cumsum(np.bincount((known >> shift).view(np.int64), minlength=1 << bits)))
+    at = first[np.minimum(asked >> shift, np.uint64(1 << bits)).view(np.int64)]
+    known = np.append(known, np.uint64((1 << 64) - 1))
+    todo = np.flatnonzero(known[at] < asked)
+    while len(todo):
+        at[todo] += 1
+        todo = todo[known[at[todo]] < asked[todo]]
+    return at
+
+
 def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in sorted ``known``, and whether they hold what was asked."""
     if not len(known):
         return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
-    at = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+    at = np.minimum(_place(known, asked), len(known) - 1)
     return at, known[at] == asked
 
 
@@ -213,6 +251,7 @@ def planned(marked: DataFrame, parts: int) -> Plan:
 MESSAGE = "part long, block long, u binary, v binary, w binary, docs binary, n binary"
 KINDS = pa.schema([("part", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("u", "v", "w", "docs", "n")]])
 HEAD = -1
+SLICE = 100_000  # about the trigrams of a part that are judged at once
 NEAR = 6  # bytes by which the neighbours of a part's middle words are known
 
 
@@ -225,9 +264,11 @@ def _near(a: np.ndarray) -> bytes:
     return a.view(np.uint8).reshape(len(a), 8)[:, :NEAR].T.tobytes()
 
 
-def _neighbours(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // NEAR, 8), np.uint8)
-    out[:, :NEAR] = np.frombuffer(raw, np.uint8).reshape(NEAR, -1).T
+def _neighbours(raws: list[memoryview]) -> np.ndarray:
+    ends = np.cumsum([len(r) // NEAR for r in raws])
+    out = np.zeros((ends[-1], 8), np.uint8)
+    for raw, lo, hi in zip(raws, [0, *ends], ends):
+        out[lo:hi, :NEAR] = np.frombuffer(raw, np.uint8).reshape(NEAR, -1).T
     return out.view("<i8").reshape(-1)
 
 
@@ -471,6 +512,7 @@ def _above(n: np.ndarray, left: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 Side = dict[str, np.ndarray]
+Told = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def _side(table: pa.Table) -> Side:
@@ -478,6 +520,17 @@ def _side(table: pa.Table) -> Side:
     return got | {x: np.stack([table.column(f"{x}{m}").to_numpy() for m in MODELS]) for x in "ce"}
 
 
+def _told(plan: Plan, side: Side) -> Told:
+    """Sorted words, as they are known in parts, with p(w), and sorted keys of frequent words' bigrams with their counts."""
+    w = side["w"] & ((1 << 8 * NEAR) - 1)
+    ours = np.flatnonzero(side["kind"] == WORD)
+    ours = ours[np.argsort(w[ours])]
+    both = np.flatnonzero(side["kind"] == BIGRAM)
+    key = keys(side["v"][both], w[both])
+    order = np.argsort(key)
+    return w[ours], _lower(plan, side["e"][:, ours]), key[order], side["c"][:, both[order]]
+
+
 def _known_words(plan: Plan, side: Side) -> tuple[np.ndarray, np.ndarray]:
     """What known words, and known bigrams of frequent words, add to log p, by sorted keys."""
     word = side["kind"] == WORD
@@ -495,22 +548,18 @@ def _known_words(plan: Plan, side: Side) -> tuple[np.ndarray, np.ndarray]:
     return key[order], logs[:, order]
 
 
-def _known(plan: Plan, side: Side, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def _known(plan: Plan, told: Told, u: np.ndarray, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """What each known context v, bigram vw, context uv and trigram uvw of a part adds to log p,
     by sorted keys. The bigrams of frequent words add nothing here, and the words themselves always do."""
     key3, u, v, w, a = _models(u, v, w, n)
     key2, first, b = _ends(keys(v, w), a)
-    place2 = np.searchsorted(key2, keys(v, w))
+    place2 = _place(key2, keys(v, w))
     v2, w2 = v[first], w[first]
     at, split = plan.frequent(v2)
-    ours = side["kind"] == BIGRAM
-    told = keys(side["v"][ours], side["w"][ours])
-    order = np.argsort(told)
+    words, lower, both, counts = told
     if split.any():
-        b[:, split] = side["c"][:, ours][:, order[np.searchsorted(told[order], key2[split])]]
-    ours = np.flatnonzero(side["kind"] == WORD)
-    ours = ours[np.argsort(side["w"][ours])]
-    p = _lower(plan, side["e"][:, ours[np.searchsorted(side["w"][ours], w2)]] if len(w2) else np.zeros((len(MODELS), 0), np.int64))
+        b[:, split] = counts[:, _place(both, key2[split])]
+    p = lower[:, _place(words, w2)]
     left = _left(b, plan.d2)
     known_v, place = np.unique(v2, return_inverse=True)
     t, k = _weights(b, left, place, len(known_v))
@@ -535,16 +584,52 @@ def _known(plan: Plan, side: Side, u: np.ndarray, v: np.ndarray, w: np.ndarray,
 SUMS = "block long, part long, docs binary, s binary, f binary"
 
 
+def _views(table: pa.Table, column: str) -> list[memoryview]:
+    """Binary entries without copies."""
+    out = []
+    for chunk in table.column(column).chunks:
+        _, ends, raw = chunk.buffers()
+        ends = np.frombuffer(ends, np.int32)[chunk.offset : chunk.offset + len(chunk) + 1].tolist()
+        raw = memoryview(raw or b"")
+        out += [raw[lo:hi] for lo, hi in zip(ends, ends[1:])]
+    return out
+
+
 def _sums(rows: list[tuple]) -> pa.Table:
     kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 3]
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "part", "docs", "s", "f"])
 
 
-def _summed(row: dict, docs: np.ndarray, s: np.ndarray, f: np.ndarray) -> tuple:
+def _summed(block: int, part: int, docs: np.ndarray, s: np.ndarray, f: np.ndarray) -> tuple:
     doc = docs & 8191
     n = int(doc.max()) + 1
     seen = np.flatnonzero(np.bincount(doc, minlength=n))
-    return row["block"], row["part"], seen.astype("<u2").tobytes(), np.bincount(doc, s, n)[seen].tobytes(), np.bincount(doc, f, n)[seen].tobytes()
+    return block, part, seen.astype("<u2").tobytes(), np.bincount(doc, s, n)[seen].tobytes(), np.bincount(doc, f, n)[seen].tobytes()
+
+
+def _judged(plan: Plan, told: Told, u: np.ndarray, v: np.ndarray, w: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What contexts and known n-grams add to log p of trigrams of a part: all of a middle word, or
+    if that is frequent all of a context. Under the model of all trusted documents, and for trusted
+    documents under the one without their fold."""
+    good = np.flatnonzero(code > 0)
+    words, bigrams, contexts, grams = _known(plan, told, u[good], v[good], w[good], (code[good, None] == 1 + np.arange(FOLDS)).astype(np.int64))
+    s, f = np.zeros(len(u)), np.zeros(len(u))
+
+    def add(known: tuple[np.ndarray, np.ndarray], asked: np.ndarray, where: np.ndarray) -> np.ndarray:
+        at, hit = _find(known[0], asked)
+        where, at = where[hit], at[hit]
+        s[where] += known[1][0, at]
+        some = np.flatnonzero(code[where] > 0)
+        f[where[some]] += known[1][code[where[some]], at[some]]
+        return where
+
+    seen = add(words, v, np.arange(len(u)))
+    both = np.zeros(len(u), np.int8)
+    both[add(bigrams, keys(v[seen], w[seen]), seen)] += 1
+    both[add(contexts, keys(u[seen], v[seen]), seen)] += 1
+    some = np.flatnonzero(both == 2)
+    add(grams, keys(u[some], v[some], w[some]), some)
+    return s, f
 
 
 def _scored(plan: Plan) -> Callable:
@@ -553,51 +638,39 @@ def _scored(plan: Plan) -> Callable:
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         claim("kneser")
-        rows = table.to_pylist()
-        if not rows:
+        if not table.num_rows:
             return _sums([])
-        part = rows[0]["part"]
+        part = table.column("part")[0].as_py()
         if part < 0:
-            return _sums([(r["block"], HEAD, r["u"], r["v"], r["w"]) for r in rows])
-        side = _side(told)
-        out = []
+            return _sums([(r["block"], HEAD, r["u"], r["v"], r["w"]) for r in table.to_pylist()])
+        names, raw, side = table.column("block").to_pylist(), {c: _views(table, c) for c in ("u", "v", "w", "docs", "n")}, _side(told)
         if part >= plan.parts:
-            known, logs = _known_words(plan, side)
-            for row in rows:
-                docs, times = _entries(row["docs"], "<u2").astype(np.int64), _entries(row["n"], "<u4")
-                at, hit = _find(known, _entries(row["v"], "<u8"))
-                at, hit, code = np.repeat(at, times), np.repeat(hit, times), docs >> 13
+            out, (known, logs) = [], _known_words(plan, side)
+            every, hits = _find(known, np.concatenate([_entries(x, "<u8") for x in raw["v"]]))
+            ends = np.cumsum([len(x) // 8 for x in raw["v"]])
+            for block, lo, hi, doc, n in zip(names, [0, *ends], ends, raw["docs"], raw["n"]):
+                docs, times = _entries(doc, "<u2").astype(np.int64), _entries(n, "<u4")
+                at, hit, code = np.repeat(every[lo:hi], times), np.repeat(hits[lo:hi], times), docs >> 13
                 some = np.flatnonzero(hit)
                 if len(some):
                     at, docs, code = at[some], docs[some], code[some]
-                    out.append(_summed(row, docs, logs[0, at], np.where(code > 0, logs[code, at], 0.0)))
+                    out.append(_summed(block, part, docs, logs[0, at], np.where(code > 0, logs[code, at], 0.0)))
             return _sums(out)
-        side["w"] = side["w"] & ((1 << 8 * NEAR) - 1)
-        u, w = (np.concatenate([_neighbours(r[c]) for r in rows]) for c in "uw")
-        runs = [_entries(r["n"], "<u4") for r in rows]
-        v = np.concatenate([np.repeat(_entries(r["v"], "<i8"), n) for r, n in zip(rows, runs)])
-        docs = np.concatenate([_entries(r["docs"], "<u2") for r in rows])
-        code = (docs >> 13).astype(np.int8)
-        good = np.flatnonzero(code > 0)
-        words, bigrams, contexts, grams = _known(plan, side, u[good], v[good], w[good], (code[good, None] == 1 + np.arange(FOLDS)).astype(np.int64))
+        u, w = _neighbours(raw["u"]), _neighbours(raw["w"])
+        value, runs = (np.concatenate([_entries(x, t) for x in raw[c]]) for c, t in (("v", "<i8"), ("n", "<u4")))
+        docs = np.concatenate([_entries(x, "<u2") for x in raw["docs"]])
+        v, code, known = np.repeat(value, runs), (docs >> 13).astype(np.int8), _told(plan, side)
+        slices = math.ceil(len(u) / SLICE)
+        mine = np.repeat((keys(value) % np.uint64(slices)).astype(np.int32), runs)
+        split = np.flatnonzero(np.repeat(plan.frequent(value)[1], runs))
+        mine[split] = keys(u[split]) % np.uint64(slices)
         s, f = np.zeros(len(u)), np.zeros(len(u))
-
-        def add(known: tuple[np.ndarray, np.ndarray], asked: np.ndarray, where: np.ndarray) -> np.ndarray:
-            at, hit = _find(known[0], asked)
-            where, at = where[hit], at[hit]
-            s[where] += known[1][0, at]
-            some = np.flatnonzero(code[where] > 0)
-            f[where[some]] += known[1][code[where[some]], at[some]]
-            return where
-
-        seen = add(words, v, np.arange(len(u)))
-        both = np.zeros(len(u), np.int8)
-        both[add(bigrams, keys(v[seen], w[seen]), seen)] += 1
-        both[add(contexts, keys(u[seen], v[seen]), seen)] += 1
-        some = np.flatnonzero(both == 2)
-        add(grams, keys(u[some], v[some], w[some]), some)
-        ends = np.cumsum([int(n.sum()) for n in runs])
-        return _sums([_summed(row, docs[lo:hi], s[lo:hi], f[lo:hi]) for row, lo, hi in zip(rows, [0, *ends], ends)])
+        for k in range(slices):
+            some = np.flatnonzero(mine == k)
+            give_back()
+            s[some], f[some] = _judged(plan, known, u[some], v[some], w[some], code[some])
+        ends = np.cumsum([len(x) // 2 for x in raw["docs"]])
+        return _sums([_summed(block, part, docs[lo:hi], s[lo:hi], f[lo:hi]) for block, lo, hi in zip(names, [0, *ends], ends)])
 
     return run
 

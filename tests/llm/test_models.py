@@ -3,10 +3,12 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -279,6 +281,74 @@ def test_rounds_and_split_words_change_no_score(spark, documents, prose, monkeyp
     assert max(size) < 0.45 * sum(size)
 
 
+def a_part(n, vocabulary, blocks, plan):
+    """One part's trigrams in messages of some blocks, a third of them trusted, and what the part is told."""
+    rng = np.random.default_rng(5)
+    words = np.unique(np.append(rng.integers(9, 1 << 62, vocabulary), plan.words))
+    u, w, v = (rng.choice(words, n) for _ in range(3))
+    v[: n // 4] = plan.words[0]
+    docs = (rng.integers(0, 4, n) * (rng.random(n) < 0.5)).astype("<u2") << 13 | rng.integers(0, 900, n).astype("<u2")
+    rows, near = [], (1 << 8 * kneser.NEAR) - 1
+    for block in range(blocks):
+        mine = np.arange(block, n, blocks)
+        mine = mine[np.argsort(plan.keys(u[mine], v[mine]), kind="stable")]
+        value, run = kneser._grouped(v[mine])
+        rows.append(kneser._message(0, block, kneser._near(u[mine]), value, kneser._near(w[mine]), kneser._planes(docs[mine]), run))
+    known = np.unique(w)
+    names = [f"{x}{m}" for x in "ce" for m in kneser.MODELS]
+    told = [(kneser.WORD, np.zeros_like(known), known), (kneser.BIGRAM, np.full_like(known, plan.words[0]), known)]
+    told = [{"kind": np.full(len(k), kind), "v": first, "w": k} | {c: 1 + (k >> 3 + i) % 9 for i, c in enumerate(names)} for kind, first, k in told]
+    assert len(np.unique(known & near)) == len(known)
+    return pa.Table.from_batches(rows), pa.concat_tables([pa.table(t) for t in told])
+
+
+def a_plan():
+    plan = kneser.Plan(1, np.array([5 << 50]), np.array([2]))
+    plan.d1 = plan.d2 = plan.d3 = [(0.6, 1.1, 1.4, 1e6)] * len(kneser.MODELS)
+    plan.base = [1e-8 * (1 + m) for m in kneser.MODELS]
+    plan.t2, plan.k2 = np.full((len(kneser.MODELS), 1), 5e5), np.full((len(kneser.MODELS), 1), 2e5)
+    return plan
+
+
+def test_slices_of_a_part_change_no_sum(monkeypatch):
+    part, got = a_part(20_000, 300, 3, a_plan()), []
+    for size in (1 << 30, 700):
+        monkeypatch.setattr(kneser, "SLICE", size, raising=False)
+        got.append(kneser._scored(a_plan())(*part))
+    assert got[0].num_rows == 3 and got[0].equals(got[1])
+
+
+def test_a_part_is_judged_in_little_memory():
+    """A worker holds less than 130 bytes a trigram of a part of the usual size, besides the part itself."""
+    part, n = a_part(1_500_000, 200_000, 40, a_plan()), 1_500_000
+    tracemalloc.start()
+    kneser._scored(a_plan())(*part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 130 * n
+
+
+def test_words_are_those_of_split():
+    """Words are cut from bytes as str.split cuts texts, whatever the white space."""
+    rng = random.Random(2)
+    some = ["a", "B", "é", "İ", "Σ", "\x00", "😀", "​", "᠎", "Â", "x" * 70, *kneser.SPACES, " ", " ", "\n"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    flat, n = kneser.tokens(texts)
+    words = [t.lower().split() for t in texts]
+    assert n.tolist() == [len(x) for x in words]
+    want = [0 if k and w == x[k - 1] else kneser.token(w) for x in words for k, w in enumerate(x)]
+    assert [0 if t <= kneser.RUN else t for t in flat.tolist()] == want
+
+
+def test_places_of_hashes():
+    rng = np.random.default_rng(1)
+    for bits in (64, 62, 48):
+        known = np.unique(np.append(rng.integers(0, 1 << bits, 5000, np.uint64), np.arange(9, dtype=np.uint64)))
+        asked = np.concatenate([known, known + np.uint64(1), rng.integers(0, (1 << 64) - 1, 500, np.uint64)])
+        assert (kneser._place(known, asked) == np.searchsorted(known, asked)).all()
+    assert kneser._place(known[:0], asked).tolist() == [0] * len(asked)
+
+
 def test_pipeline_equals_brute_force(spark, sf, tmp_path):
     """Stage by stage on the smallest tables; the classifier's verdicts are tested above."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
