@@ -33,6 +33,7 @@ LANES = 4096
 STRIDE = 256
 BLOCK = 2_000_000
 SMALL = 1_000_000
+CHUNKS = 3  # times the usual cache of chunks
 MAGIC = b"RANS0001"
 HEAD = struct.Struct("<8sQIIIIII")
 
@@ -133,7 +134,7 @@ def ids_of(df: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", te
     schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = merging(path)
+        encoder = merging(path, CHUNKS)
         if len(encoder.vocab.bytes) > 1 << 16:
             raise ValueError("ids do not fit 16 bits")
         end = np.array([end_id], "<u2").tobytes()

@@ -9,8 +9,9 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections import defaultdict
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, count, islice
 
 import numpy as np
 import regex
@@ -187,36 +188,29 @@ ODD_SPACE = re.compile("[\x00-\x09\x0b-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u20
 LIB_ONLY = re.compile(r"[\x00\x1c-\x1f]")
 CHUNK = re.compile(r"\s?\S+|\s+(?!\S)")
 SIMPLE_END = frozenset(".,;:!?|)")
-
-
-class Pieces(dict):
-    """Chunk -> slot. New chunks get the next slot and wait in ``fresh`` for their ids."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-
-    def __missing__(self, chunk: str) -> int:
-        slot = self[chunk] = len(self)
-        self.fresh.append(chunk)
-        return slot
+# Of the characters below U+0100: 1 for letters, 2 for digits, and their lower case.
+LETTER, DIGIT = 1, 2
+KIND = np.array([LETTER if regex.match(r"\p{L}", chr(c)) else DIGIT if regex.match(r"\p{N}", chr(c)) else 0 for c in range(256)], np.uint8)
+LOWER = np.array([ord(chr(c).lower()) for c in range(256)], np.uint8)
 
 
 class Encoder:
     """Whole texts to ids, through a bounded cache of chunks.
 
     ``encode`` maps a list of words (bytes, one per pre-token) to ids end to end and their
-    number per word; it must give what exact merging gives.
+    number per word; it must give what exact merging gives. ``pieces`` gives a chunk's slot, the
+    next one if it is new; the last chunks wait for their ids. The cache is ``times`` the usual one.
     """
 
-    def __init__(self, vocab: Vocab, encode):
-        self.vocab, self.encode = vocab, encode
+    def __init__(self, vocab: Vocab, encode, times: int = 1):
+        self.vocab, self.encode, self.times = vocab, encode, times
         self.library = Tokenizer.from_file(vocab.path)
-        self.split = self._words_end if vocab.end else self._words_byte
+        self.split = self._split_end if vocab.end else self._split_byte
         self.special = re.compile("|".join(map(re.escape, vocab.special)) or r"(?!)")
         self._reset()
 
     def _reset(self) -> None:
-        self.pieces = Pieces()
+        self.pieces: dict[str, int] = defaultdict(count().__next__)
         self.flat, self.start, self.len = np.empty(1 << 16, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
         self.used = self.held = 0
 
@@ -266,28 +260,58 @@ class Encoder:
         back, lib = self._back(), self.library
         return [bytes(back[c] for c in p) for p, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(chunk))]
 
+    def _split_byte(self, fresh: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """Words of all chunks, and their number per chunk."""
+        split = list(map(self._words_byte, fresh))
+        return list(chain.from_iterable(split)), np.fromiter(map(len, split), np.int64, len(split))
+
+    def _split_end(self, fresh: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The same; chunks without apostrophes and characters from U+0100 on are split all at once."""
+        code = np.frombuffer("\n".join([*fresh, ""]).encode("utf-32-le"), "<u4")
+        stop = np.flatnonzero(code == 10)
+        easy = np.ones(len(fresh), bool)
+        easy[np.searchsorted(stop, np.flatnonzero((code >= 256) | (code == 39)))] = False
+        hard = [self._words_end(fresh[i]) for i in np.flatnonzero(~easy).tolist()]
+        taken = np.zeros(len(fresh), np.int64)
+        taken[~easy] = np.fromiter(map(len, hard), np.int64, len(hard))
+        if not easy.any():
+            return list(chain.from_iterable(hard)), taken
+        lens = np.diff(stop, prepend=-1) - 1
+        use = np.repeat(easy, lens + 1)
+        use[stop] = False
+        low = LOWER[code[use]]
+        kind, first = KIND[low], np.cumsum(lens[easy]) - lens[easy]
+        new = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+        new[first] = True
+        taken[easy] = np.add.reduceat(new.astype(np.int64), first)
+        raw = low.tobytes().decode("latin-1").encode()
+        ends = np.cumsum(np.add.reduceat(1 + (low >> 7).astype(np.int64), np.flatnonzero(new))).tolist()
+        plain = [raw[a:b] for a, b in zip([0, *ends], ends)]
+        if not hard:
+            return plain, taken
+        plain, hard = iter(plain), iter(hard)
+        return list(chain.from_iterable(islice(plain, n) if ok else next(hard) for n, ok in zip(taken.tolist(), easy.tolist()))), taken
+
     @lru_cache(maxsize=1)
     def _back(self) -> dict[str, int]:
         return {c: b for b, c in enumerate(byte_chars())}
 
     def _fill(self) -> None:
         """Encode the chunks that are new."""
-        fresh, self.pieces.fresh = self.pieces.fresh, []
+        fresh = list(islice(reversed(self.pieces), len(self.pieces) - len(self.len)))[::-1]
         if not fresh:
             return
         self.held += sum(map(len, fresh))
-        words: dict[bytes, int] = {}
-        owner, taken, whole = [], np.zeros(len(fresh), np.int64), {}
-        for i, chunk in enumerate(fresh):
-            if self.vocab.end and self.special.search(chunk):
-                whole[i] = np.array(self._whole(chunk), np.int64)
-                continue
-            split = self.split(chunk)
-            taken[i] = len(split)
-            for w in split:
-                owner.append(words.setdefault(w, len(words)))
-        ids, lens = self.encode(list(words)) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
-        owner = np.array(owner, np.int64)
+        whole: dict[int, np.ndarray] = {}
+        if self.vocab.end and self.special.search("\n".join(fresh)):
+            whole = {i: np.array(self._whole(c), np.int64) for i, c in enumerate(fresh) if self.special.search(c)}
+        split, number = self.split([c for i, c in enumerate(fresh) if i not in whole] if whole else fresh)
+        taken = np.zeros(len(fresh), np.int64)
+        taken[np.delete(np.arange(len(fresh)), list(whole))] = number
+        words = list(dict.fromkeys(split))
+        place = dict(zip(words, range(len(words))))
+        owner = np.fromiter(map(place.__getitem__, split), np.int64, len(split))
+        ids, lens = self.encode(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
         word_start = np.cumsum(lens) - lens
         flat = ids[spread(word_start[owner], lens[owner])]
         per_chunk = np.bincount(np.repeat(np.arange(len(fresh)), taken), weights=lens[owner], minlength=len(fresh)).astype(np.int64)
@@ -304,20 +328,22 @@ class Encoder:
 
     def _shrink(self) -> None:
         """Keep the chunks that were met first: those are the frequent ones."""
-        old, flat, start, lens = self.pieces, self.flat, self.start, self.len
-        chars = np.cumsum(np.fromiter(map(len, old), np.int64, len(old)))
-        keep = min(KEEP, int(np.searchsorted(chars, CHARS // 2, side="right")))
-        self._reset()
-        self.pieces.update(islice(old.items(), keep))
-        self.start, self.len = start[:keep].copy(), lens[:keep].copy()
-        self.used, self.held = int(start[keep]), int(chars[keep - 1]) if keep else 0
-        self.flat = flat[: self.used].copy()
+        keep = min(KEEP * self.times, len(self.pieces))
+        if self.held > CHARS:
+            chars = np.cumsum(np.fromiter(map(len, self.pieces), np.int64, len(self.pieces)))
+            keep = min(keep, int(np.searchsorted(chars, CHARS // 2, side="right")))
+        for _ in range(len(self.pieces) - keep):
+            self.held -= len(self.pieces.popitem()[0])
+        self.pieces.default_factory = count(keep).__next__
+        self.used = int(self.start[keep])
+        self.start, self.len, self.flat = self.start[:keep].copy(), self.len[:keep].copy(), self.flat[: self.used].copy()
 
     def _slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
-        if len(self.pieces) > CACHE or self.held > CHARS:
+        if len(self.pieces) > CACHE * self.times or self.held > CHARS:
             self._shrink()
         cut = self._chunks_end if self.vocab.end else self._chunks_byte
-        lookup, slots, counts, whole = self.pieces.__getitem__, [], np.zeros(len(texts), np.int64), {}
+        here: dict[str, int] = defaultdict(count().__next__)
+        lookup, slots, counts, whole = here.__getitem__, [], np.zeros(len(texts), np.int64), {}
         for i, text in enumerate(texts):
             chunks = cut(text)
             if chunks is None:
@@ -325,8 +351,9 @@ class Encoder:
             else:
                 counts[i] = len(chunks)
                 slots.append(np.fromiter(map(lookup, chunks), np.int64, len(chunks)))
+        known = np.fromiter(map(self.pieces.__getitem__, here), np.int64, len(here))
         self._fill()
-        return np.concatenate(slots) if slots else np.empty(0, np.int64), counts, whole
+        return known[np.concatenate(slots)] if slots else known, counts, whole
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end (uint32) and their number per text."""
@@ -359,10 +386,10 @@ def load(path: str) -> Vocab:
 
 
 @lru_cache(maxsize=4)
-def merging(path: str) -> Encoder:
+def merging(path: str, times: int = 1) -> Encoder:
     """Encoder whose new words are all merged exactly."""
     vocab = load(path)
-    return Encoder(vocab, vocab.merge)
+    return Encoder(vocab, vocab.merge, times)
 
 
 def _forget() -> None:

@@ -81,6 +81,30 @@ def test_cache_is_bounded_by_its_chunks_and_their_characters(monkeypatch):
     assert len(encoder.start) == len(encoder.len) == len(encoder.pieces)
 
 
+def test_token_files_meet_a_chunk_once(monkeypatch):
+    """Chunks that come again are merged once while they are within the token files' cache."""
+    monkeypatch.setattr(vocab, "CACHE", 400)
+    monkeypatch.setattr(vocab, "KEEP", 300)
+    merged, known = [], vocab.load(WORD)
+    encoder = vocab.Encoder(known, lambda words: merged.extend(words) or known.merge(words), tokenfile.CHUNKS)
+    texts = [" ".join(f"w{chr(97 + k)}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)) for k in range(4)]
+    for _ in range(3):
+        for text in texts:
+            flat, _ = encoder.batch([text])
+            assert flat.tolist() == want(WORD, [text])[0]
+    assert len(merged) == 800
+
+
+def test_chunks_split_at_once_are_those_split_one_by_one():
+    rng, encoder = random.Random(8), vocab.merging(WORD)
+    some = ["a", "B", "É", "ß", "µ", "ª", "²", "½", "1", "23", "'s", "'", "Ω", "İ", "中", "!", "?!", "-", "ÿ", "\xad"]
+    fresh = ["".join(rng.choices(some, k=rng.randint(1, 9))) for _ in range(3000)]
+    for chunks in (fresh, fresh[:1], ["Ω"], ["'s"], ["É23x"]):
+        words, taken = encoder._split_end(chunks)
+        assert taken.tolist() == [len(encoder._words_end(c)) for c in chunks]
+        assert words == [w for c in chunks for w in encoder._words_end(c)]
+
+
 def test_speculation_is_refuted_and_repaired():
     spec = bpe.Speculator(vocab.load(BYTE))
     words = [w.encode() for w in (" thandering", " onatlyre", " xyzzyqu", "aaaaaaa", " eanreoust")]
