@@ -10,7 +10,9 @@ what words need: in how many bigrams they end. A second one deals the trigrams o
 counts those of trusted ones again and adds up log p. That is a sum: log p(w) and what the
 contexts v and uv and the known vw and uvw add; log p(w) is looked up in parts dealt by words.
 Frequent middle words are split by u, so their bigrams are counted across parts, and what those
-add is looked up like log p(w). Sweeps go in rounds of some parts, as the trigrams of all would
+add is looked up like log p(w). Frequent contexts uv are split by w, and their sums are counted
+across parts. What repeats in a document, a trigram in a row or a word, is sent once with its
+number. Sweeps go in rounds of some parts, as the trigrams of all would
 take several times the input's disk. A document is kept if it does not exceed its language's
 quantile of the trusted documents' perplexities, each under the model without its fold.
 """
@@ -37,6 +39,7 @@ BLOCK_DOCS, BLOCK_CHARS = 8192, 4_000_000  # a posting has 13 bits for its docum
 ROUNDS, ROUND_CHARS = 6, 4_000_000  # rounds of a sweep over all documents, fewer if a round would have less text
 PART_CHARS, PARTS = 8_000_000, 16  # about the text in a part, and the fewest parts in a round
 SHOWN = 16  # one of so many documents tells which words are frequent; only the balance of parts depends on it
+FINE, SHARE = 4, 1 << 15  # pieces of a part's share that what is split has about; the least share of a block that is told
 QUANTILE, MARGIN, PRIOR, FOLDS = 0.99, 1.0, 0, 3
 MODELS = range(FOLDS + 1)  # the model of all trusted documents, then those without a fold
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -169,31 +172,56 @@ def _lengths(cut: np.ndarray, n: int) -> np.ndarray:
     return np.diff(cut, append=n)
 
 
+def _squeezed(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of equal entries, cut where they have more than 255: their first places and lengths."""
+    cut = _runs(*by)
+    size = _lengths(cut, len(by[0]))
+    if len(cut) and size.max() > 255:
+        pieces = (size + 254) // 255
+        cut = np.repeat(cut, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        size = _lengths(cut, len(by[0]))
+    return cut, size.astype(np.uint8)
+
+
 @dataclass
 class Plan:
-    """What all tasks know: the number of parts, the frequent words with their splits, and once
-    they are counted the discounts and the frequent words' sums as contexts."""
+    """What all tasks know: the number of parts, the frequent words and contexts (by their keys)
+    with their splits, and once they are counted the discounts and what is left of all sums of
+    frequent words and contexts."""
 
     parts: int
     words: np.ndarray
     splits: np.ndarray
+    pairs: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))
+    shares: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     d1: list = field(default_factory=list)
     d2: list = field(default_factory=list)
     d3: list = field(default_factory=list)
     base: list = field(default_factory=list)
     t2: np.ndarray | None = None
     k2: np.ndarray | None = None
+    t3: np.ndarray = field(default_factory=lambda: np.empty((len(MODELS), 0)))
+    k3: np.ndarray = field(default_factory=lambda: np.empty((len(MODELS), 0)))
 
     def frequent(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places among the frequent words, and whether the word is one."""
         return _find(self.words, v)
 
-    def keys(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def crowded(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among the frequent contexts, and whether the context is one; ``u`` as parts know it."""
+        return _find(self.pairs, keys(u, v))
+
+    def keys(self, u: np.ndarray, v: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
         """Sorted by these, trigrams are sorted by part and have equal middle words together."""
         at, hit = self.frequent(v)
         sub = np.zeros(len(v), np.uint64)
-        if hit.any():
-            sub[hit] = keys(u[hit]) % self.splits[at[hit]].astype(np.uint64)
+        some = np.flatnonzero(hit)
+        if len(some):
+            sub[some] = keys(u[some]) % self.splits[at[some]].astype(np.uint64)
+            if len(self.pairs):
+                at, hit = self.crowded(u[some] & SEEN, v[some])
+                some, at = some[hit], at[hit]
+                sub[some] = keys(u[some], w[some]) % self.shares[at].astype(np.uint64)
         return keys(v, sub)
 
     def part(self, key: np.ndarray) -> np.ndarray:
@@ -231,29 +259,39 @@ def _find(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with a noticeable share of a block, and under -1 the number of all."""
+    """Middle words and contexts with a noticeable share of a block (size 1 and 2), and the number
+    of all trigrams (size 0)."""
     claim("kneser")
-    for _, _, flat, _ in _blocks(batches):
-        word, n = np.unique(flat, return_counts=True)
-        some = n * 8192 >= len(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(word[some], -1)), pa.array(np.append(n[some], len(flat)))], names=["w", "n"])
+    for _, _, flat, n in _blocks(batches):
+        gram = trigrams(flat, n)
+        first, _ = _squeezed(*gram, np.repeat(np.arange(len(n)), n))
+        u, v = gram[0][first], gram[1][first]
+        word, n1 = np.unique(v, return_counts=True)
+        pair, n2 = np.unique(keys(u & SEEN, v), return_counts=True)
+        found = [(np.zeros(1, np.int64), np.array([len(v)]))] + [(x[n * SHARE >= len(v)].view(np.int64), n[n * SHARE >= len(v)]) for x, n in ((word, n1), (pair, n2))]
+        size = np.repeat(np.arange(3), [len(x) for x, _ in found])
+        yield pa.RecordBatch.from_arrays([pa.array(size), *[pa.array(np.concatenate(x)) for x in zip(*found)]], names=["size", "x", "n"])
 
 
 def planned(marked: DataFrame, parts: int) -> Plan:
-    """Words that take more than a part's share are split."""
-    shown = marked.where(F.pmod(F.xxhash64("uid"), F.lit(SHOWN)) == 0).mapInArrow(_shown, "w long, n long")
-    sums = shown.groupBy("w").agg(F.sum("n").alias("n"))
-    total = sums.where("w = -1").first()
+    """Words that take more than half of a part's share are split finely, and so are contexts of theirs."""
+    shown = marked.where(F.pmod(F.xxhash64("uid"), F.lit(SHOWN)) == 0).mapInArrow(_shown, "size long, x long, n long")
+    sums = shown.groupBy("size", "x").agg(F.sum("n").alias("n"))
+    total = sums.where("size = 0").first()
     limit = max(1.0, (total.n if total else 0) / parts)
-    rows = sorted((r.w, math.ceil(r.n / limit)) for r in sums.where((F.col("w") >= 0) & (F.col("n") > limit)).collect())
-    return Plan(parts, np.array([w for w, _ in rows], np.int64), np.array([s for _, s in rows], np.int64))
+    often = F.when(F.col("size") == 1, F.col("n") > limit / 2).when(F.col("size") == 2, F.col("n") > limit / FINE)
+    rows = [(r["size"], r.x, math.ceil(FINE * r.n / limit)) for r in sums.where(often).collect()]
+    words, pairs = (np.array(sorted(r[1:] for r in rows if r[0] == size), np.int64).reshape(-1, 2).T for size in (1, 2))
+    order = np.argsort(pairs[0].view(np.uint64))
+    return Plan(parts, words[0], words[1], pairs[0].view(np.uint64)[order], pairs[1][order])
 
 
-MESSAGE = "part long, block long, u binary, v binary, w binary, docs binary, n binary"
-KINDS = pa.schema([("part", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("u", "v", "w", "docs", "n")]])
+MESSAGE = "part long, block long, u binary, v binary, w binary, docs binary, n binary, times binary"
+KINDS = pa.schema([("part", pa.int64()), ("block", pa.int64()), *[(c, pa.binary()) for c in ("u", "v", "w", "docs", "n", "times")]])
 HEAD = -1
 SLICE = 150_000  # about the trigrams of a part that are judged at once
 NEAR = 6  # bytes by which the neighbours of a part's middle words are known
+SEEN = (1 << 8 * NEAR) - 1
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -273,13 +311,22 @@ def _neighbours(raws: list[memoryview]) -> np.ndarray:
     return out.view("<i8").reshape(-1)
 
 
+def _times(times: np.ndarray) -> bytes:
+    """How often each entry counts; nothing if each counts once."""
+    return times.tobytes() if (times > 1).any() else b""
+
+
+def _often(raw: list[memoryview], docs: list[memoryview]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(t, np.uint8) if len(t) else np.ones(len(d) // 2, np.uint8) for t, d in zip(raw, docs)])
+
+
 def _entries(raw: bytes, dtype: str) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).reshape(-1)
 
 
-def _message(*row) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, KINDS)], schema=KINDS)
+def _message(part: int, block: int, u: bytes, v: bytes, w: bytes, docs: bytes, n: bytes, times: bytes = b"") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, block, u, v, w, docs, n, times), KINDS)], schema=KINDS)
 
 
 def _slices(part: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -308,7 +355,7 @@ def _counts(plan: Plan, rounds: int, now: int) -> Callable:
         claim("kneser")
         for _, codes, flat, n in _blocks(batches):
             gram, fold = trigrams(flat, n), np.repeat(codes - 1, n)
-            place = plan.keys(*gram[:2])
+            place = plan.keys(*gram)
             mine = np.flatnonzero(plan.part(place) % rounds == now)
             if not len(mine):
                 continue
@@ -344,7 +391,7 @@ def _ends(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 COUNTED = "kind int, part long, v long, w long, " + ", ".join(f"c{m} long" for m in MODELS)
-WORD, BIGRAM, TOTALS = 1, 2, 10  # kinds of rows; TOTALS + 2 and + 3 are counts of counts
+WORD, BIGRAM, PAIR, TOTALS = 1, 2, 3, 10  # kinds of rows; TOTALS + 2 and + 3 are counts of counts
 
 
 def _rows(kind: int, part: int, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> pa.Table:
@@ -358,9 +405,18 @@ def _totals(order: int, counts: np.ndarray) -> pa.Table:
     return _rows(TOTALS + order, 0, np.zeros(5, np.int64), np.arange(5), rows)
 
 
+def _crowds(plan: Plan, part: int, u: np.ndarray, v: np.ndarray, a: np.ndarray) -> pa.Table:
+    """Per frequent context, under 0 the sum of its trigrams' counts, under 1 to 3 how many are 1, 2 and more."""
+    at, hit = plan.crowded(u & SEEN, v)
+    known, place = np.unique(at[hit], return_inverse=True)
+    a = a[:, hit]
+    sums = np.array([[np.bincount(place, x, len(known)) for x in (c, c == 1, c == 2, c > 2)] for c in a]).reshape(len(a), -1)
+    return _rows(PAIR, part, np.tile(known, 4), np.repeat(np.arange(4), len(known)), sums)
+
+
 def _counted(plan: Plan) -> Callable:
-    """Of one part of the trusted trigrams: counts of counts, the bigrams that end in a word, and
-    the bigrams of frequent words."""
+    """Of one part of the trusted trigrams: counts of counts, the bigrams that end in a word, the
+    bigrams of frequent words, and the sums of frequent contexts."""
 
     def run(table: pa.Table) -> pa.Table:
         claim("kneser")
@@ -369,11 +425,12 @@ def _counted(plan: Plan) -> Callable:
         v = np.concatenate([np.repeat(_entries(r["v"], "<i8"), _entries(r["docs"], "<u4")) for r in rows])
         n = np.concatenate([_entries(r["n"], "<u4").reshape(-1, FOLDS).astype(np.int64) for r in rows])
         _, u, v, w, a = _models(u, v, w, n)
+        crowds = _crowds(plan, rows[0]["part"], u, v, a)
         _, first, b = _ends(keys(v, w), a)
         v, w = v[first], w[first]
         _, split = plan.frequent(v)
         word, first, e = _ends(w, np.where(split, 0, b))
-        out = [_totals(3, a), _totals(2, b[:, ~split]), _rows(WORD, rows[0]["part"], np.zeros(len(word), np.int64), word, e), _rows(BIGRAM, rows[0]["part"], v[split], w[split], b[:, split])]
+        out = [_totals(3, a), _totals(2, b[:, ~split]), _rows(WORD, rows[0]["part"], np.zeros(len(word), np.int64), word, e), _rows(BIGRAM, rows[0]["part"], v[split], w[split], b[:, split]), crowds]
         return pa.concat_tables(out)
 
     return run
@@ -449,6 +506,12 @@ def counted(trusted: DataFrame, plan: Plan, rounds: int, sweeps: int) -> DataFra
     for row in c2.groupBy("v").agg(*map(F.sum, _named("c")), *[F.sum(_kept(c, d)) for c, d in zip(_named("c"), plan.d2)]).collect():
         at = np.searchsorted(plan.words, row[0])
         plan.t2[:, at], plan.k2[:, at] = row[1 : 1 + len(MODELS)], row[1 + len(MODELS) :]
+    plan.t3, plan.k3 = np.zeros((len(MODELS), len(plan.pairs))), np.zeros((len(MODELS), len(plan.pairs)))
+    for at, size, *n in rows.where(F.col("kind") == PAIR).groupBy("v", "w").agg(*map(F.sum, _named("c"))).collect():
+        if size:
+            plan.k3[:, at] += [x * d[size - 1] for x, d in zip(n, plan.d3)]
+        else:
+            plan.t3[:, at] = n
 
     def placed(df: DataFrame, kind: int) -> DataFrame:
         return df.mapInArrow(_placed(plan, rounds, kind), "round long, part long, kind int, " + ", ".join(f"{c} long" for c in df.columns)).select(*SIDE)
@@ -480,22 +543,23 @@ def _postings(plan: Plan, rounds: int, now: int) -> Callable:
             block = task << 32 | made
             yield _message(HEAD - block % plan.parts, block, np.array(uids, "<i8").tobytes(), codes.astype("<u2").tobytes(), n.astype("<u4").tobytes(), b"", b"")
             gram, doc = trigrams(flat, n), np.repeat((codes << 13 | np.arange(len(n))).astype("<u2"), n)
-            key = plan.keys(*gram[:2])
-            mine = np.flatnonzero(plan.part(key) % rounds == now)
-            order = _sorted(key, mine)
+            first, times = _squeezed(*gram, doc)
+            key = plan.keys(*(gram if len(first) == len(flat) else [g[first] for g in gram]))
+            order = _sorted(key, np.flatnonzero(plan.part(key) % rounds == now))
+            part, times, order = plan.part(key[order]), times[order], first[order]
             u, v, w, docs = (x[order] for x in (*gram, doc))
-            for part, s in _slices(plan.part(key[order])):
+            for part, s in _slices(part):
                 value, run = _grouped(v[s])
-                yield _message(part, block, _near(u[s]), value, _near(w[s]), _planes(docs[s]), run)
-            key = keys(flat)
-            split = np.flatnonzero(plan.frequent(gram[1])[1])
+                yield _message(part, block, _near(u[s]), value, _near(w[s]), _planes(docs[s]), run, _times(times[s]))
+            key, split = keys(flat), np.flatnonzero(plan.frequent(gram[1])[1])
             key, doc = np.concatenate([key, keys(gram[1][split], flat[split])]), np.concatenate([doc, doc[split]])
             mine = np.flatnonzero(plan.flat(key) % rounds == now)
             order = _sorted(key, mine)
-            key, docs = key[order], doc[order]
+            first, times = _squeezed(key[order], doc[order])
+            key, docs = key[order[first]], doc[order[first]]
             for part, s in _slices(plan.flat(key)):
                 value, run = _grouped(key[s])
-                yield _message(part, block, b"", value, b"", _planes(docs[s]), run)
+                yield _message(part, block, b"", value, b"", _planes(docs[s]), run, _times(times[s]))
 
     return run
 
@@ -530,7 +594,7 @@ def _side(table: pa.Table) -> Side:
 
 def _told(plan: Plan, side: Side) -> Told:
     """Sorted words, as they are known in parts, with p(w), and sorted keys of frequent words' bigrams with their counts."""
-    w = side["w"] & ((1 << 8 * NEAR) - 1)
+    w = side["w"] & SEEN
     ours = np.flatnonzero(side["kind"] == WORD)
     ours = ours[np.argsort(w[ours])]
     both = np.flatnonzero(side["kind"] == BIGRAM)
@@ -584,9 +648,14 @@ def _known(plan: Plan, told: Told, u: np.ndarray, v: np.ndarray, w: np.ndarray,
     left = _left(a, plan.d3)
     known_x, place = np.unique(keys(u, v), return_inverse=True)
     t, k = _weights(a, left, place, len(known_x))
+    at, hit = _find(plan.pairs, known_x)
+    t[:, hit], k[:, hit] = plan.t3[:, at[hit]], plan.k3[:, at[hit]]
     g = _shared(t, k)
     low = g[:, place] * q[:, place2]
-    return [(known_v, logs[:, first]), (key2, bigrams), (known_x, np.log(g)), (key3, np.log((_above(a, left, t[:, place]) + low) / low))]
+    grams = np.log((_above(a, left, t[:, place]) + low) / low)
+    pairs, logs3 = np.concatenate([plan.pairs, known_x]), np.concatenate([np.log(_shared(plan.t3, plan.k3)), np.log(g)], 1)
+    known_x, first3 = np.unique(pairs, return_index=True)
+    return [(known_v, logs[:, first]), (key2, bigrams), (known_x, logs3[:, first3]), (key3, grams)]
 
 
 SUMS = "block long, part long, docs binary, s binary, f binary"
@@ -608,19 +677,19 @@ def _sums(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "part", "docs", "s", "f"])
 
 
-def _summed(block: int, part: int, docs: np.ndarray, s: np.ndarray, f: np.ndarray) -> tuple:
-    doc = docs & 8191
+def _summed(block: int, part: int, docs: np.ndarray, times: np.ndarray, s: np.ndarray, f: np.ndarray) -> tuple:
+    doc, s, f = docs & 8191, s * times, f * times
     n = int(doc.max()) + 1
     seen = np.flatnonzero(np.bincount(doc, minlength=n))
     return block, part, seen.astype("<u2").tobytes(), np.bincount(doc, s, n)[seen].tobytes(), np.bincount(doc, f, n)[seen].tobytes()
 
 
-def _judged(plan: Plan, told: Told, u: np.ndarray, v: np.ndarray, w: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What contexts and known n-grams add to log p of trigrams of a part: all of a middle word, or
-    if that is frequent all of a context. Under the model of all trusted documents, and for trusted
+def _judged(plan: Plan, told: Told, u: np.ndarray, v: np.ndarray, w: np.ndarray, code: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What contexts and known n-grams add to log p of trigrams of a part: all of a middle word, if
+    that is frequent all of a context, if that is frequent all that are equal. Under the model of all trusted documents, and for trusted
     documents under the one without their fold."""
     good = np.flatnonzero(code > 0)
-    words, bigrams, contexts, grams = _known(plan, told, u[good], v[good], w[good], (code[good, None] == 1 + np.arange(FOLDS)).astype(np.int64))
+    words, bigrams, contexts, grams = _known(plan, told, u[good], v[good], w[good], (code[good, None] == 1 + np.arange(FOLDS)) * times[good, None].astype(np.int64))
     s, f = np.zeros(len(u)), np.zeros(len(u))
 
     def add(known: tuple[np.ndarray, np.ndarray], asked: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -651,18 +720,20 @@ def _scored(plan: Plan) -> Callable:
         part = table.column("part")[0].as_py()
         if part < 0:
             return _sums([(r["block"], HEAD, r["u"], r["v"], r["w"]) for r in table.to_pylist()])
-        names, raw, side = table.column("block").to_pylist(), {c: _views(table, c) for c in ("u", "v", "w", "docs", "n")}, _side(told)
+        names, raw, side = table.column("block").to_pylist(), {c: _views(table, c) for c in ("u", "v", "w", "docs", "n", "times")}, _side(told)
+        often = _often(raw["times"], raw["docs"])
         if part >= plan.parts:
             out, (known, logs) = [], _known_words(plan, side)
             every, hits = _find(known, np.concatenate([_entries(x, "<u8") for x in raw["v"]]))
             ends = np.cumsum([len(x) // 8 for x in raw["v"]])
-            for block, lo, hi, doc, n in zip(names, [0, *ends], ends, raw["docs"], raw["n"]):
-                docs, times = _entries(doc, "<u2").astype(np.int64), _entries(n, "<u4")
-                at, hit, code = np.repeat(every[lo:hi], times), np.repeat(hits[lo:hi], times), docs >> 13
+            rest = np.split(often, np.cumsum([len(x) // 2 for x in raw["docs"]])[:-1])
+            for block, lo, hi, doc, n, times in zip(names, [0, *ends], ends, raw["docs"], raw["n"], rest):
+                docs, runs = _entries(doc, "<u2").astype(np.int64), _entries(n, "<u4")
+                at, hit, code = np.repeat(every[lo:hi], runs), np.repeat(hits[lo:hi], runs), docs >> 13
                 some = np.flatnonzero(hit)
                 if len(some):
                     at, docs, code = at[some], docs[some], code[some]
-                    out.append(_summed(block, part, docs, logs[0, at], np.where(code > 0, logs[code, at], 0.0)))
+                    out.append(_summed(block, part, docs, times[some], logs[0, at], np.where(code > 0, logs[code, at], 0.0)))
             return _sums(out)
         u, w = _neighbours(raw["u"]), _neighbours(raw["w"])
         value, runs = (np.concatenate([_entries(x, t) for x in raw[c]]) for c, t in (("v", "<i8"), ("n", "<u4")))
@@ -672,12 +743,14 @@ def _scored(plan: Plan) -> Callable:
         mine = np.repeat((keys(value) % np.uint64(slices)).astype(np.int32), runs)
         split = np.flatnonzero(np.repeat(plan.frequent(value)[1], runs))
         mine[split] = keys(u[split]) % np.uint64(slices)
+        split = split[plan.crowded(u[split], v[split])[1]]
+        mine[split] = keys(u[split], w[split]) % np.uint64(slices)
         s, f = np.zeros(len(u)), np.zeros(len(u))
         for k in range(slices):
             some = np.flatnonzero(mine == k)
-            s[some], f[some] = _judged(plan, known, u[some], v[some], w[some], code[some])
+            s[some], f[some] = _judged(plan, known, u[some], v[some], w[some], code[some], often[some])
         ends = np.cumsum([len(x) // 2 for x in raw["docs"]])
-        return _sums([_summed(block, part, docs[lo:hi], s[lo:hi], f[lo:hi]) for block, lo, hi in zip(names, [0, *ends], ends)])
+        return _sums([_summed(block, part, docs[lo:hi], often[lo:hi], s[lo:hi], f[lo:hi]) for block, lo, hi in zip(names, [0, *ends], ends)])
 
     return run
 

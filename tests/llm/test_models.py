@@ -281,6 +281,28 @@ def test_rounds_and_split_words_change_no_score(spark, documents, prose, monkeyp
     assert max(size) < 0.45 * sum(size)
 
 
+def test_runs_and_common_contexts_do_not_fill_one_part(spark, documents, prose, monkeypatch):
+    """A run of one word, and a context that every document has, are spread; the scores are those of plain code."""
+    rows = [(i, prose(i, 40) + (" we see that" * 8 + f" we see w{i % 9}" * 9 if i % 2 else "") + (" ha" * 700 if i % 5 == 0 else "")) for i in range(100)]
+    df, trusted = documents(rows), spark.createDataFrame([(i,) for i in range(0, 100, 2)] + [(i,) for i in range(1, 100, 4)], "id long")
+    monkeypatch.setattr(kneser, "SHOWN", 1)
+    monkeypatch.setattr(kneser, "PARTS", 64)
+    plans, planned = [], kneser.planned
+    monkeypatch.setattr(kneser, "planned", lambda *a: plans.append(planned(*a)) or plans[-1])
+    got = {r.id: r for r in kneser.quality(df, trusted).collect()}
+    p = kneser_ney(Counter(g for i, t in rows if i % 2 == 0 or i % 4 == 1 for g in plain_grams(t)))
+    for i, t in rows:
+        grams = plain_grams(t)
+        assert got[i].n_words == len(grams)
+        assert got[i].perplexity == pytest.approx(math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)), rel=1e-9)
+    parts, flat = Counter(), Counter()
+    marked = df.selectExpr("doc_id uid", "text", "0L code")
+    for r in marked.mapInArrow(kneser._postings(plans[0], 1, 0), kneser.MESSAGE).where("part >= 0").collect():
+        (parts if r.part < 64 else flat)[r.part] += len(r.docs) // 2
+    words = sum(len(t.split()) for _, t in rows)
+    assert words > 14_000 and max(parts.values()) < words / 30 and max(flat.values()) < words / 10
+
+
 def a_part(n, vocabulary, blocks, plan):
     """One part's trigrams in messages of some blocks, a third of them trusted, and what the part is told."""
     rng = np.random.default_rng(5)
