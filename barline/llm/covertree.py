@@ -5,20 +5,24 @@ dealt to blocks around sampled centres; each block holds a tree of nested levels
 halving radii. Two trees are walked together: a pair of nodes is dropped when their centres
 lie farther apart than the threshold plus both covering radii, and counted whole when even
 their farthest members lie within it. Only what is left comes down to pairs of vectors.
+
+Blocks are walked in tiles, some blocks against some, so that a block is sent once per tile and
+not once per block. Tiles go in rounds of bounded size, and a round's shuffle files go with it.
 """
 
 from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.llm.common import land
+from barline.llm.common import drop, land, sized, tidied
 from barline.llm.graph import components
 from barline.llm.vocab import spread
 
@@ -27,6 +31,8 @@ CENTRES = 1024
 TOP = 0.5
 LEVELS = 4
 SLACK = 1e-7
+TILE = 8  # blocks on a side of a tile
+ROUND_TIMES, ROUND_BYTES = 2, 200_000_000  # a round sends all blocks so often, or at least so much
 
 
 @dataclass
@@ -69,6 +75,11 @@ def net(points: np.ndarray, radius: float) -> np.ndarray:
 
 
 def build(ids: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> Tree:
+    return _built(ids, weight, unit)[1]
+
+
+def _built(ids: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, Tree, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """The places of the vectors in tree order, the tree, and its levels for ``_tree``."""
     n = len(ids)
     labels, rows = [], np.arange(n)
     groups = [rows]
@@ -87,7 +98,7 @@ def build(ids: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> Tree:
         groups = nxt
     order = np.concatenate(groups) if n else rows
     unit, ids, weight = unit[order], ids[order], weight[order]
-    centre, radius, starts = [], [], []
+    levels = []
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     for label in labels:
@@ -97,10 +108,14 @@ def build(ids: np.ndarray, weight: np.ndarray, unit: np.ndarray) -> Tree:
         size = np.diff(np.append(start, n))
         cos = np.einsum("ij,ij->i", unit, unit[np.repeat(mid, size)])
         far = np.sqrt(np.maximum(0, 2 - 2 * np.minimum.reduceat(cos, start)))
-        centre.append(mid)
-        radius.append(np.where(size > 1, far + SLACK, 0.0))
-        starts.append(start)
-    centre.append(np.arange(n)), radius.append(np.zeros(n)), starts.append(np.arange(n))
+        levels.append((start, mid, np.where(size > 1, far + SLACK, 0.0)))
+    return order, _tree(ids, weight, unit, levels), levels
+
+
+def _tree(ids: np.ndarray, weight: np.ndarray, unit: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Tree:
+    """From where the nodes of each level start, their centres and radii."""
+    n = len(ids)
+    starts, centre, radius = map(list, zip(*levels, (np.arange(n), np.arange(n), np.zeros(n))))
     first = [np.searchsorted(starts[k + 1], starts[k]) for k in range(LEVELS)]
     last = [np.append(f[1:], len(starts[k + 1])) for k, f in enumerate(first)]
     spans = [(s, np.append(s[1:], n)) for s in starts]
@@ -226,11 +241,24 @@ def near_vectors(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vect
     one id are that many points of the same component. Rows with a null id are left out.
     An empty table gives no rows; other columns are left out, whatever their names.
     """
-    vectors = land(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v")).where("id is not null"))
+    with tidied(df.sparkSession):
+        return _near_vectors(df, least, id_col, vector_col)
+
+
+def _near_vectors(df: DataFrame, least: float, id_col: str, vector_col: str) -> DataFrame:
+    v = F.col(f"`{vector_col}`")
+    kind = df.select(v).schema[0].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    vectors = land(df.select(F.col(f"`{id_col}`").alias("id"), (v if single else v.cast("array<double>")).alias("v")).where("id is not null"))
+    wide = F.col("v").cast("array<double>")
     fine = F.coalesce((F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    point = F.when(fine, F.sha2(F.to_binary(F.concat_ws(",", F.transform("v", lambda x: (x + 0.0).cast("string"))), F.lit("utf-8")), 256))
+    point = F.when(fine, F.unhex(F.sha2(F.to_binary(F.concat_ws(",", F.transform(wide, lambda x: (x + 0.0).cast("string"))), F.lit("utf-8")), 256)))
     keyed = vectors.withColumn("key", point)
     points = land(keyed.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("v").alias("v")))
+    classes = keyed.where("key is not null").select("id", "key").join(points.select("key", F.col("id").alias("rep"), "w"), "key").select("id", "rep", "w")
+    none = F.lit(None).cast("long")
+    classes = land(classes.union(keyed.where("key is null").select("id", none.alias("rep"), none.alias("w"))))
+    drop(vectors)
     total = points.count()
     # A sample of fixed size, the smallest hashes, gives the centres: at most CENTRES vectors.
     k = max(1, min(CENTRES, total // BLOCK))
@@ -244,32 +272,48 @@ def near_vectors(df: DataFrame, least: float = 0.9, id_col: str = "vec_id", vect
             node = np.zeros(len(rows), np.int64)
             for d in {len(r) for r in rows}:
                 at = [i for i, r in enumerate(rows) if len(r) == d]
-                x = np.array([rows[i] for i in at])
+                x = np.array([rows[i] for i in at], np.float64)
                 c = centres.get(d)
                 node[at] = -d if c is None else (_unit(x) @ _unit(c).T).argmax(1) * 1_000_000 + d
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("w"), batch.column("v"), pa.array(node)], names=["id", "w", "v", "node"])
 
     dealt = land(points.select("id", "w", "v").mapInArrow(deal, T.StructType(points.select("id", "w", "v").schema.fields + [T.StructField("node", T.LongType())])))
+    drop(points)
     sizes = dealt.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.first(F.size("v")).alias("dim"))
-    dealt = dealt.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    blocks = land(dealt.groupBy("node", "part", "dim").applyInArrow(_pack, "node long, part long, dim int, tree binary"))
-    names = blocks.select("node", "part", "dim")
-    left = names.select("dim", F.col("node").alias("n1"), F.col("part").alias("p1"))
-    right = names.select("dim", F.col("node").alias("n2"), F.col("part").alias("p2"))
-    pairs = left.join(right, "dim").where("n1 < n2 or (n1 = n2 and p1 <= p2)")
-    one = blocks.select(F.col("node").alias("n1"), F.col("part").alias("p1"), F.col("tree").alias("a"))
-    two = blocks.select(F.col("node").alias("n2"), F.col("part").alias("p2"), F.col("tree").alias("b"))
-    grid = pairs.join(one, ["n1", "p1"]).join(two, ["n2", "p2"])
-    found = land(grid.groupBy("n1", "p1", "n2", "p2").applyInArrow(lambda t: _walk(t, least), "x long, y long, n long"))
+    parted = dealt.join(sizes, "node").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    blocks = land(parted.groupBy("node", "part", "dim").applyInArrow(_pack, "node long, part long, dim int, size long, tree binary"))
+    drop(dealt)
+    found = _found(blocks, least)
     comp = components(found.where("y is not null").select(F.col("x").alias("a"), F.col("y").alias("b")))
     linked = found.where("y is null").groupBy("x").agg(F.sum("n").alias("n"))
-    classes = keyed.where("key is not null").select("id", "key").join(points.select("key", F.col("id").alias("rep"), "w"), "key")
-    classes = classes.join(linked, F.col("rep") == linked["x"], "left").join(comp, F.col("rep") == comp["node"], "left")
-    out = classes.select("id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    alone = keyed.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = classes.where("rep is not null").join(linked, F.col("rep") == linked["x"], "left").join(comp, F.col("rep") == comp["node"], "left")
+    out = out.select("id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    alone = classes.where("rep is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return out.union(alone)
 
 
+def _found(blocks: DataFrame, least: float) -> DataFrame:
+    """What ``_walk`` finds in all pairs of blocks of one length, landed; ``blocks`` go."""
+    each = Window.partitionBy("dim")
+    names = blocks.select("node", "part", "dim", F.count("*").over(each).alias("all"), F.row_number().over(each.orderBy("node", "part")).alias("k"))
+    side = F.ceil(F.col("all") / F.least(F.lit(TILE), F.greatest(F.lit(1), F.floor(F.col("all") / TILE))))
+    names = land(names.withColumn("side", side.cast("int")).select("node", "part", "side", (F.col("k") % F.col("side")).cast("int").alias("at")))
+    sizes = blocks.select("node", "part", "size").join(names, ["node", "part"])
+    once, sent = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.col("size") * F.col("side")), F.lit(0))).first()
+    rounds = max(1, -(-sent // max(ROUND_TIMES * once, ROUND_BYTES)))
+    other = F.explode(F.sequence(F.lit(0), F.col("side") - 1))
+    tiles = names.withColumn("other", other).select("node", "part", "at", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    number = (F.col("j") * (F.col("j") + 1) / 2 + F.col("i")).cast("long")
+    tiles = land(tiles.withColumn("round", (number % rounds).cast("int")))
+    done = []
+    for now in range(rounds):
+        grid = blocks.join(sized(tiles.where(F.col("round") == now)), ["node", "part"]).select("dim", "i", "j", "at", "node", "part", "tree")
+        done.append(land(grid.groupBy("dim", "i", "j").applyInArrow(lambda t: _walk(t, least), "x long, y long, n long")))
+    for df in (blocks, names, tiles):
+        drop(df)
+    return reduce(DataFrame.unionAll, done)
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     big = np.abs(x).max(1, keepdims=True)
     x = x / big  # keeps the squares in range
@@ -277,20 +321,47 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _pack(t: pa.Table) -> pa.Table:
-    ids, w = t["id"].to_numpy(), t["w"].to_numpy()
-    order = np.argsort(ids)
-    tree = build(ids[order], w[order], _unit(np.array(t["v"].to_pylist(), np.float64)[order]))
-    return pa.table({"node": t["node"][:1], "part": t["part"][:1], "dim": t["dim"][:1], "tree": [pickle.dumps(tree)]})
+    ids, w, raw = t["id"].to_numpy(), t["w"].to_numpy(), np.array(t["v"].to_pylist(), np.float64)
+    first = np.argsort(ids)
+    ids, w, raw = ids[first], w[first], raw[first]
+    order, tree, levels = _built(ids, w, _unit(raw))
+    blob = pickle.dumps(_small(tree, raw[order], levels))
+    return pa.table({"node": t["node"][:1], "part": t["part"][:1], "dim": t["dim"][:1], "size": [len(blob)], "tree": [blob]})
+
+
+def _small(tree: Tree, raw: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple:
+    """A tree in few bytes: vectors as they came, in single precision if that keeps them; no
+    weights of one; no levels of single vectors."""
+    with np.errstate(over="ignore"):
+        single = raw.astype(np.float32)
+    n = len(raw)
+    return tree.ids, None if (tree.weight == 1).all() else tree.weight, single if (single == raw).all() else raw, [None if len(start) == n else (start.astype(np.int32), mid.astype(np.int32), radius) for start, mid, radius in levels]
+
+
+def _large(blob: bytes) -> Tree:
+    ids, weight, raw, levels = pickle.loads(blob)
+    n = len(ids)
+    alone = np.arange(n), np.arange(n), np.zeros(n)
+    levels = [alone if x is None else (x[0].astype(np.int64), x[1].astype(np.int64), x[2]) for x in levels]
+    return _tree(ids, np.ones(n, np.int64) if weight is None else weight, _unit(raw.astype(np.float64)), levels)
 
 
 def _walk(t: pa.Table, least: float) -> pa.Table:
-    row = t.to_pylist()[0]
-    same = (row["n1"], row["p1"]) == (row["n2"], row["p2"])
-    a = pickle.loads(row["a"])
-    b = a if same else pickle.loads(row["b"])
-    na, nb, x, y = dual(a, b, least, same)
-    x, y = _thin(x, y)
-    ids, n = np.concatenate([a.ids, b.ids]), np.concatenate([na, nb])
-    ids, n = ids[n > 0], n[n > 0]
-    none = pa.nulls(len(ids), pa.int64())
-    return pa.table({"x": np.concatenate([x, ids]), "y": pa.concat_arrays([pa.array(y, pa.int64()), none]), "n": np.concatenate([np.zeros(len(x), np.int64), n])})
+    """All pairs of a tile's blocks, each pair once: those of one side with those of the other, or
+    all of the only side."""
+    i, j, at = t["i"][0].as_py(), t["j"][0].as_py(), t["at"].to_numpy()
+    order = np.lexsort([t["part"].to_numpy(), t["node"].to_numpy()])
+    trees = {int(k): _large(t["tree"][int(k)].as_py()) for k in order}
+    one, two = ([trees[int(k)] for k in order if at[k] == side] for side in (i, j))
+    xs, ys, ids, ns = [], [], [], []
+    for k, a in enumerate(one):
+        for b in two[k:] if i == j else two:
+            na, nb, x, y = dual(a, b, least, a is b)
+            xs.append(x), ys.append(y), ids.extend((a.ids, b.ids)), ns.extend((na, nb))
+    none = np.empty(0, np.int64)
+    x, y = _thin(np.concatenate([none, *xs]), np.concatenate([none, *ys]))
+    known, place = np.unique(np.concatenate([none, *ids]), return_inverse=True)
+    n = np.zeros(len(known), np.int64)
+    np.add.at(n, place, np.concatenate([none, *ns]))
+    known, n = known[n > 0], n[n > 0]
+    return pa.table({"x": np.concatenate([x, known]), "y": pa.concat_arrays([pa.array(y, pa.int64()), pa.nulls(len(known), pa.int64())]), "n": np.concatenate([np.zeros(len(x), np.int64), n])})

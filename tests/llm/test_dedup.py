@@ -226,6 +226,31 @@ def test_near_vectors_equal_all_pairs(spark, monkeypatch):
     assert covertree.near_vectors(df.where("false")).count() == 0
 
 
+def test_pairs_of_blocks_send_a_bounded_share_in_a_round(spark, monkeypatch):
+    """However many blocks there are, a round sends all of them about twice; links are those of all pairs."""
+    for name, value in (("BLOCK", 16), ("TILE", 2), ("ROUND_BYTES", 1)):
+        monkeypatch.setattr(covertree, name, value)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(20, 8))
+    rows = [(i, [float(c) for c in (base[i % 20] + rng.normal(size=8) * (0.2 + i % 3)).astype(np.float32)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    sent, blocks, land = [], [], covertree.land
+
+    def seen(frame):
+        out = land(frame)
+        if "round" in out.columns:
+            rounds = out.groupBy("round").count().collect()
+            sent.extend(r["count"] for r in rounds)
+            blocks.append(out.select("node", "part").distinct().count())
+        return out
+
+    monkeypatch.setattr(covertree, "land", seen)
+    got = {r.id: (r.n_links, r.component_id) for r in covertree.near_vectors(df).collect()}
+    assert got == links(rows)
+    assert blocks[0] > 15 and len(sent) > 3
+    assert max(sent) <= 4 * blocks[0] and sum(sent) <= blocks[0] * (blocks[0] / 2 + 2)
+
+
 def test_tree_nodes_cover_their_members():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(500, 8))
