@@ -39,7 +39,8 @@ BLOCK_DOCS, BLOCK_CHARS = 8192, 4_000_000  # a posting has 13 bits for its docum
 ROUNDS, ROUND_CHARS = 6, 4_000_000  # rounds of a sweep over all documents, fewer if a round would have less text
 PART_CHARS, PARTS = 8_000_000, 16  # about the text in a part, and the fewest parts in a round
 SHOWN = 16  # one of so many documents tells which words are frequent; only the balance of parts depends on it
-FINE, SHARE = 4, 1 << 15  # pieces of a part's share that what is split has about; the least share of a block that is told
+FINE = 4  # pieces of a part's share that what is split has about
+SHARE, LEAST = 1 << 15, 4  # the least share of a block, and number in it, that is told
 QUANTILE, MARGIN, PRIOR, FOLDS = 0.99, 1.0, 0, 3
 MODELS = range(FOLDS + 1)  # the model of all trusted documents, then those without a fold
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -268,7 +269,8 @@ def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, v = gram[0][first], gram[1][first]
         word, n1 = np.unique(v, return_counts=True)
         pair, n2 = np.unique(keys(u & SEEN, v), return_counts=True)
-        found = [(np.zeros(1, np.int64), np.array([len(v)]))] + [(x[n * SHARE >= len(v)].view(np.int64), n[n * SHARE >= len(v)]) for x, n in ((word, n1), (pair, n2))]
+        least = max(LEAST, len(v) / SHARE)
+        found = [(np.zeros(1, np.int64), np.array([len(v)]))] + [(x[n >= least].view(np.int64), n[n >= least]) for x, n in ((word, n1), (pair, n2))]
         size = np.repeat(np.arange(3), [len(x) for x, _ in found])
         yield pa.RecordBatch.from_arrays([pa.array(size), *[pa.array(np.concatenate(x)) for x in zip(*found)]], names=["size", "x", "n"])
 
